@@ -16,6 +16,46 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larkspur.llm.decontaminate import leaks
+
+    return leaks(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("__key")
+
+
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larkspur.llm.substring import substring_report
+
+    out = substring_report(_documents(spark, sf_dir))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larkspur.llm.media import UNIT, features, store
+
+    read = features(store(_documents(spark, sf_dir)))
+    size = F.octet_length("payload").cast("long")
+    tail = F.substring(F.col("payload"), -32, 32)
+    return read.select("doc_id", "n_bytes", size.alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(tail).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), F.lower(F.hex("hash")).alias("feature"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larkspur.llm.warc import archive
+
+    return archive(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larkspur.llm.toxicity import toxicity
+
+    return toxicity(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larkspur.llm.simhash import near_duplicates
+
+    return near_duplicates(_documents(spark, sf_dir))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return packed_digest(_documents(spark, sf_dir))
@@ -49,5 +89,26 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_documents(spark, sf_dir), _vocabulary("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op4_packing, op5_token_files, op7_sharding, op9_token_counts)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_substring_dedup, op3_media, op4_packing, op5_token_files, op6_warc, op7_sharding, op8_toxicity, op9_token_counts, op10_simhash)}
+
+ORACLE_SQL = {
+    "op2_substring_dedup": """
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+words AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM docs),
+spans AS (SELECT d.r, s.i, array_to_string(d.w[s.i:s.i + 34], ' ') AS span FROM docs d, LATERAL (SELECT unnest(range(1, len(d.w) - 33)) AS i) s),
+twice AS (SELECT r, i FROM spans WHERE span IN (SELECT span FROM spans GROUP BY span HAVING count(*) > 1)),
+marks AS (SELECT w.r, w.i, w.word, max(t.i) OVER (PARTITION BY w.r ORDER BY w.i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS hit FROM words w LEFT JOIN twice t ON w.r = t.r AND w.i = t.i),
+kept AS (SELECT r, count(*) FILTER (WHERE hit IS NOT NULL) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE hit IS NULL) AS kept FROM marks GROUP BY r)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(k.n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM docs d LEFT JOIN kept k ON d.r = k.r
+""",
+    "op6_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, octet_length(encode(h))::BIGINT AS payload_bytes, sha1(h) AS x, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(0, 8), lambda k: array_to_string(list_transform([15, 10, 5, 0], lambda b: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(x, k * 5 + 1, 5))::BIGINT) >> b) & 31)::INT + 1, 1)), '')), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM d
+""",
+}
