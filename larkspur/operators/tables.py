@@ -1,0 +1,181 @@
+"""Spreadsheet grids: bands, headers, row groups and column slices."""
+
+from __future__ import annotations
+
+import datetime
+import re
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+#: Tokens of a row group, columns of a slice, the share of numbers under which a row is a header.
+TARGET, MAX_COLUMNS = 600, 40
+HEADER_SHARE, SECOND_SHARE = 0.34, 0.2
+
+
+def column_slices(columns: Column, most: int = MAX_COLUMNS, keys: int = 1) -> Column:
+    """Column numbers of each slice; the key columns are repeated in each."""
+    span = most - keys
+    starts = F.sequence(F.lit(keys), F.greatest(columns - 1, F.lit(keys)), F.lit(span))
+    key = F.sequence(F.lit(0), F.lit(keys - 1))
+    return F.when(columns <= most, F.array(F.sequence(F.lit(0), columns - 1))).otherwise(F.transform(starts, lambda s: F.concat(key, F.sequence(s, F.least(s + span, columns) - 1))))
+
+
+def cell_text(value) -> str:
+    """A value as in a Markdown cell: whole floats without a fraction, dates in ISO form to the second."""
+    if value is None or value != value:
+        return ""
+    if isinstance(value, bool):
+        return str(value)
+    if isinstance(value, float) and value.is_integer():
+        return str(int(value))
+    if isinstance(value, (datetime.date, datetime.datetime)):
+        return value.isoformat()[:19]
+    return " ".join(str(value).split())
+
+
+def markdown_row(cells: list[str]) -> str:
+    return "| " + " | ".join(c.replace("|", "\\|") for c in cells) + " |"
+
+
+def _number(text: str) -> bool:
+    bare = re.sub(r"[,%$€£¥\s()]", "", text)
+    if re.fullmatch(r"(19|20)\d\d|2100", bare):
+        return False  # a year is a label
+    return bool(re.fullmatch(r"[-+]?\d*\.?\d+(?:[eE][-+]?\d+)?", bare))
+
+
+def numeric_share(row: list[str]) -> float:
+    own = [c for c in row if c]
+    return sum(map(_number, own)) / len(own) if own else 0.0
+
+
+def header_like(row: list[str]) -> bool:
+    return sum(map(bool, row)) > 1 and numeric_share(row) < HEADER_SHARE
+
+
+def bands(rows: list[list[str]], merges: list[tuple[int, int, int, int]] = ()) -> list[tuple[int, int]]:
+    """Ranges of rows between blank ones; a blank row within a merged column of cells doesn't part them."""
+    held = {r for r1, _, r2, _ in merges if r2 > r1 for r in range(r1, r2 + 1)}
+    out, start = [], None
+    for i, row in enumerate([*rows, []]):
+        blank = not any(row) and (i not in held or i == len(rows))
+        if blank and start is not None:
+            out.append((start, i))
+            start = None
+        elif not blank and start is None:
+            start = i
+    return out
+
+
+def fill_right(row: list[str]) -> list[str]:
+    out, last = [], ""
+    for c in row:
+        last = c or last
+        out.append(last)
+    return out
+
+
+def header_depth(rows: list[list[str]], start: int, end: int, merges) -> int:
+    """Rows of the header that starts at `start`: grown while a merge that begins in it reaches further down."""
+    last, grown = start, True
+    while grown:
+        below = max((r2 for r1, _, r2, _ in merges if start <= r1 <= last and r2 < end), default=last)
+        grown, last = below > last, max(last, below)
+    if last == start and start + 1 < end and not all(rows[start]) and header_like(rows[start + 1]) and numeric_share(rows[start + 1]) < SECOND_SHARE:
+        last = start + 1
+    return last - start + 1
+
+
+def header_labels(rows: list[list[str]], merges, first: int) -> list[str]:
+    """One label per column from the header's layers, merged cells spread, equal neighbours once."""
+    layers = [list(r) for r in rows]
+    for r1, c1, r2, c2 in merges:
+        for r in range(max(r1, first), min(r2, first + len(layers) - 1) + 1):
+            for c in range(c1, min(c2 + 1, len(layers[0]))):
+                layers[r - first][c] = layers[r - first][c] or (layers[r1 - first][c1] if r1 >= first else "")
+    if len(layers) > 1 and not merges:
+        layers[0] = fill_right(layers[0])
+    out = []
+    for column in zip(*layers, strict=True):
+        parts: list[str] = []
+        for p in column:
+            if p and (not parts or parts[-1] != p):
+                parts.append(p)
+        out.append(" ".join(parts))
+    return out
+
+
+def _groups(lines: list[str], overhead: int, target: int):
+    """Lines in groups near the target; each line's cost has the overhead of the header again."""
+    held, used = [], 0.0
+    for n, line in enumerate(lines):
+        cost = (len(line) + overhead) / 4.0
+        if held and used + cost > target:
+            yield held
+            held, used = [], 0.0
+        held.append(n)
+        used += cost
+    if held:
+        yield held
+
+
+def sheet_chunks(values: list[list], merges=(), target: int = TARGET, most: int = MAX_COLUMNS) -> list[tuple[str, str, int, int]]:
+    """(kind, text, first row, last row) of a sheet; every value stands in a chunk. A header is carried on to bands without one."""
+    rows = [[cell_text(v) for v in r] for r in values]
+    width = max((max((i + 1 for i, c in enumerate(r) if c), default=0) for r in rows), default=0)
+    rows = [[*r[:width], *[""] * (width - len(r))] for r in rows]
+    out: list[tuple[str, str, int, int]] = []
+    carried: list[str] | None = None
+
+    def prose(a: int, b: int) -> None:
+        lines = [" ".join(c for c in r if c) for r in rows[a:b]]
+        for g in _groups(lines, 0, target):
+            text = "\n".join(lines[i] for i in g if lines[i])
+            if text:
+                out.append(("nontabular", text, a + g[0], a + g[-1]))
+
+    def table(labels: list[str], a: int, b: int) -> None:
+        for columns in [list(range(width))] if width <= most else [[0, *range(s, min(s + most - 1, width))] for s in range(1, width, most - 1)]:
+            head = markdown_row([labels[c] for c in columns]) + "\n" + "|" + " --- |" * len(columns)
+            if a >= b:
+                out.append(("header_only", head, a - 1, a - 1))
+                continue
+            lines = [markdown_row([r[c] for c in columns]) for r in rows[a:b]]
+            for g in _groups(lines, len(head), target):
+                out.append(("table", head + "\n" + "\n".join(lines[i] for i in g), a + g[0], a + g[-1]))
+
+    for a, b in bands(rows, merges):
+        at = next((i for i in range(a, b) if header_like(rows[i])), None)
+        if at is None:
+            if carried is not None and any(sum(map(bool, r)) > 1 for r in rows[a:b]):
+                table(carried, a, b)
+            else:
+                prose(a, b)
+            continue
+        if at > a:
+            prose(a, at)
+        deep = header_depth(rows, at, b, merges)
+        carried = header_labels(rows[at : at + deep], merges, at)
+        table(carried, at + deep, b)
+    return out
+
+
+def chunk_sheets(cells: DataFrame, target: int = TARGET, most: int = MAX_COLUMNS) -> DataFrame:
+    """cells (doc_id, sheet, row, col, value) -> doc_id, sheet, part, kind, text, row_start, row_end. A sheet is one group, as its header is carried through it."""
+    kind = cells.schema["doc_id"].dataType.simpleString()
+    sheets = cells.groupBy("doc_id", "sheet").agg(F.array_sort(F.collect_list(F.struct("row", "col", "value"))).alias("cells"))
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            out = []
+            for doc, sheet, own in zip(pdf["doc_id"], pdf["sheet"], pdf["cells"], strict=True):
+                grid = [[None] * (1 + max(c["col"] for c in own)) for _ in range(1 + max(c["row"] for c in own))]
+                for c in own:
+                    grid[c["row"]][c["col"]] = c["value"]
+                out += [(doc, sheet, n, *x) for n, x in enumerate(sheet_chunks(grid, (), target, most))]
+            yield pd.DataFrame(out, columns=["doc_id", "sheet", "part", "kind", "text", "row_start", "row_end"])
+
+    return sheets.mapInPandas(run, f"doc_id {kind}, sheet string, part int, kind string, text string, row_start int, row_end int")
