@@ -1,6 +1,6 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame functions only.
 
-Numbers, units after numbers, and names (capitalised words within a sentence) become typed
+Numbers, units after numbers, and names (capitalised words within a sentence; words all in capitals are words) become typed
 placeholders; the rest is lower-cased words. Windows of WINDOW template tokens are hashed and joined
 with the benchmark's. A window without placeholders is a hit as it is. One with placeholders counts if
 its slots are consistent: along one alignment of document and item, equal values in the item stand for
@@ -29,7 +29,7 @@ def marked(text: Column) -> Column:
     """Lower-cased text whose numbers, names and units carry their marks; all else is words and separators."""
     s = F.translate(F.coalesce(text.cast("string"), F.lit("")), NUMBER + NAME + UNIT, "   ")
     s = F.regexp_replace(s, r"([0-9])[.,:/](?=[0-9])", "$1d")
-    s = F.regexp_replace(s, r"([\p{L}\p{N},;] )(?=\p{Lu}\p{L})", f"$1{NAME}")
+    s = F.regexp_replace(s, r"([\p{L}\p{N},;] )(?=\p{Lu}\p{Ll})", f"$1{NAME}")
     s = F.regexp_replace(s, r"(?<![\p{L}\p{N}])[0-9]+(?:d[0-9]+)*", f" {NUMBER}$0 ")
     return F.lower(F.regexp_replace(s, rf"(?i)({NUMBER}\S+\s+)(?=(?:{UNITS})(?![\p{{L}}\p{{N}}]))", f"$1{UNIT}"))
 
