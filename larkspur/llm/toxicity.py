@@ -24,10 +24,12 @@ from pyspark.sql import types as T
 
 from larkspur.llm.common import binary, slices
 
-DIM = 1 << 18
+DIM = 1 << 20
 MAX_POSITIVE = 3000
 MAX_UNLABELLED = 9000
 EPOCHS = 30
+#: A word is used if this share of the positives has it, and more often than the unlabelled by so many standard errors.
+SHARE, SURE = 0.05, 6.0
 #: Characters that are cut from a word's ends before it is hashed.
 EDGES = b".,;:!?\"'()[]{}<>*&%#$@~|_-/\\"
 
@@ -37,22 +39,20 @@ def word_slot(word: bytes) -> int:
 
 
 class Features:
-    """A text's slots and their weights: log(1 + count) of each word, over the root of the sum of squares' fourth root."""
+    """The slots of a text's distinct words, sorted; all have the weight 1."""
 
     def __init__(self):
         self.slots: dict[bytes, int] = {}
 
-    def __call__(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
-        words = text.lower().split()
+    def __call__(self, text: bytes) -> np.ndarray:
+        words = set(text.lower().split())
         if len(self.slots) > 1_000_000:
             self.slots.clear()
         slots = self.slots
-        for w in set(words):
+        for w in words:
             if w not in slots:
                 slots[w] = word_slot(w)
-        at, n = np.unique(np.fromiter(map(slots.__getitem__, words), np.int64, len(words)), return_counts=True)
-        value = np.log1p(n)
-        return at, value / max(1.0, float(np.sqrt(len(at)))) if len(at) else value
+        return np.unique(np.fromiter(map(slots.__getitem__, words), np.int64, len(words)))
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -60,71 +60,77 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """bias + weights . features, as a probability after Platt's scaling."""
+    """A sigmoid of bias + the weights of a text's slots, scaled so that its cut lies at 0.3."""
 
     def __init__(self, weights: np.ndarray, bias: float, scale: float = 1.0, shift: float = 0.0):
         self.weights, self.bias, self.scale, self.shift = weights, bias, scale, shift
 
-    def margin(self, at: np.ndarray, value: np.ndarray) -> float:
-        return float(self.weights[at] @ value + self.bias)
+    def margin(self, at: np.ndarray) -> float:
+        return float(self.weights[at].sum() + self.bias)
 
-    def score(self, at: np.ndarray, value: np.ndarray) -> float:
-        return float(_sigmoid(np.array(self.scale * self.margin(at, value) + self.shift)))
+    def score(self, at: np.ndarray) -> float:
+        return float(_sigmoid(np.array(self.scale * self.margin(at) + self.shift)))
 
 
-def _rows(docs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    sizes = np.array([len(a) for a, _ in docs], np.int64)
-    at = np.concatenate([a for a, _ in docs]) if docs else np.zeros(0, np.int64)
-    value = np.concatenate([v for _, v in docs]) if docs else np.zeros(0)
-    return np.repeat(np.arange(len(docs)), sizes), at, value
+def telling(positive: list[np.ndarray], unlabelled: list[np.ndarray], share: float = SHARE, sure: float = SURE) -> np.ndarray:
+    """Slots that a share of the positives have, and more often than the unlabelled by `sure` standard errors; the rest stays at weight 0."""
+    own = np.bincount(np.concatenate(positive), minlength=DIM)
+    all_ = np.bincount(np.concatenate(unlabelled), minlength=DIM)
+    a, u = own / len(positive), (all_ + 1) / (len(unlabelled) + 2)
+    z = (a - u) / np.sqrt(u * (1 - u) * (1 / len(positive) + 1 / len(unlabelled)))
+    return np.flatnonzero((own >= 3) & (a >= share) & (z >= sure))
 
 
-def train(positive: list, unlabelled: list, prior: float, epochs: int = EPOCHS, batch: int = 512, rate: float = 0.05, decay: float = 1e-4, seed: int = 11) -> Model:
-    """positive, unlabelled: lists of (slots, values)."""
+def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int = EPOCHS, batch: int = 512, rate: float = 0.05, decay: float = 1e-3, seed: int = 11) -> Model:
+    """positive, unlabelled: each text's slots. Texts of equal slots count once."""
+    positive, unlabelled = (list({x.tobytes(): x for x in docs if len(x)}.values()) for docs in (positive, unlabelled))
     if not positive or not unlabelled:
-        return Model(np.zeros(DIM), -3.0)
+        return Model(np.zeros(DIM, np.float32), -3.0)
+    chosen = telling(positive, unlabelled)
+    place = np.full(DIM, -1)
+    place[chosen] = np.arange(len(chosen))
+
+    def matrix(docs):
+        out = np.zeros((len(docs), len(chosen) + 1))
+        out[:, -1] = 1.0
+        for row, at in zip(out, docs, strict=True):
+            own = place[at]
+            row[own[own >= 0]] = 1.0
+        return out
+
+    xp, xu = matrix(positive), matrix(unlabelled)
     rng = np.random.default_rng(seed)
-    w, b = np.zeros(DIM + 1), 0.0
-    m, v, step = np.zeros(DIM + 1), np.zeros(DIM + 1), 0
-    chunks = max(1, len(unlabelled) // batch)
+    w = np.zeros(len(chosen) + 1)
+    w[-1] = np.log(prior / (1 - prior))
+    m, v, step = np.zeros_like(w), np.zeros_like(w), 0
+    chunks = max(1, len(xu) // batch)
+    loss = lambda x: np.logaddexp(0, -x)
     for _ in range(epochs):
-        us, ps = np.array_split(rng.permutation(len(unlabelled)), chunks), np.array_split(rng.permutation(max(len(positive), chunks)) % len(positive), chunks)
-        for u, p in zip(us, ps, strict=True):
-            docs = [positive[i] for i in p] + [unlabelled[i] for i in u]
-            row, at, value = _rows(docs)
-            z = np.bincount(row, w[at] * value, len(docs)) + w[DIM]
-            zp, zu = z[: len(p)], z[len(p) :]
-            loss = lambda x: np.logaddexp(0, -x)
+        us, ps = np.array_split(rng.permutation(len(xu)), chunks), np.array_split(rng.permutation(max(len(xp), chunks)) % len(xp), chunks)
+        for u, p in zip((xu[i] for i in us), (xp[i] for i in ps), strict=True):
+            zp, zu = p @ w, u @ w
             negative = loss(-zu).mean() - prior * loss(-zp).mean()
-            # gradients of the terms by the margin
-            g_pos = np.concatenate([-prior * _sigmoid(-zp) / len(p), np.zeros(len(u))])
-            g_neg = np.concatenate([-prior * _sigmoid(zp) / len(p), _sigmoid(zu) / len(u)])
-            g = g_pos + g_neg if negative >= 0 else -g_neg
-            grad = np.zeros(DIM + 1)
-            grad[:DIM] = np.bincount(at, g[row] * value, DIM) + decay * w[:DIM]
-            grad[DIM] = g.sum()
+            g_pos = -prior * (_sigmoid(-zp) @ p) / len(p)
+            g_neg = (_sigmoid(zu) @ u) / len(u) - prior * (_sigmoid(zp) @ p) / len(p)
+            grad = (g_pos + g_neg if negative >= 0 else -g_neg) + decay * np.append(w[:-1], 0.0)
             step += 1
             m = 0.9 * m + 0.1 * grad
             v = 0.999 * v + 0.001 * grad * grad
-            w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    b = float(w[DIM])
-    model = Model(w[:DIM].astype(np.float32), b)
-    # Platt's scaling on the same rows, positives against unlabelled weighted by the prior
-    mp = np.array([model.margin(*d) for d in positive])
-    mu = np.array([model.margin(*d) for d in unlabelled])
-    model.scale, model.shift = _scale(mp, mu, prior)
-    return model
-
-
-def _scale(mp: np.ndarray, mu: np.ndarray, prior: float) -> tuple[float, float]:
-    """The shift puts the score 0.3 where the unlabelled rows above it make up the prior's share, or at the positives' 2nd percentile if that is further down."""
-    cut = np.quantile(mu, 1 - prior)
-    low = np.quantile(mp, 0.02)
-    middle = float(np.median(mu))
-    cut = max(min(cut, low), middle + 0.25 * (float(np.median(mp)) - middle))
-    spread = max(1e-6, float(np.median(mp)) - cut)
-    scale = 3.0 / spread
-    return scale, float(np.log(0.3 / 0.7)) - scale * float(cut)
+            w = w - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    weights = np.zeros(DIM, np.float32)
+    weights[chosen] = w[:-1]
+    scale, shift = _scale(xp @ w, xu @ w)
+    return Model(weights, float(w[-1]), scale, shift)
+
+
+def _scale(mp: np.ndarray, mu: np.ndarray) -> tuple[float, float]:
+    """The score 0.3 stands halfway from the bulk of the unlabelled (their lower half) to the positives' lower quarter above it."""
+    bulk = float(np.median(mu))
+    above = mp[mp > bulk + 1e-9]
+    low = float(np.quantile(above, 0.1)) if len(above) else bulk + 1.0
+    cut = (bulk + low) / 2
+    scale = 3.0 / max(1e-6, low - cut)
+    return scale, float(np.log(0.3 / 0.7)) - scale * cut
 
 
 def fold(doc_id) -> int:
@@ -148,13 +154,13 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = MAX_POSITIVE, other
     def run(batches):
         features = Features()
         for batch in batches:
-            got = [features(t) for t in binary(batch.column(1)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([a.astype("<u4").tobytes() for a, _ in got], pa.binary()), pa.array([v.astype("<f4").tobytes() for _, v in got], pa.binary())], ["kind", "slots", "values"])
+            got = [features(t).astype("<u4").tobytes() for t in binary(batch.column(1)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.binary())], ["kind", "slots"])
 
-    taken = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("kind", "text").mapInArrow(run, "kind int, slots binary, values binary")
+    taken = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("kind", "text").mapInArrow(run, "kind int, slots binary")
     sets: tuple[list, list] = ([], [])
-    for r in sorted(taken.collect(), key=lambda r: (r.kind, bytes(r.slots), bytes(r.values))):
-        sets[r.kind].append((np.frombuffer(r.slots, "<u4").astype(np.int64), np.frombuffer(r["values"], "<f4").astype(np.float64)))
+    for kind, slots in sorted((r.kind, bytes(r.slots)) for r in taken.collect()):
+        sets[kind].append(np.frombuffer(slots, "<u4").astype(np.int64))
     # the unlabelled set holds the positives as well, as a draw from the whole
     return train(sets[1], sets[0] + sets[1][: int(len(sets[0]) * (share or 0.0))], float(min(max(share or 0.05, 0.005), 0.5)))
 
@@ -167,7 +173,7 @@ def scored(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
         features, own = Features(), shared.value
         for batch in batches:
             for rows, texts in slices(batch):
-                scores = [own.score(*features(t)) for t in texts.to_pylist()]
+                scores = [own.score(features(t)) for t in texts.to_pylist()]
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(scores, pa.float64())], [*rows.schema.names, column])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())]))
