@@ -1,6 +1,6 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-A numpy classifier over hashed words learns from confirmed toxic documents (positive) and all other
+A numpy classifier over hashed words and their beginnings learns from confirmed toxic documents (positive) and all other
 documents (unlabelled, labels unseen). With the class prior p, the risk of a linear score g is
 
     p * E_pos[l(g)] + max(0, E_unl[l(-g)] - p * E_pos[l(-g)]),   l(z) = log(1 + exp(-z)),
@@ -14,6 +14,7 @@ hash of doc_id), whatever the input; scoring takes every whole text.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -29,30 +30,45 @@ MAX_POSITIVE = 3000
 MAX_UNLABELLED = 9000
 EPOCHS = 30
 #: A word is used if this share of the positives has it, and more often than the unlabelled by so many standard errors.
-SHARE, SURE = 0.05, 6.0
+SHARE, SURE = 0.03, 8.0
+#: Beginnings of words, in characters, that are features besides the words.
+PREFIXES = (4, 5, 6)
+#: Counts in a text from which a word or beginning is a further feature: in a long text one may stand by chance.
+LEVELS = (1, 2, 3)
 #: Characters that are cut from a word's ends before it is hashed.
 EDGES = b".,;:!?\"'()[]{}<>*&%#$@~|_-/\\"
 
 
-def word_slot(word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word.strip(EDGES), 7) & (DIM - 1)
+def word_slots(word: bytes) -> list[tuple[int, ...]]:
+    """For a word, without what stands at its edges, and each of its beginnings: the slots of the LEVELS."""
+    bare = word.strip(EDGES)
+    text = bare.decode()
+    parts = [bare, *(b"^" + text[:n].encode() for n in PREFIXES if len(text) > n)]
+    return [tuple(xxhash.xxh64_intdigest(p, level) & (DIM - 1) for level in LEVELS) for p in parts]
 
 
 class Features:
-    """The slots of a text's distinct words, sorted; all have the weight 1."""
+    """The slots of a text, sorted; all have the weight 1. Told which slots count, it gives only those."""
 
-    def __init__(self):
-        self.slots: dict[bytes, int] = {}
+    def __init__(self, counting: np.ndarray | None = None):
+        self.counting = None if counting is None else set(counting.tolist())
+        self.slots: dict[bytes, list[tuple[int, ...]]] = {}
 
     def __call__(self, text: bytes) -> np.ndarray:
-        words = set(text.lower().split())
+        words = Counter(text.lower().split())
         if len(self.slots) > 1_000_000:
             self.slots.clear()
-        slots = self.slots
-        for w in words:
-            if w not in slots:
-                slots[w] = word_slot(w)
-        return np.unique(np.fromiter(map(slots.__getitem__, words), np.int64, len(words)))
+        known: dict = self.slots
+        counts: dict[tuple[int, ...], int] = {}
+        for w, n in words.items():
+            own = known.get(w)
+            if own is None:
+                own = word_slots(w)
+                known[w] = own = own if self.counting is None else [x for x in own if not self.counting.isdisjoint(x)]
+            for x in own:
+                counts[x] = counts.get(x, 0) + n
+        found = {slot for x, n in counts.items() for slot, level in zip(x, LEVELS) if n >= level}
+        return np.array(sorted(found), np.int64)
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -170,7 +186,8 @@ def scored(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # DIM numbers
 
     def run(batches):
-        features, own = Features(), shared.value
+        own = shared.value
+        features = Features(np.flatnonzero(own.weights))
         for batch in batches:
             for rows, texts in slices(batch):
                 scores = [own.score(features(t)) for t in texts.to_pylist()]
