@@ -40,9 +40,10 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def text_key(doc_id: str = "doc_id", text: str = "text"):
-    """A row's key, the same at each evaluation, whatever doc_id's type; nulls have one too."""
-    return F.xxhash64(F.col(doc_id), F.col(text))
+def dropped(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared folder that no later step reads."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def binary(column) -> pa.Array:

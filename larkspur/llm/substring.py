@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.llm.common import byte_view, fresh_path, slices, staged
+from larkspur.llm.common import byte_view, dropped, fresh_path, slices, staged
 from larkspur.llm.unigram import words_of
 
 WINDOW = 35
@@ -128,7 +128,7 @@ def blobs(hashes: np.ndarray, block: int, buckets: int) -> pa.RecordBatch:
     )
 
 
-def _blocks(batches, column: str = "__text", most: int = 8 << 20):
+def _blocks(batches, column: str = "text", most: int = 8 << 20):
     """(block, rows, texts) of rows that stand together."""
     for batch in batches:
         ids = batch.column("__block").to_numpy()
@@ -195,17 +195,29 @@ class FingerprintIndex:
         self.name, self.fanout = name, fanout
         self.runs: list[DataFrame] = []
         self.batches: list[DataFrame] = []
+        self.folders: list[str] = []
+
+    def _written(self, rows: DataFrame) -> DataFrame:
+        self.folders.append(fresh_path(rows.sparkSession, self.name))
+        rows.write.parquet(self.folders[-1])
+        return rows.sparkSession.read.schema(rows.schema).parquet(self.folders[-1])
+
+    def drop(self) -> None:
+        """Deletes the runs; their replies stay."""
+        for path in self.folders:
+            dropped(self.batches[0].sparkSession, path)
+        self.folders, self.runs, self.batches = [], [], []
 
     def ingest(self, batch: DataFrame) -> None:
         """Adds a batch's blobs as an immutable run; compacts if there are too many."""
-        run = staged(batch, f"{self.name}-run")
+        run = self._written(batch)
         self.runs.append(run)
         self.batches.append(run)
         if len(self.runs) > self.fanout:
             self.compact()
 
     def compact(self) -> None:
-        self.runs = [staged(self._all(self.runs).groupBy("bucket").applyInArrow(_compacted, BLOB), f"{self.name}-compacted")]
+        self.runs = [self._written(self._all(self.runs).groupBy("bucket").applyInArrow(_compacted, BLOB))]
 
     @staticmethod
     def _all(runs: list[DataFrame]) -> DataFrame:
@@ -237,8 +249,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batc
     buckets = max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     # written once: a row's block is the same in each of the passes
     log = block_rows.bit_length() - 1
-    blocked = staged(docs.withColumn("__text", F.col("text").cast("string")).withColumn("__block", F.shiftright(F.monotonically_increasing_id(), log)), "blocks")
-    narrow = blocked.select("__block", "__text")
+    text = F.col("text") if docs.schema["text"].dataType == T.StringType() else F.col("text").cast("string")
+    blocked = staged(docs.withColumn("text", text).withColumn("__block", F.shiftright(F.monotonically_increasing_id(), log)), "blocks")
+    narrow = blocked.select("__block", "text")
     part = lambda n: narrow.filter(F.pmod("__block", F.lit(batches)) == n)
 
     def anchor_blobs(source):
@@ -249,6 +262,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batc
     for n in range(batches):
         anchors.ingest(part(n).mapInArrow(anchor_blobs, BLOB))
     candidates = anchors.repeats()
+    anchors.drop()
 
     def window_blobs(source):
         known = Repeats(candidates)
@@ -260,6 +274,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batc
     for n in range(batches):
         verified.ingest(part(n).mapInArrow(window_blobs, BLOB))
     found = verified.repeats()
+    verified.drop()
 
     def clean(source):
         known = Repeats(found)
@@ -275,7 +290,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batc
             columns = [rows.column(c) for c in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(w.first), pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], [*names, "__words", "__removed", "__kept"])
 
-    names = [c for c in blocked.columns if c not in ("__text", "__block")]
+    names = [c for c in blocked.columns if c != "__block"]
     fields = [f for f in blocked.schema.fields if f.name in names]
     added = [T.StructField("__words", T.LongType()), T.StructField("__removed", T.LongType()), T.StructField("__kept", T.StringType())]
     return blocked.mapInArrow(clean, T.StructType([*fields, *added]))
