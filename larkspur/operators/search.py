@@ -5,15 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.functions.text import query_tokens, tokenize
+from larkspur.functions.text import query_tokens, tokenize, words_and_runs
 from larkspur.functions.vector import cosine, reciprocal
 
 PREFETCH = 50
 
 
+def token_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, tok, word: a row per word (word 1) and per alphanumeric run (word 0)."""
+    words, runs = words_and_runs(F.col("text"))
+    tagged = lambda a, n: F.transform(a, lambda t: F.struct(t.alias("tok"), F.lit(n).alias("word")))
+    return docs.select("doc_id", F.explode(F.concat(tagged(words, 1), tagged(runs, 0))).alias("t")).select("doc_id", "t.tok", "t.word")
+
+
+def counted(rows: DataFrame) -> DataFrame:
+    """doc_id, tok, tf: runs count only where their token is no word of the document."""
+    n = rows.groupBy("doc_id", "tok").agg(F.sum("word").alias("w"), F.count("*").alias("n"))
+    return n.select("doc_id", "tok", F.when(F.col("w") > 0, F.col("w")).otherwise(F.col("n")).alias("tf"))
+
+
 def postings(docs: DataFrame) -> DataFrame:
-    """doc_id, tok, tf."""
-    return docs.select("doc_id", F.explode(tokenize(F.col("text"))).alias("tok")).groupBy("doc_id", "tok").agg(F.count("*").alias("tf"))
+    return counted(token_rows(docs))
 
 
 def idf(posts: DataFrame, docs: DataFrame) -> DataFrame:
@@ -29,7 +41,7 @@ def query_terms(spark, text: str) -> DataFrame:
 def sparse_scores(docs: DataFrame, text: str) -> DataFrame:
     """doc_id, score = sum of tf * idf over the query's terms. The few terms cut the postings before anything is counted."""
     terms = F.broadcast(query_terms(docs.sparkSession, text))
-    own = docs.select("doc_id", F.explode(tokenize(F.col("text"))).alias("tok")).join(terms, "tok", "left_semi").groupBy("doc_id", "tok").agg(F.count("*").alias("tf"))
+    own = counted(token_rows(docs).join(terms, "tok", "left_semi"))
     return own.join(F.broadcast(idf(own, docs)), "tok").groupBy("doc_id").agg(F.round(F.sum(F.col("tf") * F.col("idf")), 6).alias("score"))
 
 

@@ -1,4 +1,6 @@
 """All queries of the reference's operators and their DuckDB twins."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from larkspur.plans import evaluation, search, shaping, structures, texts  # noqa: F401
+from larkspur.plans.base import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
