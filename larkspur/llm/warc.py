@@ -75,16 +75,21 @@ def records(data: bytes):
 
 
 def plan_revisits(pages: DataFrame, least: int = 0) -> DataFrame:
-    """pages (page_id, url, html) and revisit, refers_to, refers_url: of equal payloads of at least `least` bytes the row with the
-    smallest page_id is the response. Of rows that share this id, too, the smallest url is; null ids come last."""
+    """pages (page_id, url, html) -> page_id, url, sha, html, refers_to, refers_url, kind: a row of kind 1 per page and, for each that is
+    a revisit, a row of kind 0 without html but with what it refers to. So the payloads are shuffled once, by the writer's order.
+
+    Of equal payloads of at least `least` bytes the row with the smallest page_id is the response; of rows that share this id, too,
+    that with the smallest url, and rows equal to it; null ids come last.
+    """
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    rows = rows.withColumn("size", F.octet_length("html").cast("long")).withColumn("sha", F.sha1(F.col("html").cast("binary")))
+    rows = rows.withColumn("sha", F.sha1(F.col("html").cast("binary")))
+    narrow = rows.filter(F.octet_length("html") >= least).select("page_id", "url", "sha")
     rank = F.struct(F.col("page_id").isNull().alias("none"), F.col("page_id").alias("id"), F.coalesce("url", F.lit("")).alias("u"), F.col("url").alias("url"))
-    first = rows.groupBy("sha", "size").agg(F.min(rank).alias("first")).filter(F.col("size") >= least)
-    first = first.select(F.col("sha").alias("s"), F.col("size").alias("n"), F.col("first.id").alias("refers_to"), F.col("first.url").alias("refers_url"))
-    out = rows.join(first, (F.col("sha") == F.col("s")) & (F.col("size") == F.col("n")), "left")
+    first = narrow.groupBy("sha").agg(F.min(rank).alias("first")).select("sha", F.col("first.id").alias("refers_to"), F.col("first.url").alias("refers_url"))
     own = F.col("page_id").eqNullSafe(F.col("refers_to")) & F.col("url").eqNullSafe(F.col("refers_url"))
-    return out.select("page_id", "url", "html", (F.col("s").isNotNull() & ~own).alias("revisit"), "refers_to", "refers_url")
+    again = narrow.join(first, "sha").filter(~own).select("page_id", "url", "sha", F.lit(None).cast("string").alias("html"), "refers_to", "refers_url", F.lit(0).alias("kind"))
+    none = [F.lit(None).cast(pages.schema["page_id"].dataType).alias("refers_to"), F.lit(None).cast("string").alias("refers_url")]
+    return rows.select("page_id", "url", "sha", "html", *none, F.lit(1).alias("kind")).unionByName(again)
 
 
 class _Rolling:
@@ -122,10 +127,15 @@ def write_warc(pages: DataFrame, folder: str, least: int = 0, roll: int = ROLL)
         fs, root = pafs.FileSystem.from_uri(folder)
         fs.create_dir(root, recursive=True)
         files = _Rolling(fs, root, TaskContext.get().partitionId(), roll)
+        told = None
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 for r in batch.slice(at, 64).to_pylist():
-                    files.add(record(r["page_id"], r["url"], r["html"].encode(), r["refers_to"], r["refers_url"], r["revisit"]))
+                    if r["kind"] == 0:
+                        told = r
+                    else:
+                        revisit = told is not None and all(told[c] == r[c] for c in ("page_id", "url", "sha"))
+                        files.add(record(r["page_id"], r["url"], r["html"].encode(), *((told["refers_to"], told["refers_url"], True) if revisit else ())))
         files.close()
         if files.done:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*files.done, strict=True)], ["name", "bytes", "records", "sha256"])
@@ -133,7 +143,7 @@ def write_warc(pages: DataFrame, folder: str, least: int = 0, roll: int = ROLL)
     spark = pages.sparkSession
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     order = [F.col("page_id").asc_nulls_first(), F.col("url").asc_nulls_first()]
-    done = planned.repartitionByRange(n, *order).sortWithinPartitions(*order, "html").mapInArrow(run, "name string, bytes long, records long, sha256 string")
+    done = planned.repartitionByRange(n, *order).sortWithinPartitions(*order, "sha", "kind").mapInArrow(run, "name string, bytes long, records long, sha256 string")
     manifest = sorted((r.asDict() for r in done.collect()), key=lambda r: r["name"])  # a row per file
     fs, root = pafs.FileSystem.from_uri(folder)
     fs.create_dir(root, recursive=True)
