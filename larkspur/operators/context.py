@@ -97,10 +97,10 @@ class Document:
         return {"text": text, "resolved_section": name(head), "n_tokens": round(len(text) / self.ratio), "climbed": climbed, "anchor_start": span(head)[0], "anchor_end": span(head)[1], "windowed": False, "note": ""}
 
 
-def big_blocks(hits: DataFrame, elements: DataFrame, sections: DataFrame, banners: DataFrame | None = None) -> DataFrame:
+def big_blocks(hits: DataFrame, elements: DataFrame, sections: DataFrame, banners: DataFrame | None = None, limits: tuple[int, int, int] | None = None) -> DataFrame:
     """hits (hit_no, doc_id, source_indices, sec_head, page_start, page_end) -> BLOCK.
 
-    Only documents with hits are gathered, each once: elements, sections and hits meet in one group per
+    limits (least, target, most) replace the document type's. Only documents with hits are gathered, each once: elements, sections and hits meet in one group per
     document. Where elements have acl columns and hits too, only elements of the hit's acl are gathered.
     """
     gated = "acl_key" in elements.columns and "acl_key" in hits.columns
@@ -129,7 +129,7 @@ def big_blocks(hits: DataFrame, elements: DataFrame, sections: DataFrame, banner
                 els = list(r["els"])
                 if [e["idx"] for e in els] != list(range(len(els))):
                     raise ValueError(f"elements of {r['doc_id']} are not dense")
-                doc = Document(r["doc_id"], [e["text"] or "" for e in els], [e["counts"] for e in els], [e["page"] for e in els], sec, per_token(r["lang"]), BUDGETS.get(r["doc_type"], DEFAULT_BUDGET))
+                doc = Document(r["doc_id"], [e["text"] or "" for e in els], [e["counts"] for e in els], [e["page"] for e in els], sec, per_token(r["lang"]), limits or BUDGETS.get(r["doc_type"], DEFAULT_BUDGET))
                 for h in r["asked"]:
                     # an element of no known acl is closed
                     doc.admitted = [e["acl"] is not None and e["acl"] == h["acl"] for e in els] if gated else []
