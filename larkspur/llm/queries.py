@@ -91,7 +91,41 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_decontamination, op2_substring_dedup, op3_media, op4_packing, op5_token_files, op6_warc, op7_sharding, op8_toxicity, op9_token_counts, op10_simhash)}
 
+_MARKS = "\x01\x02\x03"
+
+
+def _tokens_sql(text: str, raw: bool) -> str:
+    """decontaminate.raw_tokens or template in RE2, which has no look-around: a replacement that may overlap is done twice."""
+    from larkspur.llm.decontaminate import NAME, NUMBER, UNIT, UNITS
+
+    s = f"translate(coalesce({text}, ''), '{_MARKS}', '   ')"
+    for pattern, by in [(r"([0-9])[.,:/]([0-9])", r"\1d\2")] * 2 + [(r"([\p{L}\p{N},;] )(\p{Lu}\p{Ll})", rf"\1{NAME}\2")] * 2 + [(r"(^|[^\p{L}\p{N}])([0-9]+(?:d[0-9]+)*)", rf"\1 {NUMBER}\2 "), (rf"(?i)({NUMBER}\S+\s+)({UNITS})($|[^\p{{L}}\p{{N}}])", rf"\1{UNIT}\2\3")]:
+        s = f"regexp_replace({s}, '{pattern}', '{by}', 'g')"
+    s = f"lower({s})"
+    s = f"replace({s}, '{UNIT}%', '{UNIT}pct')" if raw else f"regexp_replace({s}, '([{_MARKS}])(?:[\\p{{L}}\\p{{N}}]+|%)', '\\1', 'g')"
+    return f"list_filter(string_split_regex({s}, '[^\\p{{L}}\\p{{N}}{_MARKS}]+'), lambda x: x <> '')"
+
+
+def _leaks_sql() -> str:
+    slot = f"list_filter({{0}}, lambda x: regexp_matches(x, '^[{_MARKS}]'))"
+    return f"""
+WITH items AS (SELECT DISTINCT item_id, {_tokens_sql("text", False)} AS t, {_tokens_sql("text", True)} AS r FROM benchmark),
+long AS (SELECT *, least(len(t), 8) AS size FROM items WHERE len(t) >= 3),
+iw0 AS (SELECT item_id, size, i - 1 AS spot, t[i:i + size - 1] AS w, {slot.format("r[i:i + size - 1]")} AS slots FROM (SELECT *, unnest(range(1, len(t) - size + 2)) AS i FROM long)),
+iw AS (SELECT *, count(DISTINCT spot) OVER (PARTITION BY item_id) AS windows FROM iw0 WHERE 2 * len(slots) <= size),
+docs AS (SELECT row_number() OVER () AS k, * FROM (SELECT DISTINCT doc_id, {_tokens_sql("text", False)} AS t, {_tokens_sql("text", True)} AS r, text FROM documents)),
+dw AS (SELECT k, doc_id, size, i - 1 AS pos, t[i:i + size - 1] AS w, r[i:i + size - 1] AS v FROM (SELECT k, doc_id, t, r, size, unnest(range(1, len(t) - size + 2)) AS i FROM docs, (SELECT DISTINCT size FROM iw))),
+hits AS (SELECT k, doc_id, item_id, pos, spot, size, windows, slots, pos - spot AS shift, {slot.format("v")} AS own FROM dw JOIN iw USING (w, size)),
+pairs AS (SELECT DISTINCT k, item_id, shift, unnest(slots) AS a, unnest(own) AS b FROM hits WHERE len(slots) > 0),
+fine AS (SELECT k, item_id, shift, count(*) FILTER (WHERE a <> b) AS changed FROM pairs GROUP BY 1, 2, 3 HAVING count(*) = count(DISTINCT a) AND count(*) = count(DISTINCT b)),
+found AS (SELECT k, doc_id, item_id, spot, windows, 0 AS changed FROM hits WHERE len(slots) = 0 UNION ALL SELECT k, doc_id, item_id, spot, windows, changed FROM hits JOIN fine USING (k, item_id, shift) WHERE len(slots) > 0)
+SELECT doc_id, item_id, count(DISTINCT spot) AS n_windows, round(count(DISTINCT spot) / max(windows)::DOUBLE, 6) AS coverage, max(changed)::BIGINT AS n_changed
+FROM found GROUP BY k, doc_id, item_id HAVING count(DISTINCT spot) >= least(max(windows), 3) AND count(DISTINCT spot) >= 0.2 * max(windows)
+"""
+
+
 ORACLE_SQL = {
+    "op1_decontamination": _leaks_sql(),
     "op2_substring_dedup": """
 WITH docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
 words AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM docs),
