@@ -98,7 +98,7 @@ def test_big_block_paths():
 
 def test_cap_keeps_the_first_line():
     assert context.capped("ab cd ef gh\nx", 2, 4.0) == "ab cd"
-    assert context.capped("abc\nefg\nij", 2, 4.0) == "abc\nefg"
+    assert context.capped("abc\nefg\nij", 2.5, 4.0) == "abc\nefg\nij" and context.capped("abc\nefg\nij", 1.75, 4.0) == "abc\nefg"
 
 
 @pytest.mark.parametrize("tenant,principals,seen", [("t", ["g"], {1, 2}), ("t", [], {2}), ("", ["g"], set()), ("u", ["g"], set())])
