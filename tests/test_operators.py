@@ -110,7 +110,7 @@ def test_acl_is_closed_by_default(spark, tenant, principals, seen):
 
 
 def test_sheets_keep_every_value():
-    grid = [["Report"], ["in thousands"], [], ["Name", "Unit", "2020"], ["a", "kg", 1.0], ["b", "kg", 2.5], [], ["c", "kg", 3]]
+    grid = [["Report"], ["in thousands"], [], ["Name", "Unit", "2020"], ["a", "kg", 1.0], ["b", "kg", 2.5], [], ["c", 7, 3]]
     parts = tables.sheet_chunks(grid)
     text = "\n".join(p[1] for p in parts)
     assert all(tables.cell_text(v) in text for row in grid for v in row)
