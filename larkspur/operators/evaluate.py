@@ -61,3 +61,34 @@ def request_stats(log: DataFrame, last: int = 1000) -> DataFrame:
     held = F.sort_array(F.collect_list(F.when(F.col("rn") <= last, F.col("ms"))))
     out = recent.groupBy("route").agg(F.count("*").alias("n"), F.sum(F.col("is_error").cast("bigint")).alias("errors"), held.alias("v"))
     return out.select("route", "n", "errors", nearest_rank(F.col("v"), 50).alias("p50"), nearest_rank(F.col("v"), 95).alias("p95"), floor_rank(F.col("v"), 95).alias("p95_floor"), F.element_at("v", -1).alias("max_ms"))
+
+
+def strategy_comparison(rows: DataFrame) -> DataFrame:
+    """rows (strategy, is_text, verdict) -> per strategy and scope (all, text_only): localized n, excluded n and the shares of single, split and missing."""
+    scopes = F.array(F.lit("all"), F.when(F.col("is_text"), "text_only"))
+    scoped = rows.withColumn("scope", F.explode(F.filter(scopes, lambda s: s.isNotNull())))
+    base = F.col("verdict").isin("single", "split", "missing")
+    share = lambda v: F.round(100.0 * F.count_if(F.col("verdict") == v) / F.nullif(F.count_if(base), F.lit(0)), 1)
+    return scoped.groupBy("strategy", "scope").agg(F.count_if(base).alias("localized"), F.count_if(~base).alias("excluded"), *[share(v).alias(f"{v}_pct") for v in ("single", "split", "missing")])
+
+
+def chunk_of_element(chunks: DataFrame) -> DataFrame:
+    """doc_id, idx, chunk_id: of the chunks that hold an element the last."""
+    return chunks.select("doc_id", "chunk_no", "chunk_id", F.explode("source_indices").alias("idx")).groupBy("doc_id", "idx").agg(F.max_by("chunk_id", "chunk_no").alias("chunk_id"))
+
+
+def equivalence_gate(cosines: DataFrame, least: float = 0.999, mean: float = 0.9999) -> DataFrame:
+    """cosines (grp, cos) -> lowest and mean, and whether both meet their thresholds."""
+    out = cosines.groupBy("grp").agg(F.round(F.min("cos"), 6).alias("low"), F.round(F.avg("cos"), 6).alias("mean"))
+    return out.withColumn("passed", (F.col("low") >= least) & (F.col("mean") >= mean))
+
+
+def throughput(log: DataFrame) -> DataFrame:
+    """route, ts, is_error -> n, errors, requests per second between the first and the last."""
+    out = log.groupBy("route").agg(F.count("*").alias("n"), F.count_if("is_error").alias("errors"), (F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))).alias("us"))
+    return out.select("route", "n", "errors", F.round(F.col("n") * 1e6 / F.nullif(F.col("us"), F.lit(0)), 6).alias("per_second"))
+
+
+def upload_batches(rows: DataFrame) -> DataFrame:
+    """api_key, language -> the documents that go up together, in order."""
+    return rows.groupBy("api_key", "language").agg(F.array_sort(F.collect_list("doc_id")).alias("docs"))

@@ -114,3 +114,38 @@ def judge_batches(spark, sf):
 @query("SELECT source, count(*) AS n, count(DISTINCT lang) AS n_lang, round(median(n_chars), 2) AS median_chars, round(100.0 * count(*) FILTER (WHERE lang = 'en') / count(*), 1) AS pct_en FROM documents GROUP BY 1")
 def verdict_histogram(spark, sf):
     return table(spark, sf, "documents").groupBy("source").agg(F.count("*").alias("n"), F.count_distinct("lang").alias("n_lang"), F.round(F.median("n_chars"), 2).alias("median_chars"), F.round(100.0 * F.count_if(F.col("lang") == "en") / F.count("*"), 1).alias("pct_en"))
+
+
+VERDICTS_SQL = "v AS (SELECT source AS strategy, lang = 'en' AS is_text, CASE n_chars % 5 WHEN 0 THEN 'single' WHEN 1 THEN 'split' WHEN 2 THEN 'missing' WHEN 3 THEN 'out_of_range' ELSE 'single' END AS verdict FROM documents)"
+
+
+@query(f"WITH {VERDICTS_SQL}, s AS (SELECT *, 'all' AS scope FROM v UNION ALL SELECT *, 'text_only' FROM v WHERE is_text) SELECT strategy, scope, count(*) FILTER (WHERE verdict <> 'out_of_range') AS localized, count(*) FILTER (WHERE verdict = 'out_of_range') AS excluded, round(100.0 * count(*) FILTER (WHERE verdict = 'single') / nullif(count(*) FILTER (WHERE verdict <> 'out_of_range'), 0), 1) AS single_pct, round(100.0 * count(*) FILTER (WHERE verdict = 'split') / nullif(count(*) FILTER (WHERE verdict <> 'out_of_range'), 0), 1) AS split_pct, round(100.0 * count(*) FILTER (WHERE verdict = 'missing') / nullif(count(*) FILTER (WHERE verdict <> 'out_of_range'), 0), 1) AS missing_pct FROM s GROUP BY 1, 2")
+def strategy_comparison(spark, sf):
+    k = F.col("n_chars") % 5
+    verdict = F.when(k == 1, "split").when(k == 2, "missing").when(k == 3, "out_of_range").otherwise("single")
+    return E.strategy_comparison(table(spark, sf, "documents").select(F.col("source").alias("strategy"), (F.col("lang") == "en").alias("is_text"), verdict.alias("verdict")))
+
+
+@query("WITH c AS (SELECT l_orderkey AS doc_id, l_linenumber AS chunk_no, unnest([l_linenumber, l_linenumber + 1]) AS idx FROM lineitem) SELECT doc_id, idx::INT AS idx, max(chunk_no)::VARCHAR AS chunk_id FROM c GROUP BY 1, 2")
+def chunk_of_element(spark, sf):
+    n = F.col("l_linenumber")
+    return E.chunk_of_element(table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc_id"), n.alias("chunk_no"), n.cast("string").alias("chunk_id"), F.array(n, n + 1).alias("source_indices")))
+
+
+@query("WITH c AS (SELECT label AS grp, list_cosine_similarity(embedding::DOUBLE[], list_transform(embedding::DOUBLE[], lambda x: round(x, 2))) AS cos FROM embeddings) SELECT grp, round(min(cos), 6) AS low, round(avg(cos), 6) AS mean, round(min(cos), 6) >= 0.999 AND round(avg(cos), 6) >= 0.9999 AS passed FROM c GROUP BY 1")
+def equivalence_gate(spark, sf):
+    from larkspur.functions.vector import cosine
+
+    near = F.transform("embedding", lambda x: F.round(x.cast("double"), 2))
+    return E.equivalence_gate(table(spark, sf, "embeddings").select(F.col("label").alias("grp"), cosine(F.col("embedding"), near).alias("cos")))
+
+
+@query("SELECT event_type AS route, count(*) AS n, count(*) FILTER (WHERE event_id % 9 = 0) AS errors, round(count(*) * 1e6 / nullif(epoch_us(max(ts)) - epoch_us(min(ts)), 0), 6) AS per_second FROM events GROUP BY 1")
+def request_throughput(spark, sf):
+    return E.throughput(table(spark, sf, "events").select(F.col("event_type").alias("route"), "ts", (F.col("event_id") % 9 == 0).alias("is_error")))
+
+
+@query("SELECT 'k' || doc_id % 3 AS api_key, lang AS language, list_sort(list(doc_id)) AS docs FROM documents GROUP BY 1, 2")
+def upload_batches(spark, sf):
+    d = table(spark, sf, "documents").select(F.concat(F.lit("k"), F.col("doc_id") % 3).alias("api_key"), F.col("lang").alias("language"), "doc_id")
+    return E.upload_batches(d)
