@@ -17,7 +17,7 @@ import pyarrow as pa
 from larkspur.llm.common import SPACE, byte_view
 
 #: Chunks that a worker keeps; later ones are encoded anew in each slice. Frequent ones come first.
-CACHE_CHUNKS = 800_000
+CACHE_CHUNKS = 400_000
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
 _PUNCT = np.zeros(256, bool)

@@ -26,8 +26,8 @@ from pyspark.sql import types as T
 from larkspur.llm.common import binary, slices
 
 DIM = 1 << 20
-MAX_POSITIVE = 3000
-MAX_UNLABELLED = 9000
+MAX_POSITIVE = 2500
+MAX_UNLABELLED = 7500
 EPOCHS = 30
 #: A word is used if this share of the positives has it, and more often than the unlabelled by so many standard errors.
 SHARE, SURE = 0.03, 8.0
@@ -52,11 +52,12 @@ class Features:
 
     def __init__(self, counting: np.ndarray | None = None):
         self.counting = None if counting is None else set(counting.tolist())
-        self.slots: dict[bytes, list[tuple[int, ...]]] = {}
+        self.most = 250_000 if self.counting is not None else 30_000  # words that are held; mostly without slots, or with all
+        self.slots: dict = {}
 
     def __call__(self, text: bytes) -> np.ndarray:
         words = Counter(text.lower().split())
-        if len(self.slots) > 1_000_000:
+        if len(self.slots) > self.most:
             self.slots.clear()
         known: dict = self.slots
         counts: dict[tuple[int, ...], int] = {}
@@ -64,7 +65,8 @@ class Features:
             own = known.get(w)
             if own is None:
                 own = word_slots(w)
-                known[w] = own = own if self.counting is None else [x for x in own if not self.counting.isdisjoint(x)]
+                own = own if self.counting is None else [x for x in own if not self.counting.isdisjoint(x)]
+                known[w] = own = own or ()
             for x in own:
                 counts[x] = counts.get(x, 0) + n
         found = {slot for x, n in counts.items() for slot, level in zip(x, LEVELS) if n >= level}
@@ -90,8 +92,10 @@ class Model:
 
 def telling(positive: list[np.ndarray], unlabelled: list[np.ndarray], share: float = SHARE, sure: float = SURE) -> np.ndarray:
     """Slots that a share of the positives have, and more often than the unlabelled by `sure` standard errors; the rest stays at weight 0."""
-    own = np.bincount(np.concatenate(positive), minlength=DIM)
-    all_ = np.bincount(np.concatenate(unlabelled), minlength=DIM)
+    own, all_ = np.zeros(DIM), np.zeros(DIM)
+    for counts, docs in ((own, positive), (all_, unlabelled)):
+        for at in docs:  # a text's slots are distinct
+            counts[at] += 1
     a, u = own / len(positive), (all_ + 1) / (len(unlabelled) + 2)
     z = (a - u) / np.sqrt(u * (1 - u) * (1 / len(positive) + 1 / len(unlabelled)))
     return np.flatnonzero((own >= 3) & (a >= share) & (z >= sure))
@@ -99,7 +103,7 @@ def telling(positive: list[np.ndarray], unlabelled: list[np.ndarray], share: flo
 
 def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int = EPOCHS, batch: int = 512, rate: float = 0.05, decay: float = 1e-3, seed: int = 11) -> Model:
     """positive, unlabelled: each text's slots. Texts of equal slots count once."""
-    positive, unlabelled = (list({x.tobytes(): x for x in docs if len(x)}.values()) for docs in (positive, unlabelled))
+    positive, unlabelled = (list({xxhash.xxh3_128_digest(x.tobytes()): x for x in docs if len(x)}.values()) for docs in (positive, unlabelled))
     if not positive or not unlabelled:
         return Model(np.zeros(DIM, np.float32), -3.0)
     chosen = telling(positive, unlabelled)
@@ -107,7 +111,7 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
     place[chosen] = np.arange(len(chosen))
 
     def matrix(docs):
-        out = np.zeros((len(docs), len(chosen) + 1))
+        out = np.zeros((len(docs), len(chosen) + 1), np.float32)
         out[:, -1] = 1.0
         for row, at in zip(out, docs, strict=True):
             own = place[at]
@@ -175,8 +179,8 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = MAX_POSITIVE, other
 
     taken = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("kind", "text").mapInArrow(run, "kind int, slots binary")
     sets: tuple[list, list] = ([], [])
-    for kind, slots in sorted((r.kind, bytes(r.slots)) for r in taken.collect()):
-        sets[kind].append(np.frombuffer(slots, "<u4").astype(np.int64))
+    for kind, slots in sorted(tuple(r) for r in taken.collect()):
+        sets[kind].append(np.frombuffer(slots, "<u4"))
     # the unlabelled set holds the positives as well, as a draw from the whole
     return train(sets[1], sets[0] + sets[1][: int(len(sets[0]) * (share or 0.0))], float(min(max(share or 0.05, 0.005), 0.5)))
 

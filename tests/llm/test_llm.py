@@ -60,7 +60,7 @@ def test_chunked_encoding_is_the_library_s(name, style):
         assert [ids[e - n : e].tolist() for e, n in zip(ends, counts, strict=True)] == [encoder(name)(t) for t in texts]
         tokens.CACHE_CHUNKS = 0  # nothing further is held
         own = tokens.ChunkTokenizer(public_tokenizers.path(name), style)
-    tokens.CACHE_CHUNKS = 800_000
+    tokens.CACHE_CHUNKS = 400_000
 
 
 def test_op1_catches_asked_again_items_and_leaves_others(spark, none):
