@@ -4,8 +4,8 @@ Numbers, units after numbers, and names (capitalised words within a sentence; wo
 placeholders; the rest is lower-cased words. Windows of WINDOW template tokens are hashed and joined
 with the benchmark's. A window without placeholders is a hit as it is. One with placeholders counts if
 its slots are consistent: along one alignment of document and item, equal values in the item stand for
-equal values in the document and the other way round, so an item asked again with other numbers is
-caught while a chance mix of values is not.
+equal values in the document (different ones may coincide there), so an item asked again with other
+numbers is caught while a chance mix of values is not.
 """
 
 from __future__ import annotations
@@ -95,8 +95,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least: in
     seen = seen.withColumn("shift", F.col("pos") - F.col("at"))
     pairs = seen.select("__key", "item_id", "shift", F.explode(F.arrays_zip(F.col("slots").alias("a"), F.col("own").alias("b"))).alias("p")).select("__key", "item_id", "shift", F.col("p.a").alias("a"), F.col("p.b").alias("b")).distinct()
     group = ["__key", "item_id", "shift"]
-    clash = pairs.groupBy(*group).agg(F.count("*").alias("n"), F.count_distinct("a").alias("na"), F.count_distinct("b").alias("nb"), F.sum(F.expr("int(a <> b)")).alias("changed"))
-    consistent = clash.filter("n = na and n = nb").select(*group, "changed")
+    clash = pairs.groupBy(*group).agg(F.count("*").alias("n"), F.count_distinct("a").alias("na"), F.sum(F.expr("int(a <> b)")).alias("changed"))
+    consistent = clash.filter("n = na").select(*group, "changed")
     held = seen.join(consistent, group).select("__key", "doc_id", "item_id", "at", "windows", "changed")
     found = plain.unionByName(held).groupBy("__key", "doc_id", "item_id").agg(F.count_distinct("at").alias("n_windows"), F.max("windows").alias("windows"), F.max("changed").cast("long").alias("n_changed"))
     enough = (F.col("n_windows") >= F.least(F.col("windows"), F.lit(least))) & (F.col("n_windows") >= share * F.col("windows"))

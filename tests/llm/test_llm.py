@@ -88,6 +88,15 @@ def test_op1_slots_that_clash_are_no_leak(spark):
     assert 1 in got and got.get(2, 0) < got[1]
 
 
+def test_op1_changed_values_may_coincide(spark):
+    item = "a train leaves the station at 10 km per hour and after 3 hours it meets Anna who walks at 4 km per hour toward the same old town"
+    again = item.replace("10 km", "6 km").replace("3 hours", "6 hours").replace("4 km", "6 km")
+    short = "add 7 red balls and 3 blue balls and 2 old green balls"
+    bench = spark.createDataFrame([(1, item), (2, short)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, again), (2, short.replace("7", "4").replace("3", "4").replace("2", "4"))], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench).collect()} == {(1, 1), (2, 2)}
+
+
 def removed(texts, size):
     """Brute force: kept words of each text."""
     lists = [(t or "").encode().split() for t in texts]
