@@ -14,24 +14,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 8
-#: An item is leaked if this many of its windows are found (or all it has), and this share of them.
+#: An item is leaked if this many of its windows are found (or all it has), and this share of them or ENOUGH_WINDOWS.
 LEAST_WINDOWS = 3
 LEAST_SHARE = 0.2
+#: A run of 20 tokens, however long the item is.
+ENOUGH_WINDOWS = 13
 #: Benchmark windows up to which they are broadcast (some 100 bytes each); more are joined by shuffle.
 BROADCAST_ROWS = 200_000
 #: Marks that stand before a number, a name, a unit. Texts can't hold them, as they are removed first.
 NUMBER, NAME, UNIT = "\x01", "\x02", "\x03"
+#: Stands before a capitalised word that opens a sentence or text: a word, or a name where such a word opens a window.
+START = "\x04"
+MARKS = NUMBER + NAME + UNIT + START
 #: The units that are known: fixed values.
 UNITS = "%|km|cm|mm|m|kg|mg|g|lb|oz|ml|l|mph|ms|s|min|h|hours?|minutes?|seconds?|days?|weeks?|months?|years?|miles?|meters?|metres?|feet|inches|dollars?|euros?|cents?|usd|eur|percent|degrees?|liters?|litres?|pounds?|kilograms?|grams?|kilometers?|kilometres?"
 
 
 def marked(text: Column) -> Column:
     """Lower-cased text whose numbers, names and units carry their marks; all else is words and separators."""
-    s = F.translate(F.coalesce(text.cast("string"), F.lit("")), NUMBER + NAME + UNIT, "   ")
+    s = F.translate(F.coalesce(text.cast("string"), F.lit("")), MARKS, " " * len(MARKS))
     s = F.regexp_replace(s, r"([0-9])[.,:/](?=[0-9])", "$1d")
     s = F.regexp_replace(s, r"([\p{L}\p{N},;] )(?=\p{Lu}\p{Ll})", f"$1{NAME}")
     s = F.regexp_replace(s, r"(?<![\p{L}\p{N}])[0-9]+(?:d[0-9]+)*", f" {NUMBER}$0 ")
-    return F.lower(F.regexp_replace(s, rf"(?i)({NUMBER}\S+\s+)(?=(?:{UNITS})(?![\p{{L}}\p{{N}}]))", f"$1{UNIT}"))
+    s = F.regexp_replace(s, rf"(?i)({NUMBER}\S+\s+)(?=(?:{UNITS})(?![\p{{L}}\p{{N}}]))", f"$1{UNIT}")
+    return F.lower(F.regexp_replace(s, rf"(?<![\p{{L}}\p{{N}}{NAME}{UNIT}])(?=\p{{Lu}}\p{{Ll}})", START))
 
 
 def raw_tokens(text: Column) -> Column:
@@ -40,13 +46,22 @@ def raw_tokens(text: Column) -> Column:
 
 
 def template(text: Column) -> Column:
-    """Tokens with the marks alone in place of values; as many as raw_tokens."""
-    return _split(F.regexp_replace(marked(text), rf"([{NUMBER}{NAME}{UNIT}])(?:[\p{{L}}\p{{N}}]+|%)", "$1"))
+    """Tokens with the marks alone in place of values, and START before words; as many as raw_tokens."""
+    return _split(_masked(text))
+
+
+def _masked(text: Column) -> Column:
+    return F.regexp_replace(marked(text), rf"([{NUMBER}{NAME}{UNIT}])(?:[\p{{L}}\p{{N}}]+|%)", "$1")
+
+
+def _words(masked: Column) -> Column:
+    """The template's tokens with opening words as words."""
+    return _split(F.translate(masked, START, ""))
 
 
 def _split(s: Column) -> Column:
-    trimmed = F.regexp_replace(s, rf"^[^\p{{L}}\p{{N}}{NUMBER}{NAME}{UNIT}]+|[^\p{{L}}\p{{N}}{NUMBER}{NAME}{UNIT}]+$", "")
-    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, rf"[^\p{{L}}\p{{N}}{NUMBER}{NAME}{UNIT}]+"))
+    trimmed = F.regexp_replace(s, rf"^[^\p{{L}}\p{{N}}{MARKS}]+|[^\p{{L}}\p{{N}}{MARKS}]+$", "")
+    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, rf"[^\p{{L}}\p{{N}}{MARKS}]+"))
 
 
 def _is_slot(x: Column) -> Column:
@@ -59,22 +74,46 @@ def _hashes(tokens: Column, size: int) -> Column:
     return F.when(count > 0, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.xxhash64(F.slice(tokens, i, size)))).otherwise(F.array().cast("array<bigint>"))
 
 
+def _opens(x: Column) -> Column:
+    return F.substring(x, 1, 1) == START
+
+
+def _named(tokens: Column, values: bool) -> Column:
+    """A window whose opening word is read as a name."""
+    first = F.concat(F.lit(NAME), F.substring(F.element_at(tokens, 1), 2, 1 << 30)) if values else F.lit(NAME)
+    return F.concat(F.array(first), F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0))))
+
+
+def _openings(tokens: Column, words: Column, size: int) -> Column:
+    """pos and hash of each window that opens with a START word, read as a name."""
+    count = F.size(tokens) - size + 1
+    at = F.when(count > 0, F.filter(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: _opens(F.element_at(tokens, i)))).otherwise(F.array().cast("array<int>"))
+    return F.transform(at, lambda i: F.struct((i - 1).alias("pos"), F.xxhash64(F.concat(F.array(F.lit(NAME)), F.slice(words, i + 1, size - 1))).alias("hash")))
+
+
 def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """item_id, size, at, hash, slots (the raw values of its placeholders), windows (the item's number of usable ones). An item shorter than a window is one window if it has 3 tokens at least; windows of more placeholders than words are left out."""
-    items = benchmark.select("item_id", template(F.col("text")).alias("t"), raw_tokens(F.col("text")).alias("r")).dropDuplicates(["item_id", "r"]).filter(F.size("t") >= 3)
+    """item_id, size, at, named, hash, slots (the raw values of its placeholders), windows (the item's number of usable ones). An item shorter than a window is one window if it has 3 tokens at least; windows of more placeholders than words are left out.
+
+    A first window that opens with a START word is there twice, once with that word as a name.
+    """
+    items = benchmark.select("item_id", _masked(F.col("text")).alias("m"), raw_tokens(F.col("text")).alias("r")).dropDuplicates(["item_id", "r"])
+    items = items.select("item_id", _split(F.col("m")).alias("c"), _words(F.col("m")).alias("t"), "r").filter(F.size("t") >= 3)
     items = items.withColumn("size", F.least(F.size("t"), F.lit(window)))
-    rows = items.select("item_id", "size", "t", "r", F.posexplode(F.sequence(F.lit(1), F.size("t") - F.col("size") + 1)).alias("at", "i"))
-    rows = rows.select("item_id", "size", "at", F.slice("t", F.col("i"), F.col("size")).alias("w"), F.slice("r", F.col("i"), F.col("size")).alias("v"))
-    rows = rows.select("item_id", "size", "at", F.xxhash64("w").alias("hash"), F.filter("v", _is_slot).alias("slots")).filter(2 * F.size("slots") <= F.col("size"))
+    rows = items.select("item_id", "size", "c", "t", "r", F.posexplode(F.sequence(F.lit(1), F.size("t") - F.col("size") + 1)).alias("at", "i"))
+    cut = lambda c: F.slice(c, F.col("i"), F.col("size"))
+    rows = rows.select("item_id", "size", "at", cut("t").alias("w"), cut("r").alias("v"), F.explode(F.when((F.col("at") == 0) & _opens(F.element_at("c", 1)), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))).alias("named"))
+    read = lambda c, values: F.when(F.col("named"), _named(F.col(c), values)).otherwise(F.col(c))
+    rows = rows.select("item_id", "size", "at", "named", F.xxhash64(read("w", False)).alias("hash"), F.filter(read("v", True), _is_slot).alias("slots")).filter(2 * F.size("slots") <= F.col("size"))
     total = rows.groupBy("item_id").agg(F.count_distinct("at").alias("windows"))
     return rows.join(total, "item_id")
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least: int = LEAST_WINDOWS, share: float = LEAST_SHARE) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least: int = LEAST_WINDOWS, share: float = LEAST_SHARE, most: int = ENOUGH_WINDOWS) -> DataFrame:
     """docs (doc_id, text), benchmark (item_id, text) -> __key, doc_id, item_id, n_windows, coverage, n_changed (slots of another value).
 
-    A row per document and item that it leaks. Null texts and items hold nothing; equal rows count
-    once; a null doc_id is reported as null. No documents or no items give no rows.
+    A row per document and item that it leaks. Windows whose opening word is read as a name count only
+    where those without do not suffice. Null texts and items hold nothing; equal rows count once; a
+    null doc_id is reported as null. No documents or no items give no rows.
     """
     items = item_windows(benchmark, window).persist()
     facts = items.groupBy("size").count().collect()  # a row per window size, at most `window`
@@ -82,25 +121,34 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least: in
     sizes = sorted(r["size"] for r in facts)
     near = F.broadcast if small else (lambda df: df)
     rows = docs.select(F.xxhash64("doc_id", "text").alias("__key"), "doc_id", F.col("text"))
-    tokens = rows.select("__key", "doc_id", template(F.col("text")).alias("t"))
-    windows = tokens.select("__key", "doc_id", F.explode(F.array(*[F.struct(F.lit(s).alias("size"), _hashes(F.col("t"), s).alias("h")) for s in sizes] or [F.struct(F.lit(0).alias("size"), F.array().cast("array<bigint>").alias("h"))])).alias("x"))
-    windows = windows.select("__key", "doc_id", "x.size", F.posexplode("x.h").alias("pos", "hash"))
-    hits = windows.join(near(items), ["hash", "size"]).select("__key", "doc_id", "pos", "item_id", "at", "size", "slots", "windows")
-    plain = hits.filter(F.size("slots") == 0).select("__key", "doc_id", "item_id", "at", "windows", F.lit(0).alias("changed"))
+    tokens = rows.select("__key", "doc_id", _masked(F.col("text")).alias("m")).select("__key", "doc_id", _split(F.col("m")).alias("c"), _words(F.col("m")).alias("t"))
+    tokens = tokens.select("__key", "doc_id", "t", *[_openings(F.col("c"), F.col("t"), s).alias(f"o{s}") for s in sizes])
+    part = lambda size, opened, spots, h: F.struct(F.lit(size).alias("size"), F.lit(opened).alias("opened"), spots.cast("array<int>").alias("spots"), h.cast("array<bigint>").alias("h"))
+    read = [part(s, False, F.lit(None), _hashes(F.col("t"), s)) for s in sizes] + [part(s, True, F.col(f"o{s}.pos"), F.col(f"o{s}.hash")) for s in sizes]
+    windows = tokens.select("__key", "doc_id", F.explode(F.array(*read or [part(0, False, F.lit(None), F.array())])).alias("x"))
+    windows = windows.select("__key", "doc_id", "x.size", "x.opened", "x.spots", F.posexplode("x.h").alias("i", "hash"))
+    windows = windows.select("__key", "doc_id", "size", "opened", F.when(F.col("opened"), F.get("spots", F.col("i"))).otherwise(F.col("i")).alias("pos"), "hash")
+    hits = windows.join(near(items), ["hash", "size"]).select("__key", "doc_id", "pos", "opened", "item_id", "at", "size", "slots", "windows", (F.col("opened") | F.col("named")).alias("other"))
+    plain = hits.filter(F.size("slots") == 0).select("__key", "doc_id", "item_id", "at", "windows", "other", F.lit(0).alias("changed"))
     # second look at the few documents whose hits have slots: their values, along each alignment
     slotted = hits.filter(F.size("slots") > 0).distinct()
     wanted = slotted.select(F.col("__key").alias("k")).distinct()
     values = rows.join(wanted, F.col("__key") == F.col("k"), "left_semi").dropDuplicates(["__key"]).select("__key", raw_tokens(F.col("text")).alias("r"))
-    seen = slotted.join(values, "__key").withColumn("own", F.filter(F.slice("r", F.col("pos") + 1, F.col("size")), _is_slot)).drop("r")
-    seen = seen.withColumn("shift", F.col("pos") - F.col("at"))
-    pairs = seen.select("__key", "item_id", "shift", F.explode(F.arrays_zip(F.col("slots").alias("a"), F.col("own").alias("b"))).alias("p")).select("__key", "item_id", "shift", F.col("p.a").alias("a"), F.col("p.b").alias("b")).distinct()
+    seen = slotted.join(values, "__key").withColumn("v", F.slice("r", F.col("pos") + 1, F.col("size"))).drop("r")
+    seen = seen.withColumn("own", F.filter(F.when(F.col("opened"), _named(F.col("v"), True)).otherwise(F.col("v")), _is_slot)).withColumn("shift", F.col("pos") - F.col("at"))
     group = ["__key", "item_id", "shift"]
-    clash = pairs.groupBy(*group).agg(F.count("*").alias("n"), F.count_distinct("a").alias("na"), F.sum(F.expr("int(a <> b)")).alias("changed"))
-    consistent = clash.filter("n = na").select(*group, "changed")
-    held = seen.join(consistent, group).select("__key", "doc_id", "item_id", "at", "windows", "changed")
-    found = plain.unionByName(held).groupBy("__key", "doc_id", "item_id").agg(F.count_distinct("at").alias("n_windows"), F.max("windows").alias("windows"), F.max("changed").cast("long").alias("n_changed"))
-    enough = (F.col("n_windows") >= F.least(F.col("windows"), F.lit(least))) & (F.col("n_windows") >= share * F.col("windows"))
-    return found.filter(enough).select("__key", "doc_id", "item_id", "n_windows", F.round(F.col("n_windows") / F.col("windows"), 6).alias("coverage"), "n_changed")
+    pairs = seen.select(*group, "other", F.explode(F.arrays_zip(F.col("slots").alias("a"), F.col("own").alias("b"))).alias("p")).groupBy(*group, F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.min("other").alias("other"))
+    # a value of the item has one value in the document, with and without the other readings
+    values = pairs.groupBy(*group, "a").agg(F.count("*").alias("n"), F.count_if(~F.col("other")).alias("n0"), F.count_if(F.col("a") != F.col("b")).alias("c"), F.count_if((F.col("a") != F.col("b")) & ~F.col("other")).alias("c0"))
+    clash = values.groupBy(*group).agg(F.max("n").alias("n"), F.max("n0").alias("n0"), F.sum("c").alias("c"), F.sum("c0").alias("c0"))
+    fits = F.when(F.col("other"), F.col("n") == 1).otherwise(F.col("n0") <= 1)
+    held = seen.join(clash, group).filter(fits).select("__key", "doc_id", "item_id", "at", "windows", "other", F.when(F.col("other"), F.col("c")).otherwise(F.col("c0")).alias("changed"))
+    spots = plain.unionByName(held).groupBy("__key", "doc_id", "item_id", "at").agg(F.min("other").alias("other"), F.max("windows").alias("windows"), F.max("changed").alias("c"), F.max(F.when(~F.col("other"), F.col("changed"))).alias("c0"))
+    found = spots.groupBy("__key", "doc_id", "item_id").agg(F.count("*").alias("n"), F.count_if(~F.col("other")).alias("n0"), F.max("windows").alias("windows"), F.max("c").alias("c"), F.max("c0").alias("c0"))
+    enough = lambda n: (n > 0) & (n >= F.least(F.col("windows"), F.lit(least))) & (n >= F.least(share * F.col("windows"), F.lit(most)))
+    first = enough(F.col("n0"))
+    found = found.filter(first | enough(F.col("n"))).withColumn("n_windows", F.when(first, F.col("n0")).otherwise(F.col("n")))
+    return found.select("__key", "doc_id", "item_id", "n_windows", F.round(F.col("n_windows") / F.col("windows"), 6).alias("coverage"), F.when(first, F.col("c0")).otherwise(F.col("c")).cast("long").alias("n_changed"))
 
 
 def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

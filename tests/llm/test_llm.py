@@ -97,6 +97,15 @@ def test_op1_changed_values_may_coincide(spark):
     assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench).collect()} == {(1, 1), (2, 2)}
 
 
+def test_op1_first_words_and_long_items(spark):
+    item, story, long = "Carla gives 3 old coins to the shop", "Compute the sum of all odd primes below forty", words(400, 60, 5000)
+    bench = spark.createDataFrame([(1, item), (2, story), (3, long)], "item_id long, text string")
+    texts = [f"so it was and {item} again", "it is said that Berta gives 8 old coins to the shop", "It ended. Berta gives 8 old coins to the shop", f"please do this now, {story} or else", f"{words(9, 61)} {' '.join(long.split()[100:130])} {words(9, 62)}"]
+    texts += ["we saw 3 old coins to the shop", "they gives 3 old coins to the shop", f"{words(9, 63)} {' '.join(long.split()[100:115])} {words(9, 64)}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench).collect()} == {(0, 1), (1, 1), (2, 1), (3, 2), (4, 3)}
+
+
 def removed(texts, size):
     """Brute force: kept words of each text."""
     lists = [(t or "").encode().split() for t in texts]
