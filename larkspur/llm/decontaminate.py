@@ -45,6 +45,11 @@ def raw_tokens(text: Column) -> Column:
     return _split(F.regexp_replace(marked(text), rf"{UNIT}%", f"{UNIT}pct"))
 
 
+def exact_tokens(text: Column) -> Column:
+    """Tokens with their values and without marks; as many as raw_tokens."""
+    return _split(F.translate(F.regexp_replace(marked(text), rf"{UNIT}%", f"{UNIT}pct"), MARKS, ""))
+
+
 def template(text: Column) -> Column:
     """Tokens with the marks alone in place of values, and START before words; as many as raw_tokens."""
     return _split(_masked(text))
@@ -85,51 +90,54 @@ def _named(tokens: Column, values: bool) -> Column:
 
 
 def _openings(tokens: Column, words: Column, size: int) -> Column:
-    """pos and hash of each window that opens with a START word, read as a name."""
+    """As _hashes, of the windows that open with a START word, read as a name; null for others."""
     count = F.size(tokens) - size + 1
-    at = F.when(count > 0, F.filter(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: _opens(F.element_at(tokens, i)))).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.struct((i - 1).alias("pos"), F.xxhash64(F.concat(F.array(F.lit(NAME)), F.slice(words, i + 1, size - 1))).alias("hash")))
+    one = lambda i: F.when(_opens(F.element_at(tokens, i)), F.xxhash64(F.concat(F.array(F.lit(NAME)), F.slice(words, i + 1, size - 1))))
+    return F.when(count > 0, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), one)).otherwise(F.array().cast("array<bigint>"))
 
 
 def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """item_id, size, at, named, hash, slots (the raw values of its placeholders), windows (the item's number of usable ones). An item shorter than a window is one window if it has 3 tokens at least; windows of more placeholders than words are left out.
+    """item_id, size, at, named, exact, hash, slots (the raw values of its placeholders), windows (the item's number of those with a template), total (of all). An item shorter than a window is one window.
 
-    A first window that opens with a START word is there twice, once with that word as a name.
+    A first window that opens with a START word is there twice, once with that word as a name. Windows
+    of more placeholders than words, and items of under 3 tokens, are exact: the hash is that of their values.
     """
-    items = benchmark.select("item_id", _masked(F.col("text")).alias("m"), raw_tokens(F.col("text")).alias("r")).dropDuplicates(["item_id", "r"])
-    items = items.select("item_id", _split(F.col("m")).alias("c"), _words(F.col("m")).alias("t"), "r").filter(F.size("t") >= 3)
+    items = benchmark.select("item_id", _masked(F.col("text")).alias("m"), raw_tokens(F.col("text")).alias("r"), exact_tokens(F.col("text")).alias("e")).dropDuplicates(["item_id", "r"])
+    items = items.select("item_id", _split(F.col("m")).alias("c"), _words(F.col("m")).alias("t"), "r", "e").filter(F.size("t") > 0)
     items = items.withColumn("size", F.least(F.size("t"), F.lit(window)))
-    rows = items.select("item_id", "size", "c", "t", "r", F.posexplode(F.sequence(F.lit(1), F.size("t") - F.col("size") + 1)).alias("at", "i"))
+    rows = items.select("item_id", "size", "c", "t", "r", "e", F.posexplode(F.sequence(F.lit(1), F.size("t") - F.col("size") + 1)).alias("at", "i"))
     cut = lambda c: F.slice(c, F.col("i"), F.col("size"))
-    rows = rows.select("item_id", "size", "at", cut("t").alias("w"), cut("r").alias("v"), F.explode(F.when((F.col("at") == 0) & _opens(F.element_at("c", 1)), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))).alias("named"))
+    rows = rows.select("item_id", "size", "at", cut("t").alias("w"), cut("r").alias("v"), cut("e").alias("e"), F.explode(F.when((F.col("at") == 0) & _opens(F.element_at("c", 1)), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))).alias("named"))
     read = lambda c, values: F.when(F.col("named"), _named(F.col(c), values)).otherwise(F.col(c))
-    rows = rows.select("item_id", "size", "at", "named", F.xxhash64(read("w", False)).alias("hash"), F.filter(read("v", True), _is_slot).alias("slots")).filter(2 * F.size("slots") <= F.col("size"))
-    total = rows.groupBy("item_id").agg(F.count_distinct("at").alias("windows"))
+    rows = rows.select("item_id", "size", "at", "named", F.xxhash64(read("w", False)).alias("hash"), F.xxhash64("e").alias("value"), F.filter(read("v", True), _is_slot).alias("slots"))
+    rows = rows.withColumn("exact", (2 * F.size("slots") > F.col("size")) | (F.col("size") < 3))
+    rows = rows.select("item_id", "size", "at", "named", "exact", F.when(F.col("exact"), F.col("value")).otherwise(F.col("hash")).alias("hash"), F.when(F.col("exact"), F.array().cast("array<string>")).otherwise(F.col("slots")).alias("slots"))
+    total = rows.groupBy("item_id").agg(F.count_distinct(F.when(~F.col("exact"), F.col("at"))).alias("windows"), F.count_distinct("at").alias("total"))
     return rows.join(total, "item_id")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least: int = LEAST_WINDOWS, share: float = LEAST_SHARE, most: int = ENOUGH_WINDOWS) -> DataFrame:
     """docs (doc_id, text), benchmark (item_id, text) -> __key, doc_id, item_id, n_windows, coverage, n_changed (slots of another value).
 
-    A row per document and item that it leaks. Windows whose opening word is read as a name count only
-    where those without do not suffice. Null texts and items hold nothing; equal rows count once; a
+    A row per document and item that it leaks. Windows whose opening word is read as a name, and exact
+    ones, count only where the others do not suffice; an item of under 3 tokens must be the whole text. Null texts and items hold nothing; equal rows count once; a
     null doc_id is reported as null. No documents or no items give no rows.
     """
     items = item_windows(benchmark, window).persist()
-    facts = items.groupBy("size").count().collect()  # a row per window size, at most `window`
+    facts = items.groupBy("size", "exact").count().collect()  # two rows per window size, at most
     small = sum(r["count"] for r in facts) <= BROADCAST_ROWS
-    sizes = sorted(r["size"] for r in facts)
+    sizes, exact = (sorted(r["size"] for r in facts if r["exact"] == x) for x in (False, True))
     near = F.broadcast if small else (lambda df: df)
     rows = docs.select(F.xxhash64("doc_id", "text").alias("__key"), "doc_id", F.col("text"))
-    tokens = rows.select("__key", "doc_id", _masked(F.col("text")).alias("m")).select("__key", "doc_id", _split(F.col("m")).alias("c"), _words(F.col("m")).alias("t"))
-    tokens = tokens.select("__key", "doc_id", "t", *[_openings(F.col("c"), F.col("t"), s).alias(f"o{s}") for s in sizes])
-    part = lambda size, opened, spots, h: F.struct(F.lit(size).alias("size"), F.lit(opened).alias("opened"), spots.cast("array<int>").alias("spots"), h.cast("array<bigint>").alias("h"))
-    read = [part(s, False, F.lit(None), _hashes(F.col("t"), s)) for s in sizes] + [part(s, True, F.col(f"o{s}.pos"), F.col(f"o{s}.hash")) for s in sizes]
-    windows = tokens.select("__key", "doc_id", F.explode(F.array(*read or [part(0, False, F.lit(None), F.array())])).alias("x"))
-    windows = windows.select("__key", "doc_id", "x.size", "x.opened", "x.spots", F.posexplode("x.h").alias("i", "hash"))
-    windows = windows.select("__key", "doc_id", "size", "opened", F.when(F.col("opened"), F.get("spots", F.col("i"))).otherwise(F.col("i")).alias("pos"), "hash")
-    hits = windows.join(near(items), ["hash", "size"]).select("__key", "doc_id", "pos", "opened", "item_id", "at", "size", "slots", "windows", (F.col("opened") | F.col("named")).alias("other"))
-    plain = hits.filter(F.size("slots") == 0).select("__key", "doc_id", "item_id", "at", "windows", "other", F.lit(0).alias("changed"))
+    tokens = rows.select("__key", "doc_id", _masked(F.col("text")).alias("m"), (exact_tokens(F.col("text")) if exact else F.lit(None)).cast("array<string>").alias("e")).select("__key", "doc_id", "e", _split(F.col("m")).alias("c"), _words(F.col("m")).alias("t"))
+    read = [(s, False, False, _hashes(F.col("t"), s)) for s in sizes] + [(s, False, True, _openings(F.col("c"), F.col("t"), s)) for s in sizes]
+    read += [(s, True, False, _hashes(F.col("e"), s) if s >= 3 else F.when(F.size("e") == s, _hashes(F.col("e"), s))) for s in exact]
+    read = read or [(0, False, False, F.array().cast("array<bigint>"))]
+    kind = lambda n: F.get(F.array(*[F.lit(x[n]) for x in read]), F.col("k"))
+    windows = tokens.select("__key", "doc_id", F.posexplode(F.array(*[x[3] for x in read])).alias("k", "h")).select("__key", "doc_id", "k", F.posexplode("h").alias("pos", "hash")).filter("hash is not null")
+    windows = windows.select("__key", "doc_id", kind(0).alias("size"), kind(1).alias("exact"), kind(2).alias("opened"), "pos", "hash")
+    hits = windows.join(near(items), ["hash", "size", "exact"]).select("__key", "doc_id", "pos", "opened", "item_id", "at", "size", "slots", "windows", "total", (F.col("opened") | F.col("named") | F.col("exact")).alias("other"))
+    plain = hits.filter(F.size("slots") == 0).select("__key", "doc_id", "item_id", "at", "windows", "total", "other", F.lit(0).alias("changed"))
     # second look at the few documents whose hits have slots: their values, along each alignment
     slotted = hits.filter(F.size("slots") > 0).distinct()
     wanted = slotted.select(F.col("__key").alias("k")).distinct()
@@ -142,13 +150,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least: in
     values = pairs.groupBy(*group, "a").agg(F.count("*").alias("n"), F.count_if(~F.col("other")).alias("n0"), F.count_if(F.col("a") != F.col("b")).alias("c"), F.count_if((F.col("a") != F.col("b")) & ~F.col("other")).alias("c0"))
     clash = values.groupBy(*group).agg(F.max("n").alias("n"), F.max("n0").alias("n0"), F.sum("c").alias("c"), F.sum("c0").alias("c0"))
     fits = F.when(F.col("other"), F.col("n") == 1).otherwise(F.col("n0") <= 1)
-    held = seen.join(clash, group).filter(fits).select("__key", "doc_id", "item_id", "at", "windows", "other", F.when(F.col("other"), F.col("c")).otherwise(F.col("c0")).alias("changed"))
-    spots = plain.unionByName(held).groupBy("__key", "doc_id", "item_id", "at").agg(F.min("other").alias("other"), F.max("windows").alias("windows"), F.max("changed").alias("c"), F.max(F.when(~F.col("other"), F.col("changed"))).alias("c0"))
-    found = spots.groupBy("__key", "doc_id", "item_id").agg(F.count("*").alias("n"), F.count_if(~F.col("other")).alias("n0"), F.max("windows").alias("windows"), F.max("c").alias("c"), F.max("c0").alias("c0"))
-    enough = lambda n: (n > 0) & (n >= F.least(F.col("windows"), F.lit(least))) & (n >= F.least(share * F.col("windows"), F.lit(most)))
-    first = enough(F.col("n0"))
-    found = found.filter(first | enough(F.col("n"))).withColumn("n_windows", F.when(first, F.col("n0")).otherwise(F.col("n")))
-    return found.select("__key", "doc_id", "item_id", "n_windows", F.round(F.col("n_windows") / F.col("windows"), 6).alias("coverage"), F.when(first, F.col("c0")).otherwise(F.col("c")).cast("long").alias("n_changed"))
+    held = seen.join(clash, group).filter(fits).select("__key", "doc_id", "item_id", "at", "windows", "total", "other", F.when(F.col("other"), F.col("c")).otherwise(F.col("c0")).alias("changed"))
+    spots = plain.unionByName(held).groupBy("__key", "doc_id", "item_id", "at").agg(F.min("other").alias("other"), F.max("windows").alias("windows"), F.max("total").alias("total"), F.max("changed").alias("c"), F.max(F.when(~F.col("other"), F.col("changed"))).alias("c0"))
+    found = spots.groupBy("__key", "doc_id", "item_id").agg(F.count("*").alias("n"), F.count_if(~F.col("other")).alias("n0"), F.max("windows").alias("windows"), F.max("total").alias("total"), F.max("c").alias("c"), F.max("c0").alias("c0"))
+    enough = lambda n, of: (n > 0) & (n >= F.least(of, F.lit(least))) & (n >= F.least(share * of, F.lit(most)))
+    first = enough(F.col("n0"), F.col("windows"))
+    either = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
+    found = found.filter(first | enough(F.col("n"), F.col("total")))
+    return found.select("__key", "doc_id", "item_id", either("n0", "n").alias("n_windows"), F.round(either("n0", "n") / either("windows", "total"), 6).alias("coverage"), either("c0", "c").cast("long").alias("n_changed"))
 
 
 def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -106,6 +106,14 @@ def test_op1_first_words_and_long_items(spark):
     assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench).collect()} == {(0, 1), (1, 1), (2, 1), (3, 2), (4, 3)}
 
 
+def test_op1_items_of_numbers_and_short_ones(spark):
+    item, table = "Compute 12 + 7 - 3 + 5 - 2 + 9", " ".join(map(str, range(100, 160)))
+    bench = spark.createDataFrame([(1, item), (2, table), (3, "12 + 7"), (4, "Carla 3 coins 4 keys")], "item_id long, text string")
+    texts = [f"please {item} today", f"It reads: {table}.", "12 + 7", "so Carla 3 coins 4 keys", "Compute 12 + 7 - 3 + 5 - 2 + 8", "say 12 + 7", " ".join(map(str, range(200, 260))), ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench).collect()} == {(0, 1), (1, 2), (2, 3), (3, 4)}
+
+
 def removed(texts, size):
     """Brute force: kept words of each text."""
     lists = [(t or "").encode().split() for t in texts]
