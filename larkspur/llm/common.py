@@ -1,12 +1,14 @@
-"""What the operators share: the shared folder, staged tables, byte views of Arrow text columns."""
+"""What the operators share: the shared folder, staged tables, free names, byte views of Arrow text columns."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,17 +17,22 @@ SLICE_BYTES = 8 << 20
 #: The ASCII white space [\x20\x09-\x0D].
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+_LOCAL: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A folder that driver and executors share: spark.checkpoint.dir, or an own one where that is unset (tests)."""
+    """A folder that driver and executors share: spark.checkpoint.dir; where that is unset the warehouse on a cluster, a temporary folder on one machine (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = held.get() if held.isDefined() else None
+    if not root and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        root = spark.conf.get("spark.sql.warehouse.dir")
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="larkspur-")
-        spark.sparkContext.setCheckpointDir(root)
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL:
+            _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="larkspur-")
+        root = _LOCAL[app]
     return root.rstrip("/")
 
 
@@ -33,11 +40,91 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/larkspur-{uuid.uuid4().hex}/{name}"
 
 
+class Scratch:
+    """Tables that a step writes to the shared folder and reads again: that cuts the lineage and survives lost executors.
+
+    A step drops what its result doesn't read. What a lazy result reads stays until sweep() is called,
+    after the result was used.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: list[str] = []
+
+    def path(self, name: str) -> str:
+        self.paths.append(fresh_path(self.spark, name))
+        return self.paths[-1]
+
+    def stage(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        """df, written (in folders by that column) and read again."""
+        path = self.path(name)
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out._staged = path
+        return out
+
+    def adopt(self, other: Scratch) -> None:
+        self.paths += other.paths
+
+    def drop(self, *keep: DataFrame | str) -> None:
+        """Deletes all tables but those."""
+        stay = [k if isinstance(k, str) else k._staged for k in keep]
+        for path in self.paths:
+            if path not in stay:
+                dropped(self.spark, path)
+        self.paths = stay
+        _KEPT.setdefault(self.spark.sparkContext.applicationId, []).extend(stay)
+
+
+_KEPT: dict[str, list[str]] = {}
+
+
+def sweep(spark: SparkSession) -> None:
+    """Deletes what results of this application still read. Call it when they were used."""
+    for path in _KEPT.pop(spark.sparkContext.applicationId, []):
+        dropped(spark, path)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read again: cuts the lineage and survives lost executors."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df, written to the shared folder and read again, until sweep()."""
+    scratch = Scratch(df.sparkSession)
+    out = scratch.stage(df, name)
+    scratch.drop(out)
+    return out
+
+
+def column(name: str):
+    """The column of exactly this name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Column names like those that df has not."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        own = f"_{n}"
+        while own.lower() in taken:
+            own += "_"
+        taken.add(own.lower())
+        out.append(own)
+    return out
+
+
+def file_system(uri: str):
+    """(file system, path) of a folder as pyarrow opens it in a task: file, hdfs, viewfs, s3 (also written s3a), gs, abfs and abfss. Others raise."""
+    return pafs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", uri))
+
+
+def written(uri: str, data: bytes) -> None:
+    """A file at uri, whole or not at all: written under a temporary name, then renamed."""
+    fs, path = file_system(uri)
+    folder, _, name = path.rpartition("/")
+    fs.create_dir(folder, recursive=True)
+    temp = f"{folder}/.tmp-{name}-{uuid.uuid4().hex}"
+    with fs.open_output_stream(temp, compression=None) as out:
+        out.write(data)
+    fs.move(temp, path)
 
 
 def dropped(spark: SparkSession, path: str) -> None:

@@ -1,28 +1,36 @@
 """SimHash near-duplicates: fingerprints of shingles, links by tiled exact comparison, components.
 
-Two fingerprints within the radius agree in one of radius + 1 blocks of bits, so the distinct
-fingerprints are compared within the groups that share a block's value. A group over TILE
-fingerprints is cut in tiles by hash, and each pair of tiles is a task row group of its own; within a
-pair, runs of equal population count are compared by exclusive-or and bit count, and runs whose
-counts differ beyond the radius are skipped. A pair of tiles gives a spanning forest of its links,
-never all of them; components follow from alternating star contractions.
+Fingerprints within the radius r agree in b - r of b blocks of bits, so distinct fingerprints are
+compared within groups that share such blocks. b grows with their number, so a chance group stays
+small. A group is sorted by population count and cut in tiles; a pair of tiles is compared by
+exclusive-or and bit count, and skipped if the counts differ beyond the radius. All links come from
+tiles. A group over SLAB fingerprints is first cut in slabs, ranges of the population count, and each
+pair of slabs whose ranges lie within the radius is a unit of its own. A unit gives a spanning forest
+of its links, never all of them; components follow from alternating star contractions.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from larkspur.llm.common import binary, staged
+from larkspur.llm.common import Scratch, column, free_names, slices
 
 RADIUS = 3
-#: Fingerprints of a tile: two tiles' comparison stays within some tens of MB.
-TILE = 2048
-#: Groups up to this size are compared all at once, by shifting the sorted array.
-SMALL = 48
+#: Fingerprints of a tile, and pairs of tiles that are compared at once.
+TILE, AT_ONCE = 64, 256
+#: Fingerprints of a slab: bounds what a task holds to some MB, and a unit's comparisons.
+SLAB = 1 << 14
+#: Fingerprints that share their blocks by chance, at most, on average.
+GROUP = 256
+#: Rows that go, up to which their numbers are broadcast (8 bytes each); more are joined by shuffle.
+BROADCAST_ROWS = 2_000_000
 
 
 def fingerprint(text: bytes, width: int = 3) -> int:
@@ -51,194 +59,208 @@ def fingerprints(docs: DataFrame, column: str = "fp") -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            text = binary(batch.column(batch.schema.get_field_index("text")))
-            fps = np.array([fingerprint(t) for t in text.to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps)], [*batch.schema.names, column])
-
-    from pyspark.sql import types as T
+            for rows, texts in slices(batch):
+                fps = np.array([fingerprint(t) for t in texts.to_pylist()], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(fps)], [*rows.schema.names, column])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(column, T.LongType())]))
 
 
-def forest(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest, as stars, of the links left-right."""
-    nodes, at = np.unique(np.concatenate([left, right]), return_inverse=True)
-    a, b = at[: len(left)], at[len(left) :]
-    label = np.arange(len(nodes))
+def masks(count: int, radius: int) -> list[int]:
+    """Bit masks of the blocks that are compared for equality: fingerprints within the radius agree under one of them."""
+    blocks = radius + 1
+    while blocks < 16 and count >> (64 * (blocks - radius) // blocks) > GROUP:
+        blocks += 1
+    edges = [64 * n // blocks for n in range(blocks + 1)]
+    each = [(1 << b) - (1 << a) for a, b in zip(edges, edges[1:])]
+    return [sum(chosen) for chosen in combinations(each, blocks - radius)]
+
+
+class Tiles:
+    """Links among the fingerprints of units; counts the pairs of tiles that it compares and skips."""
+
+    def __init__(self, radius: int = RADIUS, tile: int = TILE):
+        self.radius, self.tile = radius, tile
+        self.compared = self.skipped = 0
+
+    def links(self, unit: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """unit (rising numbers) and fp, sorted by unit and population count -> a forest of the links, as stars (a, b)."""
+        n, t = len(fp), self.tile
+        # units stand further apart than any population counts
+        key = unit.astype(np.int64) * 128 + np.bitwise_count(fp)
+        lows, highs = key[::t], key[np.minimum(np.arange(t - 1, n + t - 1, t), n - 1)]
+        until = np.searchsorted(lows, highs + self.radius, side="right")
+        first = np.arange(len(lows))
+        self.skipped += int((len(lows) - until).sum())
+        room = len(lows) * t - n
+        fp, key = np.append(fp, np.zeros(room, np.uint64)).reshape(-1, t), np.append(key, np.full(room, -(1 << 62))).reshape(-1, t)
+        label = np.arange(fp.size)
+        above = np.triu(np.ones((t, t), bool), 1)
+        for away in range(int((until - first).max(initial=0))):
+            a = first[first + away < until]
+            for at in range(0, len(a), AT_ONCE):
+                x = a[at : at + AT_ONCE]
+                both = np.concatenate([label.reshape(-1, t)[x], label.reshape(-1, t)[x + away]], axis=1)
+                x = x[(both != both[:, :1]).any(axis=1)]  # tiles of one component hold no further link
+                self.compared += len(x)
+                near = np.bitwise_count(fp[x][:, :, None] ^ fp[x + away][:, None, :]) <= self.radius
+                near &= key[x][:, :, None] >> 7 == key[x + away][:, None, :] >> 7
+                if not away:
+                    near &= above
+                k, i, j = np.nonzero(near)
+                join(label, x[k] * t + i, (x[k] + away) * t + j)
+        flat, tied = fp.reshape(-1)[:n], np.flatnonzero(label[:n] != np.arange(n))
+        return flat[tied].view(np.int64), flat[label[tied]].view(np.int64)
+
+
+def join(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Joins i and j in label, where each number has its component's smallest one."""
     while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, label[a], low)
-        np.minimum.at(new, label[b], low)
-        new = new[new]
-        while not np.array_equal(new, new[new]):
-            new = new[new]
-        if np.array_equal(new, label):
-            break
-        label = new
-    away = label != np.arange(len(nodes))
-    return nodes[away], nodes[label[away]]
-
-
-def _close(x: np.ndarray, y: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the pairs within the radius; x and y are sorted by population count."""
-    px, py = np.bitwise_count(x).astype(np.int64), np.bitwise_count(y).astype(np.int64)
-    found = []
-    for at in range(0, len(x), 256):
-        rows = slice(at, min(at + 256, len(x)))
-        lo = np.searchsorted(py, px[rows][0] - radius)
-        hi = np.searchsorted(py, px[rows][-1] + radius, side="right")
-        if lo < hi:
-            i, j = np.nonzero(np.bitwise_count(x[rows, None] ^ y[None, lo:hi]) <= radius)
-            if len(i):
-                # at most a star or two for each row: chains of neighbours keep the rows linked
-                found.append((i + at, j + lo))
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
-
-
-def tile_links(x: np.ndarray, y: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """The forest of links within tile x, or between tiles x and y."""
-    x = x[np.argsort(np.bitwise_count(x), kind="stable")]
-    y = x if y is None else y[np.argsort(np.bitwise_count(y), kind="stable")]
-    parts = []
-    for at in range(0, len(x), 256):  # a strip's links are thinned before the next
-        i, j = _close(x[at : at + 256], y, radius)
-        a, b = x[at + i], y[j]
-        keep = a != b
-        if keep.any():
-            parts.append(forest(a[keep].view(np.int64), b[keep].view(np.int64)))
-    if not parts:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return forest(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
-
-
-def _small_links(group: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links within many small groups, which stand together in the arrays."""
-    a, b = [], []
-    size = len(fp)
-    for shift in range(1, SMALL):
-        if shift >= size:
-            break
-        same = group[shift:] == group[:-shift]
-        if not same.any():
-            break
-        near = np.flatnonzero(same & (np.bitwise_count(fp[shift:] ^ fp[:-shift]) <= radius))
-        a.append(fp[near + shift])
-        b.append(fp[near])
-    if not a or not sum(map(len, a)):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return forest(np.concatenate(a).view(np.int64), np.concatenate(b).view(np.int64))
-
-
-def links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+        new = label[i] != label[j]
+        i, j = i[new], j[new]
+        if not len(i):
+            return
+        low, high = np.minimum(label[i], label[j]), np.maximum(label[i], label[j])
+        np.minimum.at(label, high, low)
+        while not np.array_equal(label, label[label]):
+            label[:] = label[label]
+
+
+def units(fps: DataFrame, count: int, scratch: Scratch, radius: int = RADIUS, slab: int = SLAB) -> DataFrame:
+    """Distinct fingerprints (fp) -> mask, value, i, j, ones, fp: a row for each unit that a fingerprint is compared in."""
+    ones = F.bit_count("fp").cast("int").alias("ones")
+    keyed = fps.select("fp", ones, F.explode(F.array(*[F.struct(F.lit(n).alias("mask"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m).cast("long")).alias("value")) for n, m in enumerate(masks(count, radius))])).alias("k")).select("fp", "ones", "k.*")
+    group = ["mask", "value"]
+    hot = scratch.stage(keyed.groupBy(*group).count().filter(F.col("count") > slab).select(*group), "hot")
+    whole = keyed.select(*group, F.lit(0).alias("i"), F.lit(0).alias("j"), "ones", "fp")
+    if hot.isEmpty():
+        return whole
+    # slabs of the hot groups: a population count over a slab is parted by hash
+    counts = keyed.join(hot, group, "left_semi").groupBy(*group, "ones").count()
+    before = F.sum("count").over(Window.partitionBy(*group).orderBy("ones")) - F.col("count")
+    parts = scratch.stage(counts.select(*group, "ones", F.floor(before / slab).cast("int").alias("base"), F.ceil(F.col("count") / slab).cast("int").alias("parts")), "parts")
+    spans = parts.select(*group, "ones", F.explode(F.sequence("base", F.col("base") + F.col("parts") - 1)).alias("own")).groupBy(*group, "own").agg(F.min("ones").alias("lo"), F.max("ones").alias("hi"))
+    lists = spans.groupBy(*group).agg(F.collect_list(F.struct("own", "lo", "hi")).alias("all"))  # a group's slabs, not its rows
+    near = F.filter("all", lambda s: (s["lo"] <= F.col("hi") + radius) & (s["hi"] + radius >= F.col("lo")) & (s["own"] != F.col("own")))
+    others = F.when(F.size("near") > 0, F.transform("near", lambda s: s["own"])).otherwise(F.array("own"))
+    partners = scratch.stage(spans.join(lists, group).withColumn("near", near).select(*group, "own", others.alias("others")), "partners")
+    placed = keyed.join(parts, [*group, "ones"]).withColumn("own", F.col("base") + F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+    paired = placed.join(partners, [*group, "own"]).withColumn("other", F.explode("others"))
+    paired = paired.select(*group, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "ones", "fp")
+    return whole.join(hot, group, "left_anti").unionByName(paired)
+
+
+def links(fps: DataFrame, count: int, scratch: Scratch, radius: int = RADIUS, tile: int = TILE, slab: int = SLAB) -> DataFrame:
     """Distinct fingerprints (fp) -> links (a, b) that join all pairs within the radius, thinned to forests."""
-    blocks = radius + 1
-    width = 64 // blocks
-    keyed = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(n).alias("block"), F.shiftrightunsigned("fp", n * width).bitwiseAND((1 << (width if n < blocks - 1 else 64 - n * width)) - 1).alias("value")) for n in range(blocks)])).alias("k")).select("fp", "k.block", "k.value")
-    sizes = keyed.groupBy("block", "value").count().filter(F.col("count") > tile)
-    cut = F.coalesce(F.ceil(F.col("count") / tile), F.lit(1)).cast("int")
-    tiled = keyed.join(sizes, ["block", "value"], "left").withColumn("tiles", cut).withColumn("t", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
-    pairs = tiled.select("fp", "block", "value", "t", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("u"))
-    pairs = pairs.select("fp", "block", "value", F.least("t", "u").alias("i"), F.greatest("t", "u").alias("j"), F.col("t").alias("own"))
-    n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = ["mask", "value", "i", "j"]
 
     def run(batches):
+        tiles = Tiles(radius, tile)
         held: list[pa.RecordBatch] = []
-        rest = None
-
-        def compare(table: pa.Table):
-            fp = table.column("fp").to_numpy().view(np.uint64)
-            cols = [table.column(c).to_numpy() for c in ("block", "value", "i", "j")]
-            own = table.column("own").to_numpy()
-            new = np.ones(len(fp), bool)
-            new[1:] = np.any([c[1:] != c[:-1] for c in cols], axis=0)
-            starts = np.append(np.flatnonzero(new), len(fp))
-            sizes = np.diff(starts)
-            group = np.cumsum(new)
-            out = []
-            small = np.repeat(sizes <= SMALL, sizes)
-            if small.any():
-                out.append(_small_links(group[small], fp[small], radius))
-            for s, e in zip(starts[:-1][sizes > SMALL].tolist(), starts[1:][sizes > SMALL].tolist()):
-                i, j = int(cols[2][s]), int(cols[3][s])
-                part, side = fp[s:e], own[s:e]
-                out.append(tile_links(part, None, radius) if i == j else tile_links(part[side == i], part[side == j], radius))
-            a, b = (np.concatenate([o[k] for o in out]) for k in (0, 1))
-            return forest(a, b) if len(a) else (a, b)
+
+        def compared(table: pa.Table):
+            keys = [table.column(c).to_numpy() for c in names]
+            new = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+            unit = np.concatenate([[0], np.cumsum(new)])
+            a, b = tiles.links(unit, table.column("fp").to_numpy().view(np.uint64))
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        def last(batch):
+            return [batch.column(c)[batch.num_rows - 1].as_py() for c in names]
 
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            table = pa.concat_tables([rest, table]).combine_chunks() if rest is not None else table
-            keys = [table.column(c).to_numpy() for c in ("block", "value", "i", "j")]
-            other = np.flatnonzero(np.any([k != k[-1] for k in keys], axis=0)) if table.num_rows else []
-            cut_at = int(other[-1]) + 1 if len(other) else 0
-            rest = table.slice(cut_at)
-            if cut_at:
-                a, b = compare(table.slice(0, cut_at))
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-        if rest is not None and rest.num_rows:
-            a, b = compare(rest)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-        del held
-
-    order = ["block", "value", "i", "j"]
-    return pairs.repartition(n, *order).sortWithinPartitions(*order).mapInArrow(run, "a long, b long").distinct()
-
-
-def components(edges: DataFrame) -> DataFrame:
+            if not batch.num_rows:
+                continue
+            # whole units only: what is held waits for the end of its last unit
+            keys = [batch.column(c).to_numpy() for c in names]
+            if held and last(held[-1]) != [k[0].item() for k in keys] and sum(h.num_rows for h in held) > slab:
+                yield compared(pa.Table.from_batches(held))
+                held = []
+            ends = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0))
+            if len(ends) and sum(h.num_rows for h in held) + batch.num_rows > slab:
+                cut = int(ends[-1]) + 1
+                yield compared(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                held = [batch.slice(cut)]
+            else:
+                held.append(batch)
+        if held:
+            yield compared(pa.Table.from_batches(held))
+
+    n = max(1, int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return units(fps, count, scratch, radius, slab).repartition(n, *names).sortWithinPartitions(*names, "ones").mapInArrow(run, "a long, b long").distinct()
+
+
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """Links (a, b) -> a row (node, root) for each node but the roots; the root is a component's smallest node.
 
     Alternating large-star and small-star contractions: each step keeps the components, and a fixed
-    point is one star per component. A step's links are written before the next.
+    point is one star per component. A step's links and minima are written, so that the join with them is
+    one of two scans, in which a hub's links can be split; earlier steps are deleted.
     """
     both = lambda e: e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
-    def large(e):
-        near = both(e).groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    def large(e, step):
+        near = step.stage(both(e).groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "near")
         return both(e).filter("b > a").join(near, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
 
-    def small(e):
-        down = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        near = down.groupBy("a").agg(F.min("b").alias("m"))
+    def small(e, step):
+        down = step.stage(e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "down")
+        near = step.stage(down.groupBy("a").agg(F.min("b").alias("m")), "near")
         linked = down.join(near, "a")
         return linked.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(near.select("a", F.col("m").alias("b"))).distinct()
 
-    e = staged(edges.filter("a <> b"), "links")
-    mark = None
+    step = Scratch(scratch.spark)
+    e, mark = step.stage(edges.filter("a <> b"), "links"), None
     while True:
-        e = staged(small(large(e)), "links")
+        following = Scratch(scratch.spark)
+        e = following.stage(small(large(e, step), step), "links")
         now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
+        step.drop()
+        step = following
         if now.n == 0 or now == mark:
+            scratch.adopt(step)
             return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
         mark = now
 
 
-def resolve(narrow: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Rows with doc_id and fp -> fp, root (the component's smallest fingerprint), component_id (its smallest doc_id), a row per fp."""
-    smallest = narrow.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    smallest = staged(smallest, "fps")
-    roots = components(links(smallest.select("fp"), radius))
-    named = smallest.join(roots, smallest["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    return named.join(lowest, "root").select("fp", "root", "component_id")
+def resolve(smallest: DataFrame, scratch: Scratch, radius: int = RADIUS) -> DataFrame:
+    """smallest (fp, low), a row per fingerprint -> fp, root (the component's smallest fingerprint), low."""
+    smallest = scratch.stage(smallest, "fps")
+    roots = components(links(smallest.select("fp"), smallest.count(), scratch, radius), scratch)
+    return smallest.join(roots, smallest["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "low")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, fingerprint (16 hex digits), component_id.
+    """docs (doc_id, text; more columns are left out) -> doc_id, fingerprint (16 hex digits), component_id.
 
-    Null and empty texts have the fingerprint 0 and link like others. Equal rows stay rows; a null
-    doc_id never names a component that has other ids. No rows, no result rows.
+    Null and empty texts have the fingerprint 0 and link like others; a text of any length is one
+    fingerprint. Equal rows stay rows; a null doc_id never names a component that has other ids, and ties
+    of ids don't matter. No rows, no result rows.
     """
-    narrow = staged(fingerprints(docs.select("doc_id", F.col("text").cast("string").alias("text"))).select("doc_id", "fp"), "narrow")
-    named = resolve(narrow, radius)
+    scratch = Scratch(docs.sparkSession)
+    narrow = scratch.stage(fingerprints(docs.select("doc_id", F.col("text").cast("string").alias("text"))).select("doc_id", "fp"), "narrow")
+    named = scratch.stage(resolve(narrow.groupBy("fp").agg(F.min("doc_id").alias("low")), scratch, radius), "named")
+    lowest = scratch.stage(named.groupBy("root").agg(F.min("low").alias("component_id")), "lowest")
+    named = scratch.stage(named.join(lowest, "root").select("fp", "component_id"), "components")
+    scratch.drop(narrow, named)
     return narrow.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """docs without near-duplicates: of each component the row with the smallest doc_id (null last), one row of equal ones."""
-    marked = staged(fingerprints(docs, "__fp"), "marked")
-    named = resolve(marked.select("doc_id", F.col("__fp").alias("fp")), radius).select(F.col("fp").alias("__fp"), F.col("root").alias("__root"), F.col("component_id").alias("__component"))
-    kept = marked.join(named, "__fp").filter(F.col("doc_id").eqNullSafe(F.col("__component")))
-    return kept.dropDuplicates(["__root"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """docs without near-duplicates: of each component one row, that with the smallest doc_id (null last), of several such the
+    one whose text has the smallest hash, of equal ones any.
+
+    Null and empty texts are near-duplicates of each other. All columns stay, whatever their names; texts of any
+    length count whole; no rows, no result rows. Texts are written once and only shuffled where over BROADCAST_ROWS rows go.
+    """
+    scratch = Scratch(docs.sparkSession)
+    fp, row, tie = free_names(docs, "fp", "row", "tie")
+    marked = docs.withColumns({row: F.monotonically_increasing_id(), tie: F.xxhash64(F.col("text").cast("binary"))})
+    marked = scratch.stage(fingerprints(marked, fp), "marked")
+    own = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(tie).alias("tie"), F.col(row).alias("row"))
+    named = resolve(marked.groupBy(F.col(fp).alias("fp")).agg(F.min(own).alias("low")), scratch, radius)
+    stay = named.groupBy("root").agg(F.min("low").alias("low")).select(F.col("low.row").alias(row))
+    gone = scratch.stage(marked.select(row).join(stay, row, "left_anti"), "gone")
+    scratch.drop(marked, gone)
+    few = gone.count() <= BROADCAST_ROWS
+    return marked.join(F.broadcast(gone) if few else gone, row, "left_anti").select(*map(column, docs.columns))

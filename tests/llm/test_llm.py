@@ -14,7 +14,7 @@ pytest.importorskip("larkspur.llm.queries")
 import public_tokenizers  # noqa: E402
 from tokenizers import Tokenizer  # noqa: E402
 
-from larkspur.llm import bitpack, decontaminate, media, packing, sharding, simhash, substring, tokens, toxicity, unigram, warc  # noqa: E402
+from larkspur.llm import bitpack, common, decontaminate, media, packing, sharding, simhash, substring, tokens, toxicity, unigram, warc  # noqa: E402
 
 DOCS = "doc_id long, text string, lang string, __key string"
 
@@ -389,26 +389,62 @@ def test_op10_against_brute_force(docs, none):
     assert len(rows) == len({comp[f] for _, f in fps}) and kept.columns == docs.columns
 
 
-@pytest.mark.parametrize("tile", [5, 64, 2048])
-def test_op10_links_of_dense_groups_and_chains(spark, tile):
-    rng = np.random.default_rng(tile)
+def dense(seed):
+    """A dense ball, a chain of three bits at a time, and strangers."""
+    rng = np.random.default_rng(seed)
     base = int(rng.integers(0, 1 << 62))
     fps = {base}
     for _ in range(150):
         fps.add(base ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(1, 4), replace=False)))
     x = base
-    for b in range(0, 60, 3):  # a chain, three bits at a time
+    for b in range(0, 60, 3):
         x ^= 7 << b
         fps.add(x)
-    fps |= {int(v) for v in rng.integers(0, 1 << 63, 300)}
-    signed = lambda v: v - (1 << 64) if v >> 63 else v
-    df = spark.createDataFrame([(signed(f),) for f in fps], "fp long")
-    roots = {r.node: r.root for r in simhash.components(simhash.links(df, tile=tile)).collect()}
+    return fps | {int(v) for v in rng.integers(0, 1 << 63, 300)}
+
+
+def signed(v):
+    return v - (1 << 64) if v >> 63 else v
+
+
+@pytest.mark.parametrize("tile,slab", [(5, 1 << 14), (64, 40), (7, 9), (64, 1 << 14)])
+def test_op10_links_of_dense_groups_and_chains(spark, tile, slab):
+    fps = dense(tile)
+    df = spark.createDataFrame([(signed(f),) for f in fps], "fp long").repartition(3)
+    scratch = common.Scratch(spark)
+    roots = {r.node: r.root for r in simhash.components(simhash.links(df, len(fps), scratch, tile=tile, slab=slab), scratch).collect()}
     want = brute_components(fps)
     groups = {}
     for f in fps:
         groups.setdefault(roots.get(signed(f), signed(f)), set()).add(want[f])
     assert all(len(g) == 1 for g in groups.values()) and len(groups) == len(set(want.values()))
+    scratch.drop()
+
+
+@pytest.mark.parametrize("tile", [4, 64])
+def test_op10_tiles_find_all_links_and_skip_by_population_count(tile):
+    fps = np.array(sorted(dense(3), key=lambda f: f.bit_count()), np.uint64)
+    tiles = simhash.Tiles(tile=tile)
+    a, b = tiles.links(np.zeros(len(fps), np.int64), fps)
+    low = {int(f): int(f) for f in fps} | {int(x) & (1 << 64) - 1: int(y) & (1 << 64) - 1 for x, y in zip(a, b)}
+    want = brute_components({int(f) for f in fps})
+    assert len({(low[f], want[f]) for f in want}) == len(set(low.values())) == len(set(want.values()))
+    pairs = -(-len(fps) // tile) * (-(-len(fps) // tile) + 1) // 2
+    assert tiles.compared + tiles.skipped <= pairs and (tile > 4 or tiles.skipped > 0)
+    # units of their own have no links with each other
+    a, _ = simhash.Tiles(tile=tile).links(np.arange(len(fps)), fps)
+    assert not len(a)
+
+
+@pytest.mark.parametrize("radius,count", [(1, 10), (3, 10), (3, 10**8), (3, 10**11), (5, 10**9)])
+def test_op10_masks_miss_no_pair(radius, count):
+    rng = random.Random(radius)
+    own = simhash.masks(count, radius)
+    assert count >> min(m.bit_count() for m in own) <= simhash.GROUP * 2
+    for _ in range(300):
+        x = rng.getrandbits(64)
+        y = x ^ sum(1 << b for b in rng.sample(range(64), radius))
+        assert any(x & m == y & m for m in own)
 
 
 def test_queries_are_registered():
