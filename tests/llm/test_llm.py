@@ -129,7 +129,7 @@ def removed(texts, size):
     return [b" ".join(x for i, x in enumerate(w) if i not in g).decode() for w, g in zip(lists, gone, strict=True)]
 
 
-@pytest.mark.parametrize("options", [{}, {"batches": 6, "fanout": 2, "block_rows": 4}, {"window": 8, "gram": 5}])
+@pytest.mark.parametrize("options", [{}, {"batches": 6, "fanout": 2, "block_rows": 4}, {"batches": 4, "window": 8, "gram": 5, "block_rows": 2}])
 def test_op2_against_brute_force(docs, none, options):
     got = sorted((str(r.doc_id), r.kept_text, r.n_words, r.n_removed) for r in substring.substring_report(docs, **options).collect())
     rows = sample()
@@ -139,6 +139,33 @@ def test_op2_against_brute_force(docs, none, options):
     assert not substring.substring_report(none, **options).count()
 
 
+@pytest.mark.parametrize("fanout", [1, 3])
+def test_op2_later_calls_go_on_with_the_index(spark, tmp_path, fanout):
+    """Five calls on one folder: each one's rows lose what repeats in all rows so far, and runs are compacted on the way."""
+    folder = f"file://{tmp_path}/index"
+    texts = [t for _, t, _, _ in sample() if t and len(t) < 9000]
+    random.Random(4).shuffle(texts)
+    parts = [texts[n::5] for n in range(5)]
+    seen: list[str] = []
+    for own in parts:
+        df = spark.createDataFrame(list(enumerate(own)), "doc_id long, text string")
+        got = {r.doc_id: r.kept_text for r in substring.substring_report(df, batches=2, index=folder, fanout=fanout, block_rows=2, window=12, gram=6).collect()}
+        want = removed([*seen, *own], 12)[len(seen) :]
+        assert [got[n] for n in range(len(own))] == want
+        seen += own
+    held = substring.SubstringIndex(spark, folder, window=12, gram=6, fanout=fanout)
+    for index in (held.anchors, held.windows):
+        assert index.batches == 10 and index.joins == 9 and index.compactions >= 2 and 1 <= len(index.runs) <= fanout
+    with pytest.raises(ValueError):
+        substring.SubstringIndex(spark, folder, window=13, gram=6)
+
+
+def test_op2_compacts_with_its_defaults(spark, docs, tmp_path):
+    held = substring.SubstringIndex(spark, f"file://{tmp_path}/index")
+    held.add(docs.select("doc_id", "text"), last=True)
+    assert held.anchors.batches == substring.BATCHES and held.anchors.joins == substring.BATCHES - 1 and held.anchors.compactions >= 1
+
+
 def test_op2_stage_keeps_columns_and_untouched_texts(docs):
     out = substring.strip_repeats(docs)
     assert out.columns == docs.columns
