@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of text that numpy handles at once; bounds the memory of a worker.
 SLICE_BYTES = 8 << 20
@@ -98,6 +99,23 @@ def column(name: str):
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def mapped(df: DataFrame, run, added: list[T.StructField], left_out: tuple[str, ...] = ()) -> DataFrame:
+    """df.mapInArrow(run), whose batches have df's columns but those left out, and those that are added. Names with dots, which mapInArrow can't resolve, are others inside."""
+    plain = [c if re.fullmatch(r"\w+", c) else free_names(df, f"column{n}")[0] for n, c in enumerate(df.columns)]
+    fields = [f for f in df.schema.fields if f.name not in left_out]
+    inside = [T.StructField(p, f.dataType) for p, f in zip(plain, df.schema.fields) if f.name not in left_out]
+    return df.toDF(*plain).mapInArrow(run, T.StructType([*inside, *added])).toDF(*(f.name for f in [*fields, *added]))
+
+
+def as_name(id_column, kind):
+    """An id of any type as text, from which from_name gets it back."""
+    return F.hex(id_column) if kind.simpleString() == "binary" else id_column.cast("string")
+
+
+def from_name(name, kind):
+    return F.unhex(name) if kind.simpleString() == "binary" else name.cast(kind)
+
+
 def free_names(df: DataFrame, *names: str) -> list[str]:
     """Column names like those that df has not."""
     taken = {c.lower() for c in df.columns}

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.llm.common import binary, slices
+from larkspur.llm.common import mapped, slices
 
 #: The fixed first bytes of a PNG file, and the samples of each colour type.
 SIGNATURE = bytes([137, 80, 78, 71, 13, 10, 26, 10])
@@ -159,7 +159,11 @@ def low_frequency_hash(image: np.ndarray) -> bytes:
 
 
 def store(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, n_bytes, media (binary). A null text is an empty one."""
+    """docs (doc_id, text; more columns are left out) -> doc_id, n_bytes, media (binary).
+
+    A null text is an empty one, which is one unit of FILL; a text of any length is one image; equal texts have equal media;
+    repeated rows and null ids stay. No rows, no result rows.
+    """
 
     def run(batches):
         for batch in batches:
@@ -172,7 +176,10 @@ def store(docs: DataFrame) -> DataFrame:
 
 
 def features(stored: DataFrame) -> DataFrame:
-    """stored and payload (binary, read back from media), payload_bytes and hash (binary). A broken or null medium raises or has nulls."""
+    """stored (media, and any columns but payload and hash) and payload (binary, read back from media) and hash (binary).
+
+    A broken medium raises, a null one has nulls; equal media have equal hashes; repeated rows stay; no rows, no result rows.
+    """
 
     def run(batches):
         for batch in batches:
@@ -184,4 +191,4 @@ def features(stored: DataFrame) -> DataFrame:
                 hashes = pa.array([None if i is None else low_frequency_hash(i) for i in images], pa.binary())
                 yield pa.RecordBatch.from_arrays([*part.columns, payloads, hashes], [*part.schema.names, "payload", "hash"])
 
-    return stored.mapInArrow(run, T.StructType([*stored.schema.fields, T.StructField("payload", T.BinaryType()), T.StructField("hash", T.BinaryType())]))
+    return mapped(stored, run, [T.StructField("payload", T.BinaryType()), T.StructField("hash", T.BinaryType())])

@@ -20,7 +20,7 @@ from larkspur.llm.tokens import tokenizer
 
 PIECES = "doc_id {id}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, part long, open boolean"
 #: Partitions whose leftovers one task merges: bounds a task to MERGE x open windows.
-MERGE = 32
+MERGE = 8
 
 
 class Packer:
@@ -87,7 +87,7 @@ def pack_documents(docs: DataFrame, path: str, end_id: int = 1, length: int = 20
     (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset, part, open.
 
     project may derive further columns from ids and drop ids of closed windows before they are written.
-    A null or empty text is its end id alone; repeated rows and null ids are packed like others; no rows, no pieces.
+    A null or empty text is its end id alone; a text of any length is cut into pieces; equal texts, repeated rows and null ids are packed like others, each by itself; no rows, no pieces.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -131,19 +131,17 @@ def _merger(length: int, level: int, last: bool):
 
 
 def merge_leftovers(pieces: DataFrame, length: int) -> DataFrame:
-    """Fills the open windows from each other. MERGE partitions meet in a task, then MERGE of those groups, until a group is alone; each leaves one window unfilled."""
+    """Fills the open windows from each other. MERGE partitions meet in a task, then MERGE of those groups, until a group is alone; each leaves one window unfilled. A level's pieces are written before the next."""
     schema_text = PIECES.format(id=pieces.schema["doc_id"].dataType.simpleString())
     names = [x.split()[0] for x in schema_text.split(", ")]
     most = pieces.agg(F.max("part")).first()[0]
     done, rest, level = pieces.filter("not open"), pieces.filter("open").select(*names), 1
     while most is not None:
         most //= MERGE
-        last = most == 0
-
-        merged = rest.groupBy((F.col("part") / MERGE).cast("long")).applyInArrow(_merger(length, level, last), schema_text)
+        merged = staged(rest.groupBy((F.col("part") / MERGE).cast("long")).applyInArrow(_merger(length, level, most == 0), schema_text), "merged")
         done = done.unionByName(merged.filter("not open"), allowMissingColumns=True)
         rest = merged.filter("open")
-        if last:
+        if most == 0:
             break
         level += 1
     return done

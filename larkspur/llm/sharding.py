@@ -12,8 +12,10 @@ import heapq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspur.llm.common import Scratch
+
 BIG = 8192
-#: Parts of each shard for numbering its rows.
+#: Parts of each shard for numbering its rows, at least; they grow with the shuffle's partitions.
 PARTS = 512
 
 
@@ -28,35 +30,40 @@ def longest_first(items: list[tuple[int, int]], shards: int) -> dict[int, int]:
     return out
 
 
-def shard_documents(docs: DataFrame, shards: int = 8, big: int = BIG, parts: int = PARTS) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, size, text_crc32, law ("bytes"), shard, slot, grown_shard (null).
+def shard_documents(docs: DataFrame, shards: int = 8, big: int = BIG) -> DataFrame:
+    """docs (doc_id, text; more columns are left out) -> doc_id, size, text_crc32, law ("bytes"), shard, slot, grown_shard (null).
 
-    Rows of equal text share a shard; null texts are a group of their own, of size 1 each. Rows of
-    equal id, repeated rows too, get slots of their own. No rows, no result rows.
+    Rows of equal text share a shard; null texts are a group of their own, of size 1 each, empty ones another; a very long text is
+    a group like others. Rows of equal or null id, repeated rows too, get slots of their own. No rows, no result rows.
+    Texts are read once; what follows works on their sizes and hashes, written to the shared folder.
     """
-    spark = docs.sparkSession
-    text = F.col("text")
+    scratch = Scratch(docs.sparkSession)
+    spark, text = docs.sparkSession, F.col("text").cast("binary")
     rows = docs.select(
         "doc_id",
         (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1).alias("size"),
-        F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
-        F.coalesce(F.md5(text.cast("binary")), F.lit("null")).alias("key"),
+        F.coalesce(F.crc32(text), F.lit(0)).cast("long").alias("text_crc32"),
+        F.coalesce(F.unhex(F.md5(text)), F.lit(b"")).alias("key"),
+        F.monotonically_increasing_id().alias("row"),
     )
-    groups = rows.groupBy("key").agg(F.sum("size").alias("bytes"))
+    rows = scratch.stage(rows, "rows")
+    groups = scratch.stage(rows.groupBy("key").agg(F.sum("size").alias("bytes")), "groups")
     total = groups.agg(F.sum("bytes")).first()[0] or 0
+    least = max(1, total // big + 1)
     bundle = F.pmod(F.xxhash64("key"), F.lit(big))
-    large = groups.filter(F.col("bytes") >= F.lit(max(1, total // big + 1))).select("key", "bytes")
-    named = [(r.key, r.bytes) for r in large.collect()]  # at most big rows
-    small = groups.join(F.broadcast(spark.createDataFrame(named, "key string, bytes long").select("key")), "key", "left_anti")
-    bundles = small.groupBy(bundle.alias("bundle")).agg(F.sum("bytes").alias("bytes")).collect()  # at most big rows
-    named.sort()
-    items = [(r.bundle, r.bytes) for r in bundles] + [(big + n, b) for n, (_, b) in enumerate(named)]
-    place = longest_first(items, shards)
-    own = spark.createDataFrame([(k, place[big + n]) for n, (k, _) in enumerate(named)], "key string, own int")
+    named = sorted((bytes(r.key), r.bytes) for r in groups.filter(F.col("bytes") >= least).collect())  # at most big rows
+    bundles = groups.filter(F.col("bytes") < least).groupBy(bundle.alias("bundle")).agg(F.sum("bytes").alias("bytes")).collect()  # at most big rows
+    place = longest_first([(r.bundle, r.bytes) for r in bundles] + [(big + n, b) for n, (_, b) in enumerate(named)], shards)
+    own = spark.createDataFrame([(k, place[big + n]) for n, (k, _) in enumerate(named)], "key binary, own int")
     theirs = spark.createDataFrame([(r.bundle, place[r.bundle]) for r in bundles], "bundle long, theirs int")
+    parts = max(PARTS, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     placed = rows.join(F.broadcast(own), "key", "left").withColumn("bundle", bundle).join(F.broadcast(theirs), "bundle", "left")
-    placed = placed.select("doc_id", "size", "text_crc32", F.coalesce("own", "theirs").alias("shard"), F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(parts)).cast("int").alias("part"))
+    # a part is some of the rows whatever their ids, so rows that are equal stay spread
+    placed = placed.select("doc_id", "size", "text_crc32", "row", F.coalesce("own", "theirs").alias("shard"), F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int").alias("part"))
+    placed = scratch.stage(placed, "placed")
     counts = placed.groupBy("shard", "part").count()  # shards x parts rows
-    before = counts.select("shard", "part", (F.sum("count").over(Window.partitionBy("shard").orderBy("part")) - F.col("count")).alias("base"))
-    number = F.row_number().over(Window.partitionBy("shard", "part").orderBy("doc_id", "text_crc32", "size"))
-    return placed.withColumn("rn", number).join(F.broadcast(before), ["shard", "part"]).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("base") + F.col("rn") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    before = scratch.stage(counts.select("shard", "part", (F.sum("count").over(Window.partitionBy("shard").orderBy("part")) - F.col("count")).alias("base")), "before")
+    scratch.drop(placed, before)
+    number = F.row_number().over(Window.partitionBy("shard", "part").orderBy("row"))
+    out = placed.withColumn("rn", number).join(F.broadcast(before), ["shard", "part"])
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("base") + F.col("rn") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

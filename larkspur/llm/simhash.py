@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.llm.common import Scratch, column, free_names, slices
+from larkspur.llm.common import Scratch, column, free_names, mapped, slices
 
 RADIUS = 3
 #: Fingerprints of a tile, and pairs of tiles that are compared at once.
@@ -54,16 +54,16 @@ def majority(hashes: np.ndarray) -> int:
     return int(bits.view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, column: str = "fp") -> DataFrame:
+def fingerprints(docs: DataFrame, name: str = "fp") -> DataFrame:
     """docs and a long column with each text's fingerprint (its 64 bits as a signed number); a null text has 0."""
 
     def run(batches):
         for batch in batches:
             for rows, texts in slices(batch):
                 fps = np.array([fingerprint(t) for t in texts.to_pylist()], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(fps)], [*rows.schema.names, column])
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(fps)], [*rows.schema.names, name])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(column, T.LongType())]))
+    return mapped(docs, run, [T.StructField(name, T.LongType())])
 
 
 def masks(count: int, radius: int) -> list[int]:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.llm.common import Scratch, byte_view, column, dropped, file_system, free_names, slices, written
+from larkspur.llm.common import Scratch, byte_view, column, dropped, file_system, free_names, mapped, slices, written
 from larkspur.llm.unigram import words_of
 
 WINDOW = 35
@@ -348,11 +348,11 @@ class SubstringIndex:
         """The rows of the batches from `first` on, with their number of words, of removed words, and the kept words joined by one space."""
         files, window, gram, block = [f for told in self.told[first:] for f in told], self.window, self.gram, self.block
         source = self._texts(range(first, len(self.texts)))
-        names = [c for c in source.columns if c != block]
 
         def clean(batches):
             known = Told(files)
             for own, rows, texts in _blocks(batches, block):
+                names = [c for c in rows.schema.names if c != block]
                 w = Windows(texts, window, gram)
                 gone = w.covered(_in(w.hashes(), known.of(own)))
                 sums = np.concatenate([[0], np.cumsum(gone)])
@@ -364,7 +364,7 @@ class SubstringIndex:
                 yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in names), pa.array(np.diff(w.first), pa.int64()), pa.array(n_removed, pa.int64()), pa.array(out, pa.string())], [*names, words, removed, kept])
 
         added = [T.StructField(words, T.LongType()), T.StructField(removed, T.LongType()), T.StructField(kept, T.StringType())]
-        return source.mapInArrow(clean, T.StructType([*(f for f in source.schema.fields if f.name != block), *added]))
+        return mapped(source, clean, added, (block,))
 
 
 def _removed(docs: DataFrame, names: list[str], batches: int, index: str | None, options: dict) -> DataFrame:

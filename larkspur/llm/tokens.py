@@ -3,7 +3,7 @@
 A text is cut where the tokenizer's own pre-tokenizer always cuts (at ASCII white space, and
 between an ASCII letter and ASCII punctuation), the distinct chunks of a slice are found by Arrow's
 dictionary encoding, and only chunks that the worker has not met go to the library. A text with
-white space beyond ASCII is encoded whole, as there the cuts might differ.
+white space beyond ASCII, or with an added token's literal, is encoded whole, as there the cuts might differ.
 """
 
 from __future__ import annotations
@@ -40,8 +40,11 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
         self.style = style
+        literals = sorted({t.content.lower().encode() for t in self.tok.get_added_tokens_decoder().values()})
+        self.added = re.compile(b"|".join(map(re.escape, literals)), re.IGNORECASE) if literals else None
+        #: What all literals open with, without letters, which a text may write in either case.
+        self.opening = re.match(rb"[^A-Za-z]*", os.path.commonprefix(literals))[0]
         self.known: dict[bytes, int] = {}
         self.arena, self.used = np.zeros(1 << 20, np.uint32), 0
         self.offs, self.lens = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
@@ -125,11 +128,26 @@ class ChunkTokenizer:
         sums = np.concatenate([[0], ends])
         return ids, sums[np.searchsorted(starts, offsets[1:])] - sums[np.searchsorted(starts, offsets[:-1])]
 
+    def _with_added(self, buf: np.ndarray, offsets: np.ndarray) -> set[int]:
+        """The texts that hold an added token's literal, in any case."""
+        if not self.added:
+            return set()
+        if not self.opening:
+            return {i for i in range(len(offsets) - 1) if self.added.search(buf[offsets[i] : offsets[i + 1]].tobytes())}
+        data, found, at = buf.tobytes(), set(), 0
+        while (at := data.find(self.opening, at)) >= 0:
+            i = int(np.searchsorted(offsets, at, side="right")) - 1
+            if self.added.search(data, int(offsets[i]), int(offsets[i + 1])):
+                found.add(i)
+            at = int(offsets[i + 1])
+        return found
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a large_binary array, one text after another, and each text's count."""
         buf, offsets = byte_view(texts)
         sums = np.concatenate([[0], np.cumsum(_ODD[buf])])
-        odd = [i for i in np.flatnonzero(sums[offsets[1:]] > sums[offsets[:-1]]).tolist() if _ODD_SPACE.search(buf[offsets[i] : offsets[i + 1]].tobytes().decode())]
+        text = lambda i: buf[offsets[i] : offsets[i + 1]].tobytes()
+        odd = sorted({i for i in np.flatnonzero(sums[offsets[1:]] > sums[offsets[:-1]]).tolist() if _ODD_SPACE.search(text(i).decode())} | self._with_added(buf, offsets))
         if not odd:
             return self._fast(buf, offsets)
         parts, lens, at = [], [], 0
@@ -139,7 +157,7 @@ class ChunkTokenizer:
                 parts.append(ids)
                 lens.append(n)
             if i < len(offsets) - 1:
-                ids = self._ids(buf[offsets[i] : offsets[i + 1]].tobytes().decode())
+                ids = self._ids(text(i).decode())
                 parts.append(np.array(ids, np.uint32))
                 lens.append(np.array([len(ids)], np.int64))
             at = i + 1

@@ -16,12 +16,12 @@ import uuid
 import zlib
 
 import pyarrow as pa
-from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from larkspur.llm.common import fresh_path
+from larkspur.llm.common import Scratch, as_name, file_system, from_name, written
 
 ROLL = 64 << 20
 DATE = "2024-01-01T00:00:00Z"
@@ -74,20 +74,21 @@ def records(data: bytes):
         yield parsed(raw)
 
 
-def plan_revisits(pages: DataFrame, least: int = 0) -> DataFrame:
-    """pages (page_id, url, html) -> page_id, url, sha, html, refers_to, refers_url, kind: a row of kind 1 per page and, for each that is
+def plan_revisits(pages: DataFrame, scratch: Scratch, least: int = 0) -> DataFrame:
+    """pages (page_id of any type, url, html) -> page_id, url, sha, html, refers_to, refers_url, kind: a row of kind 1 per page and, for each that is
     a revisit, a row of kind 0 without html but with what it refers to. So the payloads are shuffled once, by the writer's order.
 
-    Of equal payloads of at least `least` bytes the row with the smallest page_id is the response; of rows that share this id, too,
-    that with the smallest url, and rows equal to it; null ids come last.
+    Of equal payloads of at least `least` bytes the rows with the smallest page_id are responses, whatever their url (a
+    revisit names the smallest of these urls); null ids come last. Null html is an empty payload.
     """
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("sha", F.sha1(F.col("html").cast("binary")))
     narrow = rows.filter(F.octet_length("html") >= least).select("page_id", "url", "sha")
     rank = F.struct(F.col("page_id").isNull().alias("none"), F.col("page_id").alias("id"), F.coalesce("url", F.lit("")).alias("u"), F.col("url").alias("url"))
-    first = narrow.groupBy("sha").agg(F.min(rank).alias("first")).select("sha", F.col("first.id").alias("refers_to"), F.col("first.url").alias("refers_url"))
-    own = F.col("page_id").eqNullSafe(F.col("refers_to")) & F.col("url").eqNullSafe(F.col("refers_url"))
-    again = narrow.join(first, "sha").filter(~own).select("page_id", "url", "sha", F.lit(None).cast("string").alias("html"), "refers_to", "refers_url", F.lit(0).alias("kind"))
+    first = narrow.groupBy("sha").agg(F.min(rank).alias("first"), F.count("*").alias("n")).filter("n > 1").select("sha", F.col("first.id").alias("refers_to"), F.col("first.url").alias("refers_url"))
+    # written, so that the join is one of two scans, in which a payload that very many pages have can be split
+    first = scratch.stage(first, "first")
+    again = narrow.join(first, "sha").filter(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select("page_id", "url", "sha", F.lit(None).cast("string").alias("html"), "refers_to", "refers_url", F.lit(0).alias("kind"))
     none = [F.lit(None).cast(pages.schema["page_id"].dataType).alias("refers_to"), F.lit(None).cast("string").alias("refers_url")]
     return rows.select("page_id", "url", "sha", "html", *none, F.lit(1).alias("kind")).unionByName(again)
 
@@ -120,11 +121,13 @@ class _Rolling:
 
 
 def write_warc(pages: DataFrame, folder: str, least: int = 0, roll: int = ROLL) -> list[dict]:
-    """Writes a record per row; the manifest's rows: name, bytes, records, sha256. No rows, no files."""
-    planned = plan_revisits(pages, least)
+    """Writes a record per row, repeated rows each; the manifest's rows: name, bytes, records, sha256. A payload of any length is one
+    record; null urls are empty, line ends in them spaces. No rows, no files."""
+    scratch = Scratch(pages.sparkSession)
+    planned = plan_revisits(pages, scratch, least)
 
     def run(batches):
-        fs, root = pafs.FileSystem.from_uri(folder)
+        fs, root = file_system(folder)
         fs.create_dir(root, recursive=True)
         files = _Rolling(fs, root, TaskContext.get().partitionId(), roll)
         told = None
@@ -143,22 +146,20 @@ def write_warc(pages: DataFrame, folder: str, least: int = 0, roll: int = ROLL)
     spark = pages.sparkSession
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     order = [F.col("page_id").asc_nulls_first(), F.col("url").asc_nulls_first()]
-    done = planned.repartitionByRange(n, *order).sortWithinPartitions(*order, "sha", "kind").mapInArrow(run, "name string, bytes long, records long, sha256 string")
+    kind = pages.schema["page_id"].dataType
+    rows = planned.repartitionByRange(n, *order).sortWithinPartitions(*order, "sha", "kind").withColumns({c: as_name(F.col(c), kind) for c in ("page_id", "refers_to")})
+    done = rows.mapInArrow(run, "name string, bytes long, records long, sha256 string")
     manifest = sorted((r.asDict() for r in done.collect()), key=lambda r: r["name"])  # a row per file
-    fs, root = pafs.FileSystem.from_uri(folder)
-    fs.create_dir(root, recursive=True)
-    with fs.open_output_stream(f"{root}/.tmp-manifest") as out:
-        out.write(json.dumps({"files": manifest}).encode())
-    fs.move(f"{root}/.tmp-manifest", f"{root}/manifest.json")
+    written(f"{folder}/manifest.json", json.dumps({"files": manifest}).encode())
+    scratch.drop()
     return manifest
 
 
-def read_warc(spark, manifest: list[dict], folder: str, id_type: str = "long") -> DataFrame:
+def read_warc(spark, manifest: list[dict], folder: str, id_type=T.LongType()) -> DataFrame:
     """A row per record of the manifest's files: page_id, record_type, payload_bytes, payload_digest, refers_to, payload (null in a revisit)."""
-    kinds = {"bigint": pa.int64(), "long": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_type]
 
     def run(batches):
-        fs, root = pafs.FileSystem.from_uri(folder)
+        fs, root = file_system(folder)
         for batch in batches:
             for name, size in zip(batch.column("name").to_pylist(), batch.column("bytes").to_pylist(), strict=True):
                 with fs.open_input_stream(f"{root}/{name}", compression=None) as file:
@@ -171,17 +172,18 @@ def read_warc(spark, manifest: list[dict], folder: str, id_type: str = "long") -
                             raise ValueError(f"payload of {fields['WARC-Record-ID']} is broken")
                         rows.append((json.loads(fields["X-Page-Id"]), fields["WARC-Type"], int(fields["X-Payload-Length"]), told, json.loads(fields.get("X-Refers-To-Page", "null")), payload))
                         if len(rows) >= 200:
-                            yield _batch(rows, kinds)
+                            yield _batch(rows)
                             rows = []
                     if rows:
-                        yield _batch(rows, kinds)
+                        yield _batch(rows)
 
     files = spark.createDataFrame([(m["name"], m["bytes"]) for m in manifest], "name string, bytes long").repartition(max(1, len(manifest)))
-    return files.mapInArrow(run, f"page_id {id_type}, record_type string, payload_bytes long, payload_digest string, refers_to {id_type}, payload binary")
+    out = files.mapInArrow(run, "page_id string, record_type string, payload_bytes long, payload_digest string, refers_to string, payload binary")
+    return out.withColumns({c: from_name(F.col(c), id_type) for c in ("page_id", "refers_to")})
 
 
-def _batch(rows: list[tuple], kinds: pa.DataType) -> pa.RecordBatch:
-    types = [kinds, pa.string(), pa.int64(), pa.string(), kinds, pa.binary()]
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    types = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["page_id", "record_type", "payload_bytes", "payload_digest", "refers_to", "payload"])
 
 
@@ -219,6 +221,9 @@ def parsed(raw: bytes) -> tuple[dict, bytes]:
 
 
 def archive(pages: DataFrame, least: int = 0, roll: int = ROLL) -> DataFrame:
-    folder = fresh_path(pages.sparkSession, "warc")
+    """pages (page_id, url, html; more columns are left out) written by write_warc and read back by read_warc."""
+    scratch = Scratch(pages.sparkSession)
+    folder = scratch.path("warc")
     manifest = write_warc(pages, folder, least, roll)
-    return read_warc(pages.sparkSession, manifest, folder, pages.schema["page_id"].dataType.simpleString())
+    scratch.drop(folder)
+    return read_warc(pages.sparkSession, manifest, folder, pages.schema["page_id"].dataType)
