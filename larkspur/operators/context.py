@@ -2,99 +2,95 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from bisect import bisect_left, bisect_right
+from itertools import accumulate, zip_longest
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspur.functions.text import capped
+from larkspur.functions.text import per_token as text_per_token
 from larkspur.operators.chunking import BUDGETS, DEFAULT_BUDGET, per_token
 from larkspur.operators.structure import NOISE
 
 BLOCK = "hit_no int, doc_id {id}, text string, resolved_section string, n_tokens int, climbed int, anchor_start int, anchor_end int, windowed boolean, note string"
 
 
-def capped(text: str, most: float, ratio: float) -> str:
-    """Leading lines within the budget, the first one in any case; a text still over it is cut by characters, at a space unless Chinese."""
-    if len(text) / ratio <= most:
-        return text
-    lines, used = [], 0.0
-    for line in text.split("\n"):
-        used += len(line) / ratio
-        if lines and used > most:
-            break
-        lines.append(line)
-    out = "\n".join(lines)
-    if len(out) / ratio > most:
-        head = out[: int(most * ratio)]
-        out = head if ratio < 2 else head.rpartition(" ")[0] or head
-    return out
-
-
-@dataclass
-class Document:
-    """A document's elements by position, its sections by heading, and what may be gathered from it."""
+#: Notes of a block that is no whole section.
+NO_SECTION_PAGE, NO_SECTION, TOO_LARGE, OVERSHOT, TOO_SMALL = "no section -> page window", "no section -> doc window", "section>max -> window", "climb overshoot -> sibling window within parent", "top-too-small -> doc window"
 
-    doc_id: object
-    texts: list[str]
-    counts: list[bool]
-    pages: list[int]
-    sections: dict[int, dict]
-    ratio: float
-    limits: tuple[int, int, int]
-    admitted: list[bool] = field(default_factory=list)
 
-    def ok(self, i: int) -> bool:
-        return self.counts[i] and (not self.admitted or self.admitted[i])
+def capped_length(lines: list[str], most: float, ratio: float) -> int:
+    """How many characters functions.text.capped keeps of these lines."""
+    room, whole = most * ratio, sum(map(len, lines)) + len(lines) - 1
+    if whole <= room:
+        return whole
+    kept = max(1, bisect_right(list(accumulate(map(len, lines))), room))
+    head = "\n".join(lines[:kept])
+    if len(head) <= room:
+        return len(head)
+    end = head[: int(room)].rfind(" ") if ratio >= 2 else -1
+    return end if end > 0 else int(room)
 
-    def gather(self, start: int, end: int) -> str:
-        found = (self.texts[i].strip() for i in range(max(0, start), min(end, len(self.texts))) if self.ok(i))
-        return "\n".join(t for t in found if t)
 
-    def tokens(self, start: int, end: int) -> float:
-        return len(self.gather(start, end)) / self.ratio
+class Document:
+    """A document's elements by position and its sections by heading. What a stretch of elements amounts to follows from sums of their lengths."""
+
+    def __init__(self, doc_id, texts: list[str], counts: list[bool], pages: list[int], sections: dict[int, dict], ratio: float, limits: tuple[int, int, int]):
+        self.doc_id, self.texts, self.counts, self.pages, self.sections, self.ratio, self.limits = doc_id, texts, counts, pages, sections, ratio, limits
+        self.admit([])
+
+    def admit(self, admitted: list[bool]) -> None:
+        """Only those elements may be gathered; an empty list admits all."""
+        self.lines = [t.strip() if c and ok else "" for t, c, ok in zip(self.texts, self.counts, admitted or [True] * len(self.texts), strict=True)]
+        # a blank element still costs its place when a window grows over it
+        self.growth = [(len(t) + 1) / self.ratio if c and ok else 0.0 for t, c, ok in zip(self.texts, self.counts, admitted or [True] * len(self.texts), strict=True)]
+        self.sums = [0, *accumulate(len(x) + 1 if x else 0 for x in self.lines)]
+
+    def size(self, a: int, b: int) -> float:
+        """Tokens of the elements from a to b - 1, joined by line ends."""
+        a, b = max(0, a), min(b, len(self.texts))
+        return max(0, self.sums[max(a, b)] - self.sums[a] - 1) / self.ratio
+
+    def _result(self, section: str, a: int, b: int, climbed: int, note: str, windowed: bool) -> dict:
+        """The text is whole here; big_blocks cuts it to the budget."""
+        lines = [x for x in self.lines[max(0, a) : max(0, b)] if x]
+        kept = capped_length("\n".join(lines).split("\n"), self.limits[2], self.ratio)
+        return {"text": "\n".join(lines), "resolved_section": section, "n_tokens": round(kept / self.ratio), "climbed": climbed, "anchor_start": a, "anchor_end": b, "windowed": windowed, "note": note}
 
     def window(self, hits: list[int], name: str, start: int, end: int, note: str) -> dict:
-        """Grows from the hit to the right and left in turn, within the bounds, until the target is met."""
-        least, target, most = self.limits
-        s, e = (min(hits), max(hits)) if hits else (start, start)
-        s, e = max(s, start), min(e, end - 1)
-        size = self.tokens(s, e + 1)
-        cost = lambda i: (len(self.texts[i]) + 1) / self.ratio if self.ok(i) else 0.0
-        while size < target and (e + 1 < end or s > start):
-            if e + 1 < end:
-                e += 1
-                size += cost(e)
-            if size < target and s > start:
-                s -= 1
-                size += cost(s)
-        text = capped(self.gather(s, e + 1), most, self.ratio)
-        return {"text": text, "resolved_section": f"{name}#window", "n_tokens": round(len(text) / self.ratio), "climbed": 0, "anchor_start": s, "anchor_end": e + 1, "windowed": True, "note": note}
+        """From the hits outwards, to the right and left in turn, within the bounds, up to the target."""
+        low, high = max(min(hits, default=start), start), min(max(hits, default=start), end - 1)
+        outwards = [i for pair in zip_longest(range(high + 1, end), range(low - 1, start - 1, -1)) for i in pair if i is not None]
+        sizes = list(accumulate((self.growth[i] for i in outwards), initial=self.size(low, high + 1)))
+        taken = outwards[: bisect_left(sizes, self.limits[1])]
+        return self._result(f"{name}#window", min([low, *taken]), max([high, *taken]) + 1, 0, note, True)
+
+    def above(self, head: int) -> list[int]:
+        """A section and what it lies in, from within; a circle ends where it closes."""
+        chain: dict[int, None] = {}
+        at: int | None = head
+        while at in self.sections and at not in chain:
+            chain[at] = None
+            at = self.sections[at]["parent"]
+        return list(chain)
 
     def big_block(self, hits: list[int], head: int | None, page_start: int, page_end: int) -> dict:
+        """The innermost section around the hits that reaches the target, or the outermost; a window where there is none, or that is too large or too small."""
         least, target, most = self.limits
         whole = (f"{self.doc_id}::root", 0, len(self.texts))
-        if head is None or head not in self.sections:
+        chain = self.above(head) if head is not None else []
+        if not chain:
             own = [i for i, p in enumerate(self.pages) if page_start <= p <= page_end]
-            if own:
-                return self.window(hits, f"{self.doc_id}::p{page_start}", own[0], own[-1] + 1, "no section -> page window")
-            return self.window(hits, *whole, "no section -> doc window")
-        name = lambda h: f"{self.doc_id}::s{h}"
-        span = lambda h: (self.sections[h]["start"], self.sections[h]["end"])
-        if self.tokens(*span(head)) > most:
-            return self.window(hits, name(head), *span(head), "section>max -> window")
-        climbed, met = 0, {head}
-        while self.tokens(*span(head)) < target:
-            above = self.sections[head]["parent"]
-            if above is None or above not in self.sections or above in met:
-                break
-            met.add(above)
-            if self.tokens(*span(above)) > most:
-                return self.window(hits, name(above), *span(above), "climb overshoot -> sibling window within parent")
-            head, climbed = above, climbed + 1
-        text = capped(self.gather(*span(head)), most, self.ratio)
-        if len(text) / self.ratio < least:
-            return self.window(hits, *whole, "top-too-small -> doc window")
-        return {"text": text, "resolved_section": name(head), "n_tokens": round(len(text) / self.ratio), "climbed": climbed, "anchor_start": span(head)[0], "anchor_end": span(head)[1], "windowed": False, "note": ""}
+            return self.window(hits, f"{self.doc_id}::p{page_start}", own[0], own[-1] + 1, NO_SECTION_PAGE) if own else self.window(hits, *whole, NO_SECTION)
+        spans = [(self.sections[h]["start"], self.sections[h]["end"]) for h in chain]
+        sizes = [self.size(*s) for s in spans]
+        climbed = next((n for n, s in enumerate(sizes) if s >= target or s > most), len(chain) - 1)
+        name = f"{self.doc_id}::s{chain[climbed]}"
+        if sizes[climbed] > most:
+            return self.window(hits, name, *spans[climbed], OVERSHOT if climbed else TOO_LARGE)
+        block = self._result(name, *spans[climbed], climbed, "", False)
+        return self.window(hits, *whole, TOO_SMALL) if sizes[climbed] < least else block
 
 
 def big_blocks(hits: DataFrame, elements: DataFrame, sections: DataFrame, banners: DataFrame | None = None, limits: tuple[int, int, int] | None = None) -> DataFrame:
@@ -129,16 +125,19 @@ def big_blocks(hits: DataFrame, elements: DataFrame, sections: DataFrame, banner
                 els = list(r["els"])
                 if [e["idx"] for e in els] != list(range(len(els))):
                     raise ValueError(f"elements of {r['doc_id']} are not dense")
-                doc = Document(r["doc_id"], [e["text"] or "" for e in els], [e["counts"] for e in els], [e["page"] for e in els], sec, per_token(r["lang"]), limits or BUDGETS.get(r["doc_type"], DEFAULT_BUDGET))
+                own = limits or BUDGETS.get(r["doc_type"], DEFAULT_BUDGET)
+                doc = Document(r["doc_id"], [e["text"] or "" for e in els], [e["counts"] for e in els], [e["page"] for e in els], sec, per_token(r["lang"]), own)
                 for h in r["asked"]:
-                    # an element of no known acl is closed
-                    doc.admitted = [e["acl"] is not None and e["acl"] == h["acl"] for e in els] if gated else []
+                    if gated:  # an element of no known acl is closed
+                        doc.admit([e["acl"] is not None and e["acl"] == h["acl"] for e in els])
                     head = h["sec_head"]
                     block = doc.big_block(list(h["source_indices"]), None if head is None else int(head), h["page_start"], h["page_end"])
-                    out.append((h["hit_no"], r["doc_id"], *(block[c] for c in ("text", "resolved_section", "n_tokens", "climbed", "anchor_start", "anchor_end", "windowed", "note"))))
-            yield pd.DataFrame(out, columns=["hit_no", "doc_id", "text", "resolved_section", "n_tokens", "climbed", "anchor_start", "anchor_end", "windowed", "note"])
+                    out.append((h["hit_no"], r["doc_id"], *(block[c] for c in names), own[2], r["lang"]))
+            yield pd.DataFrame(out, columns=["hit_no", "doc_id", *names, "most", "lang"])
 
-    return joined.mapInPandas(run, BLOCK.format(id=elements.schema["doc_id"].dataType.simpleString()))
+    names = ["text", "resolved_section", "n_tokens", "climbed", "anchor_start", "anchor_end", "windowed", "note"]
+    blocks = joined.mapInPandas(run, BLOCK.format(id=elements.schema["doc_id"].dataType.simpleString()) + ", most double, lang string")
+    return blocks.withColumn("text", capped(F.col("text"), F.col("most"), text_per_token(F.col("lang")))).drop("most", "lang")
 
 
 def fold_by_section(hits: DataFrame) -> DataFrame:

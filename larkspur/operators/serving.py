@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.functions.text import cjk_share
+from larkspur.functions.text import capped, cjk_share, per_token
 from larkspur.operators import context, structure
 from larkspur.operators.acl import admits
-from larkspur.operators.chunking import per_token
 
 ACL = ("acl_tenant", "acl_allow", "acl_visibility", "acl_unset")
 
@@ -40,19 +39,10 @@ def whole_documents(elements: DataFrame, tenant: str, principals: list[str], mos
     """doc_id, text, n_tokens, n_elements_visible, truncated."""
     own = F.when(F.coalesce("text", F.lit("")) != "", F.col("text")).when(F.size("list_items") > 0, F.array_join("list_items", " ")).otherwise(F.coalesce("caption", F.lit("")))
     rows = visible_elements(elements, tenant, principals).groupBy("doc_id").agg(F.first("lang").alias("lang"), F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("idx", F.trim(own).alias("t")))).alias("l"))
-    joined = rows.select("doc_id", "lang", "n", F.array_join(F.filter("l.t", lambda t: t != ""), "\n").alias("text"))
-
-    def run(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            out = []
-            for doc, lang, n, text in pdf.itertuples(index=False):
-                cut = context.capped(text, most, per_token(lang))
-                out.append((doc, cut, round(len(cut) / per_token(lang)), n, len(cut) < len(text)))
-            yield pd.DataFrame(out, columns=["doc_id", "text", "n_tokens", "n_elements_visible", "truncated"])
-
-    return joined.mapInPandas(run, f"doc_id {elements.schema['doc_id'].dataType.simpleString()}, text string, n_tokens int, n_elements_visible long, truncated boolean")
+    joined = rows.select("doc_id", "lang", "n", F.array_join(F.filter("l.t", lambda t: t != ""), "\n").alias("whole"))
+    cut = joined.withColumn("text", capped(F.col("whole"), F.lit(most), per_token(F.col("lang"))))
+    tokens = F.bround(F.length("text") / per_token(F.col("lang")), 0).cast("int")
+    return cut.select("doc_id", "text", tokens.alias("n_tokens"), F.col("n").alias("n_elements_visible"), (F.length("text") < F.length("whole")).alias("truncated"))
 
 
 def expand(chunks: DataFrame, chunk_ids: list[str], elements: DataFrame, tenant: str, principals: list[str], target: int = 1500) -> DataFrame:

@@ -79,7 +79,9 @@ def test_sentences_of_unspaced_text_stay_whole():
 
 
 def doc(lines, sections, limits, admitted=()):
-    return context.Document("d", lines, [True] * len(lines), [0] * len(lines), sections, 4.0, limits, list(admitted))
+    out = context.Document("d", lines, [True] * len(lines), [0] * len(lines), sections, 4.0, limits)
+    out.admit(list(admitted))
+    return out
 
 
 def test_big_block_paths():
@@ -89,16 +91,21 @@ def test_big_block_paths():
     assert (whole["resolved_section"], whole["climbed"]) == ("d::s4", 0)
     assert doc(lines, tree, (5, 90, 200)).big_block([4], 4, 0, 0)["climbed"] == 1
     over = doc(lines, tree, (5, 50, 60)).big_block([4], 4, 0, 0)
-    assert over["note"].startswith("climb overshoot") and over["n_tokens"] <= 60
+    assert over["note"] == context.OVERSHOT and over["n_tokens"] <= 60
     assert doc(lines, tree, (5, 8, 10)).big_block([4], 4, 0, 0)["note"] == "section>max -> window"
     assert doc(lines, {}, (5, 30, 60)).big_block([2], None, 0, 0)["resolved_section"] == "d::p0#window"
     closed = doc(lines, tree, (0, 5, 200), [i == 4 for i in range(10)]).big_block([4], 4, 0, 0)
     assert closed["text"] == "a" * 40
 
 
-def test_cap_keeps_the_first_line():
-    assert context.capped("ab cd ef gh\nx", 2, 4.0) == "ab cd"
-    assert context.capped("abc\nefg\nij", 2.5, 4.0) == "abc\nefg\nij" and context.capped("abc\nefg\nij", 1.75, 4.0) == "abc\nefg"
+CAPS = [("ab cd ef gh\nx", 2, 4.0, "ab cd"), ("abc\nefg\nij", 2.5, 4.0, "abc\nefg\nij"), ("abc\nefg\nij", 1.75, 4.0, "abc\nefg"), ("一二三四五六", 2, 1.7, "一二三"), ("abcdefghijkl", 2, 4.0, "abcdefgh"), ("", 1, 4.0, ""), ("a\n\nbcdef", 1, 4.0, "a\n")]
+
+
+def test_cap_keeps_the_first_line(spark):
+    df = spark.createDataFrame([(n, t, float(m), r) for n, (t, m, r, _) in enumerate(CAPS)], "n int, t string, m double, r double")
+    got = {r.n: r.c for r in df.select("n", X.capped(F.col("t"), F.col("m"), F.col("r")).alias("c")).collect()}
+    for n, (text, most, ratio, want) in enumerate(CAPS):
+        assert got[n] == want and context.capped_length(text.split("\n"), most, ratio) == len(want)
 
 
 @pytest.mark.parametrize("tenant,principals,seen", [("t", ["g"], {1, 2}), ("t", [], {2}), ("", ["g"], set()), ("u", ["g"], set())])
