@@ -21,6 +21,7 @@ import json
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -37,7 +38,7 @@ BLOCK_ROWS = 4096
 #: Batches that a table is taken in, and runs that an index holds before they are merged.
 BATCHES, FANOUT = 3, 1
 #: Hashes that a worker collects before it hands them on, and bytes of text for each bucket.
-PORTION, BUCKET_BYTES = 1 << 20, 64 << 20
+PORTION, BUCKET_BYTES = 1 << 19, 64 << 20
 RUN = "bucket int, fresh boolean, hashes binary, multi binary, owners binary, blocks binary"
 MERGED = "kind int, bucket int, block long, hashes binary, multi binary, owners binary, blocks binary"
 TOLD, KEPT = 0, 1
@@ -209,11 +210,25 @@ class Told:
             parts = []
             for uri, low, high in self.files:
                 if low <= block <= high:
-                    fs, path = file_system(uri)
-                    parts += [np.frombuffer(x, np.uint64) for x in pq.read_table(path, columns=["hashes"], filters=[("block", "=", block)], filesystem=fs).column(0).to_pylist()]
+                    parts += self._read(uri, block)
             self.block, self.hashes = block, np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
         return self.hashes
 
+    @staticmethod
+    def _read(uri: str, block: int) -> list[np.ndarray]:
+        """Only the row groups that may hold the block, one after another."""
+        fs, path = file_system(uri)
+        out = []
+        with fs.open_input_file(path) as source:
+            file = pq.ParquetFile(source)
+            at = file.schema_arrow.get_field_index("block")
+            for n in range(file.num_row_groups):
+                span = file.metadata.row_group(n).column(at).statistics
+                if span is None or span.min <= block <= span.max:
+                    rows = file.read_row_group(n, columns=["block", "hashes"], use_threads=False)
+                    out += [np.frombuffer(x, np.uint64) for x in rows.filter(pc.equal(rows.column("block"), block)).column("hashes").to_pylist()]
+        return out
+
 
 class FingerprintIndex:
     """A folder of runs. Its state is what the manifest says, so a batch that failed leaves it as it was."""
@@ -233,7 +248,7 @@ class FingerprintIndex:
             run = self.spark.read.schema(MERGED).parquet(path).filter(F.col("kind") == KEPT)
             rows = rows.unionByName(run.select("bucket", F.lit(False).alias("fresh"), "hashes", "multi", "owners", "blocks"))
         path = f"{self.folder}/run-{self.batches:06d}"
-        rows.groupBy("bucket").applyInArrow(_merge(compact, keep), MERGED).write.mode("overwrite").partitionBy("kind").parquet(path)
+        rows.groupBy("bucket").applyInArrow(_merge(compact, keep), MERGED).write.mode("overwrite").parquet(path)
         self.joins, self.compactions, self.batches = self.joins + bool(self.runs), self.compactions + compact, self.batches + 1
         gone = self.runs if compact else []
         self.runs = [*([] if compact else self.runs), *([path] if keep else [])]
@@ -241,7 +256,7 @@ class FingerprintIndex:
         n = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
         # small row groups, as a block is read by itself
         told.repartitionByRange(n, "block").sortWithinPartitions("block").write.mode("overwrite").option("parquet.block.size", 4 << 20).parquet(folder)
-        for old in [*gone, f"{path}/kind={TOLD}"]:
+        for old in gone if keep else [path]:
             dropped(self.spark, old)
         span = self.spark.read.schema("block long, hashes binary").parquet(folder).groupBy(F.col("_metadata.file_name").alias("name")).agg(F.min("block").alias("low"), F.max("block").alias("high"))
         return [(f"{folder}/{r.name}", r.low, r.high) for r in span.collect()]  # a row per file
