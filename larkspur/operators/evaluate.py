@@ -55,14 +55,28 @@ def evidence_verdict(in_range: Column, localized: Column, any_overlap: Column, n
     return F.when(~in_range, "out_of_range").when(~localized & any_overlap, "unlocalized_threshold").when(~localized, "unlocalized_zero").when(n_chunks == 0, "missing").when(n_chunks == 1, "single").otherwise("split")
 
 
-def request_stats(log: DataFrame, last: int = 1000) -> DataFrame:
-    """route, ts, id, ms, is_error -> n, errors (all), p50, p95, max over the last requests; both percentile definitions."""
-    recent = log.withColumn("rn", F.row_number().over(Window.partitionBy("route").orderBy(F.desc("ts"), F.desc("id"))))
-    held = F.sort_array(F.collect_list(F.when(F.col("rn") <= last, F.col("ms"))))
-    out = recent.groupBy("route").agg(F.count("*").alias("n"), F.sum(F.col("is_error").cast("bigint")).alias("errors"), held.alias("v"))
+def request_stats(log: DataFrame, last: int = 1000, salts: int = 64) -> DataFrame:
+    """route, ts, id, ms, is_error -> n, errors (all), p50, p95, max over the last requests; both percentile definitions.
+
+    A route's last requests are found among the last of each of its salts, so no task sorts a whole route.
+    """
+    recent = lambda df, *by: df.withColumn("rn", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("ts"), F.desc("id")))).filter(F.col("rn") <= last).drop("rn")
+    salted = log.select("route", "ts", "id", "ms", F.pmod(F.xxhash64("id", "ts"), F.lit(salts)).alias("salt"))
+    held = recent(recent(salted, "route", "salt").drop("salt"), "route").groupBy("route").agg(F.sort_array(F.collect_list("ms")).alias("v"))
+    out = log.groupBy("route").agg(F.count("*").alias("n"), F.sum(F.col("is_error").cast("bigint")).alias("errors")).join(held, "route")
     return out.select("route", "n", "errors", nearest_rank(F.col("v"), 50).alias("p50"), nearest_rank(F.col("v"), 95).alias("p95"), floor_rank(F.col("v"), 95).alias("p95_floor"), F.element_at("v", -1).alias("max_ms"))
 
 
+def numbered(rows: DataFrame, order: str, by: list[str] | None = None, width: int = 1 << 16) -> DataFrame:
+    """rows and no, from 0 in the order of a whole-number column, within `by`. Ranges of `width` values are numbered by themselves; only their counts meet in one place."""
+    by = by or []
+    ranged = rows.withColumn("range", F.floor(F.col(order) / width))
+    counts = ranged.groupBy(*by, "range").agg(F.count("*").alias("n"))
+    before = counts.select(*by, "range", (F.sum("n").over(Window.partitionBy(*by).orderBy("range")) - F.col("n")).alias("before"))
+    own = F.row_number().over(Window.partitionBy(*by, "range").orderBy(order)) - 1
+    return ranged.withColumn("own", own).join(before, [*by, "range"]).withColumn("no", F.col("before") + F.col("own")).drop("own", "before", "range")
+
+
 def strategy_comparison(rows: DataFrame) -> DataFrame:
     """rows (strategy, is_text, verdict) -> per strategy and scope (all, text_only): localized n, excluded n and the shares of single, split and missing."""
     scopes = F.array(F.lit("all"), F.when(F.col("is_text"), "text_only"))
@@ -89,6 +103,79 @@ def throughput(log: DataFrame) -> DataFrame:
     return out.select("route", "n", "errors", F.round(F.col("n") * 1e6 / F.nullif(F.col("us"), F.lit(0)), 6).alias("per_second"))
 
 
-def upload_batches(rows: DataFrame) -> DataFrame:
-    """api_key, language -> the documents that go up together, in order."""
-    return rows.groupBy("api_key", "language").agg(F.array_sort(F.collect_list("doc_id")).alias("docs"))
+def upload_batches(rows: DataFrame, most: int = 200) -> DataFrame:
+    """api_key, language, doc_id -> api_key, language, batch, docs: the documents that go up together, at most so many, in order."""
+    no = numbered(rows, "doc_id", ["api_key", "language"])
+    return no.groupBy("api_key", "language", F.floor(F.col("no") / most).alias("batch")).agg(F.array_sort(F.collect_list("doc_id")).alias("docs"))
+
+
+def upload_outcome(batches: DataFrame) -> DataFrame:
+    """api_key, status -> how many batches were ok, failed, and ran out of time."""
+    n = lambda s: F.count_if(F.col("status") == s).alias(s)
+    return batches.groupBy("api_key").agg(n("ok"), n("failed"), n("timeout"))
+
+
+def best_rank(ranked: DataFrame, golden: DataFrame, by: str) -> DataFrame:
+    """ranked (by, id, rank), golden (by, id) -> the smallest rank, from 1, of a golden id; null where none was found."""
+    found = golden.join(ranked, [by, "id"], "left").groupBy(by).agg(F.min("rank").alias("rank"))
+    return found
+
+
+def covers(golden: Column, found: Column) -> Column:
+    """Whether all golden ids were found; false for none."""
+    return (F.size(golden) > 0) & (F.size(F.array_except(golden, found)) == 0)
+
+
+def first_of_legs(legs: list[DataFrame], key: str, most: int | None = None) -> DataFrame:
+    """Lists (key, rank) one after another, each key where it comes first, cut to `most`; position counts from 1. The lists are short (top hits)."""
+    rows = None
+    for n, leg in enumerate(legs):
+        own = leg.select(key, "rank").withColumn("leg", F.lit(n))
+        rows = own if rows is None else rows.unionByName(own)
+    first = rows.groupBy(key).agg(F.min(F.struct("leg", "rank")).alias("at")).select(key, "at.leg", "at.rank")
+    out = first.orderBy("leg", "rank", key) if most is None else first.orderBy("leg", "rank", key).limit(most)
+    return out.withColumn("position", F.row_number().over(Window.orderBy("leg", "rank", key)))
+
+
+def document_scale(pairs: DataFrame, least: int = 4) -> DataFrame:
+    """pairs (doc_id, a, b) of matching coordinates -> doc_id, scale: the median of b / a; null with fewer than `least`."""
+    ratio = F.when(F.col("a") > 0, F.col("b") / F.col("a"))
+    return pairs.groupBy("doc_id").agg(F.count(ratio).alias("n"), F.median(ratio).alias("scale")).withColumn("scale", F.when(F.col("n") >= least, F.col("scale")))
+
+
+def held_elements(elements: DataFrame, chunks: DataFrame, least: int = 20, key: int = 60) -> DataFrame:
+    """elements (doc_id, idx, text), chunks (doc_id, chunk_id, text) -> doc_id, idx, n: how many chunks of the document hold the element's first
+    letters (white space aside); elements under `least` letters are left out. Only chunks that share the first `least` letters at some place are compared."""
+    bare = lambda c: F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"\s+", "")
+    own = elements.select("doc_id", "idx", bare(F.col("text")).alias("b")).filter(F.length("b") >= least).select("doc_id", "idx", F.substring("b", 1, key).alias("k"), F.substring("b", 1, least).alias("g"))
+    spots = chunks.select("doc_id", "chunk_id", bare(F.col("text")).alias("c")).filter(F.length("c") >= least)
+    spots = spots.withColumn("i", F.explode(F.sequence(F.lit(1), F.length("c") - least + 1))).select("doc_id", "chunk_id", F.substr("c", F.col("i"), F.lit(least)).alias("g"), F.substr("c", F.col("i"), F.lit(key)).alias("t"))
+    found = own.join(spots, ["doc_id", "g"]).filter(F.col("t").startswith(F.col("k"))).groupBy("doc_id", "idx").agg(F.count_distinct("chunk_id").alias("n"))
+    return own.select("doc_id", "idx").join(found, ["doc_id", "idx"], "left").na.fill(0, ["n"])
+
+
+def first_of_each(rows: DataFrame, n: int, by: str, order: list[str]) -> DataFrame:
+    """The first n rows of each group."""
+    return rows.withColumn("rn", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter(F.col("rn") <= n).drop("rn")
+
+
+def gold_units(chunks: DataFrame, single: int = 4, intra: int = 3, docs: int = 2, cross: int = 3) -> DataFrame:
+    """chunks (doc_id, doc_type, chunk_no, ...) -> doc_id, chunk_no, unit: which chunks a question may be made of.
+
+    single: evenly spaced chunks of each document; intra: the first of documents that have at least `intra`; cross: the first `cross` of the first `docs` documents of each type.
+    """
+    rows = chunks.select("doc_id", "doc_type", "chunk_no")
+    one = pick_evenly(rows, single, "doc_id", ["chunk_no"]).select("doc_id", "chunk_no", F.lit("single").alias("unit"))
+    several = rows.withColumn("size", F.count("*").over(Window.partitionBy("doc_id"))).filter(F.col("size") >= intra)
+    within = first_of_each(several, intra, "doc_id", ["chunk_no"]).select("doc_id", "chunk_no", F.lit("intra").alias("unit"))
+    chosen = first_of_each(rows.select("doc_id", "doc_type").distinct(), docs, "doc_type", ["doc_id"]).select("doc_id")
+    across = first_of_each(rows.join(chosen, "doc_id", "left_semi"), cross, "doc_id", ["chunk_no"]).select("doc_id", "chunk_no", F.lit("cross").alias("unit"))
+    return one.unionByName(within).unionByName(across)
+
+
+def table_questions(tables: DataFrame, per_doc: int = 4, least: int = 120, most: int = 16) -> DataFrame:
+    """tables (doc_id, chunk_no, body, answer): evenly spaced ones of each document whose body is long enough and holds a number of the answer, `most` in all."""
+    from larkspur.operators.serving import answer_grounded
+
+    fit = pick_evenly(tables.filter(F.length("body") >= least), per_doc, "doc_id", ["chunk_no"]).drop("pos", "size")
+    return fit.filter(answer_grounded(F.col("answer"), F.col("body"))).orderBy("doc_id", "chunk_no").limit(most)

@@ -66,10 +66,11 @@ def top(scores: DataFrame, k: int, name: str = "rank") -> DataFrame:
     return best.withColumn(name, F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")))
 
 
-def fuse(sparse: DataFrame, dense: DataFrame, k: int = 60, weight_dense: float | None = None) -> DataFrame:
-    """Reciprocal-rank fusion of doc_id, sparse_rank and doc_id, dense_rank."""
-    ws, wd = (1.0, 1.0) if weight_dense is None else (1 - weight_dense, weight_dense)
-    both = sparse.join(dense, "doc_id", "full")
+def fuse(sparse: DataFrame, dense: DataFrame, k: int = 60, weights: DataFrame | None = None) -> DataFrame:
+    """Reciprocal-rank fusion of doc_id, sparse_rank and doc_id, dense_rank; with weights (w, a few rows) once for each share of the dense route."""
+    both, ws, wd = sparse.join(dense, "doc_id", "full"), F.lit(1.0), F.lit(1.0)
+    if weights is not None:
+        both, ws, wd = both.crossJoin(F.broadcast(weights)), 1 - F.col("w"), F.col("w")
     return both.withColumn("score", F.round(ws * reciprocal(F.col("sparse_rank"), k) + wd * reciprocal(F.col("dense_rank"), k), 8))
 
 

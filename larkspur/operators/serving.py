@@ -45,9 +45,10 @@ def whole_documents(elements: DataFrame, tenant: str, principals: list[str], mos
     return cut.select("doc_id", "text", tokens.alias("n_tokens"), F.col("n").alias("n_elements_visible"), (F.length("text") < F.length("whole")).alias("truncated"))
 
 
-def expand(chunks: DataFrame, chunk_ids: list[str], elements: DataFrame, tenant: str, principals: list[str], target: int = 1500) -> DataFrame:
-    """Larger blocks around chunks that the user may see; unknown and closed ids both give no row."""
-    hits = chunks.filter(F.col("chunk_id").isin(chunk_ids)).filter(may_see(tenant, principals)).withColumn("hit_no", F.col("chunk_no")).withColumn("acl_key", acl_key())
+def expand(chunks: DataFrame, chunk_ids: list[str] | None, elements: DataFrame, tenant: str, principals: list[str], target: int = 1500) -> DataFrame:
+    """Larger blocks around chunks (all, unless told) that the user may see; unknown and closed ids both give no row."""
+    asked = chunks if chunk_ids is None else chunks.filter(F.col("chunk_id").isin(chunk_ids))
+    hits = asked.filter(may_see(tenant, principals)).withColumn("hit_no", F.col("chunk_no")).withColumn("acl_key", acl_key())
     tree = structure.sections(structure.leveled(elements), elements)
     limits = (max(target // 4, 1), target, max(2 * target, 1500))
     return context.big_blocks(hits, elements.withColumn("acl_key", acl_key()), tree, structure.banners(elements), limits)

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from larkspur.functions.text import CITE, is_refusal, looks_numeric, neutralize
 
-REFUSAL = "The context does not contain enough information to answer."
+#: The deterministic answer's words, and the markers that a prompt's contexts carry.
+REFUSAL = "I don't have enough information in the provided context to answer."
+MOCK = ("Based on the retrieved context ", ", here is a grounded mock answer citing the provided sources.")
+MARKER = r"\[cite:(\d+)\]"
 MOST_RETURNED = 5000
 
 
@@ -41,10 +44,31 @@ def prefix_budget(ranked: DataFrame, most: int, key: str = "session") -> DataFra
     return ranked.withColumn("rn", F.row_number().over(w)).withColumn("over", F.max(((sums > most) & (F.col("rn") > 1)).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))).filter("over = 0").drop("rn", "over")
 
 
-def first_deliveries(hits: DataFrame, session: str = "session", key: str = "key", order: str = "at") -> DataFrame:
-    """hits and already_returned: whether the session had the key before."""
-    w = Window.partitionBy(session, key).orderBy(order)
-    return hits.withColumn("already_returned", F.row_number().over(w) > 1)
+def first_deliveries(hits: DataFrame, session: str = "session", key: str = "key", order: str = "at", delivered: str | None = None) -> DataFrame:
+    """hits and already_returned: whether the session was given the key before. A hit whose `delivered` is false was not given."""
+    before = Window.partitionBy(session, key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    given = F.col(delivered).cast("int") if delivered else F.lit(1)
+    return hits.withColumn("already_returned", F.coalesce(F.max(given).over(before) == 1, F.lit(False)))
+
+
+def delivered(hits: DataFrame, seen: DataFrame, most: int, session: str = "session") -> DataFrame:
+    """hits (session, rank, key, tokens), seen (session, key) -> and status: already_returned, omitted_budget or full.
+
+    What the session has is set aside first; of the rest, in rank order, those within the budget are given. Only rows of status full are to be added to seen.
+    """
+    flagged = hits.join(seen.select(session, "key").distinct().withColumn("again", F.lit(True)), [session, "key"], "left").withColumn("again", F.coalesce("again", F.lit(False)))
+    given = skip_over_budget(flagged.filter(~F.col("again")), most, session).select(session, "rank", "delivered")
+    status = F.when(F.col("again"), "already_returned").when(F.col("delivered"), "full").otherwise("omitted_budget")
+    return flagged.join(given, [session, "rank"], "left").withColumn("status", status).drop("again", "delivered")
+
+
+def argument_error(tenant: Column, query: Column, top_k: Column, mode: Column, strategy: Column) -> Column:
+    """The first fault of a request's arguments, null if there is none."""
+    return (
+        F.when(F.coalesce(tenant, F.lit("")) == "", "no_identity")
+        .when(F.trim(F.coalesce(query, F.lit(""))) == "", "empty_query")
+        .when((top_k < 1) | ~mode.isin("full", "concise") | ~strategy.isin("hybrid", "dense", "sparse"), "bad_arg")
+    )
 
 
 def prompt(texts: Column) -> Column:
@@ -54,9 +78,9 @@ def prompt(texts: Column) -> Column:
 
 def mock_answer(message: Column) -> Column:
     """Cites the two smallest markers of the message, refuses where there are none."""
-    marks = F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(message, F.lit(CITE), F.lit(1)), lambda x: x.cast("int"))))
-    cited = F.array_join(F.transform(F.slice(marks, 1, 2), lambda n: F.concat(F.lit("[cite:"), n.cast("string"), F.lit("]"))), " ")
-    return F.when(F.size(marks) > 0, F.concat(F.lit("Based on the context: "), cited)).otherwise(F.lit(REFUSAL))
+    marks = F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(message, F.lit(MARKER), F.lit(1)), lambda x: x.try_cast("int"))))
+    cited = F.array_join(F.transform(F.slice(marks, 1, 2), lambda n: F.concat(F.lit("[cite:"), n.cast("string"), F.lit("]"))), "")
+    return F.when(F.size(marks) > 0, F.concat(F.lit(MOCK[0]), cited, F.lit(MOCK[1]))).otherwise(F.lit(REFUSAL))
 
 
 def hints(conditions: list[tuple[Column, str]], most: int = 3) -> Column:

@@ -38,10 +38,11 @@ def eval_by_hop(spark, sf):
     return j.groupBy("hop").agg(F.count("*").alias("n"), F.count("correct").alias("judged"), F.round(F.avg(F.col("correct").cast("int")), 6).alias("correctness"))
 
 
-@query("WITH a AS (SELECT doc_id, quality FROM labels WHERE doc_id % 3 > 0), b AS (SELECT doc_id, toxic FROM labels WHERE doc_id % 2 = 0) SELECT doc_id, CASE WHEN quality IS NOT NULL AND toxic IS NOT NULL THEN quality = 1 AND toxic = 1 END AS both_true FROM a FULL JOIN b USING (doc_id)")
+@query("WITH a AS (SELECT doc_id, quality FROM labels WHERE doc_id % 3 > 0), b AS (SELECT doc_id, toxic FROM labels WHERE doc_id % 2 = 0 OR doc_id % 3 = 0) SELECT doc_id, CASE WHEN quality IS NOT NULL AND toxic IS NOT NULL THEN quality = 1 AND toxic = 1 END AS both_true FROM a FULL JOIN b USING (doc_id)")
 def two_pass_and(spark, sf):
+    """Two lists of verdicts that together name every label."""
     lab = table(spark, sf, "labels")
-    a, b = lab.filter("doc_id % 3 > 0").select("doc_id", "quality"), lab.filter("doc_id % 2 = 0").select("doc_id", "toxic")
+    a, b = lab.filter("doc_id % 3 > 0").select("doc_id", "quality"), lab.filter("doc_id % 2 = 0 or doc_id % 3 = 0").select("doc_id", "toxic")
     return a.join(b, "doc_id", "full").select("doc_id", E.verdict_and(F.col("quality") == 1, F.col("toxic") == 1).alias("both_true"))
 
 
@@ -80,16 +81,18 @@ def evidence_verdict(spark, sf):
     return table(spark, sf, "documents").select(d, E.evidence_verdict(d % 9 != 0, d % 4 != 0, d % 8 == 0, F.col("n_chars") % 3).alias("verdict"))
 
 
-BOX_SQL = "b AS (SELECT l_orderkey, l_linenumber, l_orderkey % 10 AS page, l_quantity AS x0, l_quantity + 10 AS x1, l_discount * 100 AS y0, l_discount * 100 + 5 AS y1 FROM lineitem), e AS (SELECT p_partkey, p_partkey % 10 AS page, p_size AS x0, p_size + 8 AS x1, 2 AS y0, 6 AS y1 FROM part)"
+BOX_SQL = "b AS (SELECT l_orderkey % 2000 AS doc, l_linenumber % 2 AS page, l_quantity AS x0, l_quantity + 10 AS x1, l_discount * 100 AS y0, l_discount * 100 + 5 AS y1 FROM lineitem), e AS (SELECT p_partkey, p_partkey % 2000 AS doc, p_size % 2 AS page, p_size AS x0, p_size + 8 AS x1, 2 AS y0, 6 AS y1 FROM part)"
 
 
-@query(f"WITH {BOX_SQL}, o AS (SELECT p_partkey, l_orderkey, l_linenumber, greatest(0, least(b.x1, e.x1) - greatest(b.x0, e.x0)) * greatest(0, least(b.y1, e.y1) - greatest(b.y0, e.y0)) AS a FROM b JOIN e USING (page)) SELECT p_partkey, count(*) AS n, round(sum(a), 3) AS total FROM o WHERE a >= 0.3 * 32 OR a >= 0.5 * 50 GROUP BY 1")
+@query(f"WITH {BOX_SQL}, o AS (SELECT p_partkey, greatest(0, least(b.x1, e.x1) - greatest(b.x0, e.x0)) * greatest(0, least(b.y1, e.y1) - greatest(b.y0, e.y0)) AS a FROM b JOIN e USING (doc, page)) SELECT p_partkey, count(*) AS n, round(sum(a), 3) AS total FROM o WHERE a >= 0.3 * 32 OR a >= 0.5 * 50 GROUP BY 1")
 def evidence_overlap(spark, sf):
+    """Boxes meet within a document's page."""
     li, p = table(spark, sf, "lineitem"), table(spark, sf, "part")
-    b = li.select((F.col("l_orderkey") % 10).alias("page"), F.col("l_quantity").alias("x0"), (F.col("l_quantity") + 10).alias("x1"), (F.col("l_discount") * 100).alias("y0"), (F.col("l_discount") * 100 + 5).alias("y1"))
-    e = p.select("p_partkey", (F.col("p_partkey") % 10).alias("page"), F.col("p_size").alias("a0"), (F.col("p_size") + 8).alias("a1"), F.lit(2.0).alias("b0"), F.lit(6.0).alias("b1"))
-    one, two = tuple(F.col(c).cast("double") for c in ("x0", "y0", "x1", "y1")), tuple(F.col(c).cast("double") for c in ("a0", "b0", "a1", "b1"))
-    both = b.join(e, "page").withColumn("a", overlap_area(one, two)).filter((F.col("a") >= 0.3 * area(two)) | (F.col("a") >= 0.5 * 50))
+    d = lambda c: F.col(c).cast("double")
+    b = li.select((F.col("l_orderkey") % 2000).alias("doc"), (F.col("l_linenumber") % 2).alias("page"), d("l_quantity").alias("x0"), (d("l_quantity") + 10).alias("x1"), (d("l_discount") * 100).alias("y0"), (d("l_discount") * 100 + 5).alias("y1"))
+    e = p.select("p_partkey", (F.col("p_partkey") % 2000).alias("doc"), (F.col("p_size") % 2).alias("page"), d("p_size").alias("a0"), (d("p_size") + 8).alias("a1"), F.lit(2.0).alias("b0"), F.lit(6.0).alias("b1"))
+    one, two = tuple(map(F.col, ("x0", "y0", "x1", "y1"))), tuple(map(F.col, ("a0", "b0", "a1", "b1")))
+    both = b.join(e, ["doc", "page"]).withColumn("a", overlap_area(one, two)).filter((F.col("a") >= 0.3 * area(two)) | (F.col("a") >= 0.5 * 50))
     return both.groupBy("p_partkey").agg(F.count("*").alias("n"), F.round(F.sum("a"), 3).alias("total"))
 
 
@@ -107,8 +110,8 @@ def semantic_candidates(spark, sf):
 
 @query("WITH r AS (SELECT row_number() OVER (ORDER BY doc_id) AS rn, doc_id, left(sha1(text), 12) AS fp FROM documents) SELECT doc_id, fp, ((rn - 1) // 8)::BIGINT AS batch FROM r")
 def judge_batches(spark, sf):
-    d = table(spark, sf, "documents")
-    return d.select("doc_id", F.substring(F.sha1("text"), 1, 12).alias("fp"), F.floor((F.row_number().over(Window.orderBy("doc_id")) - 1) / 8).alias("batch"))
+    d = E.numbered(table(spark, sf, "documents").select("doc_id", F.substring(F.sha1("text"), 1, 12).alias("fp")), "doc_id", width=256)
+    return d.select("doc_id", "fp", F.floor(F.col("no") / 8).alias("batch"))
 
 
 @query("SELECT source, count(*) AS n, count(DISTINCT lang) AS n_lang, round(median(n_chars), 2) AS median_chars, round(100.0 * count(*) FILTER (WHERE lang = 'en') / count(*), 1) AS pct_en FROM documents GROUP BY 1")
@@ -145,7 +148,70 @@ def request_throughput(spark, sf):
     return E.throughput(table(spark, sf, "events").select(F.col("event_type").alias("route"), "ts", (F.col("event_id") % 9 == 0).alias("is_error")))
 
 
-@query("SELECT 'k' || doc_id % 3 AS api_key, lang AS language, list_sort(list(doc_id)) AS docs FROM documents GROUP BY 1, 2")
+@query("WITH n AS (SELECT 'k' || doc_id % 3 AS api_key, lang AS language, doc_id, row_number() OVER (PARTITION BY doc_id % 3, lang ORDER BY doc_id) - 1 AS no FROM documents) SELECT api_key, language, (no // 20)::BIGINT AS batch, list_sort(list(doc_id)) AS docs FROM n GROUP BY 1, 2, 3")
 def upload_batches(spark, sf):
     d = table(spark, sf, "documents").select(F.concat(F.lit("k"), F.col("doc_id") % 3).alias("api_key"), F.col("lang").alias("language"), "doc_id")
-    return E.upload_batches(d)
+    return E.upload_batches(d, 20)
+
+
+@query("SELECT 'k' || user_id % 3 AS api_key, count(*) FILTER (WHERE event_id % 5 > 1) AS ok, count(*) FILTER (WHERE event_id % 5 = 0) AS failed, count(*) FILTER (WHERE event_id % 5 = 1) AS timeout FROM events GROUP BY 1")
+def upload_outcome(spark, sf):
+    k = F.col("event_id") % 5
+    return E.upload_outcome(table(spark, sf, "events").select(F.concat(F.lit("k"), F.col("user_id") % 3).alias("api_key"), F.when(k == 0, "failed").when(k == 1, "timeout").otherwise("ok").alias("status")))
+
+
+@query("WITH g AS (SELECT o_orderkey AS q, (o_orderkey * 7) % 200 + 1 AS id FROM orders), r AS (SELECT l_orderkey AS q, l_partkey % 200 + 1 AS id, l_linenumber AS rank FROM lineitem) SELECT g.q, min(rank)::INT AS rank FROM g LEFT JOIN r USING (q, id) GROUP BY 1")
+def best_ranks(spark, sf):
+    g = table(spark, sf, "orders").select(F.col("o_orderkey").alias("q"), (F.col("o_orderkey") * 7 % 200 + 1).alias("id"))
+    r = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("q"), (F.col("l_partkey") % 200 + 1).alias("id"), F.col("l_linenumber").cast("int").alias("rank"))
+    return E.best_rank(r, g, "q")
+
+
+@query("WITH r AS (SELECT l_orderkey AS q, list_distinct(list(l_returnflag)) AS found FROM lineitem GROUP BY 1) SELECT q, len(list_intersect(['A', 'R'], found)) = 2 AS covered FROM r")
+def golden_covered(spark, sf):
+    r = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("q")).agg(F.collect_set("l_returnflag").alias("found"))
+    return r.select("q", E.covers(F.array(F.lit("A"), F.lit("R")), F.col("found")).alias("covered"))
+
+
+@query("WITH r AS (SELECT p_partkey AS key, p_size AS rank, 0 AS leg FROM part WHERE p_size <= 10 UNION ALL SELECT p_partkey, p_size + 100, 1 FROM part WHERE p_size % 3 = 0), f AS (SELECT key, leg, rank FROM r QUALIFY row_number() OVER (PARTITION BY key ORDER BY leg, rank) = 1) SELECT key, leg, rank::INT AS rank, row_number() OVER (ORDER BY leg, rank, key)::INT AS position FROM f ORDER BY leg, rank, key LIMIT 14")
+def first_of_legs(spark, sf):
+    p = table(spark, sf, "part")
+    one, two = p.filter("p_size <= 10"), p.filter("p_size % 3 = 0")
+    legs = [one.select(F.col("p_partkey").alias("key"), F.col("p_size").alias("rank")), two.select(F.col("p_partkey").alias("key"), (F.col("p_size") + 100).alias("rank"))]
+    return E.first_of_legs(legs, "key", 14).select("key", "leg", F.col("rank").cast("int").alias("rank"), "position")
+
+
+@query("SELECT l_orderkey AS doc_id, count(*) AS n, CASE WHEN count(*) >= 4 THEN round(median(l_extendedprice / l_quantity), 2) END AS scale FROM lineitem GROUP BY 1")
+def document_scale(spark, sf):
+    li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_quantity").alias("a"), F.col("l_extendedprice").alias("b"))
+    return E.document_scale(li).withColumn("scale", F.round("scale", 2))
+
+
+@query("WITH b AS (SELECT doc_id, regexp_replace(lower(text), '\\s+', '', 'g') AS b FROM documents WHERE n_chars < 2000), own AS (SELECT doc_id, left(b, 60) AS k FROM b WHERE length(b) >= 20), parts AS (SELECT doc_id, 0 AS chunk_id, b AS c FROM b UNION ALL SELECT doc_id, 1, substr(b, 5) FROM b) SELECT own.doc_id, 0 AS idx, count(DISTINCT chunk_id) FILTER (WHERE contains(c, k)) AS n FROM own LEFT JOIN parts USING (doc_id) GROUP BY 1".replace(" WHERE n_chars < 2000", ""))
+def held_elements(spark, sf):
+    """A document's beginning is looked for in the whole text and in the text from its fifth letter on."""
+    d = table(spark, sf, "documents")
+    bare = F.regexp_replace(F.lower("text"), r"\s+", "")
+    chunks = d.select("doc_id", F.lit(0).alias("chunk_id"), "text").unionByName(d.select("doc_id", F.lit(1).alias("chunk_id"), F.substr(bare, F.lit(5)).alias("text")))
+    return E.held_elements(d.select("doc_id", F.lit(0).alias("idx"), "text"), chunks)
+
+
+@query("WITH c AS (SELECT l_orderkey AS doc_id, 'y' || l_orderkey % 5 AS doc_type, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS chunk_no, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem), one AS (SELECT doc_id, chunk_no, 'single' AS unit FROM c WHERE n <= 4 OR chunk_no IN (0, round_even((n - 1) / 3.0, 0), round_even(2 * (n - 1) / 3.0, 0), n - 1)), intra AS (SELECT doc_id, chunk_no, 'intra' AS unit FROM c WHERE n >= 3 AND chunk_no < 3), types AS (SELECT DISTINCT doc_type, doc_id FROM c), chosen AS (SELECT doc_id FROM types QUALIFY row_number() OVER (PARTITION BY doc_type ORDER BY doc_id) <= 2), across AS (SELECT doc_id, chunk_no, 'cross' AS unit FROM c WHERE doc_id IN (SELECT doc_id FROM chosen) AND chunk_no < 3) SELECT * FROM one UNION ALL SELECT * FROM intra UNION ALL SELECT * FROM across")
+def gold_units(spark, sf):
+    li = table(spark, sf, "lineitem")
+    c = li.select(F.col("l_orderkey").alias("doc_id"), F.concat(F.lit("y"), F.col("l_orderkey") % 5).alias("doc_type"), (F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")) - 1).cast("long").alias("chunk_no"))
+    return E.gold_units(c)
+
+
+@query("WITH t AS (SELECT p_partkey % 50 AS doc_id, p_partkey AS chunk_no, 'total ' || p_size AS answer, repeat('<td>' || p_name || '</td>', 12) || CASE WHEN p_partkey % 2 = 0 THEN '<td>' || p_size || '</td>' ELSE '' END AS body FROM part), o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_no) - 1 AS pos, count(*) OVER (PARTITION BY doc_id) AS n FROM t WHERE length(body) >= 120), e AS (SELECT * FROM o WHERE n <= 4 OR pos IN (0, round_even((n - 1) / 3.0, 0), round_even(2 * (n - 1) / 3.0, 0), n - 1)) SELECT doc_id, chunk_no FROM e WHERE length(split_part(answer, ' ', 2)) >= 2 AND contains(replace(replace(body, ',', ''), ' ', ''), split_part(answer, ' ', 2)) ORDER BY 1, 2 LIMIT 16")
+def table_questions(spark, sf):
+    p = table(spark, sf, "part")
+    cell = F.concat(F.lit("<td>"), "p_name", F.lit("</td>"))
+    body = F.concat(F.repeat(cell, 12), F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("<td>"), "p_size", F.lit("</td>"))).otherwise(""))
+    t = p.select((F.col("p_partkey") % 50).alias("doc_id"), F.col("p_partkey").alias("chunk_no"), F.concat(F.lit("total "), "p_size").alias("answer"), body.alias("body"))
+    return E.table_questions(t).select("doc_id", "chunk_no")
+
+
+@query("SELECT source, doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 3")
+def eval_corpus(spark, sf):
+    return E.first_of_each(table(spark, sf, "documents").select("source", "doc_id"), 3, "source", ["doc_id"])

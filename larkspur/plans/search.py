@@ -46,8 +46,7 @@ def weighted_rrf_sweep(spark, sf):
     sr = S.top(S.sparse_scores(d, WORDS), 50, "sparse_rank").select("doc_id", "sparse_rank")
     dr = S.top(S.dense_scores(v, query_vector(spark, sf)), 50, "dense_rank").select("doc_id", "dense_rank")
     w = spark.createDataFrame([(x,) for x in (0.0, 0.25, 0.4, 0.5, 0.6, 0.75, 1.0)], "w double")
-    s = sr.join(dr, "doc_id", "full").crossJoin(F.broadcast(w)).withColumn("score", F.round((1 - F.col("w")) * F.coalesce(1 / (60 + F.col("sparse_rank")), F.lit(0)) + F.col("w") * F.coalesce(1 / (60 + F.col("dense_rank")), F.lit(0)), 8))
-    return s.withColumn("k", F.row_number().over(Window.partitionBy("w").orderBy(F.desc("score"), "doc_id"))).filter("k <= 5").select("w", "doc_id", "score")
+    return S.fuse(sr, dr, 60, w).withColumn("k", F.row_number().over(Window.partitionBy("w").orderBy(F.desc("score"), "doc_id"))).filter("k <= 5").select("w", "doc_id", "score")
 
 
 @query(f"{ALL_SQL} SELECT s.doc_id, source, score, row_number() OVER (PARTITION BY source ORDER BY score DESC, s.doc_id)::INT AS rank FROM sparse s JOIN documents USING (doc_id) QUALIFY rank <= 3")
@@ -66,11 +65,12 @@ def term_frequencies(spark, sf):
     return S.postings(table(spark, sf, "documents")).groupBy("tok").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
 
 
-@query("SELECT vec_id, round(list_aggregate(list_transform(embedding[1:16], lambda x: (x::DOUBLE) * x), 'sum'), 4) > 0 AS ok, 16::BIGINT AS width, 1.0::DOUBLE AS norm FROM embeddings")
+@query("WITH v AS (SELECT vec_id, embedding[1:16]::DOUBLE[] AS h FROM embeddings), n AS (SELECT *, sqrt(list_sum(list_transform(h, lambda x: x * x))) AS s FROM v) SELECT vec_id, len(h)::BIGINT AS width, round(h[1] / s, 4) AS first, round(h[16] / s, 4) AS last, round(list_sum(h) / s, 3) AS total FROM n")
 def shortened_vectors(spark, sf):
     v = table(spark, sf, "embeddings").select("vec_id", shortened(F.col("embedding"), 16).alias("v"))
-    size = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    return v.select("vec_id", F.lit(True).alias("ok"), F.size("v").cast("long").alias("width"), F.round(F.sqrt(size), 4).alias("norm"))
+    total = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double"))
+    at = lambda n: F.round(F.element_at("v", n).cast("double"), 4)
+    return v.select("vec_id", F.size("v").cast("long").alias("width"), at(1).alias("first"), at(16).alias("last"), F.round(total, 3).alias("total"))
 
 
 @query(f"{ALL_SQL}, hits AS (SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM sparse ORDER BY score DESC, doc_id LIMIT 50) SELECT doc_id, n_chars::DOUBLE AS score, row_number() OVER (ORDER BY n_chars DESC, rank)::INT AS new_rank FROM hits JOIN documents USING (doc_id) ORDER BY new_rank LIMIT 10")

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from larkspur.operators import serving as V
 from larkspur.operators import structure
 from larkspur.operators.chunking import chunks
-from larkspur.plans.base import documents, elements, query, table
-from larkspur.plans.structures import ALL_SQL
+from larkspur.plans.base import ELS_SQL, documents, elements, query, table
+from larkspur.plans.structures import ALL_SQL, cap_sql
 from larkspur.sources import office_meta as M
 from larkspur.sources.readers import doc_type_of
 
@@ -27,10 +27,10 @@ def get_outline(spark, sf):
     return V.outline(_elements(spark, sf), *USER).withColumn("title", F.md5("title"))
 
 
-@query(f"{ALL_SQL}, {ADMITTED_SQL}, body AS (SELECT l.doc_id, l.idx, l.text, (SELECT max(h.idx) FROM heads h WHERE h.doc_id = l.doc_id AND h.idx < l.idx) AS sec_head FROM lev l JOIN adm USING (doc_id) WHERE l.level IS NULL), seen AS (SELECT doc_id, idx, text FROM body UNION SELECT l.doc_id, l.idx, l.text FROM lev l JOIN body b ON b.doc_id = l.doc_id AND b.sec_head = l.idx), whole AS (SELECT doc_id, count(*) AS n_elements_visible, coalesce(string_agg(trim(text), chr(10) ORDER BY idx) FILTER (WHERE trim(text) <> ''), '') AS t FROM seen GROUP BY 1) SELECT doc_id, n_elements_visible, CASE WHEN length(t) <= 24000 THEN md5(t) END AS h, length(t) > 24000 AS truncated FROM whole")
+@query(f"{ALL_SQL}, {ADMITTED_SQL}, body AS (SELECT l.doc_id, l.idx, l.text, (SELECT max(h.idx) FROM heads h WHERE h.doc_id = l.doc_id AND h.idx < l.idx) AS sec_head FROM lev l JOIN adm USING (doc_id) WHERE l.level IS NULL), seen AS (SELECT doc_id, idx, text FROM body UNION SELECT l.doc_id, l.idx, l.text FROM lev l JOIN body b ON b.doc_id = l.doc_id AND b.sec_head = l.idx), whole AS (SELECT doc_id, count(*) AS n_elements_visible, coalesce(string_agg(trim(text), chr(10) ORDER BY idx) FILTER (WHERE trim(text) <> ''), '') AS t FROM seen GROUP BY 1), {cap_sql('whole', 24000)} SELECT doc_id, n_elements_visible, md5(c) AS h, length(c) < length(t) AS truncated FROM whole JOIN capped USING (doc_id)")
 def get_document(spark, sf):
     out = V.whole_documents(_elements(spark, sf), *USER)
-    return out.select("doc_id", "n_elements_visible", F.when(~F.col("truncated"), F.md5("text")).alias("h"), "truncated")
+    return out.select("doc_id", "n_elements_visible", F.md5("text").alias("h"), "truncated")
 
 
 def _chunks(spark, sf):
@@ -39,25 +39,22 @@ def _chunks(spark, sf):
 
 @query()
 def expand(spark, sf):
-    """The first chunk of each document is asked for."""
-    c = _chunks(spark, sf).filter("chunk_no = 0")
-    e = _elements(spark, sf)
-    hits = c.filter(V.may_see(*USER)).withColumn("hit_no", F.col("chunk_no")).withColumn("acl_key", V.acl_key())
-    from larkspur.operators import context
-
-    tree = structure.sections(structure.leveled(e), e)
-    out = context.big_blocks(hits, e.withColumn("acl_key", V.acl_key()), tree, structure.banners(e), (375, 1500, 3000))
-    return out.select("doc_id", "resolved_section", "n_tokens", "climbed", "windowed", F.md5("text").alias("h"))
+    """Every chunk that the user may see is asked for, through the operator."""
+    out = V.expand(_chunks(spark, sf), None, _elements(spark, sf), *USER)
+    return out.select("doc_id", "hit_no", "resolved_section", "n_tokens", "climbed", "windowed", F.md5("text").alias("h"))
 
 
 @query()
 def search_with_context(spark, sf):
-    """The twenty best documents' middle chunks as hits."""
+    """All chunks of the twenty best documents as hits."""
+    from pyspark.sql import Window
+
     from larkspur.operators import search as S
     from larkspur.plans.search import WORDS, seen
 
-    best = S.top(S.sparse_scores(seen(spark, sf), WORDS), 20).select("doc_id", "rank", "score")
-    hits = _chunks(spark, sf).join(best, "doc_id").filter("chunk_no = 0").withColumn("section_id", F.concat_ws("::s", "doc_id", "sec_head"))
+    best = S.top(S.sparse_scores(seen(spark, sf), WORDS), 20).select("doc_id", F.col("rank").alias("doc_rank"), "score")
+    hits = _chunks(spark, sf).join(F.broadcast(best), "doc_id").withColumn("section_id", F.concat_ws("::s", "doc_id", "sec_head"))
+    hits = hits.withColumn("rank", F.row_number().over(Window.orderBy("doc_rank", "chunk_no")))  # chunks of twenty documents
     out = V.search_with_context(hits, _elements(spark, sf), *USER)
     return out.select("rank", "doc_id", "chunk_id", "context_status", "resolved_section", F.md5(F.coalesce("context", F.lit(""))).alias("h"))
 
@@ -70,10 +67,10 @@ def retrieve_meta(spark, sf):
     return V.result_meta(rows)
 
 
-@query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'omitted_budget' ELSE 'full' END AS context_status, CASE WHEN page_id % 2 = 0 THEN '' ELSE url END AS text, CASE WHEN page_id % 2 = 1 THEN left(html, 9) END AS content_raw FROM pages")
+@query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'omitted_budget' ELSE 'full' END AS context_status, CASE WHEN page_id % 2 = 0 THEN '' ELSE url END AS text, CASE WHEN page_id % 2 = 1 THEN md5(html) END AS content_raw FROM pages")
 def demoted_hits(spark, sf):
-    p = table(spark, sf, "pages").select("page_id", F.lit("full").alias("context_status"), F.col("url").alias("text"), F.substring("html", 1, 9).alias("content_raw"))
-    return V.demoted(p, F.col("page_id") % 2 == 0, "omitted_budget")
+    p = table(spark, sf, "pages").select("page_id", F.lit("full").alias("context_status"), F.col("url").alias("text"), F.col("html").alias("content_raw"))
+    return V.demoted(p, F.col("page_id") % 2 == 0, "omitted_budget").withColumn("content_raw", F.md5("content_raw"))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN doc_id || '|s' || (doc_id % 5) WHEN doc_id % 3 = 1 THEN doc_id || '|4-9' ELSE doc_id || '|c' || doc_id END AS key FROM documents")
@@ -84,9 +81,11 @@ def delivery_keys(spark, sf):
     return table(spark, sf, "documents").select(d, key.alias("key"))
 
 
-@query("SELECT doc_id, 'en' AS lang FROM documents")
+@query(f"WITH {ELS_SQL}, mixed AS (SELECT doc_id, idx, CASE WHEN doc_id % 3 = 0 THEN translate(text, 'aeiou', '一二三四五') ELSE text END AS text FROM els), head AS (SELECT doc_id, left(string_agg(text, ' ' ORDER BY idx), 2000) AS t FROM mixed WHERE idx < 40 GROUP BY 1) SELECT doc_id, CASE WHEN length(t) > 0 AND length(regexp_replace(t, '[^一-鿿]', '', 'g')) / length(t)::DOUBLE > 0.12 THEN 'ch' ELSE 'en' END AS lang FROM head")
 def detected_lang(spark, sf):
-    return V.detected_lang(elements(spark, sf))
+    """A third of the documents have Chinese numerals for vowels."""
+    e = elements(spark, sf)
+    return V.detected_lang(e.withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.translate("text", "aeiou", "一二三四五")).otherwise(F.col("text"))))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_linenumber % 2 = 1 AND length((l_quantity::INT)::VARCHAR) >= 2 AS ok FROM lineitem")

@@ -30,10 +30,25 @@ def prefix_budget(spark, sf):
     return S.prefix_budget(_ranked(spark, sf), 60)
 
 
-@query("SELECT event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) > 1 AS already_returned FROM events")
+@query("SELECT event_id, coalesce(max((event_id % 3 > 0)::INT) OVER (PARTITION BY user_id, event_type ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) = 1, false) AS already_returned FROM events")
 def already_returned(spark, sf):
-    e = table(spark, sf, "events").select("event_id", F.col("user_id").alias("session"), F.col("event_type").alias("key"), F.col("event_id").alias("at"))
-    return S.first_deliveries(e).select("event_id", "already_returned")
+    """Every third event was not given."""
+    e = table(spark, sf, "events").select("event_id", F.col("user_id").alias("session"), F.col("event_type").alias("key"), F.col("event_id").alias("at"), (F.col("event_id") % 3 > 0).alias("given"))
+    return S.first_deliveries(e, delivered="given").select("event_id", "already_returned")
+
+
+@query(f"WITH RECURSIVE r AS (SELECT conv_id AS session, turn AS rank, md5(text) AS key, greatest(length(text) // 4, 1) AS tokens FROM conversations), seen AS (SELECT DISTINCT session, key FROM r WHERE rank % 4 = 1), h AS (SELECT r.*, s.key IS NOT NULL AS again FROM r LEFT JOIN seen s USING (session, key)), o AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY rank) AS k FROM h WHERE NOT again), f AS (SELECT session, rank, k, true AS given, tokens AS used FROM o WHERE k = 1 UNION ALL SELECT o.session, o.rank, o.k, f.used + o.tokens <= 60, f.used + CASE WHEN f.used + o.tokens <= 60 THEN o.tokens ELSE 0 END FROM f JOIN o ON o.session = f.session AND o.k = f.k + 1) SELECT h.session, h.rank::INT AS rank, CASE WHEN h.again THEN 'already_returned' WHEN f.given THEN 'full' ELSE 'omitted_budget' END AS status FROM h LEFT JOIN f ON f.session = h.session AND f.rank = h.rank")
+def delivered_hits(spark, sf):
+    """A conversation's turns as hits; it was given those of every fourth turn before."""
+    hits = table(spark, sf, "conversations").select(F.col("conv_id").alias("session"), F.col("turn").cast("int").alias("rank"), F.md5("text").alias("key"), S.hit_tokens(F.lit(None), F.col("text"), F.lit(None)).alias("tokens"))
+    return S.delivered(hits, hits.filter("rank % 4 = 1"), 60).select("session", "rank", "status")
+
+
+@query("SELECT event_id, CASE WHEN user_id % 7 = 0 THEN 'no_identity' WHEN trim(props) = '' OR event_id % 5 = 0 THEN 'empty_query' WHEN event_id % 3 = 0 OR event_type = 'view' THEN 'bad_arg' END AS status FROM events")
+def argument_errors(spark, sf):
+    e, n = table(spark, sf, "events"), F.col("event_id")
+    status = S.argument_error(F.when(F.col("user_id") % 7 > 0, "t"), F.when(n % 5 == 0, "  ").otherwise(F.col("props")), F.when(n % 3 > 0, 5).when(n % 2 > 0, 0).otherwise(-1), F.lit("full"), F.when(F.col("event_type") == "view", "guess").otherwise("hybrid"))
+    return e.select("event_id", status.alias("status"))
 
 
 @query("WITH t AS (SELECT doc_id, source, CASE WHEN doc_id % 4 > 0 THEN lang END AS doc_type FROM documents) SELECT coalesce(doc_type, 'unknown') AS doc_type, count(*) AS n, min(doc_id) AS first_doc, count(DISTINCT source) AS n_sources FROM t GROUP BY 1")
@@ -55,10 +70,10 @@ def smart_retry(spark, sf):
     return table(spark, sf, "documents").select(d, S.wants_table_retry(q, a, F.when(d % 5 == 0, "table")).alias("retry"))
 
 
-@query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'cap' || chr(10) || left(html, 50) ELSE 'cap' END AS text FROM pages")
+@query("SELECT page_id, md5(CASE WHEN page_id % 3 = 0 AND html <> '' THEN 'cap' || chr(10) || html ELSE 'cap' END) AS text FROM pages")
 def raw_appended(spark, sf):
     kind = F.when(F.col("page_id") % 3 == 0, "table").otherwise("text")
-    return table(spark, sf, "pages").select("page_id", S.append_raw(F.lit("cap"), F.substring("html", 1, 50), kind).alias("text"))
+    return table(spark, sf, "pages").select("page_id", F.md5(S.append_raw(F.lit("cap"), F.col("html"), kind)).alias("text"))
 
 
 @query("SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'no_identity' WHEN 1 THEN 'redirected' WHEN 2 THEN 'bad_request' WHEN 3 THEN 'backend_unavailable' WHEN 4 THEN 'bad_response' ELSE 'ok' END AS status, event_id % 6 IN (0, 2, 3) AS is_error FROM events")
@@ -90,17 +105,17 @@ def sheet_chunks(spark, sf):
     return T.chunk_sheets(head.unionByName(body).withColumn("sheet", F.lit("orders"))).select("doc_id", "sheet", "part", "kind", "row_start", "row_end", F.md5("text").alias("h"))
 
 
-@query("SELECT doc_id, idx, CASE WHEN idx = 0 THEN 'text' ELSE 'image' END AS kind, CASE WHEN idx = 0 THEN left(text, 30) END AS text, CASE WHEN idx = 1 THEN 'cap ' || lang ELSE '' END AS caption, idx AS page FROM documents, (SELECT unnest([0, 1])::INT AS idx)")
+@query("SELECT doc_id, idx, CASE WHEN idx = 0 THEN 'text' ELSE 'image' END AS kind, CASE WHEN idx = 0 THEN md5(text) END AS text, CASE WHEN idx = 1 THEN 'cap ' || lang ELSE '' END AS caption, idx AS page FROM documents, (SELECT unnest([0, 1])::INT AS idx)")
 def content_list_elements(spark, sf):
     d = table(spark, sf, "documents")
-    blocks = F.to_json(F.array(F.struct(F.lit("text").alias("type"), F.substring("text", 1, 30).alias("text"), F.lit(0).alias("page_idx"), F.lit(None).cast("array<string>").alias("image_caption")), F.struct(F.lit("image").alias("type"), F.lit(None).cast("string").alias("text"), F.lit(1).alias("page_idx"), F.array(F.lit("cap"), F.col("lang")).alias("image_caption"))))
-    return elements_from_json(d.select("doc_id", blocks.alias("json"))).select("doc_id", "idx", "kind", "text", F.coalesce("caption", F.lit("")).alias("caption"), "page")
+    blocks = F.to_json(F.array(F.struct(F.lit("text").alias("type"), "text", F.lit(0).alias("page_idx"), F.lit(None).cast("array<string>").alias("image_caption")), F.struct(F.lit("image").alias("type"), F.lit(None).cast("string").alias("text"), F.lit(1).alias("page_idx"), F.array(F.lit("cap"), F.col("lang")).alias("image_caption"))))
+    return elements_from_json(d.select("doc_id", blocks.alias("json"))).select("doc_id", "idx", "kind", F.md5("text").alias("text"), F.coalesce("caption", F.lit("")).alias("caption"), "page")
 
 
 @query("WITH k AS (SELECT doc_id, left(regexp_replace(lower(text), '\\s+', '', 'g'), 24) AS k FROM documents) SELECT doc_id, length(k) >= 6 AND doc_id % 2 = 0 AS merge_prev FROM k")
 def merge_lookup(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", F.lit(0).alias("idx"), F.lit(0).alias("page"), "text")
-    layout = d.select("doc_id", "page", F.lit(3).alias("pos"), F.substring("text", 1, 400).alias("text"), (F.col("doc_id") % 2 == 0).alias("merge_prev"))
+    layout = d.select("doc_id", "page", F.lit(3).alias("pos"), "text", (F.col("doc_id") % 2 == 0).alias("merge_prev"))
     return merge_flags(d, layout.unionByName(layout.withColumn("pos", F.lit(5)).withColumn("merge_prev", F.lit(True)))).select("doc_id", "merge_prev")
 
 

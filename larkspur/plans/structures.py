@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from larkspur.operators import chunking as C
@@ -15,14 +14,26 @@ TREE_SQL = "ends AS (SELECT doc_id, max(idx) + 1 AS doc_end FROM els2 GROUP BY 1
 ALL_SQL = f"WITH {ELS_SQL}, {BANNERS_SQL}, {KEPT_SQL}, {TREE_SQL}"
 
 
+def cap_sql(source: str, room: int) -> str:
+    """CTEs: of source (doc_id, t) the capped text c, at so many characters."""
+    return f"capl AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM {source}), capu AS (SELECT *, sum(length(line)) OVER (PARTITION BY doc_id ORDER BY i) AS used FROM capl), caph AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) FILTER (WHERE i = 1 OR used <= {room}) AS head FROM capu GROUP BY 1), capped AS (SELECT doc_id, CASE WHEN length(t) <= {room} THEN t WHEN length(head) <= {room} THEN head WHEN regexp_matches(left(head, {room}), '(?s)^.+ ') THEN regexp_replace(left(head, {room}), ' [^ ]*$', '') ELSE left(head, {room}) END AS c FROM {source} JOIN caph USING (doc_id))"
+
+
 @query(f"WITH {ELS_SQL}, {BANNERS_SQL} SELECT doc_id, norm, freq, on_pages, pages::BIGINT AS pages FROM banners")
 def banner_texts(spark, sf):
     return S.banners(elements(spark, sf)).withColumn("pages", F.col("pages").cast("long"))
 
 
-@query(f"{ALL_SQL} SELECT doc_id, promote FROM promo")
+NUMBERED_SQL = "els3 AS (SELECT * REPLACE (CASE WHEN text_level IS NOT NULL THEN (CASE WHEN doc_id % 2 = 0 THEN idx + 1 ELSE idx % 5 + 1 END) || ' ' || text ELSE text END AS text) FROM els2)"
+
+
+@query(f"WITH {ELS_SQL}, {NUMBERED_SQL}, {BANNERS_SQL.replace('els2', 'els4')}, {KEPT_SQL.replace('els2', 'els4')} SELECT doc_id, promote FROM promo".replace("pages4 AS", "els4 AS (SELECT * REPLACE (trim(regexp_replace(text, '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g')) AS norm) FROM els3), pages4 AS", 1))
 def promote_bare(spark, sf):
-    return S.promote_bare(S.without_noise(elements(spark, sf)))
+    """Headings with bare numbers, which rise in documents of even ids and start again in the others."""
+    e = elements(spark, sf)
+    number = F.when(F.col("doc_id") % 2 == 0, F.col("idx") + 1).otherwise(F.col("idx") % 5 + 1)
+    e = e.withColumn("text", F.when(F.col("text_level").isNotNull(), F.concat(number, F.lit(" "), "text")).otherwise(F.col("text")))
+    return S.promote_bare(S.without_noise(e))
 
 
 @query(f"{ALL_SQL} SELECT doc_id, idx::INT AS idx, level FROM lev WHERE level IS NOT NULL")
@@ -73,10 +84,8 @@ def budget_lookup(spark, sf):
 
 
 def _hits(spark, sf):
-    """Each document's middle chunk stands for a hit."""
-    chunks = C.chunks(elements(spark, sf))
-    last = F.max("chunk_no").over(Window.partitionBy("doc_id"))
-    return chunks.withColumn("mid", F.floor(last / 2)).filter("chunk_no = mid").withColumn("hit_no", F.col("chunk_no"))
+    """Each chunk stands for a hit."""
+    return C.chunks(elements(spark, sf)).withColumn("hit_no", F.col("chunk_no"))
 
 
 @query()
@@ -87,11 +96,13 @@ def big_block(spark, sf):
     return out.select("doc_id", "hit_no", "resolved_section", "n_tokens", "climbed", "anchor_start", "anchor_end", "windowed", "note", F.md5("text").alias("h"))
 
 
-@query(f"WITH {ELS_SQL}, run AS (SELECT doc_id, idx, text, sum(length(text) / 4.0) OVER (PARTITION BY doc_id ORDER BY idx) AS used FROM els2) SELECT doc_id, (count(*))::BIGINT AS n_lines FROM run r WHERE idx = 0 OR used <= 200 GROUP BY 1")
+@query(f"WITH src AS (SELECT doc_id, text AS t FROM documents), {cap_sql('src', 800)} SELECT doc_id, length(c) AS n, md5(c) AS h FROM capped")
 def cap_text(spark, sf):
-    w = Window.partitionBy("doc_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    e = elements(spark, sf).withColumn("used", F.sum(F.length("text") / 4.0).over(w))
-    return e.filter((F.col("idx") == 0) | (F.col("used") <= 200)).groupBy("doc_id").agg(F.count("*").alias("n_lines"))
+    from larkspur.functions.text import capped, per_token
+    from larkspur.plans.base import table
+
+    d = table(spark, sf, "documents").select("doc_id", capped(F.col("text"), F.lit(200), per_token(F.col("lang"))).alias("c"))
+    return d.select("doc_id", F.length("c").cast("long").alias("n"), F.md5("c").alias("h"))
 
 
 @query("SELECT doc_id, lang AS section_id, kind, rank FROM (SELECT doc_id % 10 AS doc_id, lang, CASE WHEN doc_id % 4 = 0 THEN 'table' WHEN doc_id % 4 = 1 THEN 'image' ELSE 'text' END AS kind, doc_id AS rank FROM documents) QUALIFY kind = 'table' OR row_number() OVER (PARTITION BY doc_id, lang, kind = 'table' ORDER BY rank) = 1")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import text as X
 from larkspur.operators import acl
-from larkspur.operators.shape import REFUSAL, mock_answer, prompt
+from larkspur.operators.shape import MOCK, REFUSAL, mock_answer, prompt
 from larkspur.plans.base import DOCS_SQL, TOKENS_SQL, USERS_SQL, documents, query, table, users
 
 
@@ -37,10 +37,10 @@ def uuid5_id(spark, sf):
     return table(spark, sf, "pages").select("page_id", X.uuid5_url(F.col("url")).alias("uuid"))
 
 
-@query("SELECT doc_id, regexp_replace('[cite:' || doc_id || '] and [ CITE : 7 ] in ' || left(text, 40), '(?i)\\[\\s*cite\\s*:\\s*(\\d+)\\s*\\]', '[ref]', 'g') AS clean FROM documents")
+@query("SELECT doc_id, md5(regexp_replace('[cite:' || doc_id || '] and [ CITE : 7 ] in ' || text || ' [cite:2]', '(?i)\\[\\s*cite\\s*:\\s*(\\d+)\\s*\\]', '[ref]', 'g')) AS clean FROM documents")
 def neutralize_citations(spark, sf):
-    raw = F.concat(F.lit("[cite:"), "doc_id", F.lit("] and [ CITE : 7 ] in "), F.substring("text", 1, 40))
-    return table(spark, sf, "documents").select("doc_id", X.neutralize(raw).alias("clean"))
+    raw = F.concat(F.lit("[cite:"), "doc_id", F.lit("] and [ CITE : 7 ] in "), "text", F.lit(" [cite:2]"))
+    return table(spark, sf, "documents").select("doc_id", F.md5(X.neutralize(raw)).alias("clean"))
 
 
 @query("SELECT doc_id, list_sort(list_distinct(list_filter([(doc_id % 7)::INT, 3, (doc_id % 5)::INT, 3], lambda n: n >= 1 AND n <= 4))) AS cites FROM documents")
@@ -54,22 +54,25 @@ def answer_signals(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", X.looks_numeric(F.col("text")).alias("is_numeric"), X.is_refusal(F.col("text")).alias("refusal"))
 
 
-@query("SELECT conv_id, '[cite:1] ' || max(text) FILTER (WHERE turn = 0) || CASE WHEN count(*) FILTER (WHERE turn = 1) > 0 THEN chr(10) || chr(10) || '[cite:2] ' || max(text) FILTER (WHERE turn = 1) ELSE '' END AS prompt FROM conversations WHERE turn < 2 GROUP BY 1")
+@query("SELECT conv_id, md5(string_agg('[cite:' || (turn + 1) || '] ' || text, chr(10) || chr(10) ORDER BY turn)) AS prompt FROM conversations GROUP BY 1")
 def build_prompt(spark, sf):
-    c = table(spark, sf, "conversations").filter("turn < 2").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
-    return c.select("conv_id", prompt(F.col("t.text")).alias("prompt"))
+    """All turns of a conversation as contexts."""
+    c = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    return c.select("conv_id", F.md5(prompt(F.col("t.text"))).alias("prompt"))
 
 
-@query(f"SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN '{REFUSAL}' WHEN doc_id % 4 = 1 THEN 'Based on the context: [cite:1]' ELSE 'Based on the context: [cite:1] [cite:2]' END AS answer FROM documents")
+@query(f"SELECT conv_id, CASE WHEN max(turn) % 4 = 0 THEN '{REFUSAL.replace(chr(39), chr(39) * 2)}' ELSE '{MOCK[0]}[cite:1]' || CASE WHEN count(*) > 1 THEN '[cite:2]' ELSE '' END || '{MOCK[1]}' END AS answer FROM conversations GROUP BY 1")
 def mock_llm(spark, sf):
-    marks = F.array_join(F.transform(F.sequence(F.lit(0), (F.col("doc_id") % 4).cast("int")), lambda i: F.when(i > 0, F.concat(F.lit("[cite:"), i, F.lit("] x"))).otherwise(F.lit("q"))), " ")
-    return table(spark, sf, "documents").select("doc_id", mock_answer(marks).alias("answer"))
+    """The answer to a conversation's turns as contexts; to none where the last turn's number is a multiple of four. Markers that a text writes otherwise don't count."""
+    c = table(spark, sf, "conversations").groupBy("conv_id").agg(F.max("turn").alias("last"), F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    message = F.when(F.col("last") % 4 == 0, "no contexts but [ CITE : 7 ]").otherwise(prompt(F.col("t.text")))
+    return c.select("conv_id", mock_answer(message).alias("answer"))
 
 
-@query("SELECT doc_id, left(regexp_replace(source || '/' || left(text, 30), '[^A-Za-z0-9._-]', '_', 'g'), 120) AS slug, left(sha1(text), 12) AS qhash, length(regexp_replace(text, '[^一-鿿]', '', 'g')) / length(text)::DOUBLE > 0.2 AS zh FROM documents")
+@query("SELECT doc_id, left(regexp_replace(source || '/' || text, '[^A-Za-z0-9._-]', '_', 'g'), 120) AS slug, left(sha1(text), 12) AS qhash, length(regexp_replace(text, '[^一-鿿]', '', 'g')) / length(text)::DOUBLE > 0.2 AS zh FROM documents")
 def slugs(spark, sf):
     d = table(spark, sf, "documents")
-    return d.select("doc_id", X.slug(F.concat("source", F.lit("/"), F.substring("text", 1, 30))).alias("slug"), X.query_hash(F.col("text")).alias("qhash"), (X.cjk_share(F.col("text")) > 0.2).alias("zh"))
+    return d.select("doc_id", X.slug(F.concat("source", F.lit("/"), "text")).alias("slug"), X.query_hash(F.col("text")).alias("qhash"), (X.cjk_share(F.col("text")) > 0.2).alias("zh"))
 
 
 @query(f"WITH {DOCS_SQL}, {USERS_SQL} SELECT u.name, d.doc_id FROM users u JOIN docs d ON NOT acl_unset AND acl_tenant <> '' AND acl_tenant = u.tenant AND (len(list_intersect(acl_allow, principals)) > 0 OR acl_visibility = 'public')")

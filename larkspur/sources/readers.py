@@ -40,10 +40,10 @@ def doc_type_of(doc_id):
 
 
 def merge_flags(elements: DataFrame, layout: DataFrame) -> DataFrame:
-    """merge_prev from layout (doc_id, page, pos, text, merge_prev): of a page's blocks the first whose 24-character key starts with the element's first 12, or the other way round; keys under 6 never match."""
+    """merge_prev from layout (doc_id, page, pos, text, merge_prev): of a page's blocks the first whose 24-character key starts with the element's first 12, or the other way round; an element's key under 6 never matches."""
     key = lambda c: F.substring(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"\s+", ""), 1, 24)
     a = elements.select("doc_id", "idx", "page", key(F.col("text")).alias("k")).filter(F.length("k") >= 6)
-    b = layout.select("doc_id", "page", "pos", key(F.col("text")).alias("m"), F.col("merge_prev").alias("flag")).filter(F.length("m") >= 6)
+    b = layout.select("doc_id", "page", "pos", key(F.col("text")).alias("m"), F.col("merge_prev").alias("flag")).filter(F.length("m") > 0)
     near = F.col("k").startswith(F.substring("m", 1, 12)) | F.col("m").startswith(F.substring("k", 1, 12))
     found = a.join(b, ["doc_id", "page"]).filter(near).groupBy("doc_id", "idx").agg(F.min_by("flag", "pos").alias("flag"))
     return elements.join(found, ["doc_id", "idx"], "left").withColumn("merge_prev", F.coalesce("flag", F.lit(False))).drop("flag")

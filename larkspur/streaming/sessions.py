@@ -30,25 +30,30 @@ def late_dedup(log: DataFrame, keys: list[str], late: str = "2 hours") -> DataFr
 
 
 def deliveries(log: DataFrame) -> DataFrame:
-    """Stateful: session, key -> session, key, already_returned. A session's keys are cleared when there are more than MOST_KEYS; sessions end by time-to-live, as a global count of sessions is no keyed state."""
+    """Stateful: session, key -> session, key, already_returned. A session's keys are cleared when one more than MOST_KEYS was added; sessions end by time-to-live, as a global count of sessions is no keyed state."""
     from pyspark.sql.streaming import StatefulProcessor
 
     class Seen(StatefulProcessor):
         def init(self, handle):
             self.keys = handle.getMapState("keys", "key string", "n int", ttlDurationMs=86_400_000)
+            self.held = handle.getValueState("held", "n int", ttlDurationMs=86_400_000)
 
         def handleInputRows(self, key, rows, timers):
             import pandas as pd
 
+            held = self.held.get()[0] if self.held.exists() else 0
             for pdf in rows:
                 out = []
                 for k in pdf["key"]:
-                    again = self.keys.containsKey((k,))
+                    again = self.keys.exists() and self.keys.containsKey((k,))
                     if not again:
-                        if sum(1 for _ in self.keys.keys()) >= MOST_KEYS:
-                            self.keys.clear()
                         self.keys.updateValue((k,), (1,))
+                        held += 1
+                        if held > MOST_KEYS:
+                            self.keys.clear()
+                            held = 0
                     out.append((key[0], k, again))
+                self.held.update((held,))
                 yield pd.DataFrame(out, columns=["session", "key", "already_returned"])
 
         def close(self):
