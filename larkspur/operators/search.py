@@ -38,19 +38,28 @@ def query_terms(spark, text: str) -> DataFrame:
     return spark.createDataFrame([(text,)], "q string").select(F.explode(query_tokens(F.col("q"))).alias("tok"))
 
 
-def sparse_scores(docs: DataFrame, text: str) -> DataFrame:
-    """doc_id, score = sum of tf * idf over the query's terms. The few terms cut the postings before anything is counted."""
-    terms = F.broadcast(query_terms(docs.sparkSession, text))
-    own = counted(token_rows(docs).join(terms, "tok", "left_semi"))
+def _own(docs: DataFrame, text: str, posts: DataFrame | None) -> DataFrame:
+    """doc_id, tok, tf (and len, from written postings) of the query's terms in docs. The few terms cut the postings before anything is counted."""
+    terms = query_terms(docs.sparkSession, text)
+    if posts is None:
+        return counted(token_rows(docs).join(F.broadcast(terms), "tok", "left_semi"))
+    asked = [r.tok for r in terms.collect()]  # a query's words
+    return posts.filter(F.col("tok").isin(asked)).join(docs.select("doc_id"), "doc_id", "left_semi")
+
+
+def sparse_scores(docs: DataFrame, text: str, posts: DataFrame | None = None) -> DataFrame:
+    """doc_id, score = sum of tf * idf over the query's terms. posts: written postings (tok, doc_id, tf, len), of which only the terms' are read."""
+    own = _own(docs, text, posts)
     return own.join(F.broadcast(idf(own, docs)), "tok").groupBy("doc_id").agg(F.round(F.sum(F.col("tf") * F.col("idf")), 6).alias("score"))
 
 
-def okapi_scores(docs: DataFrame, text: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """True BM25 with saturation and length normalisation, under a name of its own."""
-    terms = F.broadcast(query_terms(docs.sparkSession, text))
-    tokens = docs.select("doc_id", tokenize(F.col("text")).alias("t"))
-    mean = tokens.agg(F.avg(F.size("t")).alias("mean"))
-    own = tokens.select("doc_id", F.size("t").alias("len"), F.explode("t").alias("tok")).join(terms, "tok", "left_semi").groupBy("doc_id", "tok").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+def okapi_scores(docs: DataFrame, text: str, k1: float = 1.2, b: float = 0.75, posts: DataFrame | None = None, lengths: DataFrame | None = None) -> DataFrame:
+    """True BM25 with saturation and length normalisation, under a name of its own. posts and lengths (doc_id, len) as written; else they are made from the texts."""
+    if lengths is None:
+        lengths = docs.select("doc_id", F.size(tokenize(F.col("text"))).alias("len"))
+    mean = lengths.join(docs.select("doc_id"), "doc_id", "left_semi").agg(F.avg("len").alias("mean"))
+    own = _own(docs, text, posts)
+    own = own if "len" in own.columns else own.join(lengths, "doc_id")
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
     return own.join(F.broadcast(idf(own, docs)), "tok").crossJoin(F.broadcast(mean)).groupBy("doc_id").agg(F.round(F.sum(part), 6).alias("score"))
 
@@ -74,11 +83,12 @@ def fuse(sparse: DataFrame, dense: DataFrame, k: int = 60, weights: DataFrame |
     return both.withColumn("score", F.round(ws * reciprocal(F.col("sparse_rank"), k) + wd * reciprocal(F.col("dense_rank"), k), 8))
 
 
-def hybrid(docs: DataFrame, vectors: DataFrame, query: DataFrame, text: str, top_k: int = 8, k: int = 60) -> DataFrame:
-    """docs are those that the user may see; both routes rank within them only."""
+def hybrid(docs: DataFrame, vectors: DataFrame, query: DataFrame, text: str, top_k: int = 8, k: int = 60, posts: DataFrame | None = None, strategy: str = "hybrid") -> DataFrame:
+    """docs are those that the user may see; both routes rank within them only. strategy leaves a route out: dense or sparse; top_k is one at least."""
     seen = vectors.join(docs.select("doc_id"), "doc_id", "left_semi")
-    s = top(sparse_scores(docs, text), PREFETCH, "sparse_rank").select("doc_id", "sparse_rank")
-    d = top(dense_scores(seen, query), PREFETCH, "dense_rank").select("doc_id", "dense_rank")
+    none = docs.select("doc_id").limit(0)
+    s = none.withColumn("sparse_rank", F.lit(0)) if strategy == "dense" else top(sparse_scores(docs, text, posts), PREFETCH, "sparse_rank").select("doc_id", "sparse_rank")
+    d = none.withColumn("dense_rank", F.lit(0)) if strategy == "sparse" else top(dense_scores(seen, query), PREFETCH, "dense_rank").select("doc_id", "dense_rank")
     return fuse(s, d, k).orderBy(F.desc("score"), "doc_id").limit(max(1, top_k))
 
 

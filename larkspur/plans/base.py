@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,6 +53,22 @@ def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_POSTINGS: dict[tuple[str, str], str] = {}
+
+
+def postings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The written postings and lengths of documents. They are indexed once for each application and table, and searched many times."""
+    from larkspur.session import shared_dir
+    from larkspur.sources.index import read_postings, write_postings
+
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _POSTINGS:
+        path = f"{shared_dir(spark)}/larkspur-postings-{uuid.uuid4().hex}"
+        write_postings(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
+        _POSTINGS[key] = path
+    return read_postings(spark, _POSTINGS[key])
+
+
 def users(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(USERS, "name string, tenant string, principals array<string>")
 

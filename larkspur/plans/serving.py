@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from larkspur.operators import serving as V
 from larkspur.operators import structure
 from larkspur.operators.chunking import chunks
-from larkspur.plans.base import ELS_SQL, documents, elements, query, table
+from larkspur.plans.base import DOCS_SQL, ELS_SQL, documents, elements, postings, query, table
 from larkspur.plans.structures import ALL_SQL, cap_sql
 from larkspur.sources import office_meta as M
 from larkspur.sources.readers import doc_type_of
@@ -52,7 +52,7 @@ def search_with_context(spark, sf):
     from larkspur.operators import search as S
     from larkspur.plans.search import WORDS, seen
 
-    best = S.top(S.sparse_scores(seen(spark, sf), WORDS), 20).select("doc_id", F.col("rank").alias("doc_rank"), "score")
+    best = S.top(S.sparse_scores(seen(spark, sf), WORDS, postings(spark, sf)[0]), 20).select("doc_id", F.col("rank").alias("doc_rank"), "score")
     hits = _chunks(spark, sf).join(F.broadcast(best), "doc_id").withColumn("section_id", F.concat_ws("::s", "doc_id", "sec_head"))
     hits = hits.withColumn("rank", F.row_number().over(Window.orderBy("doc_rank", "chunk_no")))  # chunks of twenty documents
     out = V.search_with_context(hits, _elements(spark, sf), *USER)
@@ -130,3 +130,22 @@ def alt_alignment(spark, sf):
     n = (F.col("doc_id") % 3 + 1).cast("int")  # one to three texts for one picture
     alts = d.select("doc_id", F.posexplode(F.array_repeat(F.concat(F.lit("alt"), "doc_id"), n)).alias("pos", "alt"))
     return M.attach_alts(e, alts).select("doc_id", "idx", "caption")
+
+
+@query(f"WITH {DOCS_SQL}, e AS (SELECT doc_id, count(*) - (doc_id % 13 = 0)::INT AS kept FROM (SELECT doc_id, unnest(string_split(text, chr(10))) FROM documents) GROUP BY 1) SELECT doc_id, CASE WHEN doc_id % 19 = 0 AND doc_id % 3 > 0 OR doc_id % 13 = 0 AND kept > 0 THEN 'failed' ELSE 'indexed' END AS status FROM docs JOIN e USING (doc_id)")
+def index_run(spark, sf):
+    """Some documents allow nobody, some miss their first element."""
+    from larkspur.sources.index import index_run as run
+
+    d = documents(spark, sf).withColumn("acl_allow", F.when(F.col("doc_id") % 19 > 0, F.col("acl_allow")).otherwise(F.array().cast("array<string>")))
+    e = elements(spark, sf).select("doc_id", "idx").filter((F.col("doc_id") % 13 > 0) | (F.col("idx") > 0))
+    return run(d, e).select("doc_id", "status")
+
+
+@query("SELECT lang, count(*) FILTER (WHERE doc_id % 4 = 0) AS images, count(*) FILTER (WHERE doc_id % 4 > 0 AND doc_id % 5 > 0) AS texts, count(*) FILTER (WHERE doc_id % 4 > 0 AND doc_id % 5 = 0) AS skipped, count(*) FILTER (WHERE doc_id % 4 = 0 OR doc_id % 5 > 0) AS indexed FROM documents GROUP BY 1")
+def index_counts(spark, sf):
+    from larkspur.sources.index import index_counts as counts
+
+    n = F.col("doc_id")
+    d = table(spark, sf, "documents").select("lang", F.when(n % 5 > 0, F.concat(F.lit("x"), "text")).alias("text"), F.when(n % 4 == 0, "img/a.png").alias("image_path"))
+    return counts(d, "lang")

@@ -1,42 +1,10 @@
-"""Sinks: the chunk index, request logs, dumps."""
+"""Sinks: keyed overwrite, request logs, copies. The chunk index is sources.index."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BUCKETS = 64
-
-
-def write_index(chunks: DataFrame, path: str, buckets: int = BUCKETS) -> None:
-    """Replaces the chunks of the documents in `chunks` and keeps all others: the buckets they fall in are read, merged and overwritten as whole partitions."""
-    spark = chunks.sparkSession
-    new = chunks.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
-    try:
-        old = spark.read.parquet(path)
-    except Exception as e:  # no index yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    else:
-        kept = old.join(new.select("bucket").distinct(), "bucket", "left_semi").join(new.select("doc_id").distinct(), "doc_id", "left_anti")
-        new = kept.select(new.columns).unionByName(new).checkpoint()  # the partitions that are overwritten are read here
-    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
-
-
-def delete_documents(spark: SparkSession, path: str, doc_ids: list, buckets: int = BUCKETS) -> None:
-    gone = spark.createDataFrame([(d,) for d in doc_ids], spark.read.parquet(path).select("doc_id").schema).withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
-    old = spark.read.parquet(path)
-    touched = old.join(F.broadcast(gone.select("bucket").distinct()), "bucket", "left_semi")
-    kept = touched.join(F.broadcast(gone.select("doc_id")), "doc_id", "left_anti").select(old.columns).checkpoint()
-    empty = [r.bucket for r in gone.select("bucket").distinct().join(kept.select("bucket").distinct(), "bucket", "left_anti").collect()]
-    kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
-    if empty:  # a bucket without rows isn't overwritten
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path
-        for b in empty:
-            where = hadoop(f"{path}/bucket={b}")
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return old.join(new.select(key), key, "left_anti").unionByName(new)
 
@@ -55,3 +23,12 @@ def migrate(source: DataFrame, path: str) -> int:
     if (m := source.sparkSession.read.parquet(path).count()) != n:
         raise ValueError(f"{m} rows arrived of {n}")
     return n
+
+
+def append_identity(identities: DataFrame, new: DataFrame) -> DataFrame:
+    """identities and new ones (key, name, ...); a name that is taken, or comes twice, is an error."""
+    both = identities.unionByName(new, allowMissingColumns=True)
+    twice = [r.name for r in both.groupBy("name").count().filter("count > 1").limit(5).collect()]
+    if twice:
+        raise ValueError(f"names are taken: {', '.join(map(str, twice))}")
+    return both

@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from larkspur.functions import text as X
-from larkspur.operators import acl, chunking, context, structure, tables
-from larkspur.sources import readers, sinks
+from larkspur.operators import acl, chunking, context, search, structure, tables
+from larkspur.sources import index, readers, sinks
 from larkspur.streaming import sessions
 
 ELEMENT = "doc_id string, lang string, doc_type string, idx int, kind string, text string, text_level int, page int, list_items array<string>, caption string, footnote string, table_body string, asset_content string, image_path string, merge_prev boolean"
@@ -178,15 +178,55 @@ def test_office_files():
     assert readers.xlsx_cells(data) == [("S", 0, 0, "hi"), ("S", 1, 1, 1.5)]
 
 
-def test_index_replaces_documents(spark, tmp_path):
-    path = str(tmp_path / "index")
+def test_index_replaces_documents(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/index"
     rows = lambda ids, text: spark.createDataFrame([(i, text) for i in ids], "doc_id long, text string")
-    sinks.write_index(rows(range(40), "old"), path, 4)
-    sinks.write_index(rows([3, 50], "new"), path, 4)
-    got = {r.doc_id: r.text for r in spark.read.parquet(path).collect()}
+    now = lambda: {r.doc_id: r.text for r in index.read_index(spark, path).collect()}
+    with pytest.raises(FileNotFoundError):
+        index.read_index(spark, path)
+    index.write_index(rows(range(40), "old"), path)
+    index.write_index(rows([3, 50], "new"), path)
+    got = now()
     assert len(got) == 41 and got[3] == got[50] == "new" and got[4] == "old"
-    sinks.delete_documents(spark, path, [3, 4], 4)
-    assert {r.doc_id for r in spark.read.parquet(path).collect()} == {*range(40), 50} - {3, 4}
+    index.delete_documents(spark, path, spark.createDataFrame([(3,), (4,), (999,)], "doc_id long"))
+    assert set(now()) == {*range(40), 50} - {3, 4}
+    index.write_index(rows([4], "again"), path)
+    before = now()
+    index.merge_index(spark, path)
+    assert now() == before and before[4] == "again" and len(index.manifest(spark, path)["batches"]) == 1
+    assert [r.text for r in index.read_index(spark, path, 4).collect()] == ["again"]
+    # a writer that was overtaken fails and changes nothing; one that fails midway changes nothing
+    stale = index.manifest(spark, path)
+    index.write_index(rows([60], "x"), path)
+    monkeypatch.setattr(index, "manifest", lambda *a: stale)
+    with pytest.raises(RuntimeError):
+        index.write_index(rows([61], "y"), path)
+    monkeypatch.undo()
+    assert 60 in now() and 61 not in now()
+    monkeypatch.setattr(index, "MOST_BATCHES", 3)
+    index.write_index(rows([62], "z"), path)
+    assert len(index.manifest(spark, path)["batches"]) == 1 and now()[62] == "z"
+    monkeypatch.setattr(index, "VERSION", 2)
+    with pytest.raises(index.VersionError):
+        index.read_index(spark, path)
+
+
+def test_searches_read_only_their_terms(spark, tmp_path):
+    docs = spark.createDataFrame([(n, f"word{n % 50} common other{n}") for n in range(2000)], "doc_id long, text string")
+    index.write_postings(docs, f"file://{tmp_path}/p")
+    posts, lengths = index.read_postings(spark, f"file://{tmp_path}/p")
+    rows = lambda df: sorted((r.doc_id, r.score) for r in df.collect())
+    fast = search.sparse_scores(docs.select("doc_id"), "word7 common", posts)
+    assert rows(fast) == rows(search.sparse_scores(docs, "word7 common"))
+    assert rows(search.okapi_scores(docs.select("doc_id"), "word7", posts=posts, lengths=lengths)) == rows(search.okapi_scores(docs, "word7"))
+    assert "PushedFilters: [In(tok" in fast._jdf.queryExecution().executedPlan().toString()
+
+
+def test_identities_have_single_names(spark):
+    one = spark.createDataFrame([("k" * 16, "a")], "key string, name string")
+    assert sinks.append_identity(one, one.withColumn("name", F.lit("b"))).count() == 2
+    with pytest.raises(ValueError):
+        sinks.append_identity(one, one)
 
 
 def test_streams(spark, tmp_path):
