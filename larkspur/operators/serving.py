@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 from larkspur.functions.text import capped, cjk_share, per_token
 from larkspur.operators import context, structure
-from larkspur.operators.acl import admits
+from larkspur.operators.acl import admits, strictest
 
 ACL = ("acl_tenant", "acl_allow", "acl_visibility", "acl_unset")
 
 
 def acl_key():
-    """An acl as one comparable value."""
-    return F.to_json(F.struct(*[F.sort_array(c) if c == "acl_allow" else F.col(c) for c in ACL]))
+    """An acl as one comparable value; null where there is none."""
+    own = F.to_json(F.struct(*[F.sort_array(c) if c == "acl_allow" else F.col(c) for c in ACL]))
+    return F.when(F.col("acl_tenant").isNotNull(), own)
 
 
 def may_see(tenant: str, principals: list[str]):
@@ -29,6 +30,12 @@ def visible_elements(elements: DataFrame, tenant: str, principals: list[str]) ->
     return bodies.drop("sec_head").unionByName(levels.filter("level is not null").join(heads, ["doc_id", "idx"], "left_semi"), allowMissingColumns=True)
 
 
+def with_chunk_acls(elements: DataFrame, chunks: DataFrame) -> DataFrame:
+    """elements with the strictest acl of the chunks (doc_id, chunk_no, source_indices, acl columns) that hold them; one that no chunk holds has none and is closed."""
+    held = chunks.select("doc_id", "chunk_no", F.explode("source_indices").alias("idx"), *ACL)
+    return elements.drop(*ACL).join(strictest(held), ["doc_id", "idx"], "left")
+
+
 def outline(elements: DataFrame, tenant: str, principals: list[str]) -> DataFrame:
     """doc_id, idx, level, title, end_idx of the sections with a visible body of their own; no breadcrumb, which might name a closed parent."""
     seen = visible_elements(elements, tenant, principals).filter("level is not null").select("doc_id", "idx")

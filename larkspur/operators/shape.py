@@ -92,6 +92,12 @@ def wants_table_retry(query: Column, answer: Column, kind: Column) -> Column:
     return looks_numeric(query) & is_refusal(answer) & kind.isNull()
 
 
+def ids_after_retry(ids: Column, leg: Column, query: Column, first: Column, second: Column) -> Column:
+    """What was retrieved: the leg's ids join the others where a refused numeric question was answered at the second try."""
+    kept = looks_numeric(query) & is_refusal(first) & ~is_refusal(second)
+    return F.when(kept, F.array_union(ids, leg)).otherwise(F.array_distinct(ids))
+
+
 def append_raw(text: Column, raw: Column, kind: Column, least: int = 40) -> Column:
     """A chart's or table's raw content after its text, if the text is short or doesn't hold it."""
     bare = lambda c: F.regexp_replace(c, r"\s+", "")

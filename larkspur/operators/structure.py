@@ -107,3 +107,9 @@ def in_section(levels: DataFrame) -> DataFrame:
     """Bodies with sec_head, the nearest heading before (as-of)."""
     w = Window.partitionBy("doc_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
     return levels.withColumn("sec_head", F.last(F.when(F.col("level").isNotNull(), F.col("idx")), ignorenulls=True).over(w)).filter("level is null")
+
+
+def sections_by_id(sections: DataFrame) -> DataFrame:
+    """doc_id, sections: a map of a document's sections by their heading's id."""
+    entry = F.struct(F.concat_ws("::s", "doc_id", "idx").alias("key"), F.struct("idx", "level", "title", "end_idx", "parent_idx").alias("value"))
+    return sections.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(entry)).alias("sections"))

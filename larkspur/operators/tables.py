@@ -5,9 +5,11 @@ from __future__ import annotations
 import datetime
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspur.operators.folds import greedy
+
 #: Tokens of a row group, columns of a slice, the share of numbers under which a row is a header.
 TARGET, MAX_COLUMNS = 600, 40
 HEADER_SHARE, SECOND_SHARE = 0.34, 0.2
@@ -22,50 +24,49 @@ def column_slices(columns: Column, most: int = MAX_COLUMNS, keys: int = 1) -> Co
 
 
 def cell_text(value) -> str:
-    """A value as in a Markdown cell: whole floats without a fraction, dates in ISO form to the second."""
+    """A value on one line: whole floats without a fraction, dates in ISO form to the second, truth values in lower case; texts keep their spaces."""
     if value is None or value != value:
         return ""
     if isinstance(value, bool):
-        return str(value)
-    if isinstance(value, float) and value.is_integer():
+        return str(value).lower()
+    if isinstance(value, float) and value.is_integer() and abs(value) < 1e15:
         return str(int(value))
     if isinstance(value, (datetime.date, datetime.datetime)):
         return value.isoformat()[:19]
-    return " ".join(str(value).split())
+    return re.sub(r"[\r\n]+", " ", str(value)).strip()
 
 
 def markdown_row(cells: list[str]) -> str:
     return "| " + " | ".join(c.replace("|", "\\|") for c in cells) + " |"
 
 
-def _number(text: str) -> bool:
-    bare = re.sub(r"[,%$€£¥\s()]", "", text)
-    if re.fullmatch(r"(19|20)\d\d|2100", bare):
-        return False  # a year is a label
-    return bool(re.fullmatch(r"[-+]?\d*\.?\d+(?:[eE][-+]?\d+)?", bare))
+def _number(value) -> bool:
+    """A measured value: a number by its type, but no year, which is a label."""
+    if isinstance(value, bool) or not isinstance(value, (int, float)):
+        return False
+    return not (float(value).is_integer() and 1900 <= value <= 2100)
 
 
-def numeric_share(row: list[str]) -> float:
-    own = [c for c in row if c]
-    return sum(map(_number, own)) / len(own) if own else 0.0
+def filled(row: list) -> int:
+    """How many cells hold something."""
+    return sum(bool(cell_text(v)) for v in row)
 
 
-def header_like(row: list[str]) -> bool:
-    return sum(map(bool, row)) > 1 and numeric_share(row) < HEADER_SHARE
+def numeric_share(row: list) -> float:
+    own = [v for v in row if cell_text(v)]
+    return sum(map(_number, own)) / len(own) if own else 1.0
 
 
-def bands(rows: list[list[str]], merges: list[tuple[int, int, int, int]] = ()) -> list[tuple[int, int]]:
-    """Ranges of rows between blank ones; a blank row within a merged column of cells doesn't part them."""
-    held = {r for r1, _, r2, _ in merges if r2 > r1 for r in range(r1, r2 + 1)}
-    out, start = [], None
-    for i, row in enumerate([*rows, []]):
-        blank = not any(row) and (i not in held or i == len(rows))
-        if blank and start is not None:
-            out.append((start, i))
-            start = None
-        elif not blank and start is None:
-            start = i
-    return out
+def header_like(row: list) -> bool:
+    return filled(row) > 0 and numeric_share(row) < HEADER_SHARE
+
+
+def bands(rows: list[list], merges: list[tuple[int, int, int, int]] = ()) -> list[tuple[int, int]]:
+    """Ranges of rows between blank ones; a row that is blank below the top of a merged column of cells doesn't part them."""
+    held = {r for top, _, bottom, _ in merges for r in range(top + 1, bottom + 1)}
+    full = [i in held or filled(row) > 0 for i, row in enumerate(rows)]
+    edges = [i for i in range(len(rows) + 1) if (i < len(rows) and full[i]) != (i > 0 and full[i - 1])]
+    return list(zip(edges[::2], edges[1::2], strict=True))
 
 
 def fill_right(row: list[str]) -> list[str]:
@@ -76,15 +77,15 @@ def fill_right(row: list[str]) -> list[str]:
     return out
 
 
-def header_depth(rows: list[list[str]], start: int, end: int, merges) -> int:
-    """Rows of the header that starts at `start`: grown while a merge that begins in it reaches further down."""
-    last, grown = start, True
-    while grown:
-        below = max((r2 for r1, _, r2, _ in merges if start <= r1 <= last and r2 < end), default=last)
-        grown, last = below > last, max(last, below)
-    if last == start and start + 1 < end and not all(rows[start]) and header_like(rows[start + 1]) and numeric_share(rows[start + 1]) < SECOND_SHARE:
-        last = start + 1
-    return last - start + 1
+def header_depth(rows: list[list], start: int, end: int, merges) -> int:
+    """Rows of the header that starts at `start`: grown while a merge that begins in it reaches further down, within the band; or two, if a row of groups stands above one of labels."""
+    last, reach = -1, start
+    while reach > last:
+        last, reach = reach, max([reach, *(bottom for top, _, bottom, _ in merges if start <= top <= reach)])
+    if last > start:
+        return last - start + 1 if last < end else 1
+    pair = start + 1 < end and filled(rows[start]) < len(rows[start]) and header_like(rows[start + 1]) and numeric_share(rows[start + 1]) < SECOND_SHARE
+    return 2 if pair else 1
 
 
 def header_labels(rows: list[list[str]], merges, first: int) -> list[str]:
@@ -106,76 +107,92 @@ def header_labels(rows: list[list[str]], merges, first: int) -> list[str]:
     return out
 
 
-def _groups(lines: list[str], overhead: int, target: int):
-    """Lines in groups near the target; each line's cost has the overhead of the header again."""
-    held, used = [], 0.0
-    for n, line in enumerate(lines):
-        cost = (len(line) + overhead) / 4.0
-        if held and used + cost > target:
-            yield held
-            held, used = [], 0.0
-        held.append(n)
-        used += cost
-    if held:
-        yield held
-
-
-def sheet_chunks(values: list[list], merges=(), target: int = TARGET, most: int = MAX_COLUMNS) -> list[tuple[str, str, int, int]]:
-    """(kind, text, first row, last row) of a sheet; every value stands in a chunk. A header is carried on to bands without one."""
-    rows = [[cell_text(v) for v in r] for r in values]
-    width = max((max((i + 1 for i, c in enumerate(r) if c), default=0) for r in rows), default=0)
-    rows = [[*r[:width], *[""] * (width - len(r))] for r in rows]
-    out: list[tuple[str, str, int, int]] = []
-    carried: list[str] | None = None
+def sheet_chunks(values: list[list], merges=(), sheet: str = "", target: int = TARGET, most: int = MAX_COLUMNS, ratio: float = 4.0) -> list[tuple[str, str, int, int, str | None]]:
+    """(kind, text, first row, last row, title) of a sheet; every value stands in a chunk. A header is carried on to bands without one."""
+    width = max((max((i + 1 for i, v in enumerate(r) if cell_text(v)), default=0) for r in values), default=0)
+    raw = [[*r[:width], *[None] * (width - len(r))] for r in values]
+    rows = [[cell_text(v) for v in r] for r in raw]
+    out: list[tuple[str, str, int, int, str | None]] = []
+    carried: tuple[list[str], str | None] | None = None
+    opening = f"Sheet: {sheet}"
 
     def prose(a: int, b: int) -> None:
         lines = [" ".join(c for c in r if c) for r in rows[a:b]]
-        for g in _groups(lines, 0, target):
-            text = "\n".join(lines[i] for i in g if lines[i])
-            if text:
-                out.append(("nontabular", text, a + g[0], a + g[-1]))
+        for g in greedy([len(x) / ratio for x in lines], target):
+            if own := [lines[i] for i in g if lines[i]]:
+                out.append(("nontabular", "\n".join([opening, *own]), a + g[0], a + g[-1], None))
 
-    def table(labels: list[str], a: int, b: int) -> None:
+    def table(labels: list[str], title: str | None, a: int, b: int) -> None:
+        first = opening + (f" — {title}" if title else "")
         for columns in [list(range(width))] if width <= most else [[0, *range(s, min(s + most - 1, width))] for s in range(1, width, most - 1)]:
             head = markdown_row([labels[c] for c in columns]) + "\n" + "|" + " --- |" * len(columns)
             if a >= b:
-                out.append(("header_only", head, a - 1, a - 1))
+                out.append(("header_only", f"{first}\n{head}", a - 1, a - 1, title))
                 continue
             lines = [markdown_row([r[c] for c in columns]) for r in rows[a:b]]
-            for g in _groups(lines, len(head), target):
-                out.append(("table", head + "\n" + "\n".join(lines[i] for i in g), a + g[0], a + g[-1]))
+            # each line is counted with the header, which its chunk repeats
+            for g in greedy([(len(head) + 1 + len(x)) / ratio for x in lines], target - (len(first) + 1 + len(head)) / ratio):
+                out.append(("table", "\n".join([first, head, *(lines[i] for i in g)]), a + g[0], a + g[-1], title))
 
-    for a, b in bands(rows, merges):
-        at = next((i for i in range(a, b) if header_like(rows[i])), None)
+    for a, b in bands(raw, merges):
+        at = next((i for i in range(a, b) if filled(raw[i]) > 1 and header_like(raw[i])), None)
         if at is None:
-            if carried is not None and any(sum(map(bool, r)) > 1 for r in rows[a:b]):
-                table(carried, a, b)
+            if carried is not None and any(filled(r) > 1 for r in raw[a:b]):
+                table(*carried, a, b)
             else:
                 prose(a, b)
             continue
         if at > a:
             prose(a, at)
-        deep = header_depth(rows, at, b, merges)
-        carried = header_labels(rows[at : at + deep], merges, at)
-        table(carried, at + deep, b)
+        deep = header_depth(raw[a:b], at - a, b - a, [(t - a, l, u - a, r) for t, l, u, r in merges])
+        tall = any(t == at and u > t for t, _, u, _ in merges)  # else a row of groups is spread to the right
+        carried = (header_labels(rows[at : at + deep], merges if tall else (), at), next((c for r in rows[a:at] for c in r if c), None))
+        table(*carried, at + deep, b)
     return out
 
 
-def chunk_sheets(cells: DataFrame, target: int = TARGET, most: int = MAX_COLUMNS) -> DataFrame:
-    """cells (doc_id, sheet, row, col, value) -> doc_id, sheet, part, kind, text, row_start, row_end. A sheet is one group, as its header is carried through it."""
+def typed(value: str, kind: str | None):
+    """A cell's value from its text and type: n number, b truth value, d date, else text."""
+    if value is None:
+        return None
+    if kind == "n":
+        return float(value)
+    if kind == "b":
+        return value.lower() in ("true", "1")
+    return datetime.datetime.fromisoformat(value) if kind == "d" else value
+
+
+def chunk_sheets(cells: DataFrame, merges: DataFrame | None = None, target: int = TARGET, most: int = MAX_COLUMNS) -> DataFrame:
+    """cells (doc_id, sheet, row, col, value, and perhaps vtype), merges (doc_id, sheet, r1, c1, r2, c2; 0-based, both ends within) ->
+    doc_id, sheet, part, kind, text, row_start, row_end, title. A sheet is one group, as its header is carried through it. Without vtype all values are texts."""
     kind = cells.schema["doc_id"].dataType.simpleString()
-    sheets = cells.groupBy("doc_id", "sheet").agg(F.array_sort(F.collect_list(F.struct("row", "col", "value"))).alias("cells"))
+    vtype = F.col("vtype") if "vtype" in cells.columns else F.lit(None).cast("string")
+    sheets = cells.groupBy("doc_id", "sheet").agg(F.array_sort(F.collect_list(F.struct("row", "col", "value", vtype.alias("vtype")))).alias("cells"))
+    if merges is not None:
+        spans = merges.groupBy("doc_id", "sheet").agg(F.array_sort(F.collect_list(F.struct("r1", "c1", "r2", "c2"))).alias("merges"))
+        sheets = sheets.join(spans, ["doc_id", "sheet"], "left")
+    else:
+        sheets = sheets.withColumn("merges", F.lit(None).cast("array<struct<r1:int,c1:int,r2:int,c2:int>>"))
 
     def run(batches):
         import pandas as pd
 
         for pdf in batches:
             out = []
-            for doc, sheet, own in zip(pdf["doc_id"], pdf["sheet"], pdf["cells"], strict=True):
+            for doc, sheet, own, spans in zip(pdf["doc_id"], pdf["sheet"], pdf["cells"], pdf["merges"], strict=True):
                 grid = [[None] * (1 + max(c["col"] for c in own)) for _ in range(1 + max(c["row"] for c in own))]
                 for c in own:
-                    grid[c["row"]][c["col"]] = c["value"]
-                out += [(doc, sheet, n, *x) for n, x in enumerate(sheet_chunks(grid, (), target, most))]
-            yield pd.DataFrame(out, columns=["doc_id", "sheet", "part", "kind", "text", "row_start", "row_end"])
+                    grid[c["row"]][c["col"]] = typed(c["value"], c["vtype"])
+                held = [(m["r1"], m["c1"], m["r2"], m["c2"]) for m in (spans if spans is not None else [])]
+                out += [(doc, sheet, n, *x) for n, x in enumerate(sheet_chunks(grid, held, sheet, target, most))]
+            yield pd.DataFrame(out, columns=["doc_id", "sheet", "part", "kind", "text", "row_start", "row_end", "title"])
+
+    return sheets.mapInPandas(run, f"doc_id {kind}, sheet string, part int, kind string, text string, row_start int, row_end int, title string")
+
 
-    return sheets.mapInPandas(run, f"doc_id {kind}, sheet string, part int, kind string, text string, row_start int, row_end int")
+def sheet_elements(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of sheet chunks (doc_id, sheet, part, kind, text) an element for each, numbered through the document, and a section for each sheet that spans its elements."""
+    order = Window.partitionBy("doc_id").orderBy("sheet", "part")
+    elements = chunks.withColumn("idx", F.row_number().over(order) - 1).select("doc_id", "idx", "sheet", "kind", "text", F.lit(0).alias("page"))
+    sections = elements.groupBy("doc_id", "sheet").agg(F.min("idx").alias("idx"), (F.max("idx") + 1).alias("end_idx"))
+    return elements, sections.select("doc_id", F.concat_ws("::", "doc_id", F.lit("sheet"), "sheet").alias("sec_id"), F.lit(1).alias("level"), F.col("sheet").alias("title"), "idx", "end_idx", F.lit(None).cast("int").alias("parent_idx"))

@@ -40,7 +40,8 @@ def _chunks(spark, sf):
 @query()
 def expand(spark, sf):
     """Every chunk that the user may see is asked for, through the operator."""
-    out = V.expand(_chunks(spark, sf), None, _elements(spark, sf), *USER)
+    c = _chunks(spark, sf)
+    out = V.expand(c, None, V.with_chunk_acls(elements(spark, sf), c), *USER)
     return out.select("doc_id", "hit_no", "resolved_section", "n_tokens", "climbed", "windowed", F.md5("text").alias("h"))
 
 
@@ -55,7 +56,7 @@ def search_with_context(spark, sf):
     best = S.top(S.sparse_scores(seen(spark, sf), WORDS, postings(spark, sf)[0]), 20).select("doc_id", F.col("rank").alias("doc_rank"), "score")
     hits = _chunks(spark, sf).join(F.broadcast(best), "doc_id").withColumn("section_id", F.concat_ws("::s", "doc_id", "sec_head"))
     hits = hits.withColumn("rank", F.row_number().over(Window.orderBy("doc_rank", "chunk_no")))  # chunks of twenty documents
-    out = V.search_with_context(hits, _elements(spark, sf), *USER)
+    out = V.search_with_context(hits, V.with_chunk_acls(elements(spark, sf), _chunks(spark, sf)), *USER)
     return out.select("rank", "doc_id", "chunk_id", "context_status", "resolved_section", F.md5(F.coalesce("context", F.lit(""))).alias("h"))
 
 
@@ -149,3 +150,42 @@ def index_counts(spark, sf):
     n = F.col("doc_id")
     d = table(spark, sf, "documents").select("lang", F.when(n % 5 > 0, F.concat(F.lit("x"), "text")).alias("text"), F.when(n % 4 == 0, "img/a.png").alias("image_path"))
     return counts(d, "lang")
+
+
+@query(f"{ALL_SQL} SELECT doc_id, count(*) AS n, min(idx)::INT AS first, max(level)::INT AS deepest FROM tree GROUP BY 1")
+def sections_by_id(spark, sf):
+    e = elements(spark, sf)
+    m = structure.sections_by_id(structure.sections(structure.leveled(e), e))
+    own = F.map_values("sections")
+    return m.select("doc_id", F.size(own).cast("long").alias("n"), F.array_min(F.transform(own, lambda s: s["idx"])).alias("first"), F.array_max(F.transform(own, lambda s: s["level"])).alias("deepest"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN ['it''s', source] WHEN doc_id % 3 = 1 THEN [source] ELSE ['[broken'] END AS items, replace(replace(n_chars || ', 1,000', ',', ''), ' ', '') AS nums FROM documents")
+def listish(spark, sf):
+    from larkspur.functions import text as X
+
+    n = F.col("doc_id") % 3
+    raw = F.when(n == 0, F.concat(F.lit("[\"it's\", '"), "source", F.lit("']"))).when(n == 1, F.col("source")).otherwise("[broken")
+    return documents(spark, sf).select("doc_id", X.listish(raw).alias("items"), X.bare_numbers(F.concat("n_chars", F.lit(", 1,000"))).alias("nums"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 AND doc_id % 3 = 0 AND doc_id % 5 > 0 THEN list_distinct([1, 2, (doc_id % 4)::INT]) ELSE [1, 2] END AS ids FROM documents".replace("list_distinct([1, 2, (doc_id % 4)::INT])", "CASE WHEN doc_id % 4 IN (1, 2) THEN [1, 2] ELSE [1, 2, (doc_id % 4)::INT] END"))
+def retry_ids(spark, sf):
+    """A numeric question that was refused is asked again over tables; what that found counts only where it was answered then."""
+    from larkspur.operators import shape
+
+    d = F.col("doc_id")
+    q = F.when(d % 2 == 0, "How much profit").otherwise("Who")
+    first, second = F.when(d % 3 == 0, "No relevant information here").otherwise("It is so"), F.when(d % 5 == 0, "I cannot answer").otherwise("It was 7")
+    ids = shape.ids_after_retry(F.array(F.lit(1), F.lit(2)), F.array((d % 4).cast("int"), F.lit(1)), q, first, second)
+    return documents(spark, sf).select("doc_id", ids.alias("ids"))
+
+
+@query("SELECT doc_id, 'type' || doc_id % 4 AS doc_type FROM documents WHERE doc_id % 3 = 0")
+def annotated_documents(spark, sf):
+    from larkspur.sources.readers import annotated
+
+    d = documents(spark, sf)
+    m = d.select("doc_id", F.concat(F.lit("type"), F.col("doc_id") % 4).alias("doc_type"), F.concat(F.lit("a/b/doc"), "doc_id", F.lit(".x.pdf")).alias("src_path"))
+    a = d.filter("doc_id % 3 = 0").select(F.concat(F.lit("doc"), "doc_id", F.lit(".x.pdf")).alias("doc_name"))
+    return annotated(m, a).select("doc_id", "doc_type")

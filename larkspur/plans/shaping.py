@@ -95,14 +95,27 @@ def col_slices(spark, sf):
     return table(spark, sf, "part").select("p_partkey", F.size(s).alias("n"), F.size(F.flatten(s)).alias("cells"))
 
 
+def _sheets(spark, sf):
+    """Orders as sheets: a customer's orders are the rows, below a header of two rows of which some cells are merged."""
+    o = table(spark, sf, "orders")
+    names = {"o_orderkey": "n", "o_orderstatus": "s", "o_totalprice": "n", "o_orderdate": "s", "o_orderpriority": "s"}
+    parts = F.array(*[F.struct(F.col(c).cast("string").alias("value"), F.lit(t).alias("vtype")) for c, t in names.items()])
+    body = o.select(F.col("o_custkey").alias("doc_id"), (F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) + 1).alias("row"), F.posexplode(parts).alias("col", "x")).select("doc_id", "row", "col", "x.*")
+    heads = F.array(F.array(*[F.lit(x) for x in ("order", "", "value", "", "when")]), F.array(*[F.lit(c) for c in names]))
+    head = o.select(F.col("o_custkey").alias("doc_id")).distinct().select("doc_id", F.posexplode(heads).alias("row", "h")).select("doc_id", "row", F.posexplode("h").alias("col", "value"), F.lit("s").alias("vtype"))
+    merges = head.filter("row = 0 and col = 0").select("doc_id", F.explode(F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(("r1", "c1", "r2", "c2"), m)]) for m in ((0, 0, 0, 1), (0, 2, 0, 3), (0, 4, 1, 4))])).alias("m")).select("doc_id", F.lit("orders").alias("sheet"), "m.*")
+    return head.unionByName(body).withColumn("sheet", F.lit("orders")), merges
+
+
 @query()
 def sheet_chunks(spark, sf):
-    """Orders as sheets: a customer's orders are the rows, a header above them."""
-    o = table(spark, sf, "orders")
-    names = ["o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
-    body = o.select(F.col("o_custkey").alias("doc_id"), F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("row"), F.posexplode(F.array(*[F.col(c).cast("string") for c in names])).alias("col", "value"))
-    head = o.select(F.col("o_custkey").alias("doc_id")).distinct().select("doc_id", F.lit(0).alias("row"), F.posexplode(F.array(*[F.lit(c) for c in names])).alias("col", "value"))
-    return T.chunk_sheets(head.unionByName(body).withColumn("sheet", F.lit("orders"))).select("doc_id", "sheet", "part", "kind", "row_start", "row_end", F.md5("text").alias("h"))
+    return T.chunk_sheets(*_sheets(spark, sf)).select("doc_id", "sheet", "part", "kind", "row_start", "row_end", F.md5("text").alias("h"))
+
+
+@query("SELECT o_custkey AS doc_id, o_custkey || '::sheet::orders' AS sec_id, 'orders' AS title, 0 AS idx FROM orders GROUP BY 1")
+def sheet_sections(spark, sf):
+    cells, merges = _sheets(spark, sf)
+    return T.sheet_elements(T.chunk_sheets(cells, merges))[1].select("doc_id", "sec_id", "title", "idx")
 
 
 @query("SELECT doc_id, idx, CASE WHEN idx = 0 THEN 'text' ELSE 'image' END AS kind, CASE WHEN idx = 0 THEN md5(text) END AS text, CASE WHEN idx = 1 THEN 'cap ' || lang ELSE '' END AS caption, idx AS page FROM documents, (SELECT unnest([0, 1])::INT AS idx)")

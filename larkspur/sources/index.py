@@ -142,6 +142,14 @@ def document_lang(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("doc_id").agg(F.min("lang").alias("lang"))
 
 
+def checked_vectors(vectors: DataFrame, width: int, model: str | None = None, written_by: str | None = None) -> DataFrame:
+    """vectors whose embedding has that width; another width, or another model where both are known, is an error."""
+    if model and written_by and model != written_by:
+        raise ValueError(f"vectors of {written_by}, not of {model}")
+    wrong = F.raise_error(F.concat(F.lit(f"a vector has not width {width} but "), F.size("embedding")))
+    return vectors.withColumn("embedding", F.when(F.size("embedding") == width, F.col("embedding")).otherwise(wrong))
+
+
 def write_postings(docs: DataFrame, path: str) -> None:
     """docs (doc_id, text) -> postings (tok, doc_id, tf, len), in order of tok, so that a search reads the row groups of its terms only."""
     rows = token_rows(docs)

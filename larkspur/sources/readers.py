@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import io
 import re
 import zipfile
@@ -11,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLOCKS = "array<struct<type:string,text:string,text_level:int,page_idx:int,bbox:array<double>,list_items:array<string>,table_caption:array<string>,table_footnote:array<string>,table_body:string,image_caption:array<string>,image_footnote:array<string>,chart_caption:array<string>,img_path:string,content:string,sub_type:string>>"
+#: Number formats that show dates.
+DATE_FORMATS = {*range(14, 23), *range(45, 48)}
 MANIFEST = "doc_id string, doc_type string, dataset string, domain string, language string, page_count int, eff_pages int, page_ranges string, layout_tags string, api_key string, corpus_path string, src_path string"
 ELEMENT = "doc_id string, idx int, kind string, text string, text_level int, page int, bbox array<double>, list_items array<string>, caption string, footnote string, table_body string, asset_content string, sub_type string, merge_prev boolean, image_path string"
 
@@ -53,6 +56,11 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, schema=MANIFEST, multiLine=True, escape='"')
 
 
+def annotated(manifest: DataFrame, annotations: DataFrame) -> DataFrame:
+    """manifest rows whose source file's name, without its folder, is an annotation's doc_name."""
+    return manifest.withColumn("doc_name", F.element_at(F.split("src_path", "/"), -1)).join(annotations, "doc_name")
+
+
 def read_identities(spark: SparkSession, path: str) -> DataFrame:
     """key, name, tenant, principals, admin; keys of 16 characters at least and single names without a bar, else an error."""
     rows = spark.read.json(path, multiLine=True, schema="keys array<struct<key:string,name:string,tenant:string,principals:array<string>,admin:boolean>>").select(F.explode("keys").alias("k")).select("k.*")
@@ -84,24 +92,59 @@ def _texts(node, name: str = "t") -> str:
     return "".join(x.text or "" for x in node.iter() if _tag(x) == name)
 
 
-def xlsx_cells(data: bytes) -> list[tuple[str, int, int, object]]:
-    """(sheet, row, column, value) of a workbook's cells: numbers as floats, all else as text."""
+def _workbook(data: bytes):
+    """(sheet's name, its XML tree), shared strings, and the styles that show dates."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         names = set(z.namelist())
-        strings = [_texts(si) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in names else []
-        book = ElementTree.fromstring(z.read("xl/workbook.xml"))
-        links = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
-        out = []
-        for sheet in (x for x in book.iter() if _tag(x) == "sheet"):
-            target = links[next(v for k, v in sheet.attrib.items() if k.endswith("}id"))]
-            for c in (x for x in ElementTree.fromstring(z.read(target.lstrip("/") if target.startswith("/") else f"xl/{target}")).iter() if _tag(x) == "c"):
-                row, col, _, _ = a1_range(c.get("r"))
-                raw = next((x.text for x in c if _tag(x) == "v"), None)
-                kind = c.get("t")
-                value = strings[int(raw)] if kind == "s" and raw else _texts(c) if kind == "inlineStr" else raw if kind in ("str", "e") else None if raw is None else raw == "1" if kind == "b" else float(raw)
-                if value not in (None, ""):
-                    out.append((sheet.get("name"), row, col, value))
-        return out
+        tree = lambda name: ElementTree.fromstring(z.read(name))
+        strings = [_texts(si) for si in tree("xl/sharedStrings.xml")] if "xl/sharedStrings.xml" in names else []
+        links = {r.get("Id"): r.get("Target") for r in tree("xl/_rels/workbook.xml.rels")}
+        dates: set[int] = set()
+        if "xl/styles.xml" in names:
+            styles = tree("xl/styles.xml")
+            own = {int(x.get("numFmtId")): x.get("formatCode", "") for x in styles.iter() if _tag(x) == "numFmt"}
+            shown = [int(x.get("numFmtId", 0)) for c in styles if _tag(c) == "cellXfs" for x in c]
+            dates = {n for n, f in enumerate(shown) if f in DATE_FORMATS or re.search(r"(?i)[ymdhs]", re.sub(r'"[^"]*"|\[[^\]]*\]', "", own.get(f, "")))}
+        sheets = []
+        for sheet in (x for x in tree("xl/workbook.xml").iter() if _tag(x) == "sheet"):
+            target = links[next(v for k, v in sheet.attrib.items() if k.endswith("}id"))].lstrip("/")
+            sheets.append((sheet.get("name"), tree(target if target.startswith("xl/") else f"xl/{target}")))
+        return sheets, strings, dates
+
+
+def xlsx_cells(data: bytes) -> list[tuple[str, int, int, object]]:
+    """(sheet, row, column, value) of a workbook's cells: numbers as floats, dates, truth values, all else as text."""
+    sheets, strings, dates = _workbook(data)
+    out = []
+    for name, tree in sheets:
+        for c in (x for x in tree.iter() if _tag(x) == "c"):
+            row, col, _, _ = a1_range(c.get("r"))
+            raw = next((x.text for x in c if _tag(x) == "v"), None)
+            kind = c.get("t", "n")
+            if kind == "inlineStr":
+                value = _texts(c)
+            elif raw is None:
+                value = None
+            elif kind == "s":
+                value = strings[int(raw)]
+            elif kind == "b":
+                value = raw == "1"
+            elif kind == "d":
+                value = datetime.datetime.fromisoformat(raw)
+            elif kind == "n":
+                value = float(raw)
+                if int(c.get("s", 0)) in dates:
+                    value = datetime.datetime(1899, 12, 30) + datetime.timedelta(seconds=round(value * 86400))
+            else:
+                value = raw
+            if value not in (None, ""):
+                out.append((name, row, col, value))
+    return out
+
+
+def xlsx_merges(data: bytes) -> list[tuple[str, int, int, int, int]]:
+    """(sheet, first row, first column, last row, last column) of a workbook's merged cells."""
+    return [(name, *a1_range(x.get("ref"))) for name, tree in _workbook(data)[0] for x in tree.iter() if _tag(x) == "mergeCell"]
 
 
 def docx_elements(data: bytes) -> list[tuple[int, str, str, int | None]]:
@@ -160,17 +203,31 @@ def read_office(spark: SparkSession, folder: str) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, "doc_id string, idx int, kind string, text string, text_level int, page int")
 
 
-def read_sheets(spark: SparkSession, folder: str) -> DataFrame:
-    """doc_id, sheet, row, col, value (text) of the .xlsx files below a folder."""
-    from larkspur.operators.tables import cell_text
-
+def _from_workbooks(spark: SparkSession, folder: str, rows, schema: str) -> DataFrame:
+    """rows(data) of each .xlsx file below the folder, after doc_id, the file's name."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.xlsx").load(folder)
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches):
         import pandas as pd
 
         for pdf in batches:
-            out = [(path.rsplit("/", 1)[-1], s, r, c, cell_text(v)) for path, data in zip(pdf["path"], pdf["content"], strict=True) for s, r, c, v in xlsx_cells(data)]
-            yield pd.DataFrame(out, columns=["doc_id", "sheet", "row", "col", "value"])
+            yield pd.DataFrame([(path.rsplit("/", 1)[-1], *r) for path, data in zip(pdf["path"], pdf["content"], strict=True) for r in rows(data)], columns=names)
+
+    return files.select("path", "content").mapInPandas(run, schema)
+
+
+def read_sheets(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, sheet, row, col, value (text), vtype (n, b, d or s) of the .xlsx files below a folder."""
+    from larkspur.operators.tables import cell_text
+
+    def rows(data):
+        kind = lambda v: "b" if isinstance(v, bool) else "n" if isinstance(v, float) else "d" if isinstance(v, datetime.date) else "s"
+        return [(s, r, c, repr(v) if isinstance(v, float) else cell_text(v), kind(v)) for s, r, c, v in xlsx_cells(data)]
+
+    return _from_workbooks(spark, folder, rows, "doc_id string, sheet string, row int, col int, value string, vtype string")
+
 
-    return files.select("path", "content").mapInPandas(run, "doc_id string, sheet string, row int, col int, value string")
+def read_merges(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, sheet, r1, c1, r2, c2 (0-based, both ends within) of the .xlsx files below a folder."""
+    return _from_workbooks(spark, folder, xlsx_merges, "doc_id string, sheet string, r1 int, c1 int, r2 int, c2 int")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from larkspur.functions import text as X
-from larkspur.operators import acl, chunking, context, search, structure, tables
+from larkspur.operators import acl, chunking, context, search, serving, structure, tables
 from larkspur.sources import index, readers, sinks
 from larkspur.streaming import sessions
 
@@ -121,13 +121,13 @@ def test_sheets_keep_every_value():
     parts = tables.sheet_chunks(grid)
     text = "\n".join(p[1] for p in parts)
     assert all(tables.cell_text(v) in text for row in grid for v in row)
-    assert [p[0] for p in parts] == ["nontabular", "table", "table"] and parts[2][1].startswith("| Name | Unit | 2020 |")
+    assert [p[0] for p in parts] == ["nontabular", "table", "table"] and parts[2][1].startswith("Sheet: \n| Name | Unit | 2020 |")
 
 
 def test_wide_sheet_repeats_its_key():
     grid = [[f"h{i}" for i in range(95)], [f"v{i}" for i in range(95)]]
     parts = tables.sheet_chunks(grid)
-    assert len(parts) == 3 and all(p[1].startswith("| h0 |") for p in parts)
+    assert len(parts) == 3 and all(p[1].startswith("Sheet: \n| h0 |") for p in parts)
 
 
 def test_merged_headers_and_blank_rows_within_a_merge():
@@ -135,9 +135,35 @@ def test_merged_headers_and_blank_rows_within_a_merge():
     rows = [["a"], [""], ["b"], [""], ["c"]]
     assert tables.bands(rows) == [(0, 1), (2, 3), (4, 5)]
     assert tables.bands(rows, [(0, 0, 2, 0)]) == [(0, 3), (4, 5)]
+    assert tables.bands([[""], ["a"]], [(0, 0, 1, 0)]) == [(1, 2)]  # the top of a merge may be blank
     assert tables.markdown_row(["a|b"]) == "| a\\|b |"
 
 
+def test_sheet_values_and_types():
+    grid = [["Title"], ["Group", None, "Other"], ["2020", "b", "c"], [1.0, "12", True], [2.5, "x|y", False]]
+    parts = tables.sheet_chunks(grid, [(1, 0, 2, 0)], "S")
+    assert [(p[0], p[4]) for p in parts] == [("nontabular", None), ("table", "Title")]
+    assert parts[1][1].splitlines() == ["Sheet: S — Title", "| Group 2020 | b | Other c |", "| --- | --- | --- |", "| 1 | 12 | true |", "| 2.5 | x\\|y | false |"]
+    # texts of digits are no numbers, years are labels
+    assert tables.header_like(["12", "13"]) and tables.header_like([2020.0, 2021.0]) and not tables.header_like([12.0, 13.0]) and tables.header_like(["x"])
+    long = [["h", "i"], *([f"row {n}", "y" * 500] for n in range(20))]
+    sizes = [len(p[1]) / 4 for p in tables.sheet_chunks(long)]
+    assert len(sizes) > 4 and max(sizes) <= 600
+
+
+def test_sheets_with_merges_from_a_workbook(spark, tmp_path):
+    cells = '<c r="A1" t="inlineStr"><is><t>Sales</t></is></c><c r="C1" t="inlineStr"><is><t>Who</t></is></c><c r="A2" t="inlineStr"><is><t>old</t></is></c><c r="B2" t="inlineStr"><is><t>new</t></is></c><c r="A3"><v>5</v></c><c r="B3" s="1"><v>45000</v></c><c r="C3" t="b"><v>1</v></c>'
+    sheet = f'<w>{cells}<mergeCells><mergeCell ref="A1:B1"/><mergeCell ref="C1:C2"/></mergeCells></w>'
+    data = office({"xl/workbook.xml": '<w xmlns:r="r"><sheet name="S" r:id="x"/></w>', "xl/_rels/workbook.xml.rels": '<R><Relationship Id="x" Target="/xl/worksheets/s.xml"/></R>', "xl/worksheets/s.xml": sheet, "xl/styles.xml": '<s><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/></cellXfs></s>'})
+    (tmp_path / "a.xlsx").write_bytes(data)
+    rows, merges = readers.read_sheets(spark, str(tmp_path)), readers.read_merges(spark, str(tmp_path))
+    assert sorted(tuple(r)[2:] for r in merges.collect()) == [(0, 0, 0, 1), (0, 2, 1, 2)]
+    got = tables.chunk_sheets(rows, merges).collect()
+    assert [r.text.splitlines()[1:] for r in got] == [["| Sales old | Sales new | Who |", "| --- | --- | --- |", "| 5 | 2023-03-15T00:00:00 | true |"]]
+    elements, sections = tables.sheet_elements(tables.chunk_sheets(rows, merges))
+    assert [(r.idx, r.kind) for r in elements.collect()] == [(0, "table")] and [(r.sec_id, r.idx, r.end_idx) for r in sections.collect()] == [("a.xlsx::sheet::S", 0, 1)]
+
+
 @pytest.mark.parametrize("ref,want", [("B2:D5", (1, 1, 4, 3)), ("D5:B2", (1, 1, 4, 3)), ("AA1", (0, 26, 0, 26))])
 def test_a1(ref, want):
     assert readers.a1_range(ref) == want
@@ -222,6 +248,27 @@ def test_searches_read_only_their_terms(spark, tmp_path):
     assert "PushedFilters: [In(tok" in fast._jdf.queryExecution().executedPlan().toString()
 
 
+def test_vectors_are_checked(spark):
+    v = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0])], "doc_id int, embedding array<double>")
+    assert index.checked_vectors(v.filter("doc_id = 1"), 2).count() == 1
+    with pytest.raises(Exception, match="width"):
+        index.checked_vectors(v, 2).collect()
+    with pytest.raises(ValueError):
+        index.checked_vectors(v, 2, "a", "b")
+
+
+def test_blocks_hold_elements_of_the_hits_acl_only(spark):
+    """A public and a restricted chunk of one section; an element in both has the stricter acl, headings have none."""
+    e = elements(spark, [("text", "1 Part", 1, 0), ("text", "open text", None, 0), ("text", "closed text", None, 0), ("text", "shared text", None, 0)])
+    schema = "doc_id string, chunk_no int, chunk_id string, source_indices array<int>, sec_head int, page_start int, page_end int, acl_tenant string, acl_allow array<string>, acl_visibility string, acl_unset boolean"
+    chunks = spark.createDataFrame([("d", 0, "d#0", [1, 3], 0, 0, 0, "t", ["g"], "public", False), ("d", 1, "d#1", [2, 3], 0, 0, 0, "t", ["h"], "restricted", False)], schema)
+    own = serving.with_chunk_acls(e, chunks)
+    text = lambda who: {r.hit_no: r.text for r in serving.expand(chunks, None, own, "t", who).collect()}
+    assert text(["g"]) == {0: "open text"}
+    assert text(["h"]) == {0: "open text", 1: "closed text\nshared text"}
+    assert text([]) == {0: "open text"} and not serving.expand(chunks, ["d#1"], own, "t", ["g"]).count()
+
+
 def test_identities_have_single_names(spark):
     one = spark.createDataFrame([("k" * 16, "a")], "key string, name string")
     assert sinks.append_identity(one, one.withColumn("name", F.lit("b"))).count() == 2
