@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 
 import numpy as np
@@ -13,28 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from larkspur.session import shared_dir
+
 #: Bytes of text that numpy handles at once; bounds the memory of a worker.
 SLICE_BYTES = 8 << 20
 #: The ASCII white space [\x20\x09-\x0D].
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
-_LOCAL: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A folder that driver and executors share: spark.checkpoint.dir; where that is unset the warehouse on a cluster, a temporary folder on one machine (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = held.get() if held.isDefined() else None
-    if not root and not re.match(r"local(\[|$)", spark.sparkContext.master):
-        root = spark.conf.get("spark.sql.warehouse.dir")
-    if not root:
-        app = spark.sparkContext.applicationId
-        if app not in _LOCAL:
-            _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="larkspur-")
-        root = _LOCAL[app]
-    return root.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -80,10 +64,17 @@ class Scratch:
 _KEPT: dict[str, list[str]] = {}
 
 
-def sweep(spark: SparkSession) -> None:
-    """Deletes what results of this application still read. Call it when they were used."""
-    for path in _KEPT.pop(spark.sparkContext.applicationId, []):
+def kept(spark: SparkSession) -> int:
+    """How many tables results of this application still read."""
+    return len(_KEPT.get(spark.sparkContext.applicationId, []))
+
+
+def sweep(spark: SparkSession, since: int = 0) -> None:
+    """Deletes what results of this application still read, or those since there were so many. Call it when they were used."""
+    held = _KEPT.get(spark.sparkContext.applicationId, [])
+    for path in held[since:]:
         dropped(spark, path)
+    del held[since:]
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:

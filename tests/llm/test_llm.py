@@ -489,12 +489,29 @@ def test_pipeline(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     counts = [docs.count()]
-    for _, stage in corpus_pipeline.STAGES[:-1]:
+    for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, sf)
         assert out.columns == docs.columns
         rows = out.collect()
         counts.append(len(rows))
+        if name == "simhash near-dedup":
+            comp = brute_components({brute_fingerprint(r.text) for r in docs.collect()})
+            low = {}
+            for r in docs.collect():
+                c = comp[brute_fingerprint(r.text)]
+                low[c] = min(r.doc_id, low.get(c, r.doc_id))
+            assert sorted(r.doc_id for r in rows) == sorted(low.values())
+        if name == "substring dedup":
+            own = docs.collect()
+            want = {r.doc_id: k for r, k in zip(own, removed([r.text for r in own], 35), strict=True)}
+            assert {r.doc_id for r in rows} == {r.doc_id for r in own if want[r.doc_id] or not r.text.split()}
+            assert all(r.text.split() == want[r.doc_id].split() and r.n_chars == len(r.text) for r in rows)
+        if name == "benchmark decontamination":
+            leaked = {r.doc_id for r in decontaminate.leaks(docs, spark.read.parquet(f"{sf}/benchmark.parquet")).collect()}
+            assert {r.doc_id for r in rows} == {r.doc_id for r in docs.collect()} - leaked
         docs = spark.createDataFrame(rows, docs.schema)
     assert counts == sorted(counts, reverse=True) and counts[-1] > 0.5 * counts[0]
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
     assert pieces.select("doc_id").distinct().count() == counts[-1]
+    whole = corpus_pipeline.run(spark, sf)
+    assert whole.agg(F.sum("length")).first()[0] == pieces.agg(F.sum("length")).first()[0]
