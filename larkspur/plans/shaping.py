@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -148,3 +150,15 @@ def tumbling_windows(spark, sf):
 def session_windows(spark, sf):
     e = table(spark, sf, "events").groupBy("user_id", F.session_window(F.col("ts").cast("timestamp"), "6 hours")).agg(F.count("*").alias("n"))
     return e.select("user_id", F.col("session_window.start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts::TIMESTAMP) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
+def stream_windows(spark, sf):
+    """The same windows from a stream over all there is, which ends by itself."""
+    from larkspur.session import shared_dir
+    from larkspur.streaming.sessions import run_available, tumbling
+
+    stream = spark.readStream.schema(table(spark, sf, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    name = f"windows_{uuid.uuid4().hex}"
+    out = run_available(tumbling(stream), name, "complete", f"{shared_dir(spark)}/larkspur-{name}")
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 2).alias("total"))

@@ -29,14 +29,14 @@ def late_dedup(log: DataFrame, keys: list[str], late: str = "2 hours") -> DataFr
     return with_event_time(log).withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
-def deliveries(log: DataFrame) -> DataFrame:
-    """Stateful: session, key -> session, key, already_returned. A session's keys are cleared when one more than MOST_KEYS was added; sessions end by time-to-live, as a global count of sessions is no keyed state."""
+def deliveries(log: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    """Stateful: session, key -> session, key, already_returned. A session's keys are cleared when one more than MOST_KEYS was added; with ttl_ms, for streams that run on, sessions end by time-to-live, as a global count of sessions is no keyed state."""
     from pyspark.sql.streaming import StatefulProcessor
 
     class Seen(StatefulProcessor):
         def init(self, handle):
-            self.keys = handle.getMapState("keys", "key string", "n int", ttlDurationMs=86_400_000)
-            self.held = handle.getValueState("held", "n int", ttlDurationMs=86_400_000)
+            self.keys = handle.getMapState("keys", "key string", "n int", ttlDurationMs=ttl_ms)
+            self.held = handle.getValueState("held", "n int", ttlDurationMs=ttl_ms)
 
         def handleInputRows(self, key, rows, timers):
             import pandas as pd
@@ -59,7 +59,7 @@ def deliveries(log: DataFrame) -> DataFrame:
         def close(self):
             pass
 
-    return log.groupBy("session").transformWithStateInPandas(Seen(), "session string, key string, already_returned boolean", "append", "none")
+    return log.groupBy("session").transformWithStateInPandas(Seen(), "session string, key string, already_returned boolean", "append", "processingTime" if ttl_ms else "none")
 
 
 def run_available(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:

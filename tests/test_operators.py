@@ -285,3 +285,26 @@ def test_streams(spark, tmp_path):
     assert sorted(r.n for r in out.collect()) == [4] * 5
     out = sessions.run_available(sessions.late_dedup(stream(), ["user_id", "event_type"]), "deduped", "append", str(tmp_path / "c2"))
     assert out.count() == 3
+
+
+def test_deliveries_are_remembered_per_session(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sessions, "MOST_KEYS", 3)
+    src = str(tmp_path / "log")
+    schema = "session string, key string"
+    keys = [("a", "x"), ("b", "x"), ("a", "y"), ("a", "x"), ("a", "y"), ("a", "z"), ("a", "u"), ("a", "x")]
+    spark.createDataFrame(keys, schema).coalesce(1).write.parquet(src)
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        out = sessions.run_available(sessions.deliveries(spark.readStream.schema(schema).parquet(src)), "deliveries", "append", str(tmp_path / "state"))
+        # x, y, z are held; the fourth key clears them
+        assert sorted(tuple(r) for r in out.collect()) == [("a", "u", False), ("a", "x", False), ("a", "x", False), ("a", "x", True), ("a", "y", False), ("a", "y", True), ("a", "z", False), ("b", "x", False)]
+    finally:
+        spark.conf.unset(provider)
+
+
+def test_a_stream_gives_what_the_batch_gives(spark):
+    from larkspur.plans.registry import QUERIES
+
+    rows = lambda name: sorted(map(str, QUERIES[name](spark, "/root/testdata/sf0.001").collect()))
+    assert rows("stream_windows") == rows("tumbling_windows")
