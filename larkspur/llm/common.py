@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from larkspur.session import shared_dir
 
 #: Bytes of text that numpy handles at once; bounds the memory of a worker.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 #: The ASCII white space [\x20\x09-\x0D].
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True

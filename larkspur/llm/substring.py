@@ -123,7 +123,7 @@ def _in(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.searchsorted(known, values).clip(max=len(known) - 1)] == values
 
 
-def _blocks(batches, block: str, text: str = "text", most: int = 8 << 20):
+def _blocks(batches, block: str, text: str = "text", most: int = 4 << 20):
     """(block, rows, texts) of rows that stand together."""
     for batch in batches:
         ids = batch.column(block).to_numpy()

@@ -205,7 +205,7 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = MAX_POSITIVE, other
     def run(batches):
         features = Features()
         for batch in batches:
-            for part, own in slices(batch):
+            for part, own in slices(batch, most=1 << 20):  # here every word has slots
                 row, slot = features(own)
                 ends = np.searchsorted(row, np.arange(len(part) + 1))
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(slot, pa.int32()))
