@@ -145,12 +145,20 @@ def document_scale(pairs: DataFrame, least: int = 4) -> DataFrame:
 
 def held_elements(elements: DataFrame, chunks: DataFrame, least: int = 20, key: int = 60) -> DataFrame:
     """elements (doc_id, idx, text), chunks (doc_id, chunk_id, text) -> doc_id, idx, n: how many chunks of the document hold the element's first
-    letters (white space aside); elements under `least` letters are left out. Only chunks that share the first `least` letters at some place are compared."""
+    letters (white space aside); elements under `least` letters are left out.
+
+    Of a chunk every half `least` letters are a gram; of an element the grams from each of its first places. Where a chunk holds the
+    element, one of these meets one of those, so only such places are compared.
+    """
     bare = lambda c: F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"\s+", "")
-    own = elements.select("doc_id", "idx", bare(F.col("text")).alias("b")).filter(F.length("b") >= least).select("doc_id", "idx", F.substring("b", 1, key).alias("k"), F.substring("b", 1, least).alias("g"))
-    spots = chunks.select("doc_id", "chunk_id", bare(F.col("text")).alias("c")).filter(F.length("c") >= least)
-    spots = spots.withColumn("i", F.explode(F.sequence(F.lit(1), F.length("c") - least + 1))).select("doc_id", "chunk_id", F.substr("c", F.col("i"), F.lit(least)).alias("g"), F.substr("c", F.col("i"), F.lit(key)).alias("t"))
-    found = own.join(spots, ["doc_id", "g"]).filter(F.col("t").startswith(F.col("k"))).groupBy("doc_id", "idx").agg(F.count_distinct("chunk_id").alias("n"))
+    gram = least // 2
+    own = elements.select("doc_id", "idx", bare(F.col("text")).alias("b")).filter(F.length("b") >= least).select("doc_id", "idx", F.substring("b", 1, key).alias("k"))
+    asked = own.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(gram - 1)))).withColumn("g", F.substr("k", F.col("o") + 1, F.lit(gram)))
+    spots = chunks.select("doc_id", "chunk_id", bare(F.col("text")).alias("c")).filter(F.length("c") >= gram)
+    spots = spots.withColumn("j", F.explode(F.sequence(F.lit(1), F.length("c") - gram + 1, F.lit(gram)))).withColumn("from", F.greatest(F.col("j") - gram + 1, F.lit(1)))
+    spots = spots.select("doc_id", "chunk_id", "j", "from", F.substr("c", F.col("j"), F.lit(gram)).alias("g"), F.substr("c", F.col("from"), F.lit(key + gram)).alias("t"))
+    start = F.col("j") - F.col("o") - F.col("from") + 1
+    found = asked.join(spots, ["doc_id", "g"]).filter((start >= 1) & (F.substr("t", start, F.length("k")) == F.col("k"))).groupBy("doc_id", "idx").agg(F.count_distinct("chunk_id").alias("n"))
     return own.select("doc_id", "idx").join(found, ["doc_id", "idx"], "left").na.fill(0, ["n"])
 
 

@@ -181,10 +181,10 @@ def first_of_legs(spark, sf):
     return E.first_of_legs(legs, "key", 14).select("key", "leg", F.col("rank").cast("int").alias("rank"), "position")
 
 
-@query("SELECT l_orderkey AS doc_id, count(*) AS n, CASE WHEN count(*) >= 4 THEN round(median(l_extendedprice / l_quantity), 2) END AS scale FROM lineitem GROUP BY 1")
+@query("SELECT l_orderkey AS doc_id, count(*) AS n, CASE WHEN count(*) >= 4 THEN round(median(l_extendedprice / [1, 2, 4][l_linenumber % 3 + 1]), 6) END AS scale FROM lineitem GROUP BY 1")
 def document_scale(spark, sf):
-    li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_quantity").alias("a"), F.col("l_extendedprice").alias("b"))
-    return E.document_scale(li).withColumn("scale", F.round("scale", 2))
+    li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.pow(F.lit(2), F.col("l_linenumber") % 3).alias("a"), F.col("l_extendedprice").alias("b"))
+    return E.document_scale(li).withColumn("scale", F.round("scale", 6))
 
 
 @query("WITH b AS (SELECT doc_id, regexp_replace(lower(text), '\\s+', '', 'g') AS b FROM documents WHERE n_chars < 2000), own AS (SELECT doc_id, left(b, 60) AS k FROM b WHERE length(b) >= 20), parts AS (SELECT doc_id, 0 AS chunk_id, b AS c FROM b UNION ALL SELECT doc_id, 1, substr(b, 5) FROM b) SELECT own.doc_id, 0 AS idx, count(DISTINCT chunk_id) FILTER (WHERE contains(c, k)) AS n FROM own LEFT JOIN parts USING (doc_id) GROUP BY 1".replace(" WHERE n_chars < 2000", ""))
