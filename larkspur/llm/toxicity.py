@@ -23,7 +23,9 @@ from pyspark.sql import types as T
 from larkspur.llm.common import Scratch, byte_view, column, free_names, mapped, slices
 from larkspur.llm.unigram import words_of
 
-DIM = 1 << 20
+BITS = 20
+DIM = 1 << BITS
+LAST = DIM - 1
 MAX_POSITIVE = 2500
 MAX_UNLABELLED = 7500
 EPOCHS = 30
@@ -42,11 +44,15 @@ EDGES = b".,;:!?\"'()[]{}<>*&%#$@~|_-/\\"
 
 
 def word_slots(word: bytes) -> list[tuple[int, ...]]:
-    """For a word, without what stands at its edges, and each of its beginnings: the slots of the LEVELS."""
+    """For a word, without what stands at its edges, and each of its beginnings: the slots of the LEVELS, parts of one hash."""
     bare = word.strip(EDGES)
-    text = bare.decode()
-    parts = [bare, *(b"^" + text[:n].encode() for n in PREFIXES if len(text) > n)]
-    return [tuple(xxhash.xxh64_intdigest(p, level) & (DIM - 1) for level in LEVELS) for p in parts]
+    if bare.isascii():
+        heads = [bare[:n] for n in PREFIXES if len(bare) > n]
+    else:
+        text = bare.decode()
+        heads = [text[:n].encode() for n in PREFIXES if len(text) > n]
+    hashes = [xxhash.xxh64_intdigest(bare), *(xxhash.xxh64_intdigest(b"^" + h) for h in heads)]
+    return [(h & LAST, h >> BITS & LAST, h >> 2 * BITS & LAST) for h in hashes]
 
 
 class Features:
