@@ -85,6 +85,26 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+#: Keys with over a MOST_HOTth of all rows are joined by broadcast; there are fewer than MOST_HOT of them.
+MOST_HOT = 8192
+
+
+def joined(rows: DataFrame, keyed: DataFrame, on: list[str], count: str, how: str = "inner") -> DataFrame:
+    """rows, joined (inner, left or left_semi) with keyed, which has one row for each key and, in count, how many rows have that key.
+
+    The few keys that hold over a MOST_HOTth of all counted rows are broadcast, so no task gets all rows of a
+    hot key; the others are shuffled. Both sides are read twice: stage them where they are dear to make.
+    """
+    total = keyed.agg(F.sum(count)).first()[0] or 0
+    hot = F.col(count) * MOST_HOT > F.lit(total)
+    keyed, much, few = keyed.drop(count), keyed.filter(hot).drop(count), keyed.filter(~hot).drop(count)
+    if how == "left_semi":
+        keyed, much, few = (x.select(*on) for x in (keyed, much, few))
+    named = F.broadcast(much.select(*on))
+    inner = "left_semi" if how == "left_semi" else "inner"
+    return rows.join(F.broadcast(much), on, inner).unionByName(rows.join(named, on, "left_anti").join(few, on, how))
+
+
 def column(name: str):
     """The column of exactly this name, dots and all."""
     return F.col("`" + name.replace("`", "``") + "`")

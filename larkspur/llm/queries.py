@@ -89,7 +89,13 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_documents(spark, sf_dir), _vocabulary("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_substring_dedup, op3_media, op4_packing, op5_token_files, op6_warc, op7_sharding, op8_toxicity, op9_token_counts, op10_simhash)}
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larkspur.llm.exact import exact_duplicates
+
+    return exact_duplicates(_documents(spark, sf_dir), keep="largest")
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_substring_dedup, op3_media, op4_packing, op5_token_files, op6_warc, op7_sharding, op8_toxicity, op9_token_counts, op10_simhash, op12_exact_dedup)}
 
 _MARKS = "\x01\x02\x03"
 
@@ -135,6 +141,11 @@ marks AS (SELECT w.r, w.i, w.word, max(t.i) OVER (PARTITION BY w.r ORDER BY w.i
 kept AS (SELECT r, count(*) FILTER (WHERE hit IS NOT NULL) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE hit IS NULL) AS kept FROM marks GROUP BY r)
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(k.n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
 FROM docs d LEFT JOIN kept k ON d.r = k.r
+""",
+    "op12_exact_dedup": """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+g AS (SELECT *, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size FROM d)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM g
 """,
     "op6_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
