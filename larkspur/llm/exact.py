@@ -1,8 +1,8 @@
 """Exact deduplication: rows are grouped by a 128-bit hash of their text, a stable id of each group stays, bytes are compared inside groups.
 
-A text travels once, in an aggregation that keeps the least and the greatest text of a hash: where these are
-the same bytes, all texts of the group are. Where they differ, the hash has collided, and its rows are grouped by hash and text.
-Everything else works on ids and hashes. DataFrame functions only.
+A text travels once, in an aggregation by hash and text, which compares bytes; copies meet before they travel. A hash
+with several texts has collided, and its rows are grouped by hash and text; as good as always there is none, and
+everything else works on ids and hashes. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -33,9 +33,9 @@ def _groups(rows: DataFrame, by: list[str], keep: str) -> DataFrame:
 
 
 def collisions(texts: DataFrame) -> DataFrame:
-    """texts (hash, text) -> hash, n of the hashes that texts of different bytes share."""
-    found = texts.groupBy("hash").agg(F.count("*").alias("n"), F.min("text").alias("least"), F.max("text").alias("greatest"))
-    return found.filter(F.col("least") != F.col("greatest")).select("hash", "n")
+    """texts (hash, text) -> hash, n (their rows) of the hashes that texts of different bytes share. Grouping by hash and text compares bytes."""
+    classes = texts.groupBy("hash", "text").agg(F.count("*").alias("rows"))
+    return classes.groupBy("hash").agg(F.sum("rows").alias("n"), F.count("*").alias("texts")).filter("texts > 1").select("hash", "n")
 
 
 def _parts(scratch: Scratch, docs: DataFrame, keep: str, digest: Callable[[Column], Column]) -> list[tuple[DataFrame, DataFrame, list[str]]]:
