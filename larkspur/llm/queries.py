@@ -89,6 +89,18 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_documents(spark, sf_dir), _vocabulary("piece_bpe_32k.model"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larkspur.llm.common import Scratch
+    from larkspur.llm.trie import numbered, prefix_trie, regrafted, turn_rows
+
+    scratch, c = Scratch(spark), F.col("conv_id")
+    turns = scratch.stage(numbered(turn_rows(spark.read.parquet(f"{sf_dir}/conversations.parquet")), scratch), "numbered")
+    rebuilt, conversations = regrafted(turns, c - c % 20, F.crc32(c.cast("string")) % 4, scratch, most=3)
+    out = prefix_trie(rebuilt, conversations)
+    scratch.drop()
+    return out
+
+
 def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from larkspur.llm.exact import exact_duplicates
 
@@ -101,7 +113,7 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).withColumn("deviation", F.col("deviation").cast("long"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_substring_dedup, op3_media, op4_packing, op5_token_files, op6_warc, op7_sharding, op8_toxicity, op9_token_counts, op10_simhash, op12_exact_dedup, op13_whitening)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_substring_dedup, op3_media, op4_packing, op5_token_files, op6_warc, op7_sharding, op8_toxicity, op9_token_counts, op10_simhash, op11_prefix_trie, op12_exact_dedup, op13_whitening)}
 
 _MARKS = "\x01\x02\x03"
 
