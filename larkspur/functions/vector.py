@@ -15,7 +15,8 @@ def norm(a: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    return dot(a, b) / (norm(a) * norm(b))
+    """Null where a side has no length or holds null."""
+    return F.try_divide(dot(a, b), norm(a) * norm(b))
 
 
 def shortened(vector: Column, width: int) -> Column:

@@ -53,20 +53,33 @@ def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_POSTINGS: dict[tuple[str, str], str] = {}
+_WRITTEN: dict[tuple[str, str, str], str] = {}
 
 
-def postings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The written postings and lengths of documents. They are indexed once for each application and table, and searched many times."""
+def written(spark: SparkSession, sf_dir: str, name: str, write: Callable[[str], None]) -> str:
+    """Where an index of that name over the tables is. It is written once for each application and folder of tables, and searched many times."""
     from larkspur.session import shared_dir
+
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _WRITTEN:
+        path = f"{shared_dir(spark)}/larkspur-{name}-{uuid.uuid4().hex}"
+        write(path)
+        _WRITTEN[key] = path
+    return _WRITTEN[key]
+
+
+def drop_written(spark: SparkSession) -> None:
+    """Deletes the indexes that this application's queries have written; later ones write them anew."""
+    for key in [k for k in _WRITTEN if k[0] == spark.sparkContext.applicationId]:
+        where = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop(key))
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def postings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The written postings and lengths of documents."""
     from larkspur.sources.index import read_postings, write_postings
 
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _POSTINGS:
-        path = f"{shared_dir(spark)}/larkspur-postings-{uuid.uuid4().hex}"
-        write_postings(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
-        _POSTINGS[key] = path
-    return read_postings(spark, _POSTINGS[key])
+    return read_postings(spark, written(spark, sf_dir, "postings", lambda path: write_postings(table(spark, sf_dir, "documents").select("doc_id", "text"), path)))
 
 
 def users(spark: SparkSession) -> DataFrame:
