@@ -103,10 +103,15 @@ def sections(levels: DataFrame, elements: DataFrame) -> DataFrame:
     return heads.mapInPandas(run, f"doc_id {kind}, idx int, level int, title string, end_idx int, parent_idx int, breadcrumb array<string>")
 
 
-def in_section(levels: DataFrame) -> DataFrame:
-    """Bodies with sec_head, the nearest heading before (as-of)."""
+def section_of(levels: DataFrame) -> DataFrame:
+    """levels with sec_head, the nearest heading before (as-of), for a heading itself."""
     w = Window.partitionBy("doc_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    return levels.withColumn("sec_head", F.last(F.when(F.col("level").isNotNull(), F.col("idx")), ignorenulls=True).over(w)).filter("level is null")
+    return levels.withColumn("sec_head", F.last(F.when(F.col("level").isNotNull(), F.col("idx")), ignorenulls=True).over(w))
+
+
+def in_section(levels: DataFrame) -> DataFrame:
+    """Bodies with sec_head."""
+    return section_of(levels).filter("level is null")
 
 
 def sections_by_id(sections: DataFrame) -> DataFrame:

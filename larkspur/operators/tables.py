@@ -77,15 +77,15 @@ def fill_right(row: list[str]) -> list[str]:
     return out
 
 
-def header_depth(rows: list[list], start: int, end: int, merges) -> int:
-    """Rows of the header that starts at `start`: grown while a merge that begins in it reaches further down, within the band; or two, if a row of groups stands above one of labels."""
+def header_depth(rows: list[list], start: int, end: int, merges) -> tuple[int, bool]:
+    """Rows of the header that starts at `start`, and whether merges make it deep: grown while a merge that begins in it reaches further down, if it ends within the band; else two, if a row of groups stands above one of labels."""
     last, reach = -1, start
     while reach > last:
         last, reach = reach, max([reach, *(bottom for top, _, bottom, _ in merges if start <= top <= reach)])
-    if last > start:
-        return last - start + 1 if last < end else 1
+    if start < last < end:
+        return last - start + 1, True
     pair = start + 1 < end and filled(rows[start]) < len(rows[start]) and header_like(rows[start + 1]) and numeric_share(rows[start + 1]) < SECOND_SHARE
-    return 2 if pair else 1
+    return 2 if pair else 1, False
 
 
 def header_labels(rows: list[list[str]], merges, first: int) -> list[str]:
@@ -95,21 +95,29 @@ def header_labels(rows: list[list[str]], merges, first: int) -> list[str]:
         for r in range(max(r1, first), min(r2, first + len(layers) - 1) + 1):
             for c in range(c1, min(c2 + 1, len(layers[0]))):
                 layers[r - first][c] = layers[r - first][c] or (layers[r1 - first][c1] if r1 >= first else "")
-    if len(layers) > 1 and not merges:
-        layers[0] = fill_right(layers[0])
     out = []
     for column in zip(*layers, strict=True):
         parts: list[str] = []
         for p in column:
             if p and (not parts or parts[-1] != p):
                 parts.append(p)
-        out.append(" ".join(parts))
+        out.append(re.sub(r"\s+", " ", " ".join(parts)))
     return out
 
 
+def pair_labels(groups: list[str], own: list[str]) -> list[str]:
+    """One label per column from a row of groups, each spread to the right, and the row of labels below it."""
+    return [f"{g} {c}".strip() for g, c in zip(fill_right(groups), own, strict=True)]
+
+
+def widest(rows: list[list]) -> int:
+    """Columns up to the last one that holds something."""
+    return max((i + 1 for r in rows for i, v in enumerate(r) if cell_text(v)), default=0)
+
+
 def sheet_chunks(values: list[list], merges=(), sheet: str = "", target: int = TARGET, most: int = MAX_COLUMNS, ratio: float = 4.0) -> list[tuple[str, str, int, int, str | None]]:
-    """(kind, text, first row, last row, title) of a sheet; every value stands in a chunk. A header is carried on to bands without one."""
-    width = max((max((i + 1 for i, v in enumerate(r) if cell_text(v)), default=0) for r in values), default=0)
+    """(kind, text, first row, last row, title) of a sheet; every value stands in a chunk. A band is as wide as its own rows; a header is carried on to bands without one, which may be wider."""
+    width = widest(values)
     raw = [[*r[:width], *[None] * (width - len(r))] for r in values]
     rows = [[cell_text(v) for v in r] for r in raw]
     out: list[tuple[str, str, int, int, str | None]] = []
@@ -122,9 +130,11 @@ def sheet_chunks(values: list[list], merges=(), sheet: str = "", target: int = T
             if own := [lines[i] for i in g if lines[i]]:
                 out.append(("nontabular", "\n".join([opening, *own]), a + g[0], a + g[-1], None))
 
-    def table(labels: list[str], title: str | None, a: int, b: int) -> None:
+    def table(labels: list[str], title: str | None, wide: int, a: int, b: int) -> None:
         first = opening + (f" — {title}" if title else "")
-        for columns in [list(range(width))] if width <= most else [[0, *range(s, min(s + most - 1, width))] for s in range(1, width, most - 1)]:
+        labels = labels + [""] * (wide - len(labels))
+        wide = len(labels)
+        for columns in [list(range(wide))] if wide <= most else [[0, *range(s, min(s + most - 1, wide))] for s in range(1, wide, most - 1)]:
             head = markdown_row([labels[c] for c in columns]) + "\n" + "|" + " --- |" * len(columns)
             if a >= b:
                 out.append(("header_only", f"{first}\n{head}", a - 1, a - 1, title))
@@ -135,19 +145,24 @@ def sheet_chunks(values: list[list], merges=(), sheet: str = "", target: int = T
                 out.append(("table", "\n".join([first, head, *(lines[i] for i in g)]), a + g[0], a + g[-1], title))
 
     for a, b in bands(raw, merges):
-        at = next((i for i in range(a, b) if filled(raw[i]) > 1 and header_like(raw[i])), None)
+        wide = widest(raw[a:b])
+        if not wide:
+            continue
+        own = [r[:wide] for r in raw[a:b]]
+        at = next((i for i, r in enumerate(own) if filled(r) > 1 and header_like(r)), None)
         if at is None:
-            if carried is not None and any(filled(r) > 1 for r in raw[a:b]):
-                table(*carried, a, b)
+            if carried is not None and any(filled(r) > 1 for r in own):
+                table(*carried, wide, a, b)
             else:
                 prose(a, b)
             continue
-        if at > a:
-            prose(a, at)
-        deep = header_depth(raw[a:b], at - a, b - a, [(t - a, l, u - a, r) for t, l, u, r in merges])
-        tall = any(t == at and u > t for t, _, u, _ in merges)  # else a row of groups is spread to the right
-        carried = (header_labels(rows[at : at + deep], merges if tall else (), at), next((c for r in rows[a:at] for c in r if c), None))
-        table(*carried, at + deep, b)
+        if at:
+            prose(a, a + at)
+        deep, merged = header_depth(own, at, b - a, [(t - a, l, u - a, r) for t, l, u, r in merges])
+        layers = [r[:wide] for r in rows[a + at : a + at + deep]]
+        labels = header_labels(layers, merges, a + at) if merged else pair_labels(*layers) if deep > 1 else layers[0]
+        carried = (labels, next((c for r in rows[a : a + at] for c in r if c), None))
+        table(*carried, wide, a + at + deep, b)
     return out
 
 

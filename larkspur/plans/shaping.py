@@ -127,9 +127,10 @@ def content_list_elements(spark, sf):
     return elements_from_json(d.select("doc_id", blocks.alias("json"))).select("doc_id", "idx", "kind", F.md5("text").alias("text"), F.coalesce("caption", F.lit("")).alias("caption"), "page")
 
 
-@query("WITH k AS (SELECT doc_id, left(regexp_replace(lower(text), '\\s+', '', 'g'), 24) AS k FROM documents) SELECT doc_id, length(k) >= 6 AND doc_id % 2 = 0 AS merge_prev FROM k")
+@query("WITH k AS (SELECT doc_id, left(regexp_replace(lower(text), '\\s+', '', 'g'), 24) AS k, n_chars FROM documents) SELECT doc_id, length(k) >= 6 AND n_chars % 5 > 0 AND doc_id % 2 = 0 AS merge_prev FROM k")
 def merge_lookup(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.lit(0).alias("idx"), F.lit(0).alias("page"), "text")
+    """Tables (here some documents) never go on over a page."""
+    d = table(spark, sf, "documents").select("doc_id", F.lit(0).alias("idx"), F.when(F.col("n_chars") % 5 == 0, "table").otherwise("list").alias("kind"), F.lit(0).alias("page"), "text")
     layout = d.select("doc_id", "page", F.lit(3).alias("pos"), "text", (F.col("doc_id") % 2 == 0).alias("merge_prev"))
     return merge_flags(d, layout.unionByName(layout.withColumn("pos", F.lit(5)).withColumn("merge_prev", F.lit(True)))).select("doc_id", "merge_prev")
 

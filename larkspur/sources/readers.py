@@ -11,7 +11,7 @@ from xml.etree import ElementTree
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BLOCKS = "array<struct<type:string,text:string,text_level:int,page_idx:int,bbox:array<double>,list_items:array<string>,table_caption:array<string>,table_footnote:array<string>,table_body:string,image_caption:array<string>,image_footnote:array<string>,chart_caption:array<string>,img_path:string,content:string,sub_type:string>>"
+BLOCKS = "array<struct<type:string,text:string,text_level:int,page_idx:int,bbox:array<double>,list_items:array<string>,table_caption:string,table_footnote:string,table_body:string,image_caption:string,image_footnote:string,chart_caption:string,chart_footnote:string,img_path:string,content:string,sub_type:string>>"
 #: Number formats that show dates.
 DATE_FORMATS = {*range(14, 23), *range(45, 48)}
 MANIFEST = "doc_id string, doc_type string, dataset string, domain string, language string, page_count int, eff_pages int, page_ranges string, layout_tags string, api_key string, corpus_path string, src_path string"
@@ -21,11 +21,14 @@ ELEMENT = "doc_id string, idx int, kind string, text string, text_level int, pag
 def elements_from_json(rows: DataFrame) -> DataFrame:
     """rows (doc_id, json): an array of typed blocks -> ELEMENT, idx the block's place."""
     blocks = rows.select("doc_id", F.posexplode(F.from_json("json", BLOCKS)).alias("idx", "b"))
-    joined = lambda *names: F.array_join(F.coalesce(*[F.when(F.size(f"b.{n}") > 0, F.col(f"b.{n}")) for n in names]), " ")
+    # a caption is a text or a list of texts, which from_json gives as its JSON
+    one = lambda c: F.coalesce(F.array_join(F.from_json(F.when(c.startswith("["), c), "array<string>"), " "), c)
+    said = lambda c: F.when(c.isNotNull() & ~c.isin("", "[]"), one(c))
+    joined = lambda *names: F.coalesce(*[said(F.col(f"b.{n}")) for n in names])
     picture = F.col("b.type").isin("image", "chart")
     return blocks.select(
         "doc_id", "idx", F.coalesce("b.type", F.lit("text")).alias("kind"), "b.text", "b.text_level", F.coalesce("b.page_idx", F.lit(0)).alias("page"), "b.bbox", "b.list_items",
-        joined("table_caption", "image_caption", "chart_caption").alias("caption"), joined("table_footnote", "image_footnote").alias("footnote"), "b.table_body", F.when(picture, F.col("b.content")).alias("asset_content"), "b.sub_type", F.lit(False).alias("merge_prev"), F.col("b.img_path").alias("image_path"),
+        joined("table_caption", "image_caption", "chart_caption").alias("caption"), joined("table_footnote", "image_footnote", "chart_footnote").alias("footnote"), "b.table_body", F.when(picture, F.col("b.content")).alias("asset_content"), "b.sub_type", F.lit(False).alias("merge_prev"), F.col("b.img_path").alias("image_path"),
     )
 
 
@@ -43,9 +46,9 @@ def doc_type_of(doc_id):
 
 
 def merge_flags(elements: DataFrame, layout: DataFrame) -> DataFrame:
-    """merge_prev from layout (doc_id, page, pos, text, merge_prev): of a page's blocks the first whose 24-character key starts with the element's first 12, or the other way round; an element's key under 6 never matches."""
+    """merge_prev from layout (doc_id, page, pos, text, merge_prev): of a page's blocks the first whose 24-character key starts with the element's first 12, or the other way round; an element's key under 6 never matches. Only texts and lists go on over a page."""
     key = lambda c: F.substring(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"\s+", ""), 1, 24)
-    a = elements.select("doc_id", "idx", "page", key(F.col("text")).alias("k")).filter(F.length("k") >= 6)
+    a = elements.filter(F.col("kind").isin("text", "list")).select("doc_id", "idx", "page", key(F.col("text")).alias("k")).filter(F.length("k") >= 6)
     b = layout.select("doc_id", "page", "pos", key(F.col("text")).alias("m"), F.col("merge_prev").alias("flag")).filter(F.length("m") > 0)
     near = F.col("k").startswith(F.substring("m", 1, 12)) | F.col("m").startswith(F.substring("k", 1, 12))
     found = a.join(b, ["doc_id", "page"]).filter(near).groupBy("doc_id", "idx").agg(F.min_by("flag", "pos").alias("flag"))

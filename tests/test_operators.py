@@ -1,6 +1,7 @@
 """Operators on small fixtures, against plain loops."""
 
 import io
+import json
 import uuid
 import zipfile
 
@@ -47,7 +48,7 @@ def test_chunks_keep_every_body_and_number_densely(spark):
     lines = FIXTURE[:5] + [("text", "word " * 900, None, 0)] + FIXTURE[5:]
     rows = chunking.chunks(elements(spark, lines)).orderBy("chunk_no").collect()
     assert [r.chunk_id for r in rows] == [f"d#{i:04d}" for i in range(len(rows))]
-    assert {i for r in rows for i in r.source_indices} == {2, 4, 5, 6, 8}
+    assert {i for r in rows for i in r.source_indices} == {2, 4, 5, 8}  # the table (6) holds nothing
 
 
 def test_same_named_sections_stay_apart(spark):
@@ -108,6 +109,49 @@ def test_cap_keeps_the_first_line(spark):
         assert got[n] == want and context.capped_length(text.split("\n"), most, ratio) == len(want)
 
 
+def test_asset_chunks(spark):
+    """Labels and breadcrumb of a table are its text, its body stays raw; a picture's description has low trust; empty ones are no chunks and shift no ids."""
+    body = "<table><tr><td></td><td>As of December 31,</td></tr><tr><td>2015</td><td>2014</td></tr><tr><td>Revenues</td><td>$ 6,779,511</td><td>$ 5</td></tr></table>"
+    rows = [("text", "Overview", 1, None, None, None, None), ("text", "Segments", 2, None, None, None, None), ("table", "", None, "Selected Data", body, None, None), ("table", "", None, None, None, None, None), ("text", "prose", None, None, None, None, None), ("table", None, None, None, body, None, None), ("image", None, None, None, None, "a red bridge", None), ("chart", None, None, None, None, None, "img/a.png"), ("image", None, None, None, None, None, "../x"), ("text", "more", None, None, None, None, None)]
+    e = spark.createDataFrame([("d", "en", "form", i, k, t, lv, 0, None, cap, None, b, c, img, False) for i, (k, t, lv, cap, b, c, img) in enumerate(rows)], ELEMENT)
+    got = chunking.chunks(e).orderBy("chunk_no").collect()
+    labels = "As of December 31, | 2015 | 2014 | Revenues"
+    assert [(r.chunk_id, r.kind, r.text, r.flags, r.trust, r.image_path) for r in got] == [
+        ("d#0000", "table", f"Selected Data Overview > Segments {labels}", [], "high", None), ("d#0001", "text", "prose", [], "high", None), ("d#0002", "table", f"Overview > Segments {labels}", ["captionless"], "high", None),
+        ("d#0003", "image", "a red bridge", ["captionless", "vlm_content"], "low", None), ("d#0004", "chart", "[chart without caption]", ["captionless", "image_only"], "high", "img/a.png"), ("d#0005", "text", "more", [], "high", None),
+    ]
+    assert got[0].content_raw == body and got[4].n_tokens == 0 and all(r.breadcrumb == ["Overview", "Segments"] for r in got)
+    e = spark.createDataFrame([("d", "en", "form", 0, "table", "", None, 0, None, "Cap", None, body, None, None, False)], ELEMENT)
+    assert [r.text for r in chunking.chunks(e).collect()] == [f"Cap {labels}"]
+
+
+def test_captions_are_texts_or_lists(spark):
+    blocks = [{"type": "chart", "chart_caption": "one text", "chart_footnote": ["foot", "note"]}, {"type": "table", "table_caption": ["a", "b"], "table_footnote": []}, {"type": "image", "image_caption": "[Fig. 1] x", "image_footnote": ""}, {"type": "image"}]
+    got = readers.elements_from_json(spark.createDataFrame([("d", json.dumps(blocks))], "doc_id string, json string")).orderBy("idx").collect()
+    assert [(r.caption, r.footnote) for r in got] == [("one text", "foot note"), ("a b", None), ("[Fig. 1] x", None), (None, None)]
+
+
+def test_only_texts_and_lists_go_on_over_a_page(spark):
+    e = spark.createDataFrame([("d", i, k, 0, "a longer text") for i, k in enumerate(["text", "table", "list"])], "doc_id string, idx int, kind string, page int, text string")
+    layout = spark.createDataFrame([("d", 0, 0, "a longer text", True)], "doc_id string, page int, pos int, text string, merge_prev boolean")
+    assert [r.merge_prev for r in readers.merge_flags(e, layout).orderBy("idx").collect()] == [True, False, True]
+
+
+def test_a_band_is_as_wide_as_its_own_rows():
+    wide = [["k", "a", "b", "c", "d"], ["x", 1.0, 2.0, 3.0, 4.0]]
+    people = [["name", "town", "job"], ["Ann", "Bern", "cook"], ["Bob", "Rome", "smith"]]
+    parts = tables.sheet_chunks([*wide, [], *people], (), "S")
+    assert [p[1].splitlines()[1:] for p in parts] == [["| k | a | b | c | d |", "| --- | --- | --- | --- | --- |", "| x | 1 | 2 | 3 | 4 |"], ["| name | town | job |", "| --- | --- | --- |", "| Ann | Bern | cook |", "| Bob | Rome | smith |"]]
+    # a band of numbers goes on under the header before, and may be wider
+    parts = tables.sheet_chunks([["n", "v"], ["a", 1.0], [], [1.5, 2.5, 3.5]], (), "S")
+    assert parts[1][1].splitlines()[1:] == ["| n | v |  |", "| --- | --- | --- |", "| 1.5 | 2.5 | 3.5 |"]
+    # forty columns of one band are one slice, whatever another band has
+    parts = tables.sheet_chunks([[f"c{i}" for i in range(50)], [], ["name", "town"], ["Ann", "Bern"]], (), "S")
+    assert [p[0] for p in parts] == ["header_only", "header_only", "table"]
+    # groups are spread over equal labels too
+    assert tables.pair_labels(["Sales", "", "Cost"], ["Sales", "2021", ""]) == ["Sales Sales", "Sales 2021", "Cost"]
+
+
 @pytest.mark.parametrize("tenant,principals,seen", [("t", ["g"], {1, 2}), ("t", [], {2}), ("", ["g"], set()), ("u", ["g"], set())])
 def test_acl_is_closed_by_default(spark, tenant, principals, seen):
     schema = "doc_id int, acl struct<tenant:string,allow:array<string>,visibility:string,unset:boolean>"
