@@ -150,62 +150,6 @@ def xlsx_merges(data: bytes) -> list[tuple[str, int, int, int, int]]:
     return [(name, *a1_range(x.get("ref"))) for name, tree in _workbook(data)[0] for x in tree.iter() if _tag(x) == "mergeCell"]
 
 
-def docx_elements(data: bytes) -> list[tuple[int, str, str, int | None]]:
-    """(idx, kind, text, level) of a document's paragraphs and tables in order; the level is the style's or outline's."""
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
-        body = next(x for x in ElementTree.fromstring(z.read("word/document.xml")) if _tag(x) == "body")
-    out: list[tuple[int, str, str, int | None]] = []
-    for node in body:
-        if _tag(node) == "p" and (text := _texts(node).strip()):
-            style = next((v for x in node.iter() if _tag(x) == "pStyle" for v in x.attrib.values()), "")
-            m = re.fullmatch(r"(?i)heading\s?(\d)|(title)", style)
-            level = None if not m else 1 if m[2] else int(m[1])
-            runs = [r for r in node.iter() if _tag(r) == "r" and _texts(r).strip()]
-            bold = bool(runs) and all(any(_tag(x) == "b" for x in r.iter()) for r in runs)
-            if level is None and bold and len(text.split()) <= 14 and not re.search(r"[.!?。！？;；]$", text):
-                level = 2
-            out.append((len(out), "text", text, level))
-        elif _tag(node) == "tbl":
-            rows = [[_texts(c) for c in r if _tag(c) == "tc"] for r in node if _tag(r) == "tr"]
-            out.append((len(out), "table", "<table>" + "".join("<tr>" + "".join(f"<td>{c}</td>" for c in r) + "</tr>" for r in rows) + "</table>", None))
-    return out
-
-
-def pptx_elements(data: bytes) -> list[tuple[int, str, str, int | None, int]]:
-    """(idx, kind, text, level, page) of the slides' shapes; a slide's title first, notes left out."""
-    out: list = []
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
-        slides = sorted((int(m[1]), n) for n in z.namelist() if (m := re.fullmatch(r"ppt/slides/slide(\d+)\.xml", n)))
-        for page, (_, name) in enumerate(slides):
-            shapes = [x for x in ElementTree.fromstring(z.read(name)).iter() if _tag(x) == "sp"]
-            titled = [(0 if any(_tag(y) == "ph" and y.get("type") in ("title", "ctrTitle") for y in x.iter()) else 1, x) for x in shapes]
-            for first, shape in sorted(titled, key=lambda t: t[0]):
-                text = "\n".join(t for p in shape.iter() if _tag(p) == "p" and (t := _texts(p).strip()))
-                if text:
-                    out.append((len(out), "text", text, 1 if first == 0 else None, page))
-    return out
-
-
-def read_office(spark: SparkSession, folder: str) -> DataFrame:
-    """doc_id, idx, kind, text, text_level, page of the .docx and .pptx files below a folder."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).filter(F.col("path").rlike(r"(?i)\.(docx|pptx)$"))
-
-    def run(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            out = []
-            for path, data in zip(pdf["path"], pdf["content"], strict=True):
-                doc = path.rsplit("/", 1)[-1]
-                found = [(*x, 0) for x in docx_elements(data)] if doc.lower().endswith("docx") else pptx_elements(data)
-                out += [(doc, i, kind, text, level, page) for i, kind, text, level, page in found]
-            frame = pd.DataFrame(out, columns=["doc_id", "idx", "kind", "text", "text_level", "page"])
-            frame["text_level"] = frame["text_level"].astype("Int64")
-            yield frame
-
-    return files.select("path", "content").mapInPandas(run, "doc_id string, idx int, kind string, text string, text_level int, page int")
-
-
 def _from_workbooks(spark: SparkSession, folder: str, rows, schema: str) -> DataFrame:
     """rows(data) of each .xlsx file below the folder, after doc_id, the file's name."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.xlsx").load(folder)

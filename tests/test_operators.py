@@ -238,12 +238,7 @@ def office(parts):
     return out.getvalue()
 
 
-def test_office_files():
-    p = lambda text, style="", bold="": f'<w:p><w:pPr><w:pStyle w:val="{style}"/></w:pPr><w:r><w:rPr>{bold}</w:rPr><w:t>{text}</w:t></w:r></w:p>'
-    data = office({"word/document.xml": f'<w:document xmlns:w="w"><w:body>{p("Head", "Heading2")}{p("Bold head", "", "<w:b/>")}{p("Body.")}<w:tbl><w:tr><w:tc>{p("x")}</w:tc></w:tr></w:tbl></w:body></w:document>'})
-    assert [(k, t, lv) for _, k, t, lv in readers.docx_elements(data)] == [("text", "Head", 2), ("text", "Bold head", 2), ("text", "Body.", None), ("table", "<table><tr><td>x</td></tr></table>", None)]
-    data = office({"ppt/slides/slide1.xml": '<p xmlns:a="a" xmlns:p="p"><p:sp><a:p><a:t>body</a:t></a:p></p:sp><p:sp><p:ph type="title"/><a:p><a:t>Title</a:t></a:p></p:sp></p>'})
-    assert readers.pptx_elements(data) == [(0, "text", "Title", 1, 0), (1, "text", "body", None, 0)]
+def test_workbook_cells():
     data = office({"xl/workbook.xml": '<w xmlns:r="r"><sheet name="S" r:id="x"/></w>', "xl/_rels/workbook.xml.rels": '<R><Relationship Id="x" Target="worksheets/s.xml"/></R>', "xl/sharedStrings.xml": "<s><si><t>hi</t></si></s>", "xl/worksheets/s.xml": '<w><c r="A1" t="s"><v>0</v></c><c r="B2"><v>1.5</v></c></w>'})
     assert readers.xlsx_cells(data) == [("S", 0, 0, "hi"), ("S", 1, 1, 1.5)]
 
