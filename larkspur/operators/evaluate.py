@@ -38,17 +38,52 @@ def pick_evenly(rows: DataFrame, k: int, by: str, order: list[str]) -> DataFrame
     return rows.filter((F.col("size") <= k) | F.array_contains(places, F.col("pos").cast("int")))
 
 
-def assign_keys(items: DataFrame, keys: int = 3) -> DataFrame:
-    """item, size -> key: the largest first, each to the least loaded key. The list is a manifest's, so one fold holds it."""
-    ordered = items.agg(F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("neg"), "item"))).alias("l"))
-    zero = F.struct(F.array_repeat(F.lit(0).cast("bigint"), keys).alias("load"), F.array().cast("array<struct<item:string,key:int>>").alias("out"))
+def deal_equals(loads: list[int], size: int, count: int) -> list[int]:
+    """How many of `count` items of one size each key gets when each goes to the least loaded one; of equal loads the first key's turn comes first."""
+    if size <= 0:  # they change no load: all go to the first of the least loaded
+        first = loads.index(min(loads))
+        return [count if k == first else 0 for k in range(len(loads))]
+    # loads of level or less take items; below a level each key takes a known number
+    taken = lambda level: [max(0, (level - load) // size + 1) if load <= level else 0 for load in loads]
+    low, high = min(loads) - 1, max(loads) + size * (count + 1)
+    while low < high:  # the highest level at which no more than count are taken
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if sum(taken(middle)) <= count else (low, middle - 1)
+    out = taken(low)
+    rest = count - sum(out)
+    order = sorted(range(len(loads)), key=lambda k: (loads[k] + out[k] * size, k))
+    for k in order[:rest]:
+        out[k] += 1
+    return out
+
 
-    def step(acc, x):
-        k = F.array_position(acc["load"], F.array_min(acc["load"])).cast("int")
-        load = F.transform(acc["load"], lambda v, i: F.when(i + 1 == k, v - x["neg"]).otherwise(v))
-        return F.struct(load.alias("load"), F.concat(acc["out"], F.array(F.struct(x["item"].cast("string").alias("item"), (k - 1).cast("int").alias("key")))).alias("out"))
+def assign_keys(items: DataFrame, keys: int = 3) -> DataFrame:
+    """item, size (whole numbers) -> key: the largest first, each to the least loaded key.
 
-    return ordered.select(F.explode(F.aggregate("l", zero, step)["out"]).alias("r")).select("r.*")
+    Items of one size can stand for each other, so placement runs over (size, count): the driver holds a pair for each distinct size, such as
+    a number of pages, never the items. Members of a size are dealt in order of item, a key's share after the other's.
+    """
+    spark, kind = items.sparkSession, items.schema["item"].dataType
+    sized = items.select("item", F.coalesce("size", F.lit(0)).cast("long").alias("size"))
+    loads, shares = [0] * keys, []
+    for r in sorted(sized.groupBy("size").count().collect(), key=lambda r: -r["size"]):
+        own = deal_equals(loads, r["size"], r["count"])
+        loads = [load + n * r["size"] for load, n in zip(loads, own, strict=True)]
+        ends = [sum(own[: k + 1]) for k in range(keys)]
+        shares.append((r["size"], ends))
+    dealt = spark.createDataFrame(shares, "size long, ends array<long>")
+    ranked = by_rank(sized, "size", "item")
+    key = F.size(F.filter("ends", lambda e: e < F.col("rank")))
+    return ranked.join(F.broadcast(dealt), "size").select(F.col("item").cast(kind).alias("item"), key.cast("int").alias("key"))
+
+
+def by_rank(rows: DataFrame, by: str, order: str, salts: int = 64) -> DataFrame:
+    """rows with rank, from 1, within `by`, in the order of hashed parts and of `order` within each: a group is as many windows as salts, whose counts give where each starts."""
+    part = rows.withColumn("part", F.pmod(F.xxhash64(order), F.lit(salts)))
+    counts = part.groupBy(by, "part").agg(F.count("*").alias("n"))
+    before = counts.select(by, "part", (F.sum("n").over(Window.partitionBy(by).orderBy("part")) - F.col("n")).alias("before"))
+    own = F.row_number().over(Window.partitionBy(by, "part").orderBy(order))
+    return part.withColumn("own", own).join(before, [by, "part"]).withColumn("rank", F.col("before") + F.col("own")).drop("own", "before", "part")
 
 
 def evidence_verdict(in_range: Column, localized: Column, any_overlap: Column, n_chunks: Column) -> Column:

@@ -1,13 +1,15 @@
-"""Queries over office files that Spark makes from documents, and reads again."""
+"""Queries over office files that Spark makes from documents and reads again, table functions, counted writes, unspaced text."""
 
 from __future__ import annotations
 
 import io
+import uuid
 import zipfile
 
 from pyspark.sql import functions as F
 
-from larkspur.plans.base import query, table
+from larkspur.plans.base import ORACLE_SQL, query, table
+from larkspur.plans import shaping  # noqa: F401  its SQL is used here
 from larkspur.sources.office import elements_of
 
 ALTS = ["IMG_001.png", "Map of the river valley"]
@@ -50,3 +52,39 @@ def office_elements(spark, sf):
     made = table(spark, sf, "documents").select("doc_id", F.coalesce(lines, F.array().cast("array<string>")).alias("lines")).mapInPandas(files, "name string, content binary")
     held = F.when(F.col("kind") == "image", F.col("caption")).otherwise(F.md5(F.coalesce("table_body", "text")))
     return elements_of(made).select(F.substring_index("doc_id", ".", 1).cast("long").alias("doc_id"), "idx", "kind", "text_level", held.alias("held"))
+
+
+@query(ORACLE_SQL["content_list_elements"])
+def content_blocks_lateral(spark, sf):
+    """content_list_elements by the table function, from SQL; one caption is a list, as parsers write it, and the other could be a text."""
+    from larkspur.functions.tables import register
+
+    register(spark)
+    d = table(spark, sf, "documents")
+    blocks = F.to_json(F.array(F.struct(F.lit("text").alias("type"), "text", F.lit(0).alias("page_idx"), F.lit(None).cast("string").alias("image_caption")), F.struct(F.lit("image").alias("type"), F.lit(None).cast("string").alias("text"), F.lit(1).alias("page_idx"), F.concat(F.lit("cap "), "lang").alias("image_caption"))))
+    sql = "SELECT d.doc_id, b.idx, b.kind, md5(b.text) AS text, coalesce(b.caption, '') AS caption, b.page FROM {d} d, LATERAL content_blocks(d.json, 'idx, kind, text, caption, page') b"
+    return spark.sql(sql, d=d.select("doc_id", blocks.alias("json")))
+
+
+@query("SELECT count(*) FILTER (WHERE image) AS images, count(*) FILTER (WHERE NOT image AND t <> '') AS texts, count(*) FILTER (WHERE NOT image AND t = '') AS skipped, count(*) FILTER (WHERE image OR t <> '') AS indexed FROM (SELECT n_chars % 7 = 0 AS image, trim(regexp_replace(string_split(text, chr(10))[1], '[^a-m ]', '', 'g')) AS t FROM documents)")
+def counted_write(spark, sf):
+    """Chunks of each document's first line, written once; the counts are taken in that pass and held against the files."""
+    from larkspur.session import shared_dir
+    from larkspur.sources.index import write_counted
+
+    line = F.regexp_replace(F.get(F.split("text", "\n"), F.lit(0)), "[^a-m ]", "")
+    chunks = table(spark, sf, "documents").select("doc_id", line.alias("text"), F.when(F.col("n_chars") % 7 == 0, "img/a.png").alias("image_path"))
+    told = write_counted(chunks, f"{shared_dir(spark)}/larkspur-counted-{uuid.uuid4().hex}")
+    return spark.createDataFrame([tuple(told.values())], ", ".join(f"{k} long" for k in told))
+
+
+@query("SELECT l_orderkey, string_agg(p_name, ' ' ORDER BY l_linenumber, p_partkey) AS words FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1")
+def unspaced_words(spark, sf):
+    """The names of an order's parts, written without spaces, in words again; the dictionary is the parts' words with their counts."""
+    from larkspur.operators.segment import segmented
+
+    part, li = table(spark, sf, "part"), table(spark, sf, "lineitem")
+    dictionary = part.select(F.explode(F.split("p_name", " ")).alias("word")).groupBy("word").agg(F.count("*").alias("freq"))
+    names = li.join(part, F.col("p_partkey") == F.col("l_partkey")).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "p_partkey", "p_name"))).alias("n"))
+    orders = names.select("l_orderkey", F.replace(F.array_join(F.transform("n", lambda x: x["p_name"]), ""), F.lit(" "), F.lit("")).alias("run"))
+    return orders.join(segmented(orders.select("run").distinct(), dictionary), "run").select("l_orderkey", F.array_join("words", " ").alias("words"))

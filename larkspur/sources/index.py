@@ -132,6 +132,32 @@ def index_counts(chunks: DataFrame, by: str) -> DataFrame:
     return chunks.groupBy(by).agg(F.count_if(image).alias("images"), F.count_if(~image & ~empty).alias("texts"), F.count_if(empty).alias("skipped"), F.count_if(~empty).alias("indexed"))
 
 
+def write_counted(chunks: DataFrame, path: str) -> dict[str, int]:
+    """Writes chunks to a new folder and returns images, texts, skipped and indexed, counted in the writing pass itself; what was skipped is not written.
+
+    The files are then counted by their footers: a count that disagrees (a task that ran twice is observed twice) refuses the folder.
+    """
+    from pyspark.sql import Observation
+
+    image = F.col("image_path").isNotNull()
+    empty = (F.trim(F.coalesce("text", F.lit(""))) == "") & ~image
+    seen = Observation()
+    counts = [F.count_if(image).alias("images"), F.count_if(~image & ~empty).alias("texts"), F.count_if(empty).alias("skipped"), F.count_if(~empty).alias("indexed")]
+    chunks.observe(seen, *counts).filter(~empty).write.parquet(path)
+    told = {k: int(v) for k, v in seen.get.items()}
+    check_counts(told, chunks.sparkSession.read.parquet(path).count())
+    return told
+
+
+class CountError(RuntimeError):
+    """What was written is not what was counted."""
+
+
+def check_counts(told: dict[str, int], written: int) -> None:
+    if told["indexed"] != written or told["images"] + told["texts"] != told["indexed"]:
+        raise CountError(f"{written} chunks were written, but {told} counted")
+
+
 def by_chunk_id(chunks: DataFrame, chunk_ids: DataFrame) -> DataFrame:
     """Those chunks (chunk_id); unknown ids give no row."""
     return chunks.join(chunk_ids.select("chunk_id").distinct(), "chunk_id", "left_semi")

@@ -40,6 +40,23 @@ def read_parsed(spark: SparkSession, folder: str, only: str | None = None) -> Da
     return elements_from_json(first if only is None else first.filter(F.col("doc_id").startswith(only)))
 
 
+LAYOUT = "struct<pdf_info:array<struct<page_idx:int,para_blocks:array<struct<merge_prev:boolean,bbox:array<double>,lines:array<struct<spans:array<struct<content:string>>>>>>>>>"
+
+
+def layout_from_json(rows: DataFrame) -> DataFrame:
+    """rows (doc_id, json of a layout) -> doc_id, page, pos, text (spans joined by a space), bbox, merge_prev: what merge_flags and document_scale compare elements with."""
+    pages = rows.select("doc_id", F.explode(F.from_json("json", LAYOUT)["pdf_info"]).alias("p")).select("doc_id", F.coalesce("p.page_idx", F.lit(0)).alias("page"), F.posexplode("p.para_blocks").alias("pos", "b"))
+    spans = F.flatten(F.transform(F.filter("b.lines", lambda n: n["spans"].isNotNull()), lambda n: n["spans"]))
+    return pages.select("doc_id", "page", "pos", F.coalesce(F.array_join(F.transform(spans, lambda s: F.coalesce(s["content"], F.lit(""))), " "), F.lit("")).alias("text"), "b.bbox", F.coalesce("b.merge_prev", F.lit(False)).alias("merge_prev"))
+
+
+def read_layout(spark: SparkSession, folder: str) -> DataFrame:
+    """layout_from_json of all layout.json below the folder; doc_id is the file's folder, and of several layouts of a document the first counts."""
+    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "layout.json").text(folder)
+    files = files.select(F.element_at(F.split("_metadata.file_path", "/"), -2).alias("doc_id"), F.col("_metadata.file_path").alias("name"), F.col("value").alias("json"))
+    return layout_from_json(files.groupBy("doc_id").agg(F.min_by("json", "name").alias("json")))
+
+
 def doc_type_of(doc_id):
     """The part before the first double underscore, else unknown."""
     return F.when(doc_id.contains("__"), F.substring_index(doc_id, "__", 1)).otherwise("unknown")
@@ -164,15 +181,17 @@ def _from_workbooks(spark: SparkSession, folder: str, rows, schema: str) -> Data
     return files.select("path", "content").mapInPandas(run, schema)
 
 
-def read_sheets(spark: SparkSession, folder: str) -> DataFrame:
-    """doc_id, sheet, row, col, value (text), vtype (n, b, d or s) of the .xlsx files below a folder."""
+def sheet_rows(data: bytes) -> list[tuple[str, int, int, str, str]]:
+    """(sheet, row, column, value as text, type: n, b, d or s) of a workbook's cells."""
     from larkspur.operators.tables import cell_text
 
-    def rows(data):
-        kind = lambda v: "b" if isinstance(v, bool) else "n" if isinstance(v, float) else "d" if isinstance(v, datetime.date) else "s"
-        return [(s, r, c, repr(v) if isinstance(v, float) else cell_text(v), kind(v)) for s, r, c, v in xlsx_cells(data)]
+    kind = lambda v: "b" if isinstance(v, bool) else "n" if isinstance(v, float) else "d" if isinstance(v, datetime.date) else "s"
+    return [(s, r, c, repr(v) if isinstance(v, float) else cell_text(v), kind(v)) for s, r, c, v in xlsx_cells(data)]
+
 
-    return _from_workbooks(spark, folder, rows, "doc_id string, sheet string, row int, col int, value string, vtype string")
+def read_sheets(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, sheet, row, col, value (text), vtype (n, b, d or s) of the .xlsx files below a folder."""
+    return _from_workbooks(spark, folder, sheet_rows, "doc_id string, sheet string, row int, col int, value string, vtype string")
 
 
 def read_merges(spark: SparkSession, folder: str) -> DataFrame:
