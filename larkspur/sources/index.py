@@ -177,14 +177,17 @@ def checked_vectors(vectors: DataFrame, width: int, model: str | None = None, wr
 
 
 def write_postings(docs: DataFrame, path: str) -> None:
-    """docs (doc_id, text) -> postings (tok, doc_id, tf, len), in order of tok, so that a search reads the row groups of its terms only."""
-    rows = token_rows(docs)
-    posts = counted(rows)
-    lengths = posts.groupBy("doc_id").agg(F.sum("tf").alias("len"))
-    n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    out = posts.join(lengths, "doc_id").repartitionByRange(n, "tok", "doc_id").sortWithinPartitions("tok", "doc_id")
+    """docs (doc_id, text) -> postings (tok, doc_id, tf, len), in order of tok, so that a search reads the row groups of its terms only. Texts are read once; what follows works on counted tokens, written below path meanwhile."""
+    spark = docs.sparkSession
+    counted(token_rows(docs)).write.mode("overwrite").parquet(f"{path}/counted")
+    posts = spark.read.parquet(f"{path}/counted")
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    totals = posts.groupBy("doc_id").agg(F.sum("tf").alias("len"))
+    docs.select("doc_id").join(totals, "doc_id", "left").na.fill(0, ["len"]).write.mode("overwrite").parquet(f"{path}/lengths")
+    out = posts.join(spark.read.parquet(f"{path}/lengths"), "doc_id").repartitionByRange(n, "tok", "doc_id").sortWithinPartitions("tok", "doc_id")
     out.write.mode("overwrite").option("parquet.block.size", 8 << 20).parquet(f"{path}/postings")
-    docs.select("doc_id").join(lengths, "doc_id", "left").na.fill(0, ["len"]).write.mode("overwrite").parquet(f"{path}/lengths")
+    fs, where = _files(spark, f"{path}/counted")
+    fs.delete(where, True)
 
 
 def read_postings(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

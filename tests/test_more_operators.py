@@ -148,3 +148,20 @@ def test_workbook_cells_in_sql(spark):
     got = spark.sql("SELECT d.doc_id, c.* FROM {d} d, LATERAL workbook_cells(d.content) c ORDER BY row, col", d=books).collect()
     assert [tuple(r) for r in got] == [(1, "S", 0, 0, "hi", "s"), (1, "S", 1, 1, "1.5", "n"), (1, "S", 1, 2, "true", "b")]
     assert not spark.sql("SELECT * FROM {d} d, LATERAL workbook_cells(d.content) c", d=books.filter(F.col("doc_id") > 1)).collect()
+
+
+def test_descriptions_and_table_labels(spark):
+    from larkspur.functions import text as X
+
+    told = {
+        "a plain   text": "a plain text", "```mermaid\ngraph TD\nA[\"Start here\"] --> B{Is it?}\nB -->|yes| C(( End ))\nstyle A fill:#f9f\n```": "Start here Is it? yes End", "flowchart A[one] B[two]": "one two", "graph paper [x]": "graph paper [x]", "A->B": "",
+        "graph LR [a \"b\" c] (ok)": "ok", "": "", None: "",
+    }
+    rows = spark.createDataFrame([(n, t) for n, t in enumerate(told)], "n int, t string").select("n", X.asset_text(F.col("t")).alias("x")).orderBy("n").collect()
+    assert [r.x for r in rows] == list(told.values())
+    signals = {
+        "<table><thead><tr><th>A</th><th a='b'>B <b>c</b></th></tr></thead><TR><td>d</td><td></td></TR><tr><td> </td><td>e\nf</td><td>g</td></tr><tr><td>A</td></tr></table>": "A | B c | d | e f", "<tr><td>open": "", "<tr><td>x</td>": "",
+        "<tr>no cell</tr><tr><td>y</td></tr>": "y", "no table": "", None: "",
+    }
+    rows = spark.createDataFrame([(n, t) for n, t in enumerate(signals)], "n int, t string").select("n", X.table_signal(F.col("t")).alias("x")).orderBy("n").collect()
+    assert [r.x for r in rows] == list(signals.values())
