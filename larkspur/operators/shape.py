@@ -99,10 +99,12 @@ def ids_after_retry(ids: Column, leg: Column, query: Column, first: Column, seco
 
 
 def append_raw(text: Column, raw: Column, kind: Column, least: int = 40) -> Column:
-    """A chart's or table's raw content after its text, if the text is short or doesn't hold it."""
+    """A chart's or table's raw content after its text, unless the text holds it; raw content under `least` letters always, as a text may hold a short one by chance."""
     bare = lambda c: F.regexp_replace(c, r"\s+", "")
-    need = kind.isin("chart", "table") & (F.coalesce(raw, F.lit("")) != "") & ((F.length(text) < least) | ~bare(text).contains(bare(raw)))
-    return F.when(need, F.concat(text, F.lit("\n"), raw)).otherwise(text)
+    trimmed = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    own = trimmed(F.coalesce(raw, F.lit("")))
+    need = kind.isin("chart", "table") & (own != "") & ((F.length(bare(own)) < least) | ~bare(text).contains(bare(own)))
+    return F.when(need, trimmed(F.concat(text, F.lit("\n"), own))).otherwise(text)
 
 
 def http_status(code: Column, is_json: Column) -> Column:
