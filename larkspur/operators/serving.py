@@ -39,7 +39,7 @@ def with_chunk_acls(elements: DataFrame, chunks: DataFrame) -> DataFrame:
 def outline(elements: DataFrame, tenant: str, principals: list[str]) -> DataFrame:
     """doc_id, idx, level, title, end_idx of the sections with a visible body of their own; no breadcrumb, which might name a closed parent."""
     seen = visible_elements(elements, tenant, principals).filter("level is not null").select("doc_id", "idx")
-    return structure.sections(structure.leveled(elements), elements).join(seen, ["doc_id", "idx"], "left_semi").select("doc_id", "idx", "level", "title", "end_idx")
+    return structure.sections(structure.headings(elements), elements).join(seen, ["doc_id", "idx"], "left_semi").select("doc_id", "idx", "level", "title", "end_idx")
 
 
 def whole_documents(elements: DataFrame, tenant: str, principals: list[str], most: int = 6000) -> DataFrame:
@@ -56,7 +56,7 @@ def expand(chunks: DataFrame, chunk_ids: list[str] | None, elements: DataFrame,
     """Larger blocks around chunks (all, unless told) that the user may see; unknown and closed ids both give no row."""
     asked = chunks if chunk_ids is None else chunks.filter(F.col("chunk_id").isin(chunk_ids))
     hits = asked.filter(may_see(tenant, principals)).withColumn("hit_no", F.col("chunk_no")).withColumn("acl_key", acl_key())
-    tree = structure.sections(structure.leveled(elements), elements)
+    tree = structure.sections(structure.headings(elements), elements)
     limits = (max(target // 4, 1), target, max(2 * target, 1500))
     return context.big_blocks(hits, elements.withColumn("acl_key", acl_key()), tree, structure.banners(elements), limits)
 
@@ -70,7 +70,7 @@ def search_with_context(hits: DataFrame, elements: DataFrame, tenant: str, princ
     kept = context.fold_by_section(hits.filter(may_see(tenant, principals))).withColumn("hit_no", F.col("rank"))
     if concise:
         return kept.withColumn("context", F.lit(None).cast("string")).withColumn("context_status", F.lit("concise"))
-    tree = structure.sections(structure.leveled(elements), elements)
+    tree = structure.sections(structure.headings(elements), elements)
     blocks = context.big_blocks(kept.withColumn("acl_key", acl_key()), elements.withColumn("acl_key", acl_key()), tree, structure.banners(elements))
     blocks = blocks.select("hit_no", F.col("text").alias("context"), "resolved_section", "anchor_start", "anchor_end", "climbed", "windowed", F.lit(True).alias("found"))
     rows = context.dedup_blocks(kept.join(blocks, "hit_no", "left"))

@@ -24,10 +24,28 @@ def banners(elements: DataFrame) -> DataFrame:
     return counted.join(pages, "doc_id").filter("on_pages >= pages * 0.5").select("doc_id", "norm", "freq", "on_pages", "pages")
 
 
-def without_noise(elements: DataFrame) -> DataFrame:
-    found = banners(elements).select("doc_id", "norm")
-    kept = elements.filter(~F.col("kind").isin(NOISE)).withColumn("norm", norm_text(F.col("text")))
-    return kept.join(found, ["doc_id", "norm"], "left_anti").drop("norm")
+def _norm_key() -> Column:
+    """128 bits of an element's plain text, which travel in its place."""
+    norm = norm_text(F.col("text"))
+    return F.struct(F.xxhash64(norm).alias("a"), F.xxhash64(F.lit(1), norm).alias("b"))
+
+
+def _banner_keys(elements: DataFrame) -> DataFrame:
+    """doc_id, banner_keys of documents that have banners, of one pass over keys and pages; no text is shuffled."""
+    norm = norm_text(F.col("text"))
+    able = ~F.col("kind").isin(NOISE) & (norm != "") & ~norm.rlike("[:：]$")
+    spots = elements.select("doc_id", "page", F.when(able, _norm_key()).alias("key")).groupBy("doc_id", "key", "page").agg(F.count("*").alias("n"))
+    texts = spots.groupBy("doc_id", "key").agg(F.sum("n").alias("freq"), F.count("page").alias("on_pages"), F.max("page").alias("last"))
+    often = F.when(F.col("key").isNotNull() & (F.col("freq") >= 3), F.struct("key", "on_pages"))
+    docs = texts.groupBy("doc_id").agg((F.max("last") + 1).alias("pages"), F.collect_list(often).alias("often")).filter("pages >= 4")
+    keys = F.transform(F.filter("often", lambda t: t["on_pages"] >= F.col("pages") * 0.5), lambda t: t["key"])
+    return docs.select("doc_id", keys.alias("banner_keys")).filter(F.size("banner_keys") > 0)
+
+
+def without_noise(elements: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """elements without page furniture and banners; where they are but some of a document's elements, `of` are all, from which banners are told."""
+    kept = elements.filter(~F.col("kind").isin(NOISE)).join(_banner_keys(elements if of is None else of), "doc_id", "left")
+    return kept.filter(F.col("banner_keys").isNull() | ~F.array_contains("banner_keys", _norm_key())).drop("banner_keys")
 
 
 def no_heading(text: Column) -> Column:
@@ -65,10 +83,25 @@ def heading_level(text: Column, text_level: Column, doc_type: Column, promote: C
     )
 
 
+def may_head(text: Column, text_level: Column, doc_type: Column) -> Column:
+    """Whether heading_level is not null, which no other element has a say in."""
+    text, no = F.trim(text), F.lit(False)
+    return ~F.coalesce(no_heading(text), no) & (F.coalesce((doc_type == "law") & text.rlike(LAW_SECTION), no) | (F.coalesce(text_level, F.lit(0)) != 0))
+
+
+def _with_level(kept: DataFrame) -> DataFrame:
+    return kept.join(promote_bare(kept), "doc_id", "left").withColumn("level", heading_level(F.col("text"), F.col("text_level"), F.col("doc_type"), F.coalesce("promote", F.lit(True)))).drop("promote")
+
+
 def leveled(elements: DataFrame) -> DataFrame:
     """elements without noise, and level (null for bodies)."""
-    kept = without_noise(elements)
-    return kept.join(promote_bare(kept), "doc_id", "left").withColumn("level", heading_level(F.col("text"), F.col("text_level"), F.col("doc_type"), F.coalesce("promote", F.lit(True)))).drop("promote")
+    return _with_level(without_noise(elements))
+
+
+def headings(elements: DataFrame) -> DataFrame:
+    """The headings among `leveled`; bodies are left out before anything is shuffled."""
+    own = elements.filter(may_head(F.col("text"), F.col("text_level"), F.col("doc_type")))
+    return _with_level(without_noise(own, elements)).filter("level is not null")
 
 
 def sections(levels: DataFrame, elements: DataFrame) -> DataFrame:

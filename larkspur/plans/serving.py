@@ -155,7 +155,7 @@ def index_counts(spark, sf):
 @query(f"{ALL_SQL} SELECT doc_id, count(*) AS n, min(idx)::INT AS first, max(level)::INT AS deepest FROM tree GROUP BY 1")
 def sections_by_id(spark, sf):
     e = elements(spark, sf)
-    m = structure.sections_by_id(structure.sections(structure.leveled(e), e))
+    m = structure.sections_by_id(structure.sections(structure.headings(e), e))
     own = F.map_values("sections")
     return m.select("doc_id", F.size(own).cast("long").alias("n"), F.array_min(F.transform(own, lambda s: s["idx"])).alias("first"), F.array_max(F.transform(own, lambda s: s["level"])).alias("deepest"))
 

@@ -44,13 +44,13 @@ def heading_levels(spark, sf):
 @query(f"{ALL_SQL} SELECT doc_id, idx::INT AS idx, level, md5(title) AS title, end_idx::INT AS end_idx, parent_idx::INT AS parent_idx FROM tree")
 def section_ranges(spark, sf):
     e = elements(spark, sf)
-    return S.sections(S.leveled(e), e).select("doc_id", "idx", "level", F.md5("title").alias("title"), "end_idx", "parent_idx")
+    return S.sections(S.headings(e), e).select("doc_id", "idx", "level", F.md5("title").alias("title"), "end_idx", "parent_idx")
 
 
 @query(f"{ALL_SQL} SELECT t.doc_id, t.idx::INT AS idx, md5(string_agg(a.title, ' > ' ORDER BY a.idx)) AS path FROM tree t JOIN tree a ON a.doc_id = t.doc_id AND a.idx <= t.idx AND t.idx < a.end_idx GROUP BY 1, 2")
 def breadcrumbs(spark, sf):
     e = elements(spark, sf)
-    return S.sections(S.leveled(e), e).select("doc_id", "idx", F.md5(F.array_join("breadcrumb", " > ")).alias("path"))
+    return S.sections(S.headings(e), e).select("doc_id", "idx", F.md5(F.array_join("breadcrumb", " > ")).alias("path"))
 
 
 @query(f"{ALL_SQL} SELECT l.doc_id, l.idx::INT AS idx, (SELECT max(h.idx) FROM heads h WHERE h.doc_id = l.doc_id AND h.idx < l.idx)::INT AS sec_head FROM lev l WHERE l.level IS NULL")
@@ -92,7 +92,7 @@ def _hits(spark, sf):
 def big_block(spark, sf):
     e = elements(spark, sf)
     hits = _hits(spark, sf).select("hit_no", "doc_id", "source_indices", "sec_head", "page_start", "page_end")
-    out = X.big_blocks(hits, e, S.sections(S.leveled(e), e), S.banners(e))
+    out = X.big_blocks(hits, e, S.sections(S.headings(e), e), S.banners(e))
     return out.select("doc_id", "hit_no", "resolved_section", "n_tokens", "climbed", "anchor_start", "anchor_end", "windowed", "note", F.md5("text").alias("h"))
 
 
