@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
-from itertools import accumulate, zip_longest
+from itertools import accumulate, groupby, zip_longest
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from larkspur.functions.text import capped
 from larkspur.functions.text import per_token as text_per_token
 from larkspur.operators.chunking import BUDGETS, DEFAULT_BUDGET, per_token
-from larkspur.operators.structure import NOISE
+from larkspur.operators.structure import NOISE, norm_key
 
 BLOCK = "hit_no int, doc_id {id}, text string, resolved_section string, n_tokens int, climbed int, anchor_start int, anchor_end int, windowed boolean, note string"
 
@@ -96,18 +96,16 @@ class Document:
 def big_blocks(hits: DataFrame, elements: DataFrame, sections: DataFrame, banners: DataFrame | None = None, limits: tuple[int, int, int] | None = None) -> DataFrame:
     """hits (hit_no, doc_id, source_indices, sec_head, page_start, page_end) -> BLOCK.
 
-    limits (least, target, most) replace the document type's. Only documents with hits are gathered, each once: elements, sections and hits meet in one group per
-    document. Where elements have acl columns and hits too, only elements of the hit's acl are gathered.
+    limits (least, target, most) replace the document type's, banners are those of `structure.banner_keys`. Only documents with hits are gathered, each once: elements,
+    sections and hits meet in one group per document, hits of one acl one after another. Where elements have acl columns and hits too, only elements of the hit's acl are gathered.
     """
     gated = "acl_key" in elements.columns and "acl_key" in hits.columns
     wanted = hits.select("doc_id").distinct()
     noise = F.col("kind").isin(NOISE)
     rows = elements.join(wanted, "doc_id", "left_semi")
     if banners is not None:
-        from larkspur.functions.text import norm_text
-
-        rows = rows.withColumn("norm", norm_text(F.col("text"))).join(banners.select("doc_id", "norm", F.lit(True).alias("banner")), ["doc_id", "norm"], "left")
-        noise = noise | F.coalesce("banner", F.lit(False))
+        rows = rows.join(banners.select("doc_id", "banner_keys"), "doc_id", "left")
+        noise = noise | F.coalesce(F.array_contains("banner_keys", norm_key()), F.lit(False))
     text = F.when(F.coalesce("text", F.lit("")) != "", F.col("text")).when(F.size("list_items") > 0, F.array_join("list_items", " ")).otherwise(F.coalesce("caption", F.lit("")))
     key = F.col("acl_key") if gated else F.lit(None).cast("string")
     own = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("idx", text.alias("text"), (~noise).alias("counts"), "page", key.alias("acl")))).alias("els"), F.first("lang").alias("lang"), F.first("doc_type").alias("doc_type"))
@@ -127,12 +125,13 @@ def big_blocks(hits: DataFrame, elements: DataFrame, sections: DataFrame, banner
                     raise ValueError(f"elements of {r['doc_id']} are not dense")
                 own = limits or BUDGETS.get(r["doc_type"], DEFAULT_BUDGET)
                 doc = Document(r["doc_id"], [e["text"] or "" for e in els], [e["counts"] for e in els], [e["page"] for e in els], sec, per_token(r["lang"]), own)
-                for h in r["asked"]:
+                for acl, same in groupby(sorted(r["asked"], key=lambda h: h["acl"] or ""), key=lambda h: h["acl"]):
                     if gated:  # an element of no known acl is closed
-                        doc.admit([e["acl"] is not None and e["acl"] == h["acl"] for e in els])
-                    head = h["sec_head"]
-                    block = doc.big_block(list(h["source_indices"]), None if head is None else int(head), h["page_start"], h["page_end"])
-                    out.append((h["hit_no"], r["doc_id"], *(block[c] for c in names), own[2], r["lang"]))
+                        doc.admit([e["acl"] is not None and e["acl"] == acl for e in els])
+                    for h in same:
+                        head = h["sec_head"]
+                        block = doc.big_block(list(h["source_indices"]), None if head is None else int(head), h["page_start"], h["page_end"])
+                        out.append((h["hit_no"], r["doc_id"], *(block[c] for c in names), own[2], r["lang"]))
             yield pd.DataFrame(out, columns=["hit_no", "doc_id", *names, "most", "lang"])
 
     names = ["text", "resolved_section", "n_tokens", "climbed", "anchor_start", "anchor_end", "windowed", "note"]

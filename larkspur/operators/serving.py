@@ -58,7 +58,7 @@ def expand(chunks: DataFrame, chunk_ids: list[str] | None, elements: DataFrame,
     hits = asked.filter(may_see(tenant, principals)).withColumn("hit_no", F.col("chunk_no")).withColumn("acl_key", acl_key())
     tree = structure.sections(structure.headings(elements), elements)
     limits = (max(target // 4, 1), target, max(2 * target, 1500))
-    return context.big_blocks(hits, elements.withColumn("acl_key", acl_key()), tree, structure.banners(elements), limits)
+    return context.big_blocks(hits, elements.withColumn("acl_key", acl_key()), tree, structure.banner_keys(elements), limits)
 
 
 def search_with_context(hits: DataFrame, elements: DataFrame, tenant: str, principals: list[str], concise: bool = False) -> DataFrame:
@@ -71,7 +71,7 @@ def search_with_context(hits: DataFrame, elements: DataFrame, tenant: str, princ
     if concise:
         return kept.withColumn("context", F.lit(None).cast("string")).withColumn("context_status", F.lit("concise"))
     tree = structure.sections(structure.headings(elements), elements)
-    blocks = context.big_blocks(kept.withColumn("acl_key", acl_key()), elements.withColumn("acl_key", acl_key()), tree, structure.banners(elements))
+    blocks = context.big_blocks(kept.withColumn("acl_key", acl_key()), elements.withColumn("acl_key", acl_key()), tree, structure.banner_keys(elements))
     blocks = blocks.select("hit_no", F.col("text").alias("context"), "resolved_section", "anchor_start", "anchor_end", "climbed", "windowed", F.lit(True).alias("found"))
     rows = context.dedup_blocks(kept.join(blocks, "hit_no", "left"))
     status = context.context_status(F.lit(False), F.coalesce("found", F.lit(False)), may_see(tenant, principals), F.col("deduped"), F.col("kind").isin("table", "chart", "image"), F.coalesce("context", F.lit("")) != "", F.coalesce("windowed", F.lit(False)), F.coalesce("climbed", F.lit(0)))

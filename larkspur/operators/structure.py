@@ -24,17 +24,17 @@ def banners(elements: DataFrame) -> DataFrame:
     return counted.join(pages, "doc_id").filter("on_pages >= pages * 0.5").select("doc_id", "norm", "freq", "on_pages", "pages")
 
 
-def _norm_key() -> Column:
+def norm_key() -> Column:
     """128 bits of an element's plain text, which travel in its place."""
     norm = norm_text(F.col("text"))
     return F.struct(F.xxhash64(norm).alias("a"), F.xxhash64(F.lit(1), norm).alias("b"))
 
 
-def _banner_keys(elements: DataFrame) -> DataFrame:
+def banner_keys(elements: DataFrame) -> DataFrame:
     """doc_id, banner_keys of documents that have banners, of one pass over keys and pages; no text is shuffled."""
     norm = norm_text(F.col("text"))
     able = ~F.col("kind").isin(NOISE) & (norm != "") & ~norm.rlike("[:：]$")
-    spots = elements.select("doc_id", "page", F.when(able, _norm_key()).alias("key")).groupBy("doc_id", "key", "page").agg(F.count("*").alias("n"))
+    spots = elements.select("doc_id", "page", F.when(able, norm_key()).alias("key")).groupBy("doc_id", "key", "page").agg(F.count("*").alias("n"))
     texts = spots.groupBy("doc_id", "key").agg(F.sum("n").alias("freq"), F.count("page").alias("on_pages"), F.max("page").alias("last"))
     often = F.when(F.col("key").isNotNull() & (F.col("freq") >= 3), F.struct("key", "on_pages"))
     docs = texts.groupBy("doc_id").agg((F.max("last") + 1).alias("pages"), F.collect_list(often).alias("often")).filter("pages >= 4")
@@ -44,8 +44,8 @@ def _banner_keys(elements: DataFrame) -> DataFrame:
 
 def without_noise(elements: DataFrame, of: DataFrame | None = None) -> DataFrame:
     """elements without page furniture and banners; where they are but some of a document's elements, `of` are all, from which banners are told."""
-    kept = elements.filter(~F.col("kind").isin(NOISE)).join(_banner_keys(elements if of is None else of), "doc_id", "left")
-    return kept.filter(F.col("banner_keys").isNull() | ~F.array_contains("banner_keys", _norm_key())).drop("banner_keys")
+    kept = elements.filter(~F.col("kind").isin(NOISE)).join(banner_keys(elements if of is None else of), "doc_id", "left")
+    return kept.filter(F.col("banner_keys").isNull() | ~F.array_contains("banner_keys", norm_key())).drop("banner_keys")
 
 
 def no_heading(text: Column) -> Column:

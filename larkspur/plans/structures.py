@@ -92,7 +92,7 @@ def _hits(spark, sf):
 def big_block(spark, sf):
     e = elements(spark, sf)
     hits = _hits(spark, sf).select("hit_no", "doc_id", "source_indices", "sec_head", "page_start", "page_end")
-    out = X.big_blocks(hits, e, S.sections(S.headings(e), e), S.banners(e))
+    out = X.big_blocks(hits, e, S.sections(S.headings(e), e), S.banner_keys(e))
     return out.select("doc_id", "hit_no", "resolved_section", "n_tokens", "climbed", "anchor_start", "anchor_end", "windowed", "note", F.md5("text").alias("h"))
 
 
