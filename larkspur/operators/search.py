@@ -28,6 +28,54 @@ def postings(docs: DataFrame) -> DataFrame:
     return counted(token_rows(docs))
 
 
+#: Words and runs that a task counts at once, about.
+COUNTED = 1 << 19
+
+
+def document_terms(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text, ...) -> their other columns, len and terms (tok, tf): the rows of `counted`, as one array for each document. A document is counted where it is read; nothing is shuffled."""
+    words, runs = words_and_runs(F.col("text"))
+    kept = [c for c in docs.columns if c != "text"]
+
+    def count(rows):
+        """rows (words, runs) -> arrays len and terms; words carry a count of their own, as a run counts only where it is no word."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        of, toks, word = [], [], []
+        for name, flag in (("words", 1), ("runs", 0)):
+            flat = pc.list_flatten(rows[name])
+            of.append(pc.list_parent_indices(rows[name]).cast("int64"))
+            toks.append(flat.cast("string"))
+            word.append(pa.array(np.full(len(flat), flag, "int64")))
+        table = pa.table({"doc": pa.concat_arrays(of), "tok": pa.concat_arrays(toks), "word": pa.concat_arrays(word)})
+        n = table.group_by(["doc", "tok"], use_threads=False).aggregate([("word", "sum"), ("word", "count")]).sort_by("doc")
+        tf = pc.if_else(pc.greater(n["word_sum"], 0), n["word_sum"], n["word_count"]).combine_chunks().cast("int64")
+        doc = n["doc"].to_numpy()
+        ends = np.searchsorted(doc, np.arange(rows.num_rows + 1))
+        sums = np.concatenate([[0], np.cumsum(tf.to_numpy())])
+        terms = pa.StructArray.from_arrays([n["tok"].combine_chunks(), tf], ["tok", "tf"])
+        return pa.array(sums[ends[1:]] - sums[ends[:-1]], "int64"), pa.ListArray.from_arrays(pa.array(ends, "int32"), terms)
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            size = np.cumsum(pc.list_value_length(batch["words"]).to_numpy(zero_copy_only=False) + pc.list_value_length(batch["runs"]).to_numpy(zero_copy_only=False))
+            at = 0
+            while at < batch.num_rows:
+                end = max(at + 1, int(np.searchsorted(size, COUNTED + (size[at - 1] if at else 0), "right")))
+                own = batch.slice(at, end - at)
+                yield pa.RecordBatch.from_arrays([*(own[c] for c in kept), *count(own)], names=[*kept, "len", "terms"])
+                at = end
+
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema.fields)
+    return docs.select(*kept, words.alias("words"), runs.alias("runs")).mapInArrow(run, f"{types}, len bigint, terms array<struct<tok:string,tf:bigint>>")
+
+
 def idf(posts: DataFrame, docs: DataFrame) -> DataFrame:
     """tok, df, idf = ln(1 + (N - df + 0.5) / (df + 0.5))."""
     n = docs.agg(F.count("*").alias("n"))

@@ -75,11 +75,24 @@ def drop_written(spark: SparkSession) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def _postings_path(spark: SparkSession, sf_dir: str) -> str:
+    from larkspur.sources.index import write_postings
+
+    return written(spark, sf_dir, "postings", lambda path: write_postings(documents(spark, sf_dir).select("doc_id", "text", "acl_tenant", "acl_allow", "acl_visibility", "acl_unset"), path))
+
+
 def postings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The written postings and lengths of documents."""
-    from larkspur.sources.index import read_postings, write_postings
+    from larkspur.sources.index import read_postings
+
+    return read_postings(spark, _postings_path(spark, sf_dir))
+
+
+def terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The written terms of each document, with its access columns."""
+    from larkspur.sources.index import read_terms
 
-    return read_postings(spark, written(spark, sf_dir, "postings", lambda path: write_postings(table(spark, sf_dir, "documents").select("doc_id", "text"), path)))
+    return read_terms(spark, _postings_path(spark, sf_dir))
 
 
 def users(spark: SparkSession) -> DataFrame:

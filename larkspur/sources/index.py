@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.operators.search import counted, token_rows
+from larkspur.operators.search import document_terms
 
 VERSION = 1
 #: Batches from which a write merges them all.
@@ -176,20 +176,39 @@ def checked_vectors(vectors: DataFrame, width: int, model: str | None = None, wr
     return vectors.withColumn("embedding", F.when(F.size("embedding") == width, F.col("embedding")).otherwise(wrong))
 
 
+#: Partitions that a term's postings are spread over, at most: a word of every document is no single task's work.
+SPREAD = 16
+#: Tokens whose postings are one partition, about.
+PART_TOKENS = 1 << 22
+
+
+def partitions_for(lengths: DataFrame) -> int:
+    """Of postings: the session's, or more where these would be large."""
+    tokens = lengths.agg(F.coalesce(F.sum("len"), F.lit(0))).first()[0]
+    return max(1, int(lengths.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-tokens // PART_TOKENS))
+
+
 def write_postings(docs: DataFrame, path: str) -> None:
-    """docs (doc_id, text) -> postings (tok, doc_id, tf, len), in order of tok, so that a search reads the row groups of its terms only. Texts are read once; what follows works on counted tokens, written below path meanwhile."""
+    """docs (doc_id, text, ...) -> postings (tok, doc_id, tf, len), in order of tok within a file, so that a search reads the row groups of its terms only.
+
+    Texts are read once: a document's terms are counted in its row and written as one array (`terms`, with the other columns); its postings are shuffled once, by a
+    hash of the term. A hash needs no sample of the rows, which would have them made twice.
+    """
     spark = docs.sparkSession
-    counted(token_rows(docs)).write.mode("overwrite").parquet(f"{path}/counted")
-    posts = spark.read.parquet(f"{path}/counted")
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    totals = posts.groupBy("doc_id").agg(F.sum("tf").alias("len"))
-    docs.select("doc_id").join(totals, "doc_id", "left").na.fill(0, ["len"]).write.mode("overwrite").parquet(f"{path}/lengths")
-    out = posts.join(spark.read.parquet(f"{path}/lengths"), "doc_id").repartitionByRange(n, "tok", "doc_id").sortWithinPartitions("tok", "doc_id")
+    document_terms(docs).write.mode("overwrite").parquet(f"{path}/terms")
+    terms = spark.read.parquet(f"{path}/terms")
+    terms.select("doc_id", "len").write.mode("overwrite").parquet(f"{path}/lengths")
+    n = partitions_for(spark.read.parquet(f"{path}/lengths"))
+    posts = terms.select("doc_id", "len", F.explode("terms").alias("t")).select("t.tok", "doc_id", "t.tf", "len")
+    out = posts.repartition(n, "tok", F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD))).sortWithinPartitions("tok", "doc_id")
     out.write.mode("overwrite").option("parquet.block.size", 8 << 20).parquet(f"{path}/postings")
-    fs, where = _files(spark, f"{path}/counted")
-    fs.delete(where, True)
 
 
 def read_postings(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(tok, doc_id, tf, len) and (doc_id, len)."""
     return spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths")
+
+
+def read_terms(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, the other columns that were given, len and terms (tok, tf): a row for each document."""
+    return spark.read.parquet(f"{path}/terms")
