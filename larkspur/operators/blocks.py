@@ -29,19 +29,30 @@ class Blocks:
     rules: DataFrame  # acl columns, n: documents under each access rule
 
 
-def write_blocks(docs: DataFrame, posts: DataFrame, lengths: DataFrame, path: str, slot: int = SLOT) -> None:
-    """docs (doc_id, acl columns), posts (tok, doc_id, tf) and lengths (doc_id, len), as blocks at path. A block has LEVELS x slot postings at most, even if all lengths are equal."""
+def write_blocks(docs: DataFrame, posts: DataFrame, lengths: DataFrame, path: str, slot: int = SLOT, terms: DataFrame | None = None) -> None:
+    """docs (doc_id, acl columns), posts (tok, doc_id, tf) and lengths (doc_id, len), as blocks at path. A block has LEVELS x slot postings at most, even if all lengths are equal.
+
+    terms: a row for each document (doc_id, acl columns, len, terms), where there are such; its slot is then told before its terms are parted, and postings
+    needn't meet their documents in a join. Either way they are shuffled by term and slot once for the blocks.
+    """
+    from larkspur.sources.index import partitions_for
+
     spark = docs.sparkSession
     steps = [i / LEVELS for i in range(1, LEVELS)]
     n = lengths.count()
     bounds = lengths.select(F.percentile_approx("len", steps, 1 << 14).alias("b")).first().b or []
     level = F.aggregate(F.array(*map(F.lit, sorted(set(bounds)))).cast("array<long>"), F.lit(0), lambda s, b: s + (b >= F.col("len")).cast("int"))  # 0: the longest
     parts = max(1, -(-n // (LEVELS * slot)))
-    slots = docs.select("doc_id", *ACL).join(lengths, "doc_id").select("doc_id", *ACL, (level.cast("long") * parts + F.pmod(F.xxhash64("doc_id"), F.lit(parts))).alias("slot"))
+    slots = (docs.select("doc_id", *ACL).join(lengths, "doc_id") if terms is None else terms).withColumn("slot", level.cast("long") * parts + F.pmod(F.xxhash64("doc_id"), F.lit(parts)))
+    if terms is None:
+        own = posts.select("tok", "doc_id", "tf").join(slots.select("doc_id", *ACL, "slot"), "doc_id")
+    else:
+        own = slots.select("doc_id", *ACL, "slot", F.explode("terms").alias("t")).select("t.tok", "doc_id", "t.tf", *ACL, "slot")
     entry = F.struct("doc_id", "tf")
-    blocks = posts.select("tok", "doc_id", "tf").join(slots, "doc_id").groupBy("tok", "slot", *ACL).agg(F.count("*").alias("n"), F.max("tf").alias("most"), F.array_sort(F.collect_list(entry)).alias("entries"))
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks.repartitionByRange(width, "tok", "slot").sortWithinPartitions("tok", "slot").write.option("parquet.block.size", 8 << 20).parquet(f"{path}/blocks")
+    # a group lies within the partition of its term and slot, so it takes no further shuffle
+    met = own.repartition(partitions_for(lengths), "tok", "slot").groupBy("tok", "slot", *ACL)
+    blocks = met.agg(F.count("*").alias("n"), F.max("tf").alias("most"), F.array_sort(F.collect_list(entry)).alias("entries"))
+    blocks.sortWithinPartitions("tok", "slot").write.option("parquet.block.size", 8 << 20).parquet(f"{path}/blocks")
     docs.groupBy(*ACL).agg(F.count("*").alias("n")).write.parquet(f"{path}/rules")
 
 
