@@ -1,9 +1,13 @@
 """Steps whose work has to grow with their input: what they shuffle, and that their rows stay the same."""
 
+import random
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from larkspur.operators import blocks as B
 from larkspur.operators import search
+from larkspur.operators import vector_lists as L
 from larkspur.sources import index
 
 TEXTS = ["a b a", None, "", "x-y x y X-Y", "café cafés v1.2 v1.2 1.2", "中文 中", "one " * 3000, "q_r/s q_r/s-t"]
@@ -31,3 +35,22 @@ def test_blocks_from_terms_are_those_from_postings(spark, tmp_path):
     B.write_blocks(docs, posts, lengths, f"{tmp_path}/direct", slot=2, terms=index.read_terms(spark, f"file://{tmp_path}/p"))
     one, two = (B.read_blocks(spark, f"{tmp_path}/{x}").rows for x in ("joined", "direct"))
     assert one.count() > 10 and one.exceptAll(two).isEmpty() and two.exceptAll(one).isEmpty()
+
+
+def test_many_queries_meet_lists_as_matrices(spark, tmp_path, monkeypatch):
+    """Slices, blocks and copies: the rows are those of all pairs, odd vectors and ties included; each query leaves a slice with its best only."""
+    rng = random.Random(2)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(150)] + [(200 + i, [1.0] * 6) for i in range(90)]
+    rows += [(400, None), (401, [0.0] * 6), (402, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (403, [float("nan")] * 6), (404, [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "doc_id long, embedding array<double>")
+    L.write_lists(df.filter("doc_id < 404"), f"{tmp_path}/l", lists=5)
+    index = L.read_lists(spark, f"{tmp_path}/l")
+    asks = df.filter("doc_id % 7 = 0 or doc_id >= 400").select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("q"))
+    monkeypatch.setattr(L, "SLICE", 40)
+    monkeypatch.setattr(L, "BLOCK", 9)
+    monkeypatch.setattr(L, "AT_ONCE", 4)
+    got = L.nearest(index, asks, 12, probes=5)
+    assert "BroadcastNestedLoopJoin" not in got._jdf.queryExecution().executedPlan().toString() and "CoGroup" in got._jdf.queryExecution().executedPlan().toString()
+    pairs = index.rows.crossJoin(F.broadcast(asks)).select("query_id", "doc_id", F.round(L.cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
+    want = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))).filter("rank <= 12")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
