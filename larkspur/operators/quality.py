@@ -64,12 +64,16 @@ def weight_quality(sparse: DataFrame, dense: DataFrame, golden: DataFrame, weigh
     """Lists of many questions, (q, id, sparse_rank) and (q, id, dense_rank), and golden (q, id) -> for each share w of the dense route: n, mrr, recall at `at` of the best golden id in the fused list.
 
     Lists are short (prefetched rows of a question); ranks are windows over one question and weight. Questions without golden ids don't count.
+    All three are shuffled by question once; ids meet, are weighted and ranked where their question is.
     """
-    both = sparse.join(dense, ["q", "id"], "full").withColumn("w", F.explode(F.array(*[F.lit(float(w)) for w in weights])))
+    column = lambda name: F.lit(None).cast("int") if name is None else F.col(name).cast("int")
+    part = lambda df, s, d, g: df.select("q", "id", column(s).alias("sparse_rank"), column(d).alias("dense_rank"), F.lit(g).alias("gold"))
+    rows = part(sparse, "sparse_rank", None, False).unionByName(part(dense, None, "dense_rank", False)).unionByName(part(golden, None, None, True))
+    listed = F.col("sparse_rank").isNotNull() | F.col("dense_rank").isNotNull()
+    both = rows.repartition("q").groupBy("q", "id").agg(F.min("sparse_rank").alias("sparse_rank"), F.min("dense_rank").alias("dense_rank"), F.max("gold").alias("gold")).withColumn("listed", listed)
+    weighted = both.withColumn("w", F.explode(F.array(*[F.lit(float(w)) for w in weights])))
     score = F.round((1 - F.col("w")) * reciprocal(F.col("sparse_rank"), k) + F.col("w") * reciprocal(F.col("dense_rank"), k), 8)
-    ranked = both.withColumn("rank", F.row_number().over(Window.partitionBy("q", "w").orderBy(score.desc(), "id")))
-    gold = golden.select("q", "id").distinct()
-    found = ranked.join(gold, ["q", "id"], "left_semi").groupBy("q", "w").agg(F.min("rank").alias("rank"))
-    asked = gold.select("q").distinct().withColumn("w", F.explode(F.array(*[F.lit(float(w)) for w in weights])))
-    out = asked.join(found, ["q", "w"], "left")
+    # golden ids of no list come last and have no rank
+    ranked = weighted.withColumn("rank", F.row_number().over(Window.partitionBy("q", "w").orderBy(F.desc("listed"), score.desc(), "id")))
+    out = ranked.groupBy("q", "w").agg(F.min(F.when(F.col("gold") & F.col("listed"), F.col("rank"))).alias("rank"), F.max("gold").alias("asked")).filter("asked")
     return out.groupBy("w").agg(F.count("*").alias("n"), F.round(F.avg(F.coalesce(1 / F.col("rank"), F.lit(0.0))), 6).alias("mrr"), F.round(F.avg(F.coalesce((F.col("rank") <= at).cast("int"), F.lit(0))), 6).alias("recall"))
