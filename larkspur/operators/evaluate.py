@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.functions.vector import floor_rank, nearest_rank
+from larkspur.functions.vector import area, floor_rank, nearest_rank, overlap_area
 
 
 def recall_mrr(rows: DataFrame, by: list[str], k: int = 5) -> DataFrame:
@@ -183,20 +183,38 @@ def held_elements(elements: DataFrame, chunks: DataFrame, least: int = 20, key:
     letters (white space aside); elements under `least` letters are left out.
 
     Of a chunk every half `least` letters are a gram; of an element the grams from each of its first places. Where a chunk holds the
-    element, one of these meets one of those, so only such places are compared.
+    element, one of these meets one of those, so only such places are compared. A chunk is cut in one pass, and of its grams only those that its document's
+    elements ask for leave the row, with the letters around them.
     """
     bare = lambda c: F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"\s+", "")
     gram = least // 2
     own = elements.select("doc_id", "idx", bare(F.col("text")).alias("b")).filter(F.length("b") >= least).select("doc_id", "idx", F.substring("b", 1, key).alias("k"))
     asked = own.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(gram - 1)))).withColumn("g", F.substr("k", F.col("o") + 1, F.lit(gram)))
-    spots = chunks.select("doc_id", "chunk_id", bare(F.col("text")).alias("c")).filter(F.length("c") >= gram)
-    spots = spots.withColumn("j", F.explode(F.sequence(F.lit(1), F.length("c") - gram + 1, F.lit(gram)))).withColumn("from", F.greatest(F.col("j") - gram + 1, F.lit(1)))
-    spots = spots.select("doc_id", "chunk_id", "j", "from", F.substr("c", F.col("j"), F.lit(gram)).alias("g"), F.substr("c", F.col("from"), F.lit(key + gram)).alias("t"))
-    start = F.col("j") - F.col("o") - F.col("from") + 1
+    cut = F.regexp_extract_all(bare(F.col("text")), F.lit(f"(?s).{{1,{gram}}}"), F.lit(0))
+    met = chunks.select("doc_id", "chunk_id", cut.alias("grams")).join(asked.groupBy("doc_id").agg(F.collect_set("g").alias("sought")), "doc_id")
+    met = met.withColumn("common", F.array_intersect("grams", "sought")).filter(F.size("common") > 0).drop("sought")
+    # the gram before, and as many from it on as an element's letters reach
+    around = lambda i: F.array_join(F.slice("grams", F.greatest(i, F.lit(1)), -(-(key + gram) // gram)), "")
+    places = F.filter(F.transform("grams", lambda g, i: F.when(F.array_contains("common", g), i)), lambda i: i.isNotNull())
+    spots = met.withColumn("i", F.explode(places)).select("doc_id", "chunk_id", F.element_at("grams", F.col("i") + 1).alias("g"), around(F.col("i")).alias("t"), F.when(F.col("i") > 0, gram).otherwise(0).alias("before"))
+    start = F.col("before") - F.col("o") + 1
     found = asked.join(spots, ["doc_id", "g"]).filter((start >= 1) & (F.substr("t", start, F.length("k")) == F.col("k"))).groupBy("doc_id", "idx").agg(F.count_distinct("chunk_id").alias("n"))
     return own.select("doc_id", "idx").join(found, ["doc_id", "idx"], "left").na.fill(0, ["n"])
 
 
+def overlaps(regions: DataFrame, boxes: DataFrame, page: list[str], key: str, least: float, share: float = 0.3) -> DataFrame:
+    """regions (key, page columns, a0, b0, a1, b1), boxes (page columns, x0, y0, x1, y1) -> key, n, total: the boxes that cover this share of a region, or `least` of area, and the area they cover.
+
+    Equal boxes of a page are one with its number, equal regions ask once, so the pairs are those of different boxes. Regions of one key are one row.
+    """
+    one, two = ["x0", "y0", "x1", "y1"], ["a0", "b0", "a1", "b1"]
+    own = boxes.groupBy(*page, *one).agg(F.count("*").alias("n"))
+    covered, whole = overlap_area(tuple(map(F.col, one)), tuple(map(F.col, two))), area(tuple(map(F.col, two)))
+    met = own.join(regions.select(*page, *two).distinct(), page).withColumn("a", covered).filter((F.col("a") >= share * whole) | (F.col("a") >= least))
+    sums = met.groupBy(*page, *two).agg(F.sum("n").alias("n"), F.sum(F.col("a") * F.col("n")).alias("total"))
+    return regions.join(sums, [*page, *two]).groupBy(key).agg(F.sum("n").alias("n"), F.round(F.sum("total"), 3).alias("total"))
+
+
 def first_of_each(rows: DataFrame, n: int, by: str, order: list[str]) -> DataFrame:
     """The first n rows of each group."""
     return rows.withColumn("rn", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter(F.col("rn") <= n).drop("rn")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from larkspur.functions.vector import area, overlap_area
 from larkspur.operators import evaluate as E
 from larkspur.plans.base import query, table
 
@@ -86,14 +85,12 @@ BOX_SQL = "b AS (SELECT l_orderkey % 2000 AS doc, l_linenumber % 2 AS page, l_qu
 
 @query(f"WITH {BOX_SQL}, o AS (SELECT p_partkey, greatest(0, least(b.x1, e.x1) - greatest(b.x0, e.x0)) * greatest(0, least(b.y1, e.y1) - greatest(b.y0, e.y0)) AS a FROM b JOIN e USING (doc, page)) SELECT p_partkey, count(*) AS n, round(sum(a), 3) AS total FROM o WHERE a >= 0.3 * 32 OR a >= 0.5 * 50 GROUP BY 1")
 def evidence_overlap(spark, sf):
-    """Boxes meet within a document's page."""
+    """Boxes meet within a document's page. Equal boxes of a page meet once, with their number, so pairs don't grow with their copies."""
     li, p = table(spark, sf, "lineitem"), table(spark, sf, "part")
     d = lambda c: F.col(c).cast("double")
     b = li.select((F.col("l_orderkey") % 2000).alias("doc"), (F.col("l_linenumber") % 2).alias("page"), d("l_quantity").alias("x0"), (d("l_quantity") + 10).alias("x1"), (d("l_discount") * 100).alias("y0"), (d("l_discount") * 100 + 5).alias("y1"))
     e = p.select("p_partkey", (F.col("p_partkey") % 2000).alias("doc"), (F.col("p_size") % 2).alias("page"), d("p_size").alias("a0"), (d("p_size") + 8).alias("a1"), F.lit(2.0).alias("b0"), F.lit(6.0).alias("b1"))
-    one, two = tuple(map(F.col, ("x0", "y0", "x1", "y1"))), tuple(map(F.col, ("a0", "b0", "a1", "b1")))
-    both = b.join(e, ["doc", "page"]).withColumn("a", overlap_area(one, two)).filter((F.col("a") >= 0.3 * area(two)) | (F.col("a") >= 0.5 * 50))
-    return both.groupBy("p_partkey").agg(F.count("*").alias("n"), F.round(F.sum("a"), 3).alias("total"))
+    return E.overlaps(e, b, ["doc", "page"], "p_partkey", 0.5 * 50)
 
 
 @query("SELECT lang, round(sum(length(text)) / sum(len(regexp_extract_all(text, '[^ \\t\\n\\x0b\\f\\r]+')))::DOUBLE, 6) AS ratio FROM documents GROUP BY 1")
@@ -199,6 +196,7 @@ def held_elements(spark, sf):
 @query("WITH c AS (SELECT l_orderkey AS doc_id, 'y' || l_orderkey % 5 AS doc_type, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS chunk_no, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem), one AS (SELECT doc_id, chunk_no, 'single' AS unit FROM c WHERE n <= 4 OR chunk_no IN (0, round_even((n - 1) / 3.0, 0), round_even(2 * (n - 1) / 3.0, 0), n - 1)), intra AS (SELECT doc_id, chunk_no, 'intra' AS unit FROM c WHERE n >= 3 AND chunk_no < 3), types AS (SELECT DISTINCT doc_type, doc_id FROM c), chosen AS (SELECT doc_id FROM types QUALIFY row_number() OVER (PARTITION BY doc_type ORDER BY doc_id) <= 2), across AS (SELECT doc_id, chunk_no, 'cross' AS unit FROM c WHERE doc_id IN (SELECT doc_id FROM chosen) AND chunk_no < 3) SELECT * FROM one UNION ALL SELECT * FROM intra UNION ALL SELECT * FROM across")
 def gold_units(spark, sf):
     li = table(spark, sf, "lineitem")
+    li = li.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-li.count() // 500_000)), "l_orderkey")  # windows of an order's rows sort half a million at most; the rows are counted by footers
     c = li.select(F.col("l_orderkey").alias("doc_id"), F.concat(F.lit("y"), F.col("l_orderkey") % 5).alias("doc_type"), (F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")) - 1).cast("long").alias("chunk_no"))
     return E.gold_units(c)
 

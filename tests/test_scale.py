@@ -54,3 +54,49 @@ def test_many_queries_meet_lists_as_matrices(spark, tmp_path, monkeypatch):
     pairs = index.rows.crossJoin(F.broadcast(asks)).select("query_id", "doc_id", F.round(L.cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
     want = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))).filter("rank <= 12")
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_equal_boxes_meet_once(spark):
+    """Copies of a box and of a region add to counts, not to pairs."""
+    from larkspur.operators import evaluate as E
+
+    boxes = spark.range(4000).select(F.lit(1).alias("doc"), F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(10.0).alias("x1"), (F.col("id") % 2 + 4).cast("double").alias("y1"))
+    regions = spark.range(300).select(F.col("id").alias("r"), F.lit(1).alias("doc"), F.lit(5.0).alias("a0"), F.lit(0.0).alias("b0"), F.lit(9.0).alias("a1"), F.lit(6.0).alias("b1"))
+    out = E.overlaps(regions, boxes, ["doc"], "r", 25.0)
+    assert {(r.n, r.total) for r in out.collect()} == {(4000, 2000 * 16.0 + 2000 * 20.0)} and out.count() == 300
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") >= 4
+    twice = E.overlaps(regions.unionByName(regions), boxes, ["doc"], "r", 25.0)
+    assert {(r.n, r.total) for r in twice.collect()} == {(8000, 2 * (2000 * 16.0 + 2000 * 20.0))} and twice.count() == 300
+
+
+def test_held_elements_against_all_places(spark):
+    """Elements at any place of a chunk, at its end, in several chunks, in none; letters of two bytes; a chunk's letters leave its row only where they are asked for."""
+    from larkspur.operators import evaluate as E
+
+    rng = random.Random(5)
+    text = lambda n: "".join(rng.choice("abcé ") for _ in range(n))
+    elements, chunks, want = [], [], {}
+    for doc in range(12):
+        own = [text(rng.choice([15, 25, 60, 61, 140])) for _ in range(6)]
+        parts = [text(rng.randrange(30)) + x + text(rng.randrange(30)) for x in own[:4]] + [own[4][:70], "", text(5) + own[0] + own[0], own[1][-30:]]
+        elements += [(doc, i, t) for i, t in enumerate(own)]
+        chunks += [(doc, i, t) for i, t in enumerate(parts)]
+        bare = lambda t: "".join(t.split())
+        want |= {(doc, i): sum(bare(t)[:60] in bare(c) for c in parts) for i, t in enumerate(own) if len(bare(t)) >= 20}
+    out = E.held_elements(spark.createDataFrame(elements, "doc_id long, idx int, text string"), spark.createDataFrame(chunks, "doc_id long, chunk_id int, text string"))
+    assert {(r.doc_id, r.idx): r.n for r in out.collect()} == want
+    assert "array_intersect" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_weights_shuffle_questions_once(spark):
+    from larkspur.operators import quality as Q
+
+    lists = lambda name: spark.createDataFrame([(q, f"i{(q * 7 + r) % 9}", r) for q in range(40) for r in range(1, 5)], f"q int, id string, {name} int")
+    golden = spark.createDataFrame([(q, f"i{q % 9}") for q in range(0, 40, 2)] + [(2, "i2"), (99, "i0")], "q int, id string")
+    out = Q.weight_quality(lists("sparse_rank"), lists("dense_rank").filter("q % 3 = 0"), golden, [0.0, 0.5, 1.0], at=2)
+    assert {r.n for r in out.collect()} == {21}
+    assert out._jdf.queryExecution().sparkPlan().toString().count("Exchange") <= 1  # the asked one; planning adds that of the weights only
+    rank = {q: next((r for r in range(1, 5) if (q * 7 + r) % 9 == q % 9), None) for q in range(0, 40, 2)}
+    zero = next(r for r in out.collect() if r.w == 0.0)
+    assert zero.mrr == round(sum(1 / r for r in rank.values() if r) / 21, 6)
