@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from larkspur.functions.text import capped
 from larkspur.functions.text import per_token as text_per_token
 from larkspur.operators.chunking import BUDGETS, DEFAULT_BUDGET, per_token
+from larkspur.operators.folds import in_slices
 from larkspur.operators.structure import NOISE, norm_key
 
 BLOCK = "hit_no int, doc_id {id}, text string, resolved_section string, n_tokens int, climbed int, anchor_start int, anchor_end int, windowed boolean, note string"
@@ -135,7 +136,7 @@ def big_blocks(hits: DataFrame, elements: DataFrame, sections: DataFrame, banner
             yield pd.DataFrame(out, columns=["hit_no", "doc_id", *names, "most", "lang"])
 
     names = ["text", "resolved_section", "n_tokens", "climbed", "anchor_start", "anchor_end", "windowed", "note"]
-    blocks = joined.mapInPandas(run, BLOCK.format(id=elements.schema["doc_id"].dataType.simpleString()) + ", most double, lang string")
+    blocks = in_slices(joined, run, BLOCK.format(id=elements.schema["doc_id"].dataType.simpleString()) + ", most double, lang string")
     return blocks.withColumn("text", capped(F.col("text"), F.col("most"), text_per_token(F.col("lang")))).drop("most", "lang")
 
 

@@ -100,3 +100,28 @@ def test_weights_shuffle_questions_once(spark):
     rank = {q: next((r for r in range(1, 5) if (q * 7 + r) % 9 == q % 9), None) for q in range(0, 40, 2)}
     zero = next(r for r in out.collect() if r.w == 0.0)
     assert zero.mrr == round(sum(1 / r for r in rank.values() if r) / 21, 6)
+
+
+def test_folds_see_few_documents_at_a_time(spark):
+    from larkspur.operators.folds import AT_ONCE, in_slices
+
+    def run(frames):
+        import pandas as pd
+
+        for f in frames:
+            yield pd.DataFrame({"n": [len(f)], "rows": [int(f["id"].sum())], "none": [None], "own": [[x["a"] for x in f["s"][0]]]})
+
+    from pyspark.sql import functions as F
+
+    rows = spark.range(0, 1000, 1, 1).withColumn("s", F.array(F.struct(F.col("id").alias("a"))))
+    out = in_slices(rows, run, "n int, rows long, none int, own array<long>").collect()
+    assert max(r.n for r in out) == AT_ONCE and sum(r.rows for r in out) == 499500 and out[1].own == [AT_ONCE]
+
+
+def test_packing_passes_slices(spark):
+    """chunks, big blocks and sheets hand Python few documents at a time."""
+    from larkspur.plans.registry import QUERIES
+
+    for name in ("pack_chunks", "sheet_chunks"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan or "PythonMapInArrow" in plan, name
