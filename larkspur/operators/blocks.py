@@ -29,11 +29,11 @@ class Blocks:
     rules: DataFrame  # acl columns, n: documents under each access rule
 
 
-def write_blocks(docs: DataFrame, posts: DataFrame, lengths: DataFrame, path: str, slot: int = SLOT, terms: DataFrame | None = None) -> None:
+def write_blocks(docs: DataFrame, posts: DataFrame | None, lengths: DataFrame, path: str, slot: int = SLOT, terms: DataFrame | None = None) -> None:
     """docs (doc_id, acl columns), posts (tok, doc_id, tf) and lengths (doc_id, len), as blocks at path. A block has LEVELS x slot postings at most, even if all lengths are equal.
 
     terms: a row for each document (doc_id, acl columns, len, terms), where there are such; its slot is then told before its terms are parted, and postings
-    needn't meet their documents in a join. Either way they are shuffled by term and slot once for the blocks.
+    needn't meet their documents in a join, nor be there. Either way they are shuffled by term and slot once for the blocks.
     """
     from larkspur.sources.index import partitions_for
 

@@ -75,24 +75,27 @@ def drop_written(spark: SparkSession) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def _postings_path(spark: SparkSession, sf_dir: str) -> str:
-    from larkspur.sources.index import write_postings
+def _terms_path(spark: SparkSession, sf_dir: str) -> str:
+    from larkspur.sources.index import write_terms
 
-    return written(spark, sf_dir, "postings", lambda path: write_postings(documents(spark, sf_dir).select("doc_id", "text", "acl_tenant", "acl_allow", "acl_visibility", "acl_unset"), path))
+    return written(spark, sf_dir, "terms", lambda path: write_terms(documents(spark, sf_dir).select("doc_id", "text", "acl_tenant", "acl_allow", "acl_visibility", "acl_unset"), path))
 
 
-def postings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The written postings and lengths of documents."""
-    from larkspur.sources.index import read_postings
+def terms(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The written terms of each document, with its access columns; and lengths of documents."""
+    from larkspur.sources.index import read_lengths, read_terms
 
-    return read_postings(spark, _postings_path(spark, sf_dir))
+    path = _terms_path(spark, sf_dir)
+    return read_terms(spark, path), read_lengths(spark, path)
 
 
-def terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The written terms of each document, with its access columns."""
-    from larkspur.sources.index import read_terms
+def postings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The written postings and lengths of documents."""
+    from larkspur.sources.index import write_posts
 
-    return read_terms(spark, _postings_path(spark, sf_dir))
+    made = _terms_path(spark, sf_dir)
+    path = written(spark, sf_dir, "postings", lambda path: write_posts(spark, made, path))
+    return spark.read.parquet(f"{path}/postings"), terms(spark, sf_dir)[1]
 
 
 def users(spark: SparkSession) -> DataFrame:

@@ -8,7 +8,7 @@ from larkspur.operators import blocks as B
 from larkspur.operators import evidence as V
 from larkspur.operators import search as S
 from larkspur.operators import vector_lists as L
-from larkspur.plans.base import documents, postings, query, query_vector, table, terms, vectors, written
+from larkspur.plans.base import documents, query, query_vector, table, terms, vectors, written
 from larkspur.plans.search import ALL_SQL, WORDS, seen
 
 K = 50
@@ -19,8 +19,9 @@ def vector_index(spark, sf):
 
 
 def block_index(spark, sf):
-    posts, lengths = postings(spark, sf)
-    return B.read_blocks(spark, written(spark, sf, "blocks", lambda path: B.write_blocks(documents(spark, sf), posts, lengths, path, terms=terms(spark, sf))))
+    """Blocks come from documents' terms; postings by term are not written for them."""
+    own, lengths = terms(spark, sf)
+    return B.read_blocks(spark, written(spark, sf, "blocks", lambda path: B.write_blocks(documents(spark, sf), None, lengths, path, terms=own)))
 
 
 @query(f"{ALL_SQL} SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id)::INT AS rank FROM dense ORDER BY score DESC, doc_id LIMIT 20")

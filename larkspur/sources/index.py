@@ -188,25 +188,36 @@ def partitions_for(lengths: DataFrame) -> int:
     return max(1, int(lengths.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-tokens // PART_TOKENS))
 
 
-def write_postings(docs: DataFrame, path: str) -> None:
-    """docs (doc_id, text, ...) -> postings (tok, doc_id, tf, len), in order of tok within a file, so that a search reads the row groups of its terms only.
+def write_terms(docs: DataFrame, path: str) -> None:
+    """docs (doc_id, text, ...) -> terms (their other columns, len, and tok and tf of each term) and lengths. Texts are read once, and nothing is shuffled."""
+    document_terms(docs).write.mode("overwrite").parquet(f"{path}/terms")
+    docs.sparkSession.read.parquet(f"{path}/terms").select("doc_id", "len").write.mode("overwrite").parquet(f"{path}/lengths")
+
 
-    Texts are read once: a document's terms are counted in its row and written as one array (`terms`, with the other columns); its postings are shuffled once, by a
-    hash of the term. A hash needs no sample of the rows, which would have them made twice.
+def write_posts(spark: SparkSession, terms_path: str, path: str) -> None:
+    """What write_terms wrote -> postings (tok, doc_id, tf, len), in order of tok within a file, so that a search reads the row groups of its terms only.
+
+    They are shuffled once, by a hash of the term. A hash needs no sample of the rows, which would have them made twice.
     """
-    spark = docs.sparkSession
-    document_terms(docs).write.mode("overwrite").parquet(f"{path}/terms")
-    terms = spark.read.parquet(f"{path}/terms")
-    terms.select("doc_id", "len").write.mode("overwrite").parquet(f"{path}/lengths")
-    n = partitions_for(spark.read.parquet(f"{path}/lengths"))
-    posts = terms.select("doc_id", "len", F.explode("terms").alias("t")).select("t.tok", "doc_id", "t.tf", "len")
+    posts = read_terms(spark, terms_path).select("doc_id", "len", F.explode("terms").alias("t")).select("t.tok", "doc_id", "t.tf", "len")
+    n = partitions_for(read_lengths(spark, terms_path))
     out = posts.repartition(n, "tok", F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD))).sortWithinPartitions("tok", "doc_id")
     out.write.mode("overwrite").option("parquet.block.size", 8 << 20).parquet(f"{path}/postings")
 
 
+def write_postings(docs: DataFrame, path: str) -> None:
+    """docs (doc_id, text, ...) -> terms, lengths and postings at one path."""
+    write_terms(docs, path)
+    write_posts(docs.sparkSession, path, path)
+
+
+def read_lengths(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/lengths")
+
+
 def read_postings(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(tok, doc_id, tf, len) and (doc_id, len)."""
-    return spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths")
+    return spark.read.parquet(f"{path}/postings"), read_lengths(spark, path)
 
 
 def read_terms(spark: SparkSession, path: str) -> DataFrame:
