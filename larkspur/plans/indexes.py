@@ -83,6 +83,5 @@ def evidence_preserved(spark, sf):
     regions = p.select(question.alias("question"), F.col("p_partkey").alias("region"), (question % 1000).alias("doc_id"), (F.col("p_size") % 4).alias("page"), u.alias("x0"), (u + F.length("p_type") * 2).alias("x1"), v.alias("y0"), (v + d("p_size")).alias("y1"))
     scaled = lambda s: F.when(F.col("doc_id") % 11 > 0, F.lit(s))
     scales = o.select((F.col("o_orderkey") % 1000).alias("doc_id")).distinct().withColumns({"sx": scaled(2.0), "sy": scaled(1.5)})
-    found = V.localized(regions, el.select("doc_id", "page"), scales, el)
     asks = regions.select("question", F.array(F.lit("Table")).alias("channels"), F.array(F.lit("A  F"), F.lit("x")).alias("answers")).distinct()
-    return V.verdicts(asks, found, el)
+    return V.preserved(asks, regions, el.select("doc_id", "page"), scales, el, el)
