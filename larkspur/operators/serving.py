@@ -38,7 +38,7 @@ def with_chunk_acls(elements: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def outline(elements: DataFrame, tenant: str, principals: list[str]) -> DataFrame:
     """doc_id, idx, level, title, end_idx of the sections with a visible body of their own; no breadcrumb, which might name a closed parent."""
-    seen = visible_elements(elements, tenant, principals).filter("level is not null").select("doc_id", "idx")
+    seen = structure.own_bodies(elements, may_see(tenant, principals)).select("doc_id", F.col("sec_head").alias("idx")).distinct()
     return structure.sections(structure.headings(elements), elements).join(seen, ["doc_id", "idx"], "left_semi").select("doc_id", "idx", "level", "title", "end_idx")
 
 

@@ -142,6 +142,13 @@ def section_of(levels: DataFrame) -> DataFrame:
     return levels.withColumn("sec_head", F.last(F.when(F.col("level").isNotNull(), F.col("idx")), ignorenulls=True).over(w))
 
 
+def own_bodies(elements: DataFrame, which: Column) -> DataFrame:
+    """doc_id, idx, sec_head of the bodies for which `which` holds; the rows of in_section(leveled(elements)), but texts stay where they are read: a key and two flags of each element are shuffled."""
+    slim = elements.filter(~F.col("kind").isin(NOISE)).select("doc_id", "idx", may_head(F.col("text"), F.col("text_level"), F.col("doc_type")).alias("head"), norm_key().alias("key"), which.alias("which"))
+    kept = slim.join(banner_keys(elements), "doc_id", "left").filter(F.col("banner_keys").isNull() | ~F.array_contains("banner_keys", F.col("key"))).select("doc_id", "idx", "head", "which")
+    return section_of(kept.withColumn("level", F.when(F.col("head"), 1))).filter("which and not head").select("doc_id", "idx", "sec_head")
+
+
 def in_section(levels: DataFrame) -> DataFrame:
     """Bodies with sec_head."""
     return section_of(levels).filter("level is null")

@@ -40,16 +40,17 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.withColumns({"acl_tenant": F.concat(F.lit("t"), F.col("doc_id") % 2), "acl_allow": F.array(F.concat(F.lit("g_"), "lang")), "acl_visibility": F.when(F.col("doc_id") % 3 == 0, "public").otherwise("restricted"), "acl_unset": F.col("doc_id") % 17 == 0})
 
 
-def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A document's lines as elements: short ones carry a heading hint, twenty make a page."""
-    d = table(spark, sf_dir, "documents")
-    rows = d.select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("idx", "text"))
+def elements(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
+    """A document's lines as elements: short ones carry a heading hint, twenty make a page. Of `docs` (as of `documents`) only, where they are given, with their access columns."""
+    d = table(spark, sf_dir, "documents") if docs is None else docs
+    acl = [] if docs is None else ["acl_tenant", "acl_allow", "acl_visibility", "acl_unset"]
+    rows = d.select("doc_id", "lang", *acl, F.posexplode(F.split("text", "\n")).alias("idx", "text"))
     kinds = F.array(*[F.lit(x) for x in DOC_TYPES])
     none = lambda t: F.lit(None).cast(t)
     return rows.select(
         "doc_id", "lang", F.element_at(kinds, (F.col("doc_id") % 5 + 1).cast("int")).alias("doc_type"), "idx", F.lit("text").alias("kind"), "text",
         F.when(F.length("text") < 40, F.length("text") % 3 + 1).alias("text_level"), F.floor(F.col("idx") / 20).cast("int").alias("page"),
-        none("array<string>").alias("list_items"), none("string").alias("caption"), F.lit(False).alias("merge_prev"),
+        none("array<string>").alias("list_items"), none("string").alias("caption"), F.lit(False).alias("merge_prev"), *acl,
     )
 
 

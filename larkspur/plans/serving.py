@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from larkspur.operators import serving as V
 from larkspur.operators import structure
+from larkspur.operators.acl import visible
 from larkspur.operators.chunking import chunks
 from larkspur.plans.base import DOCS_SQL, ELS_SQL, documents, elements, postings, query, table
 from larkspur.plans.structures import ALL_SQL, cap_sql
@@ -17,9 +18,8 @@ ADMITTED_SQL = "adm AS (SELECT doc_id FROM documents WHERE doc_id % 17 <> 0 AND
 
 
 def _elements(spark, sf):
-    """Elements with their document's acl."""
-    d = documents(spark, sf).select("doc_id", *V.ACL)
-    return elements(spark, sf).join(d, "doc_id")
+    """Elements with their document's acl, of documents that the user may see; others would give no row, as an element's acl is its document's."""
+    return elements(spark, sf, visible(documents(spark, sf), *USER))
 
 
 @query(f"{ALL_SQL}, {ADMITTED_SQL}, body AS (SELECT l.doc_id, (SELECT max(h.idx) FROM heads h WHERE h.doc_id = l.doc_id AND h.idx < l.idx) AS sec_head FROM lev l JOIN adm USING (doc_id) WHERE l.level IS NULL) SELECT t.doc_id, t.idx::INT AS idx, t.level, md5(t.title) AS title, t.end_idx::INT AS end_idx FROM tree t WHERE EXISTS (SELECT 1 FROM body b WHERE b.doc_id = t.doc_id AND b.sec_head = t.idx)")
@@ -33,15 +33,18 @@ def get_document(spark, sf):
     return out.select("doc_id", "n_elements_visible", F.md5("text").alias("h"), "truncated")
 
 
-def _chunks(spark, sf):
-    return chunks(elements(spark, sf)).join(documents(spark, sf).select("doc_id", *V.ACL), "doc_id")
+def _chunks(docs, own):
+    """Chunks of a document's elements, with its acl."""
+    return chunks(own.drop(*V.ACL)).join(docs.select("doc_id", *V.ACL), "doc_id")
 
 
 @query()
 def expand(spark, sf):
     """Every chunk that the user may see is asked for, through the operator."""
-    c = _chunks(spark, sf)
-    out = V.expand(c, None, V.with_chunk_acls(elements(spark, sf), c), *USER)
+    d = documents(spark, sf)
+    own = elements(spark, sf, d)
+    c = _chunks(d, own)
+    out = V.expand(c, None, V.with_chunk_acls(own, c), *USER)
     return out.select("doc_id", "hit_no", "resolved_section", "n_tokens", "climbed", "windowed", F.md5("text").alias("h"))
 
 
@@ -54,9 +57,12 @@ def search_with_context(spark, sf):
     from larkspur.plans.search import WORDS, seen
 
     best = S.top(S.sparse_scores(seen(spark, sf), WORDS, postings(spark, sf)[0]), 20).select("doc_id", F.col("rank").alias("doc_rank"), "score")
-    hits = _chunks(spark, sf).join(F.broadcast(best), "doc_id").withColumn("section_id", F.concat_ws("::s", "doc_id", "sec_head"))
+    d = documents(spark, sf)
+    own = elements(spark, sf, d)
+    c = _chunks(d, own)
+    hits = c.join(F.broadcast(best), "doc_id").withColumn("section_id", F.concat_ws("::s", "doc_id", "sec_head"))
     hits = hits.withColumn("rank", F.row_number().over(Window.orderBy("doc_rank", "chunk_no")))  # chunks of twenty documents
-    out = V.search_with_context(hits, V.with_chunk_acls(elements(spark, sf), _chunks(spark, sf)), *USER)
+    out = V.search_with_context(hits, V.with_chunk_acls(own, c), *USER)
     return out.select("rank", "doc_id", "chunk_id", "context_status", "resolved_section", F.md5(F.coalesce("context", F.lit(""))).alias("h"))
 
 

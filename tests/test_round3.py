@@ -44,3 +44,28 @@ def test_evidence_shuffles_no_hits(spark):
     """What is shuffled are the inputs' rows and one row for each question."""
     p = plan(QUERIES["evidence_preserved"](spark, SF))
     assert "FlatMapCoGroupsInArrow" in p and "explode(hits" not in p and "collect_set(CASE WHEN ((overlap" not in p
+
+
+def filtered_before_cut(df) -> bool:
+    """Documents that the user may not see are left out before their lines are made."""
+    cuts = df._jdf.queryExecution().optimizedPlan().toString().split("Generate posexplode")[1:]
+    return bool(cuts) and all("Filter" in (below := c.split("Relation")[0]) and "% 17" in below for c in cuts)
+
+
+def test_outline_filters_first(spark):
+    assert filtered_before_cut(QUERIES["get_outline"](spark, SF))
+
+
+def test_own_bodies_as_leveled(spark):
+    """Bodies of elements with rights of their own, banners and furniture among them; no text is shuffled for them."""
+    from larkspur.operators import structure as S
+    from larkspur.plans.base import elements
+
+    e = elements(spark, "/root/testdata/sf0.01").withColumn("kind", F.when(F.col("idx") % 11 == 3, "footer").otherwise(F.col("kind")))
+    e = e.withColumn("text", F.when(F.col("idx") % 20 == 7, "  running  head").otherwise(F.col("text")))
+    odd = (F.col("idx") + F.col("doc_id")) % 3 == 1
+    want = S.in_section(S.leveled(e)).filter(odd).select("doc_id", "idx", "sec_head")
+    got = S.own_bodies(e, odd)
+    assert S.banner_keys(e).count() and want.count() and not got.exceptAll(want).count() and not want.exceptAll(got).count()
+    shuffled = [line for line in plan(got).splitlines() if "Exchange" in line]
+    assert shuffled and not any("text#" in line for line in shuffled)
