@@ -8,7 +8,7 @@ from larkspur.operators import serving as V
 from larkspur.operators import structure
 from larkspur.operators.acl import visible
 from larkspur.operators.chunking import chunks
-from larkspur.plans.base import DOCS_SQL, ELS_SQL, documents, elements, postings, query, table
+from larkspur.plans.base import DOCS_SQL, ELS_SQL, documents, elements, query, table
 from larkspur.plans.structures import ALL_SQL, cap_sql
 from larkspur.sources import office_meta as M
 from larkspur.sources.readers import doc_type_of
@@ -50,14 +50,16 @@ def expand(spark, sf):
 
 @query()
 def search_with_context(spark, sf):
-    """All chunks of the twenty best documents as hits."""
+    """All chunks of the twenty best documents as hits. Only these are cut, and their blocks gathered; the one search reads the visible texts, which no index would be written for."""
     from pyspark.sql import Window
 
     from larkspur.operators import search as S
     from larkspur.plans.search import WORDS, seen
 
-    best = S.top(S.sparse_scores(seen(spark, sf), WORDS, postings(spark, sf)[0]), 20).select("doc_id", F.col("rank").alias("doc_rank"), "score")
-    d = documents(spark, sf)
+    top = S.top(S.sparse_scores(seen(spark, sf), WORDS), 20).select("doc_id", F.col("rank").alias("doc_rank"), "score")
+    rows = top.collect()  # twenty at most
+    best = spark.createDataFrame(rows, top.schema)
+    d = documents(spark, sf).filter(F.col("doc_id").isin([r.doc_id for r in rows]))
     own = elements(spark, sf, d)
     c = _chunks(d, own)
     hits = c.join(F.broadcast(best), "doc_id").withColumn("section_id", F.concat_ws("::s", "doc_id", "sec_head"))

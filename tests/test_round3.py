@@ -52,6 +52,15 @@ def filtered_before_cut(df) -> bool:
     return bool(cuts) and all("Filter" in (below := c.split("Relation")[0]) and "% 17" in below for c in cuts)
 
 
+def test_one_search_writes_no_index_and_cuts_its_documents_only(spark, monkeypatch):
+    from larkspur.plans import base
+
+    monkeypatch.setattr(base, "written", None)  # postings of all documents aren't made for one search
+    out = QUERIES["search_with_context"](spark, SF)
+    cuts = out._jdf.queryExecution().optimizedPlan().toString().split("Generate posexplode")[1:]
+    assert cuts and all("doc_id" in (below := c.split("Relation")[0]) and (" IN (" in below or " INSET " in below) for c in cuts)
+
+
 def test_outline_filters_first(spark):
     assert filtered_before_cut(QUERIES["get_outline"](spark, SF))
 
