@@ -40,8 +40,8 @@ def _chunks(docs, own):
 
 @query()
 def expand(spark, sf):
-    """Every chunk that the user may see is asked for, through the operator."""
-    d = documents(spark, sf)
+    """Every chunk that the user may see is asked for, through the operator. A chunk has its document's acl, so documents are filtered before they are cut."""
+    d = visible(documents(spark, sf), *USER)
     own = elements(spark, sf, d)
     c = _chunks(d, own)
     out = V.expand(c, None, V.with_chunk_acls(own, c), *USER)

@@ -65,6 +65,10 @@ def test_outline_filters_first(spark):
     assert filtered_before_cut(QUERIES["get_outline"](spark, SF))
 
 
+def test_expand_filters_first(spark):
+    assert filtered_before_cut(QUERIES["expand"](spark, SF))
+
+
 def test_own_bodies_as_leveled(spark):
     """Bodies of elements with rights of their own, banners and furniture among them; no text is shuffled for them."""
     from larkspur.operators import structure as S
