@@ -22,8 +22,8 @@ def greedy(sizes: Sequence[float], most: float, glued: Sequence[bool] | None = N
     return [range(a, b) for a, b in pairwise([*starts, len(sizes)])]
 
 
-def in_slices(rows: DataFrame, run, schema: str) -> DataFrame:
-    """rows.mapInPandas(run, schema), but run gets AT_ONCE rows at a time: nested columns are some ten times as large in Python as in a batch, which holds thousands of documents."""
+def in_slices(rows: DataFrame, run, schema: str, arrow: bool = False) -> DataFrame:
+    """rows.mapInPandas(run, schema), but run gets AT_ONCE rows at a time, with `arrow` as Arrow batches: nested columns are some ten times as large in Python as in a batch, which holds thousands of documents."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -32,7 +32,7 @@ def in_slices(rows: DataFrame, run, schema: str) -> DataFrame:
     def sliced(batches):
         import pyarrow as pa
 
-        frames = (batch.slice(at, AT_ONCE).to_pandas() for batch in batches for at in range(0, batch.num_rows, AT_ONCE))
+        frames = (batch.slice(at, AT_ONCE) if arrow else batch.slice(at, AT_ONCE).to_pandas() for batch in batches for at in range(0, batch.num_rows, AT_ONCE))
         for frame in run(frames):
             yield from pa.Table.from_pandas(frame, schema=target, preserve_index=False).to_batches()
 

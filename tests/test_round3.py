@@ -82,3 +82,28 @@ def test_own_bodies_as_leveled(spark):
     assert S.banner_keys(e).count() and want.count() and not got.exceptAll(want).count() and not want.exceptAll(got).count()
     shuffled = [line for line in plan(got).splitlines() if "Exchange" in line]
     assert shuffled and not any("text#" in line for line in shuffled)
+
+
+def test_a_cell_is_read_as_text_once():
+    """The fold asks whether cells hold something without making their texts again and again."""
+    from unittest import mock
+
+    from larkspur.operators import tables as T
+
+    grid = [["order", "", "value"], ["key", "kind", "price"], *[[float(n), "x", n * 1.5] for n in range(10)]]
+    with mock.patch.object(T, "cell_text", side_effect=T.cell_text) as made:
+        assert T.sheet_chunks(grid, [(0, 0, 0, 1)], "s")
+    assert made.call_count <= 3 * len(grid)
+    odd = [None, float("nan"), "", " \n", " x ", "a\r\n b", 0, 0.0, False, True, 3, 2.5, "  "]
+    assert [T.holds(v) for v in odd] == [T.cell_text(v) != "" for v in odd] and T.cell_text("a\r\n b ") == "a  b"
+    assert T.widest([odd, [1, None]]) == 12 and T.widest([[], [None]]) == 0
+
+
+def test_lists_of_structs_as_tuples():
+    import pyarrow as pa
+
+    from larkspur.operators.tables import _tuples
+
+    kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.string())]))
+    lists = pa.array([[{"a": 9, "b": "z"}], [{"a": 1, "b": "x"}, {"a": 2, "b": None}], None, [], [{"a": 3, "b": "y"}]], kind)
+    assert _tuples(lists.slice(1)) == [[(1, "x"), (2, None)], [], [], [(3, "y")]]
