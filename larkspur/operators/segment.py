@@ -26,6 +26,9 @@ def best_path(run: str, starts: list[list[tuple[int, float]]], unknown: float) -
     n = len(run)
     best, after = [0.0] * (n + 1), [0] * (n + 1)
     for i in range(n - 1, -1, -1):
+        if not starts[i]:  # most places open no word
+            best[i], after[i] = unknown + best[i + 1], i + 1
+            continue
         ways = starts[i] if any(e == i + 1 for e, _ in starts[i]) else [*starts[i], (i + 1, unknown)]
         best[i], after[i] = max((weight + best[end], end) for end, weight in ways)
     words, i = [], 0
@@ -50,10 +53,11 @@ def segmented(runs: DataFrame, dictionary: DataFrame, task_words: int = TASK_WOR
             import pandas as pd
 
             known = held.value
+            lengths = sorted({len(w) for w in known})  # words of other lengths are not looked for
             for pdf in batches:
                 out = []
                 for run in pdf["run"]:
-                    starts = [[(j, known[run[i:j]]) for j in range(i + 1, min(i + longest, len(run)) + 1) if run[i:j] in known] for i in range(len(run))]
+                    starts = [[(i + n, known[w]) for n in lengths if (w := run[i : i + n]) in known and len(w) == n] for i in range(len(run))]
                     out.append(best_path(run, starts, unknown))
                 yield pd.DataFrame({"run": pdf["run"], "words": out})
 

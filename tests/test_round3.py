@@ -107,3 +107,23 @@ def test_lists_of_structs_as_tuples():
     kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.string())]))
     lists = pa.array([[{"a": 9, "b": "z"}], [{"a": 1, "b": "x"}, {"a": 2, "b": None}], None, [], [{"a": 3, "b": "y"}]], kind)
     assert _tuples(lists.slice(1)) == [[(1, "x"), (2, None)], [], [], [(3, "y")]]
+
+
+def test_words_are_looked_for_by_their_lengths(spark):
+    """A dictionary of few lengths: other substrings are not looked up; paths are those of the joined look-up."""
+    from larkspur.operators import segment
+
+    words = spark.createDataFrame([("ab", 5), ("abcde", 2), ("cd", 3), ("e", 1), ("x", 4), ("yz", 0)], "word string, freq long")
+    runs = spark.createDataFrame([("abcde",), ("xxabq",), ("q",), ("cdeabcdex",), ("",)], "run string")
+    paths = [sorted(map(str, segment.segmented(runs, words, n).collect())) for n in (10, 0)]
+    assert paths[0] == paths[1]
+
+    class Slots(list):
+        reads = 0
+
+        def __iter__(self):
+            Slots.reads += 1
+            return super().__iter__()
+
+    assert segment.best_path("qqab", [Slots(), Slots(), Slots([(4, -1.0)]), Slots()], -9.0) == ["q", "q", "ab"]
+    assert Slots.reads <= 2  # places that open no word are passed over
