@@ -17,42 +17,56 @@ DEMOTED = ("already_returned", "omitted_budget")
 
 
 def fold_key() -> Column:
-    """What hits of one section have in common; charts, tables and hits of no section stand alone."""
-    alone = F.col("kind").isin("chart", "table") | F.col("section_id").isNull()
-    return F.struct("doc_id", F.when(~F.coalesce(alone, F.lit(False)), F.col("section_id")).alias("section"), F.when(F.coalesce(alone, F.lit(False)), F.col("rank")).alias("rank"))
+    """What hits of one section have in common, as a string; charts, tables and hits of no section stand alone. The document's length is told first, so that no two documents and sections make one key."""
+    alone = F.coalesce(F.col("kind").isin("chart", "table") | F.col("section_id").isNull(), F.lit(False))
+    doc = F.col("doc_id").cast("string")
+    return F.concat_ws("|", F.length(doc), doc, F.when(alone, F.concat(F.lit("hit "), F.col("rank").cast("string"))).otherwise(F.concat(F.lit("section "), F.col("section_id").cast("string"))))
 
 
 def _folded(rows: Column) -> Column:
-    """Of a call's hits in order those that open their section."""
-    folds = lambda b: F.transform(b, lambda h: h["fold"])
-    return bound(F.struct(rows.alias("rows"), folds(rows).alias("folds")), lambda b: F.filter(b["rows"], lambda h, i: F.array_position(b["folds"], h["fold"]) == i + 1))
+    """Of a call's hits in order those that open their section; most calls have each section once, and their hits are taken as they are."""
+    folds = rows["fold"]
+    first = bound(F.struct(rows.alias("rows"), folds.alias("folds")), lambda b: F.filter(b["rows"], lambda h, i: F.array_position(b["folds"], h["fold"]) == i + 1))
+    return F.when(F.size(F.array_distinct(folds)) == F.size(folds), rows).otherwise(first)
 
 
 def _given(most: int, keys: int):
+    """Calls (call, session, keys, tokens) by session and in order -> call, demoted (0, or the place in DEMOTED from 1, of each key), again_n, over_n, context_tokens. Keys and sizes are read as flat columns of a batch."""
+
     def run(batches):
-        import pandas as pd
+        import numpy as np
+        import pyarrow as pa
 
         session, seen = None, set()
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples(index=False):
-                if pd.isna(r.session) or r.session != session:
-                    session, seen = r.session, set()
-                used, fresh, status = 0, [], []
-                for key, n in zip(r.keys, r.tokens, strict=True):
+        for batch in batches:
+            lists = batch.column("keys")
+            names = lists.flatten().to_numpy(zero_copy_only=False).tolist()
+            sizes = batch.column("tokens").flatten().to_numpy().tolist()
+            ends = np.asarray(lists.offsets) - lists.offsets[0].as_py()
+            codes, told, start = bytearray(len(names)), [], 0
+            for own, end in zip(batch.column("session").to_pylist(), ends[1:].tolist(), strict=True):
+                if own is None or own != session:
+                    session, seen = own, set()
+                used, again, over, fresh = 0, 0, 0, []
+                for at in range(start, end):
+                    key, size = names[at], sizes[at]
                     if key in seen:
-                        status.append("already_returned")
-                    elif used and used + n > most:
-                        status.append("omitted_budget")
+                        codes[at] = 1
+                        again += 1
+                    elif used and used + size > most:
+                        codes[at] = 2
+                        over += 1
                     else:
-                        used += int(n)
+                        used += size
                         fresh.append(key)
-                        status.append(None)
                 seen.update(fresh)
                 if len(seen) > keys:
                     seen.clear()
-                out.append((r.call, status, used))
-            yield pd.DataFrame(out, columns=["call", "demoted", "context_tokens"])
+                told.append((again, over, used))
+                start = end
+            counts = np.array(told, dtype=np.int64).reshape(-1, 3)
+            demoted = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(codes, dtype=np.int8)))
+            yield pa.RecordBatch.from_arrays([batch.column("call"), demoted, *(pa.array(counts[:, n], kind) for n, kind in enumerate((pa.int32(), pa.int32(), pa.int64())))], ["call", "demoted", "again_n", "over_n", "context_tokens"])
 
     return run
 
@@ -68,30 +82,31 @@ def call_results(requests: DataFrame, hits: DataFrame, most: int = 12000, keys:
     """
     where = dedup_key(F.col("doc_id"), F.col("context_status"), F.col("resolved_section"), F.col("anchor_start"), F.col("anchor_end"), F.col("chunk_id"))
     own = hits.withColumn("fold", fold_key()).withColumn("key", where).withColumn("tokens", hit_tokens(F.col("n_tokens"), F.col("text"), F.col("content_raw")))
-    shown = ["rank", "chunk_id", "fold", "doc_id", "context_status", "score_kind", "text", "content_raw"]
-    lists = lambda names: own.groupBy("call").agg(F.array_sort(F.collect_list(F.struct(*names))).alias("all"))
+    # both lists begin alike, so that they have one order; they read the same columns, so that hits which come by call are shuffled once for the two
+    alike = ["rank", "chunk_id", "key", "tokens", "fold"]
+    lists = lambda *more: own.select("call", F.struct(*alike, *more).alias("hit")).groupBy("call").agg(F.sort_array(F.collect_list("hit")).alias("all"))
 
-    slim = lists(["rank", "chunk_id", "fold", "key", "tokens"]).select("call", _folded(F.col("all")).alias("l"))
+    slim = lists().select("call", _folded(F.col("all")).alias("l"))
     calls = slim.join(requests.select("call", "session", "at"), "call").select("call", "session", "at", F.col("l.key").alias("keys"), F.col("l.tokens").alias("tokens"))
     apart = F.coalesce(F.col("session").cast("string"), F.col("call").cast("string"))
     kind = dict(requests.dtypes)["call"]
-    given = calls.repartition(apart).sortWithinPartitions("session", "at", "call").mapInPandas(_given(most, keys), f"call {kind}, demoted array<string>, context_tokens bigint")
+    given = calls.repartition(apart).sortWithinPartitions("session", "at", "call").mapInArrow(_given(most, keys), f"call {kind}, demoted array<tinyint>, again_n int, over_n int, context_tokens bigint")
 
-    full = lists(shown).select("call", F.size("all").alias("found"), _folded(F.col("all")).alias("kept"))
+    full = lists("context_status", "score_kind", "text", "content_raw").select("call", F.size("all").alias("found"), _folded(F.col("all")).alias("kept"))
     both = requests.join(full, "call", "left").join(given, "call", "left").withColumn("kept", F.coalesce("kept", F.expr("cast(array() as " + full.schema["kept"].dataType.simpleString() + ")")))
     n = lambda test: F.size(F.filter("kept", test))
-    told = lambda s: F.size(F.filter(F.coalesce("demoted", F.array().cast("array<string>")), lambda x: x == s))
-    blank = lambda h, i: F.get("demoted", i).isNotNull()
-    row = lambda h, i: F.struct(h["rank"].alias("rank"), h["chunk_id"].alias("chunk_id"), F.coalesce(F.get("demoted", i), h["context_status"]).alias("context_status"), F.when(blank(h, i), "").otherwise(h["text"]).alias("text"), F.when(~blank(h, i), h["content_raw"]).alias("content_raw"))
+    count = lambda c: F.coalesce(c, F.lit(0))
+    status = lambda h, code: F.when(code == 1, DEMOTED[0]).when(code == 2, DEMOTED[1]).otherwise(h["context_status"])
+    row = lambda h, code: F.struct(h["rank"].alias("rank"), h["chunk_id"].alias("chunk_id"), status(h, code).alias("context_status"), F.when(code > 0, "").otherwise(h["text"]).alias("text"), F.when(code == 0, h["content_raw"]).alias("content_raw"))
     size = F.size("kept")
     out = both.withColumns({
-        "returned_n": size, "section_folded_n": F.coalesce("found", F.lit(0)) - size, "deduped_n": n(lambda h: h["context_status"] == "deduped"),
-        "already_returned_n": told(DEMOTED[0]), "budget_truncated": told(DEMOTED[1]) > 0, "context_tokens": F.coalesce("context_tokens", F.lit(0)),
-        "rerank_degraded": F.coalesce("rerank", F.lit(False)) & (size > 0) & (n(lambda h: h["score_kind"] == "rerank") == 0),
-        "status": F.when(size > 0, "ok").otherwise("empty"), "retriable": size == 0, "hits": F.transform("kept", row),
+        "returned_n": size, "section_folded_n": count("found") - size, "deduped_n": n(lambda h: h["context_status"] == "deduped"),
+        "already_returned_n": count("again_n"), "budget_truncated": count("over_n") > 0, "context_tokens": count("context_tokens"),
+        "rerank_degraded": F.coalesce("rerank", F.lit(False)) & (size > 0) & ~F.exists("kept", lambda h: h["score_kind"].eqNullSafe("rerank")),
+        "status": F.when(size > 0, "ok").otherwise("empty"), "retriable": size == 0, "hits": F.zip_with("kept", F.coalesce("demoted", F.array().cast("array<tinyint>")), row),
     })
     hint = F.when(size == 0, "empty").when(F.col("budget_truncated"), "over_budget").when(F.col("already_returned_n") > 0, "already_returned").otherwise("")
-    return out.withColumn("hint", hint).drop("kept", "found", "demoted")
+    return out.withColumn("hint", hint).drop("kept", "found", "demoted", "again_n", "over_n")
 
 
 def contexts(hits: DataFrame, tenant: str, principals: list[str], most: int | None = None) -> DataFrame:

@@ -19,10 +19,11 @@ def retrieve_results(spark, sf):
     """A customer's orders are a session's calls, their items the hits; items of status O are tables."""
     o, li = table(spark, sf, "orders"), table(spark, sf, "lineitem")
     requests = o.select(F.col("o_orderkey").alias("call"), F.col("o_custkey").alias("session"), F.col("o_orderdate").alias("at"), (F.col("o_orderstatus") == "F").alias("rerank"))
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    w = Window.partitionBy("call").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     none = F.lit(None).cast("int")
-    hits = li.select(
-        F.col("l_orderkey").alias("call"), F.row_number().over(w).alias("rank"), (F.col("l_suppkey") % 25).alias("doc_id"), F.concat(F.lit("c"), "l_partkey").alias("chunk_id"),
+    ranked = li.withColumnRenamed("l_orderkey", "call").withColumn("rank", F.row_number().over(w))  # named first, so that the window's partitions are the calls'
+    hits = ranked.select(
+        "call", "rank", (F.col("l_suppkey") % 25).alias("doc_id"), F.concat(F.lit("c"), "l_partkey").alias("chunk_id"),
         F.when(F.col("l_linestatus") == "O", "table").otherwise("text").alias("kind"), F.col("l_returnflag").alias("section_id"), F.lit("fused").alias("score_kind"),
         F.lit("section_window").alias("context_status"), F.col("l_returnflag").alias("resolved_section"), none.alias("anchor_start"), none.alias("anchor_end"),
         F.col("l_returnflag").alias("text"), F.lit(None).cast("string").alias("content_raw"), (F.col("l_quantity").cast("int") * 10).alias("n_tokens"),

@@ -127,3 +127,51 @@ def test_words_are_looked_for_by_their_lengths(spark):
 
     assert segment.best_path("qqab", [Slots(), Slots(), Slots([(4, -1.0)]), Slots()], -9.0) == ["q", "q", "ab"]
     assert Slots.reads <= 2  # places that open no word are passed over
+
+
+def results(spark, requests, hits, session="long", doc="long"):
+    from larkspur.operators import answering as A
+
+    shape = f"call long, rank int, doc_id {doc}, chunk_id string, kind string, section_id string, score_kind string, context_status string, resolved_section string, anchor_start int, anchor_end int, text string, content_raw string, n_tokens int"
+    rows = A.call_results(spark.createDataFrame(requests, f"call long, session {session}, at int, rerank boolean"), spark.createDataFrame(hits, shape), 60).collect()
+    return {r.call: ([h.context_status for h in r.hits], r.section_folded_n, r.already_returned_n, r.budget_truncated, r.context_tokens) for r in rows}
+
+
+def test_results_read_and_shuffle_hits_once(spark):
+    """The two lists of a call's hits come from one shuffle; there is none between ranking and the lists, and no struct is compared within a lambda."""
+    df = QUERIES["retrieve_results"](spark, SF)
+    df.collect()
+    final = plan(df).split("== Initial Plan ==")[0]
+    assert sum("FileScan" in line and "l_extendedprice" in line for line in final.splitlines()) == 1 and "ReusedExchange" in final
+    assert "MapInArrow" in final and not any("Exchange" in line and "partial_collect" in line for line in final.splitlines())
+    above = [line for line in final.splitlines() if "partial_collect_list" in line]
+    assert above and all("struct" not in line for line in above)
+
+
+def test_large_session_ids_beside_calls_of_no_session(spark):
+    """Ids over 2 ** 53 stay apart where a batch has a null too."""
+    big = 2**53
+    hits = [(c, 1, 1, "c", "text", "s", "fused", "full_section", None, None, None, "x", None, 5) for c in range(5)]
+    got = results(spark, [(0, None, 0, False), (1, big, 0, False), (2, big + 1, 0, False), (3, big + 1, 1, False), (4, None, 1, False)], hits)
+    assert {c: r[0] for c, r in got.items()} == {0: ["full_section"], 1: ["full_section"], 2: ["full_section"], 3: ["already_returned"], 4: ["full_section"]}
+
+
+def test_sections_of_documents_with_alike_names(spark):
+    pairs = [("a", "b|section c"), ("a|section b", "c"), ("a", "c"), (None, "c"), ("", "c"), ("a", "b|section c"), (None, "c")]
+    hits = [(1, n, doc, f"c{n}", "text", section, "fused", "full_section", None, None, None, "x", None, 1) for n, (doc, section) in enumerate(pairs)]
+    hits += [(1, 7, "a", "c7", "table", "c", "fused", "full_section", None, None, None, "x", None, 1), (1, 8, "a", "c8", "text", "hit 7", "fused", "full_section", None, None, None, "x", None, 1)]
+    got = results(spark, [(1, 1, 0, False)], hits, doc="string")
+    assert (len(got[1][0]), got[1][1]) == (7, 2)
+
+
+def test_a_session_over_several_batches(spark):
+    """What a session was given is known in its next batch."""
+    rng = random.Random(3)
+    requests = [(c, rng.choice([None, 1, 1, 2]), rng.randrange(9), False) for c in range(60)]
+    hits = [(c, n, rng.randrange(4), f"c{rng.randrange(9)}", rng.choice(["text", "table"]), rng.choice([None, "s", "t"]), "fused", "full_section", None, None, None, "x" * rng.randrange(99), None, None) for c in range(55) for n in range(rng.randrange(1, 9))]
+    want = results(spark, requests, hits)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        assert results(spark, requests, hits) == want and any(r[2] for r in want.values()) and any(r[3] for r in want.values())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
